@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from faultlens.plans import sqlparts as S
+from faultlens.sources import fixtures as FX
 from faultlens.sources.fixtures import views_sql
 
 
@@ -24,6 +25,58 @@ SELECT uuid, k8_node_name AS node_name, {S.service_from_pod('k8_pod')} AS servic
 FROM m GROUP BY uuid, k8_pod, k8_node_name, template
 """)
 
+PERIODS = S.periods(FX.FIXTURE_GAP_NS)
+
+INCIDENT_NORMAL_PERIODS = _q(f"SELECT * FROM {PERIODS} p")
+
+_UNPIVOT = f"""(SELECT entity, timestamp_ns, metric, value FROM
+  (UNPIVOT wide_metrics ON {', '.join(FX.WIDE_METRIC_COLUMNS)} INTO NAME metric VALUE value) u
+  WHERE value IS NOT NULL AND NOT isnan(value))"""
+
+METRIC_UNPIVOT = _q(f"SELECT * FROM {_UNPIVOT} t")
+
+METRIC_TRIMMED_STATS = _q(f"SELECT * FROM {S.trimmed_describe(_UNPIVOT, ['entity', 'metric'])} t")
+
+
+def _samples(cols: str, where: str = "") -> str:
+    pts = f"(SELECT {cols}, timestamp_ns, value FROM metric_points {where})"
+    return S.period_samples(pts, PERIODS)
+
+
+def _wl(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+METRIC_PERIOD_COMPARE = _q(f"SELECT * FROM {S.compare_periods(_samples('pod, metric'), ['pod', 'metric'])} t")
+
+METRIC_NODE_SHIFT = _q(f"""SELECT * FROM {S.compare_periods(
+    _samples('node, metric', f'WHERE node IN {_wl(FX.NODE_WHITELIST)}'), ['node', 'metric'])} t""")
+
+METRIC_POD_SHIFT = _q(f"""SELECT * FROM {S.compare_periods(
+    _samples('node AS instance, pod, metric', f'WHERE node IS NOT NULL AND pod IN {_wl(FX.POD_WHITELIST)}'),
+    ['instance', 'pod', 'metric'])} t""")
+
+METRIC_DB_STATS = _q(f"SELECT * FROM {S.compare_periods(_samples('service, metric'), ['service', 'metric'], gate=False)} t")
+
+_SVC = S.compare_periods(_samples('service, metric'), ['service', 'metric'])
+_POD_SAMPLES = _samples('pod, metric')
+METRIC_SERVICE_DRILLDOWN = _q(f""",
+abn AS (SELECT uuid, service, metric FROM {_SVC} s),
+pods AS (SELECT DISTINCT uuid, pod FROM {_POD_SAMPLES} ps),
+allowed AS (SELECT a.uuid, a.service, p.pod, a.metric FROM abn a JOIN pods p
+            ON a.uuid = p.uuid AND starts_with(p.pod, a.service)),
+samples AS (SELECT ps.*, al.service FROM {_POD_SAMPLES} ps JOIN allowed al USING (uuid, pod, metric))
+SELECT * FROM {S.compare_periods('samples', ['service', 'pod', 'metric'], gate=False)} t
+""")
+
 ORACLE = {
     "log_error_rollup": LOG_ERROR_ROLLUP,
+    "incident_normal_periods": INCIDENT_NORMAL_PERIODS,
+    "metric_unpivot": METRIC_UNPIVOT,
+    "metric_trimmed_stats": METRIC_TRIMMED_STATS,
+    "metric_period_compare": METRIC_PERIOD_COMPARE,
+    "metric_node_shift": METRIC_NODE_SHIFT,
+    "metric_pod_shift": METRIC_POD_SHIFT,
+    "metric_db_stats": METRIC_DB_STATS,
+    "metric_service_drilldown": METRIC_SERVICE_DRILLDOWN,
 }

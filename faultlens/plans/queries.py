@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.functions.time import NS_PER_HOUR
 from faultlens.operators import logs as L
+from faultlens.operators import metrics as M
+from faultlens.operators.stats import trimmed_describe
 from faultlens.sources import fixtures as FX
 
 
@@ -21,6 +23,80 @@ def log_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.log_error_rollup(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
 
 
+# ------------------------------------------------------------------- metrics
+def _periods(ev: DataFrame) -> DataFrame:
+    return M.incident_periods(FX.incidents_from_events(ev), FX.FIXTURE_GAP_NS)
+
+
+def incident_normal_periods(spark, sf_dir):
+    return _periods(_events(spark, sf_dir))
+
+
+def _lineitem_tall(spark, sf_dir):
+    wide = FX.wide_metrics_from_lineitem(FX.load(spark, sf_dir, "lineitem"))
+    return M.unpivot_metrics(wide, ["entity", "timestamp_ns"], FX.WIDE_METRIC_COLUMNS)
+
+
+def metric_unpivot(spark, sf_dir):
+    return _lineitem_tall(spark, sf_dir)
+
+
+def metric_trimmed_stats(spark, sf_dir):
+    return trimmed_describe(_lineitem_tall(spark, sf_dir), ["entity", "metric"])
+
+
+def metric_period_compare(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev).select("pod", "metric", "timestamp_ns", "value")
+    return M.compare_periods(M.period_samples(pts, _periods(ev)), ["pod", "metric"])
+
+
+def metric_node_shift(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev).select("node", "metric", "timestamp_ns", "value")
+    return M.node_shift(pts, _periods(ev), FX.NODE_WHITELIST)
+
+
+def metric_pod_shift(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev).select("node", "pod", "metric", "timestamp_ns", "value")
+    return M.pod_shift(pts, _periods(ev), FX.POD_WHITELIST)
+
+
+def metric_db_stats(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev).select("service", "metric", "timestamp_ns", "value")
+    return M.db_stats(pts, _periods(ev))
+
+
+def metric_service_drilldown(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev)
+    return M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
+                               pts.select("pod", "metric", "timestamp_ns", "value"), _periods(ev))
+
+
+def metric_evidence_json(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev)
+    per = _periods(ev)
+    svc = M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
+                              pts.select("pod", "metric", "timestamp_ns", "value"), per)
+    db = M.db_stats(pts.select("service", "metric", "timestamp_ns", "value"), per)
+    node = M.node_shift(pts.select("node", "metric", "timestamp_ns", "value"), per, FX.NODE_WHITELIST)
+    pod = M.pod_shift(pts.select("node", "pod", "metric", "timestamp_ns", "value"), per, FX.POD_WHITELIST)
+    return M.evidence_json(svc, db, node, pod)
+
+
 QUERIES = {
     "log_error_rollup": log_error_rollup,
+    "incident_normal_periods": incident_normal_periods,
+    "metric_unpivot": metric_unpivot,
+    "metric_trimmed_stats": metric_trimmed_stats,
+    "metric_period_compare": metric_period_compare,
+    "metric_node_shift": metric_node_shift,
+    "metric_pod_shift": metric_pod_shift,
+    "metric_db_stats": metric_db_stats,
+    "metric_service_drilldown": metric_service_drilldown,
+    "metric_evidence_json": metric_evidence_json,
 }

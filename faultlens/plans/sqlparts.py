@@ -39,3 +39,63 @@ def templates(src: str, scope: list[str]) -> str:
   UNION ALL
   SELECT DISTINCT {sc}bucket_key, '' AS template FROM {src} WHERE len(tokens) = 0
 )"""
+
+
+# --------------------------------------------------------------- statistics
+PCTS = ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
+STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "p95", "p99", "max", "non_zero_ratio")
+
+
+def trimmed_describe(src: str, keys: list[str], rnd: bool = True) -> str:
+    """A2 + A3 over ``src`` (has keys and ``value``)."""
+    k = ", ".join(keys)
+    r = (lambda e: f"round({e}, 6)") if rnd else (lambda e: e)
+    pct = ", ".join(f"{r(f'quantile_cont(v, {p})')} AS {n}" for p, n in PCTS)
+    return f"""(
+  WITH s0 AS (SELECT {k}, CAST(value AS DOUBLE) AS v FROM {src} WHERE value IS NOT NULL AND NOT isnan(value)),
+  s1 AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY v) AS rn, count(*) OVER (PARTITION BY {k}) AS n FROM s0),
+  s2 AS (SELECT * FROM s1 WHERE n <= 2 OR (rn > 1 AND rn < n)),
+  st AS (SELECT {k}, CAST(count(*) AS BIGINT) AS count, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS std,
+                {r('min(v)')} AS min, {pct}, {r('max(v)')} AS max FROM s2 GROUP BY {k}),
+  nz AS (SELECT {k}, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 3) AS non_zero_ratio FROM s0 GROUP BY {k})
+  SELECT st.*, nz.non_zero_ratio FROM st JOIN nz USING ({k})
+)"""
+
+
+def compare_periods(samples: str, keys: list[str], gate: bool = True) -> str:
+    """A2 per period + J8 + F8 over ``samples`` (uuid, keys, period, value)."""
+    ks = ["uuid", *keys]
+    k = ", ".join(ks)
+    cols = []
+    for period in ("normal", "fault"):
+        for c in STATS:
+            cols.append(f"max(CASE WHEN period = '{period}' THEN {c} END) AS {period}_{c}")
+    ratio = "((fault_mean + 1e-9) / (normal_mean + 1e-9))"
+    where = f"WHERE {ratio} IS NULL OR NOT ({ratio} BETWEEN 0.95 AND 1.05)" if gate else ""
+    outs = []
+    for period in ("normal", "fault"):
+        for c in STATS:
+            name = f"{period}_{c}"
+            outs.append(name if c in ("count", "non_zero_ratio") else f"round({name}, 6) AS {name}")
+    status = ("CASE WHEN normal_count IS NULL THEN 'no_baseline' WHEN fault_count IS NULL THEN 'no_fault_data' "
+              f"ELSE '{'shifted' if gate else 'compared'}' END AS status")
+    return f"""(
+  SELECT {k}, {', '.join(outs)}, round({ratio}, 6) AS mean_ratio, {status}
+  FROM (SELECT {k}, {', '.join(cols)} FROM {trimmed_describe(samples, [*ks, 'period'], rnd=False)} st GROUP BY {k}) w
+  {where}
+)"""
+
+
+def periods(gap_ns: int) -> str:
+    return f"""(
+  WITH i AS (SELECT *, lag(end_timestamp) OVER (ORDER BY seq) AS prev_end,
+                       lead(start_timestamp) OVER (ORDER BY seq) AS next_start FROM incidents)
+  SELECT uuid, 'fault' AS period, 'fault' AS part, start_timestamp AS lo, end_timestamp AS hi FROM i
+  UNION ALL SELECT uuid, 'normal', 'before', prev_end + {gap_ns}, start_timestamp FROM i WHERE prev_end IS NOT NULL
+  UNION ALL SELECT uuid, 'normal', 'after', end_timestamp + {gap_ns}, next_start FROM i WHERE next_start IS NOT NULL
+)"""
+
+
+def period_samples(points: str, periods_sql: str) -> str:
+    return (f"(SELECT p.uuid, p.period, m.* FROM {points} m JOIN {periods_sql} p "
+            f"ON m.timestamp_ns BETWEEN p.lo AND p.hi)")
