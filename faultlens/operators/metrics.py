@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.functions.numeric import round_half_up
+
 from faultlens.functions.time import NS_PER_DAY, NS_PER_MIN
 from faultlens.operators.interval import bounded_broadcast, interval_join
 from faultlens.operators.stats import DECIMALS, STAT_COLUMNS, trimmed_describe
@@ -108,7 +110,7 @@ def compare_periods(samples: DataFrame, keys: Sequence[str], *, gate: bool = Tru
         elif c in keys or c.endswith("non_zero_ratio"):
             out.append(col)
         else:
-            out.append(F.round(col, decimals).alias(c))
+            out.append(round_half_up(col, decimals).alias(c))
     return w.select(*out, status.alias("status"))
 
 

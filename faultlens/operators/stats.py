@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.functions.numeric import round_half_up
+
 # Percentiles reported and their column names.
 PERCENTILES = ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "p95", "p99", "max", "non_zero_ratio")
@@ -66,7 +68,7 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
     g = f.groupBy(*keys).agg(*aggs)
 
     def rnd(c):
-        return F.round(c, decimals) if decimals is not None else c
+        return round_half_up(c, decimals) if decimals is not None else c
 
     cols = [*keys, F.col("count").cast("long").alias("count"), rnd(F.col("mean")).alias("mean"),
             rnd(F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))).alias("std"),
@@ -76,5 +78,5 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
         a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
         cols.append(rnd(a + (h - F.floor(h)) * (b - a)).alias(name))
     cols += [rnd(F.col("max")).alias("max"),
-             F.round(F.col("_pos") / F.col("_n"), 3).alias("non_zero_ratio")]
+             round_half_up(F.col("_pos") / F.col("_n"), 3).alias("non_zero_ratio")]
     return g.select(*cols)

@@ -8,7 +8,7 @@ from faultlens.sources.fixtures import views_sql
 
 
 def _q(body: str) -> str:
-    return views_sql() + body
+    return S.fix_rounding(views_sql() + body)
 
 
 LOG_ERROR_ROLLUP = _q(f""",
@@ -69,6 +69,68 @@ samples AS (SELECT ps.*, al.service FROM {_POD_SAMPLES} ps JOIN allowed al USING
 SELECT * FROM {S.compare_periods('samples', ['service', 'pod', 'metric'], gate=False)} t
 """)
 
+# -------------------------------------------------------------------- traces
+from faultlens.operators import traces as T  # noqa: E402
+
+_ENR = S.enriched("incidents")
+_SAMPLED = S.sampled_incidents(T.SAMPLE_SIZE, T.SEED)
+_NORMAL_WIN = f"(SELECT uuid, end_timestamp AS lo, end_timestamp + {FX.FIXTURE_AFTER_NS} AS hi FROM {_SAMPLED} sm)"
+_ENR_NORMAL = S.enriched(_NORMAL_WIN, "lo", "hi")
+_TRAIN = S.anchored(_ENR_NORMAL, FX.FIXTURE_WINDOW_NS)
+_DETECT = S.anchored(_ENR, FX.FIXTURE_WINDOW_NS)
+_BASE = S.baseline(_TRAIN)
+_SK = ", ".join(S.STATUS_KEYS)
+
+SPAN_ENRICH = _q(f"""SELECT uuid, timestamp_ns, parent_spanID, spanID, parent_pod, child_pod, parent_service,
+  service_name, node_name, operationName, duration FROM {_ENR} e""")
+
+SPAN_STATUS_COMBOS = _q(f""",
+s AS (SELECT uuid, coalesce(node_name, 'N/A') AS node_name,
+             coalesce(CASE WHEN service_name = 'redis' THEN 'redis-cart' ELSE service_name END, 'N/A') AS service_name,
+             coalesce(parent_pod, 'N/A') AS parent_pod, coalesce(child_pod, 'N/A') AS child_pod,
+             coalesce(operationName, 'N/A') AS operation_name, status_code, status_message
+      FROM {_ENR} e WHERE has_status_message AND status_code IS NOT NULL AND status_code <> '0'),
+g AS (SELECT uuid, {_SK}, CAST(count(*) AS BIGINT) AS occurrence_count FROM s GROUP BY uuid, {_SK}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY uuid ORDER BY occurrence_count DESC,
+      {', '.join(k + ' NULLS FIRST' for k in S.STATUS_KEYS)}) AS INTEGER) AS rank FROM g)
+SELECT *, '{T.COUNT_TEXT_PREFIX}' || CAST(occurrence_count AS VARCHAR) AS occurrence_text FROM r WHERE rank <= {T.TOP_N}
+""")
+
+INCIDENT_SAMPLE = _q(f"SELECT * FROM {S.sampled_incidents(5, T.SEED)} s")
+
+SPAN_NORMAL_EXTRACT = _q(f"""SELECT uuid, {S.EDGE}, CAST(count(*) AS BIGINT) AS n_spans, min(timestamp_ns) AS min_ts,
+  max(timestamp_ns) AS max_ts, round(avg(duration), 6) AS mean_duration
+FROM {_ENR_NORMAL} e WHERE parent_pod IS NOT NULL AND child_pod IS NOT NULL AND node_name IS NOT NULL
+  AND operationName IS NOT NULL GROUP BY uuid, {S.EDGE}""")
+
+TRACE_ANCHORED_WINDOWS = _q(f"""SELECT uuid, {S.EDGE}, window_start, round(mean_duration, 6) AS mean_duration,
+  n_spans, first_service FROM {_DETECT} d""")
+
+TRACE_EDGE_BASELINE = _q(f"""SELECT {S.EDGE}, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median,
+  round(min, 6) AS min, round(max, 6) AS max, count, round(p99, 6) AS p99 FROM {_BASE} b""")
+
+_FLAGGED_EVENTS = f"""(SELECT d.* FROM {_DETECT} d JOIN {_BASE} b USING (parent_pod, child_pod, node_name, operationName)
+  WHERE d.mean_duration > b.p99)"""
+_FLAGGED_TOPK = S.topk_anomalies(_FLAGGED_EVENTS, _BASE, T.TOP_N, T.COUNT_TEXT_PREFIX)
+TRACE_FLAGGED_TOPK = _q(f"SELECT * FROM {_FLAGGED_TOPK} t")
+
+TRACE_DIMENSION_LISTS = _q(f"""SELECT uuid,
+  array_to_string(list_sort(list_distinct(flatten([list(child_pod), list(parent_pod)]))), ',') AS pod_names,
+  array_to_string(list_sort(list_distinct(list(service_name))), ',') AS service_names,
+  array_to_string(list_sort(list_distinct(list(node_name))), ',') AS node_names
+FROM {_FLAGGED_TOPK} t GROUP BY uuid""")
+
+TRACE_FRAME_PROFILE = _q(f"""SELECT uuid, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT child_pod) AS BIGINT) AS n_pods,
+  CAST(count(DISTINCT service_name) AS BIGINT) AS n_services, CAST(count(DISTINCT node_name) AS BIGINT) AS n_nodes,
+  CAST(count(DISTINCT spanID) AS BIGINT) AS n_spans, min(timestamp_ns) AS min_ts, max(timestamp_ns) AS max_ts
+FROM {_ENR} e GROUP BY uuid""")
+
+CALL_GRAPH_EDGES = _q(f"""SELECT uuid, parent_service, service_name, CAST(count(*) AS BIGINT) AS n_calls,
+  CAST(sum(CASE WHEN parent_pod = child_pod THEN 1 ELSE 0 END) AS BIGINT) AS n_self_loop,
+  CAST(count(DISTINCT (parent_pod, child_pod)) AS BIGINT) AS n_pod_pairs
+FROM {_ENR} e WHERE parent_service IS NOT NULL AND service_name IS NOT NULL
+GROUP BY uuid, parent_service, service_name""")
+
 ORACLE = {
     "log_error_rollup": LOG_ERROR_ROLLUP,
     "incident_normal_periods": INCIDENT_NORMAL_PERIODS,
@@ -79,4 +141,14 @@ ORACLE = {
     "metric_pod_shift": METRIC_POD_SHIFT,
     "metric_db_stats": METRIC_DB_STATS,
     "metric_service_drilldown": METRIC_SERVICE_DRILLDOWN,
+    "span_enrich": SPAN_ENRICH,
+    "span_status_combos": SPAN_STATUS_COMBOS,
+    "incident_sample": INCIDENT_SAMPLE,
+    "span_normal_extract": SPAN_NORMAL_EXTRACT,
+    "trace_anchored_windows": TRACE_ANCHORED_WINDOWS,
+    "trace_edge_baseline": TRACE_EDGE_BASELINE,
+    "trace_flagged_topk": TRACE_FLAGGED_TOPK,
+    "trace_dimension_lists": TRACE_DIMENSION_LISTS,
+    "trace_frame_profile": TRACE_FRAME_PROFILE,
+    "call_graph_edges": CALL_GRAPH_EDGES,
 }

@@ -6,10 +6,14 @@ Each reads the driver tables (or views Spark derives from them) whole.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultlens.functions.numeric import round_half_up
 
 from faultlens.functions.time import NS_PER_HOUR
 from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
+from faultlens.operators import traces as T
 from faultlens.operators.stats import trimmed_describe
 from faultlens.sources import fixtures as FX
 
@@ -88,6 +92,99 @@ def metric_evidence_json(spark, sf_dir):
     return M.evidence_json(svc, db, node, pod)
 
 
+# -------------------------------------------------------------------- traces
+def _spans_ctx(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return FX.spans_from_events(ev), FX.incidents_from_events(ev)
+
+
+def _enriched(spark, sf_dir):
+    spans, inc = _spans_ctx(spark, sf_dir)
+    return T.enrich_spans(spans, inc)
+
+
+def _train(spark, sf_dir):
+    spans, inc = _spans_ctx(spark, sf_dir)
+    sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
+    return T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS)
+
+
+def _detect_windows(spark, sf_dir):
+    return T.anchored_windows(_enriched(spark, sf_dir), window_ns=FX.FIXTURE_WINDOW_NS)
+
+
+def span_enrich(spark, sf_dir):
+    return _enriched(spark, sf_dir).select(*T.ENRICHED_COLUMNS)
+
+
+def span_status_combos(spark, sf_dir):
+    return T.status_combinations(_enriched(spark, sf_dir))
+
+
+def incident_sample(spark, sf_dir):
+    return T.sample_incidents(FX.incidents_from_events(_events(spark, sf_dir)), 5, T.SEED)
+
+
+def span_normal_extract(spark, sf_dir):
+    spans, inc = _spans_ctx(spark, sf_dir)
+    sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
+    e = T.enrich_spans(spans, T.normal_windows(sampled, FX.FIXTURE_AFTER_NS), lo="lo", hi="hi")
+    for k in T.EDGE:
+        e = e.where(F.col(k).isNotNull())
+    return e.groupBy("uuid", *T.EDGE).agg(
+        F.count(F.lit(1)).alias("n_spans"), F.min("timestamp_ns").alias("min_ts"),
+        F.max("timestamp_ns").alias("max_ts"), round_half_up(F.avg("duration"), 6).alias("mean_duration"))
+
+
+def trace_anchored_windows(spark, sf_dir):
+    w = _detect_windows(spark, sf_dir)
+    return w.withColumn("mean_duration", round_half_up("mean_duration", 6))
+
+
+def _rounded(df, cols):
+    return df.select(*[round_half_up(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def trace_edge_baseline(spark, sf_dir):
+    return _rounded(T.edge_baseline(_train(spark, sf_dir)), {"mean", "std", "median", "min", "max", "p99"})
+
+
+def _flagged_topk(spark, sf_dir):
+    base = T.edge_baseline(_train(spark, sf_dir))
+    events = T.flag_by_baseline(_detect_windows(spark, sf_dir), base)
+    return T.anomaly_topk(events, base)
+
+
+def trace_flagged_topk(spark, sf_dir):
+    return _flagged_topk(spark, sf_dir)
+
+
+def trace_dimension_lists(spark, sf_dir):
+    return T.dimension_lists(_flagged_topk(spark, sf_dir))
+
+
+def _iforest_events(spark, sf_dir):
+    model = T.fit_detectors(_train(spark, sf_dir))
+    return T.score_windows(_detect_windows(spark, sf_dir), model)
+
+
+def trace_iforest_events(spark, sf_dir):
+    return T.anomaly_event_rows(_iforest_events(spark, sf_dir))
+
+
+def trace_anomaly_topk(spark, sf_dir):
+    base = T.edge_baseline(_train(spark, sf_dir))
+    return T.anomaly_topk(_iforest_events(spark, sf_dir), base)
+
+
+def trace_frame_profile(spark, sf_dir):
+    return T.frame_profile(_enriched(spark, sf_dir))
+
+
+def call_graph_edges(spark, sf_dir):
+    return T.call_graph(_enriched(spark, sf_dir))
+
+
 QUERIES = {
     "log_error_rollup": log_error_rollup,
     "incident_normal_periods": incident_normal_periods,
@@ -99,4 +196,16 @@ QUERIES = {
     "metric_db_stats": metric_db_stats,
     "metric_service_drilldown": metric_service_drilldown,
     "metric_evidence_json": metric_evidence_json,
+    "span_enrich": span_enrich,
+    "span_status_combos": span_status_combos,
+    "incident_sample": incident_sample,
+    "span_normal_extract": span_normal_extract,
+    "trace_anchored_windows": trace_anchored_windows,
+    "trace_edge_baseline": trace_edge_baseline,
+    "trace_flagged_topk": trace_flagged_topk,
+    "trace_dimension_lists": trace_dimension_lists,
+    "trace_iforest_events": trace_iforest_events,
+    "trace_anomaly_topk": trace_anomaly_topk,
+    "trace_frame_profile": trace_frame_profile,
+    "call_graph_edges": call_graph_edges,
 }

@@ -1,5 +1,7 @@
 """SQL (DuckDB dialect) twins of the column helpers, for the oracle queries."""
 
+import re as _re
+
 from faultlens.functions.text import (ERROR_KEYWORDS, TEMPLATE_DELIMITERS, TEMPLATE_PREFIX_DEPTH,
                                       TEMPLATE_WILDCARD, WHITESPACE_CLASS)
 
@@ -99,3 +101,110 @@ def periods(gap_ns: int) -> str:
 def period_samples(points: str, periods_sql: str) -> str:
     return (f"(SELECT p.uuid, p.period, m.* FROM {points} m JOIN {periods_sql} p "
             f"ON m.timestamp_ns BETWEEN p.lo AND p.hi)")
+
+
+# -------------------------------------------------------------------- traces
+EDGE = "parent_pod, child_pod, node_name, operationName"
+STATUS_KEYS = ("node_name", "service_name", "parent_pod", "child_pod", "operation_name",
+               "status_code", "status_message")
+
+
+def enriched(windows: str, lo: str = "start_timestamp", hi: str = "end_timestamp") -> str:
+    """T1 over the flat spans view inside ``windows`` (uuid, lo, hi)."""
+    return f"""(
+  WITH w AS (SELECT i.uuid, s.* FROM spans s JOIN {windows} i ON s.timestamp_ns BETWEEN i.{lo} AND i.{hi}),
+  par AS (SELECT uuid, spanID, arg_max(child_pod, timestamp_ns) AS parent_pod,
+                 arg_max(service_name, timestamp_ns) AS parent_service FROM w GROUP BY uuid, spanID)
+  SELECT w.*, par.parent_pod, par.parent_service
+  FROM w LEFT JOIN par ON w.uuid = par.uuid AND w.parent_spanID = par.spanID
+)"""
+
+
+def anchored(enr: str, win_ns: int) -> str:
+    """W1 over an enriched relation."""
+    return f"""(
+  WITH e AS (SELECT * FROM {enr} e0 WHERE parent_pod IS NOT NULL AND child_pod IS NOT NULL
+             AND node_name IS NOT NULL AND operationName IS NOT NULL),
+  b AS (SELECT uuid, {EDGE}, min(timestamp_ns) AS lo, max(timestamp_ns) AS hi,
+               arg_min(service_name, timestamp_ns) AS first_service
+        FROM e GROUP BY uuid, {EDGE} HAVING min(timestamp_ns) < max(timestamp_ns)),
+  x AS (SELECT e.uuid, e.parent_pod, e.child_pod, e.node_name, e.operationName, e.duration, e.timestamp_ns,
+               b.lo, b.hi, b.first_service, (e.timestamp_ns - b.lo) // {win_ns} AS ix
+        FROM e JOIN b USING (uuid, parent_pod, child_pod, node_name, operationName)),
+  y AS (SELECT *, ix AS k FROM x UNION ALL
+        SELECT *, ix - 1 AS k FROM x WHERE (timestamp_ns - lo) % {win_ns} = 0 AND ix > 0)
+  SELECT uuid, {EDGE}, lo + k * {win_ns} AS window_start, avg(duration) AS mean_duration,
+         CAST(count(*) AS BIGINT) AS n_spans, first_service
+  FROM y WHERE lo + k * {win_ns} < hi
+  GROUP BY uuid, {EDGE}, first_service, lo + k * {win_ns}
+)"""
+
+
+def sampled_incidents(n: int, seed: int) -> str:
+    return f"(SELECT * FROM incidents ORDER BY md5(uuid || ':{seed}'), uuid LIMIT {n})"
+
+
+def baseline(train: str) -> str:
+    x = "mean_duration"
+    return f"""(SELECT {EDGE}, avg({x}) AS mean, stddev_pop({x}) AS std, median({x}) AS median,
+  min({x}) AS min, max({x}) AS max, CAST(count({x}) AS BIGINT) AS count, quantile_cont({x}, 0.99) AS p99
+  FROM {train} t GROUP BY {EDGE})"""
+
+
+def topk_anomalies(events: str, base: str, n: int, prefix: str) -> str:
+    return f"""(
+  WITH g AS (SELECT uuid, {EDGE}, avg(mean_duration) AS anomaly_avg_duration,
+                    CAST(count(*) AS BIGINT) AS anomaly_count, arg_min(first_service, window_start) AS service_name
+             FROM {events} ev GROUP BY uuid, {EDGE}),
+  j AS (SELECT g.*, coalesce(b.mean, 0.0) AS normal_avg_duration FROM g LEFT JOIN {base} b
+        USING (parent_pod, child_pod, node_name, operationName)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY anomaly_count DESC, parent_pod NULLS FIRST,
+               child_pod NULLS FIRST, node_name NULLS FIRST, operationName NULLS FIRST) AS rank FROM j)
+  SELECT uuid, node_name, service_name, parent_pod, child_pod, operationName AS operation_name,
+         round(normal_avg_duration, 6) AS normal_avg_duration, round(anomaly_avg_duration, 6) AS anomaly_avg_duration,
+         anomaly_count, CAST(rank AS INTEGER) AS rank, '{prefix}' || CAST(anomaly_count AS VARCHAR) AS anomaly_count_text
+  FROM r WHERE rank <= {n}
+)"""
+
+
+def R(e: str, d: int = 6) -> str:
+    """Twin of ``round_half_up``."""
+    k = f"{10 ** d}.0::DOUBLE"
+    return f"CAST(floor(({e}) * {k} + 0.5) / {k} AS DOUBLE)"
+
+
+def fix_rounding(sql: str) -> str:
+    """Rewrite ``round(x, d)`` calls (balanced parentheses) to ``R(x, d)``."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = sql[j + 6:k]
+        # split on the last top-level comma
+        depth, cut = 0, None
+        for pos, ch in enumerate(inner):
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                cut = pos
+        expr, dec = inner[:cut], int(inner[cut + 1:].strip())
+        out.append(sql[i:j])
+        out.append(R(fix_rounding(expr), dec))
+        i = k + 1
