@@ -11,8 +11,8 @@ def _q(body: str) -> str:
     return S.fix_rounding(views_sql() + body)
 
 
-LOG_ERROR_ROLLUP = _q(f""",
-w AS (SELECT i.uuid, l.timestamp_ns, l.k8_pod, l.k8_node_name, l.message
+_LOG_ROLLUP = f"""(
+WITH w AS (SELECT i.uuid, l.timestamp_ns, l.k8_pod, l.k8_node_name, l.message
       FROM logs l JOIN incidents i ON l.timestamp_ns BETWEEN i.start_timestamp AND i.end_timestamp
       WHERE {S.error_pred('l.message')}),
 tk AS (SELECT *, {S.tokens('message')} AS tokens FROM w),
@@ -23,7 +23,39 @@ m AS (SELECT bk.*, tpl.template FROM bk JOIN tpl USING (uuid, bucket_key)
 SELECT uuid, k8_node_name AS node_name, {S.service_from_pod('k8_pod')} AS service_name, k8_pod AS pod_name,
        min({{'t': timestamp_ns, 'm': message}}).m AS message, CAST(count(*) AS BIGINT) AS occurrence_count
 FROM m GROUP BY uuid, k8_pod, k8_node_name, template
-""")
+)"""
+LOG_ERROR_ROLLUP = _q(f"SELECT * FROM {_LOG_ROLLUP} t")
+
+
+LOG_TIME_ERROR_FILTER = _q(f"""
+SELECT i.uuid, l.timestamp_ns, l.time_beijing, l.k8_pod, l.message, l.k8_node_name
+FROM logs l JOIN incidents i ON l.timestamp_ns BETWEEN i.start_timestamp AND i.end_timestamp
+WHERE {S.error_pred('l.message')}""")
+
+_DOC_LINES = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS message,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
+_DOC_TOK = f"(SELECT doc_id, line_no, message, {S.tokens('message')} AS tokens FROM {_DOC_LINES} dl)"
+_DOC_BK = f"(SELECT *, {S.bucket_key('tokens')} AS bucket_key FROM {_DOC_TOK} dt)"
+_DOC_TPL = S.templates(_DOC_BK, [])
+
+LOG_TEMPLATE_MINE = _q(f"""SELECT t.bucket_key, t.template, c.cluster_size FROM {_DOC_TPL} t
+JOIN (SELECT bucket_key, CAST(count(*) AS BIGINT) AS cluster_size FROM {_DOC_BK} b GROUP BY bucket_key) c USING (bucket_key)""")
+
+LOG_TEMPLATE_MATCH = _q(f"""SELECT b.doc_id, CAST(b.line_no AS INTEGER) AS line_no, t.template
+FROM {_DOC_BK} b LEFT JOIN {_DOC_TPL} t USING (bucket_key)""")
+
+
+def _mask_sql(col: str) -> str:
+    from faultlens.operators.logs import DEFAULT_MASK_RULES
+    out = col
+    for pattern, name in DEFAULT_MASK_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '<:{name}:>', 'g')"
+    return out
+
+
+LOG_MASK_RULES = _q(f"""SELECT doc_id, md5(m) AS masked_md5,
+  CAST((length(m) - length(replace(m, '<:', ''))) / 2 AS BIGINT) AS n_masks
+FROM (SELECT doc_id, {_mask_sql('text')} AS m FROM documents) d""")
 
 PERIODS = S.periods(FX.FIXTURE_GAP_NS)
 
@@ -49,25 +81,29 @@ def _wl(values) -> str:
 
 METRIC_PERIOD_COMPARE = _q(f"SELECT * FROM {S.compare_periods(_samples('pod, metric'), ['pod', 'metric'])} t")
 
-METRIC_NODE_SHIFT = _q(f"""SELECT * FROM {S.compare_periods(
-    _samples('node, metric', f'WHERE node IN {_wl(FX.NODE_WHITELIST)}'), ['node', 'metric'])} t""")
+_NODE_SHIFT = S.compare_periods(
+    _samples('node, metric', f'WHERE node IN {_wl(FX.NODE_WHITELIST)}'), ['node', 'metric'])
+METRIC_NODE_SHIFT = _q(f"SELECT * FROM {_NODE_SHIFT} t")
 
-METRIC_POD_SHIFT = _q(f"""SELECT * FROM {S.compare_periods(
+_POD_SHIFT = S.compare_periods(
     _samples('node AS instance, pod, metric', f'WHERE node IS NOT NULL AND pod IN {_wl(FX.POD_WHITELIST)}'),
-    ['instance', 'pod', 'metric'])} t""")
+    ['instance', 'pod', 'metric'])
+METRIC_POD_SHIFT = _q(f"SELECT * FROM {_POD_SHIFT} t")
 
 METRIC_DB_STATS = _q(f"SELECT * FROM {S.compare_periods(_samples('service, metric'), ['service', 'metric'], gate=False)} t")
 
 _SVC = S.compare_periods(_samples('service, metric'), ['service', 'metric'])
 _POD_SAMPLES = _samples('pod, metric')
-METRIC_SERVICE_DRILLDOWN = _q(f""",
-abn AS (SELECT uuid, service, metric FROM {_SVC} s),
+_SVC_DRILL = f"""(
+WITH abn AS (SELECT uuid, service, metric FROM {_SVC} s),
 pods AS (SELECT DISTINCT uuid, pod FROM {_POD_SAMPLES} ps),
 allowed AS (SELECT a.uuid, a.service, p.pod, a.metric FROM abn a JOIN pods p
             ON a.uuid = p.uuid AND starts_with(p.pod, a.service)),
 samples AS (SELECT ps.*, al.service FROM {_POD_SAMPLES} ps JOIN allowed al USING (uuid, pod, metric))
 SELECT * FROM {S.compare_periods('samples', ['service', 'pod', 'metric'], gate=False)} t
-""")
+)"""
+METRIC_SERVICE_DRILLDOWN = _q(f"SELECT * FROM {_SVC_DRILL} t")
+
 
 # -------------------------------------------------------------------- traces
 from faultlens.operators import traces as T  # noqa: E402
@@ -84,8 +120,8 @@ _SK = ", ".join(S.STATUS_KEYS)
 SPAN_ENRICH = _q(f"""SELECT uuid, timestamp_ns, parent_spanID, spanID, parent_pod, child_pod, parent_service,
   service_name, node_name, operationName, duration FROM {_ENR} e""")
 
-SPAN_STATUS_COMBOS = _q(f""",
-s AS (SELECT uuid, coalesce(node_name, 'N/A') AS node_name,
+_STATUS = f"""(
+WITH s AS (SELECT uuid, coalesce(node_name, 'N/A') AS node_name,
              coalesce(CASE WHEN service_name = 'redis' THEN 'redis-cart' ELSE service_name END, 'N/A') AS service_name,
              coalesce(parent_pod, 'N/A') AS parent_pod, coalesce(child_pod, 'N/A') AS child_pod,
              coalesce(operationName, 'N/A') AS operation_name, status_code, status_message
@@ -94,7 +130,9 @@ g AS (SELECT uuid, {_SK}, CAST(count(*) AS BIGINT) AS occurrence_count FROM s GR
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY uuid ORDER BY occurrence_count DESC,
       {', '.join(k + ' NULLS FIRST' for k in S.STATUS_KEYS)}) AS INTEGER) AS rank FROM g)
 SELECT *, '{T.COUNT_TEXT_PREFIX}' || CAST(occurrence_count AS VARCHAR) AS occurrence_text FROM r WHERE rank <= {T.TOP_N}
-""")
+)"""
+SPAN_STATUS_COMBOS = _q(f"SELECT * FROM {_STATUS} t")
+
 
 INCIDENT_SAMPLE = _q(f"SELECT * FROM {S.sampled_incidents(5, T.SEED)} s")
 
@@ -131,8 +169,95 @@ CALL_GRAPH_EDGES = _q(f"""SELECT uuid, parent_service, service_name, CAST(count(
 FROM {_ENR} e WHERE parent_service IS NOT NULL AND service_name IS NOT NULL
 GROUP BY uuid, parent_service, service_name""")
 
+# ------------------------------------------------------------------ evidence
+from faultlens.operators import evidence as E  # noqa: E402
+
+
+def _csv_field(col: str, dbl: bool = False) -> str:
+    v = f"printf('%.6f', {col})" if dbl else f"CAST({col} AS VARCHAR)"
+    v = f"coalesce({v}, '')"
+    return (f"(CASE WHEN contains({v}, ',') OR contains({v}, '\"') OR contains({v}, chr(10)) "
+            f"OR contains({v}, chr(13)) THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END)")
+
+
+def _section(src: str, cols, dbl_cols, order: str, name: str) -> str:
+    line = " || ',' || ".join(_csv_field(c, c in dbl_cols) for c in cols)
+    return f"""(SELECT uuid, '{','.join(cols)}' || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) AS {name}_section,
+  CAST(count(*) AS BIGINT) AS n_{name}_rows FROM {src} x GROUP BY uuid)"""
+
+
+_METRIC_ROWS = f"""(
+  SELECT uuid, 'node' AS source, node AS entity, metric, normal_mean, fault_mean, mean_ratio FROM {_NODE_SHIFT} a
+  UNION ALL SELECT uuid, 'pod', concat_ws('/', instance, pod), metric, normal_mean, fault_mean, mean_ratio FROM {_POD_SHIFT} b
+  UNION ALL SELECT uuid, 'service', concat_ws('/', service, pod), metric, normal_mean, fault_mean, mean_ratio FROM {_SVC_DRILL} c
+)"""
+
+_DBL = {"normal_avg_duration", "anomaly_avg_duration", "normal_mean", "fault_mean", "mean_ratio"}
+_MOD = E.MODALITY_NAMES
+
+EVIDENCE_BUNDLE = _q(f""",
+ls AS {_section(_LOG_ROLLUP, E.LOG_SECTION_COLUMNS, _DBL, 'occurrence_count DESC, pod_name, node_name, message', 'log')},
+ts AS {_section(_FLAGGED_TOPK, E.TRACE_SECTION_COLUMNS, _DBL, 'rank', 'trace')},
+ss AS {_section(_STATUS, E.STATUS_SECTION_COLUMNS, _DBL, 'rank', 'status')},
+ms AS {_section(_METRIC_ROWS, E.METRIC_SECTION_COLUMNS, _DBL, 'source, entity, metric', 'metric')},
+b AS (SELECT * FROM ls FULL OUTER JOIN ts USING (uuid) FULL OUTER JOIN ss USING (uuid) FULL OUTER JOIN ms USING (uuid)),
+c AS (SELECT uuid, coalesce(n_log_rows, 0) AS n_log_rows, coalesce(n_trace_rows, 0) AS n_trace_rows,
+             coalesce(n_status_rows, 0) AS n_status_rows, coalesce(n_metric_rows, 0) AS n_metric_rows,
+             log_section, concat_ws(chr(10), trace_section, status_section) AS tt, metric_section FROM b)
+SELECT uuid,
+  concat_ws('{E.MODALITY_SEPARATOR}', CASE WHEN n_log_rows > 0 THEN '{_MOD[0]}' END,
+            CASE WHEN n_trace_rows + n_status_rows > 0 THEN '{_MOD[1]}' END,
+            CASE WHEN n_metric_rows > 0 THEN '{_MOD[2]}' END) AS modalities,
+  n_log_rows, n_trace_rows, n_status_rows, n_metric_rows, log_section,
+  CASE WHEN tt <> '' THEN tt END AS trace_section, metric_section
+FROM c
+""")
+
+_EVIDENCE = f"""(
+  SELECT uuid, pod_name AS pod, node_name AS node, 'log' AS source FROM {_LOG_ROLLUP} a
+  UNION ALL SELECT uuid, child_pod, CASE WHEN node_name <> 'N/A' THEN node_name END, 'trace' FROM {_STATUS} b
+    WHERE child_pod <> 'N/A'
+  UNION ALL SELECT uuid, pod, instance, 'metric' FROM {_POD_SHIFT} c WHERE status = 'shifted'
+)"""
+_ATTRIBUTION = f"""(
+WITH ev AS (SELECT *, regexp_replace(pod, '-[0-9]+$', '') AS service FROM {_EVIDENCE} e0 WHERE pod IS NOT NULL),
+shifted AS (SELECT DISTINCT uuid, node FROM {_NODE_SHIFT} ns WHERE status = 'shifted'),
+node_c AS (SELECT uuid, 'node' AS level, node AS component, count(DISTINCT service) AS score FROM ev
+           WHERE node IS NOT NULL GROUP BY uuid, node HAVING count(DISTINCT service) >= 2),
+per_pod AS (SELECT uuid, service, pod, count(*) AS n_evidence FROM ev GROUP BY uuid, service, pod),
+per_svc AS (SELECT uuid, service, count(*) AS n_pods, max(pod) AS pod, max(n_evidence) AS n_evidence
+            FROM per_pod GROUP BY uuid, service),
+cand AS (SELECT * FROM node_c n WHERE EXISTS (SELECT 1 FROM shifted s WHERE s.uuid = n.uuid AND s.node = n.component)
+         UNION ALL SELECT uuid, 'service', service, n_pods FROM per_svc WHERE n_pods >= 2
+         UNION ALL SELECT uuid, 'pod', pod, n_evidence FROM per_svc WHERE n_pods = 1),
+comp AS (SELECT DISTINCT 'node' AS level, node AS component FROM metric_points WHERE node IS NOT NULL
+         UNION SELECT DISTINCT 'service', regexp_replace(pod, '-[0-9]+$', '') FROM metric_points WHERE pod IS NOT NULL
+         UNION SELECT DISTINCT 'pod', pod FROM metric_points WHERE pod IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY CASE level WHEN 'node' THEN 1 WHEN 'service' THEN 2
+             ELSE 3 END, score DESC, component) AS rn
+      FROM cand c WHERE EXISTS (SELECT 1 FROM comp WHERE comp.level = c.level AND comp.component = c.component))
+SELECT uuid, level, component, CAST(score AS BIGINT) AS score FROM r WHERE rn = 1
+)"""
+FAULT_LEVEL_ATTRIBUTION = _q(f"SELECT * FROM {_ATTRIBUTION} t")
+
+RESULT_JSON_PARSE = _q(f""",
+st AS (SELECT uuid, source, count(DISTINCT pod) AS n_pods FROM {_EVIDENCE} e GROUP BY uuid, source),
+steps AS (SELECT uuid, CAST(count(*) AS INTEGER) AS n_steps,
+   string_agg(CAST(rn AS VARCHAR) || ':' || upper(left(source, 1)) || lower(substr(source, 2)) || 'Check(all)' || ':'
+              || CAST(n_pods AS VARCHAR) || ' pods affected in ' || source || ' evidence', '|' ORDER BY source) AS steps_text
+   FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY source) AS rn FROM st) x GROUP BY uuid)
+SELECT a.component, a.uuid,
+  a.level || ' level fault at ' || a.component || ' with score ' || CAST(a.score AS VARCHAR) AS reason,
+  coalesce(s.n_steps, 0) AS n_steps, coalesce(s.steps_text, '') AS steps_text
+FROM {_ATTRIBUTION} a LEFT JOIN steps s USING (uuid)
+""")
+
 ORACLE = {
     "log_error_rollup": LOG_ERROR_ROLLUP,
+    "log_time_error_filter": LOG_TIME_ERROR_FILTER,
+    "log_template_mine": LOG_TEMPLATE_MINE,
+    "log_template_match": LOG_TEMPLATE_MATCH,
+    "log_mask_rules": LOG_MASK_RULES,
     "incident_normal_periods": INCIDENT_NORMAL_PERIODS,
     "metric_unpivot": METRIC_UNPIVOT,
     "metric_trimmed_stats": METRIC_TRIMMED_STATS,
@@ -151,4 +276,7 @@ ORACLE = {
     "trace_dimension_lists": TRACE_DIMENSION_LISTS,
     "trace_frame_profile": TRACE_FRAME_PROFILE,
     "call_graph_edges": CALL_GRAPH_EDGES,
+    "evidence_bundle": EVIDENCE_BUNDLE,
+    "fault_level_attribution": FAULT_LEVEL_ATTRIBUTION,
+    "result_json_parse": RESULT_JSON_PARSE,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.numeric import round_half_up
 
 from faultlens.functions.time import NS_PER_HOUR
+from faultlens.operators import evidence as E
 from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
 from faultlens.operators import traces as T
@@ -27,6 +28,35 @@ def log_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.log_error_rollup(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
 
 
+def log_time_error_filter(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return L.error_logs(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
+
+
+def _doc_lines(spark, sf_dir):
+    """Every line of every document (whole texts) as a log message."""
+    d = FX.load(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "message"))
+
+
+def log_template_mine(spark, sf_dir):
+    return L.mine_templates(_doc_lines(spark, sf_dir))
+
+
+def log_template_match(spark, sf_dir):
+    lines = _doc_lines(spark, sf_dir)
+    tpl = L.mine_templates(lines)
+    return L.match_templates(lines, tpl).select("doc_id", "line_no", "template")
+
+
+def log_mask_rules(spark, sf_dir):
+    d = FX.load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
+    m = L.mask_messages(d)
+    return m.select("doc_id", F.md5(F.col("message")).alias("masked_md5"),
+                    ((F.length("message") - F.length(F.replace(F.col("message"), F.lit("<:"), F.lit(""))))
+                     / 2).cast("long").alias("n_masks"))
+
+
 # ------------------------------------------------------------------- metrics
 def _periods(ev: DataFrame) -> DataFrame:
     return M.incident_periods(FX.incidents_from_events(ev), FX.FIXTURE_GAP_NS)
@@ -185,8 +215,50 @@ def call_graph_edges(spark, sf_dir):
     return T.call_graph(_enriched(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ evidence
+def _metric_parts(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    pts = FX.metric_points_from_events(ev)
+    per = _periods(ev)
+    node = M.node_shift(pts.select("node", "metric", "timestamp_ns", "value"), per, FX.NODE_WHITELIST)
+    pod = M.pod_shift(pts.select("node", "pod", "metric", "timestamp_ns", "value"), per, FX.POD_WHITELIST)
+    svc = M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
+                              pts.select("pod", "metric", "timestamp_ns", "value"), per)
+    return pts, node, pod, svc
+
+
+def evidence_bundle(spark, sf_dir):
+    _, node, pod, svc = _metric_parts(spark, sf_dir)
+    return E.evidence_bundle(log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir),
+                             span_status_combos(spark, sf_dir), E.metric_shift_rows(node, pod, svc))
+
+
+def _attribution(spark, sf_dir):
+    pts, node, pod, _ = _metric_parts(spark, sf_dir)
+    evidence = E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), pod)
+    return E.fault_level(evidence, node, E.components_from(pts)), evidence
+
+
+def fault_level_attribution(spark, sf_dir):
+    return _attribution(spark, sf_dir)[0]
+
+
+def result_json_parse(spark, sf_dir):
+    attr, evidence = _attribution(spark, sf_dir)
+    parsed = E.parse_results(E.result_records(attr, evidence))
+    steps = F.col("reasoning_trace")
+    return parsed.select(
+        "component", "uuid", "reason", F.size(steps).alias("n_steps"),
+        F.array_join(F.transform(steps, lambda x: F.concat_ws(":", x["step"].cast("string"), x["action"],
+                                                              x["observation"])), "|").alias("steps_text"))
+
+
 QUERIES = {
     "log_error_rollup": log_error_rollup,
+    "log_time_error_filter": log_time_error_filter,
+    "log_template_mine": log_template_mine,
+    "log_template_match": log_template_match,
+    "log_mask_rules": log_mask_rules,
     "incident_normal_periods": incident_normal_periods,
     "metric_unpivot": metric_unpivot,
     "metric_trimmed_stats": metric_trimmed_stats,
@@ -208,4 +280,7 @@ QUERIES = {
     "trace_anomaly_topk": trace_anomaly_topk,
     "trace_frame_profile": trace_frame_profile,
     "call_graph_edges": call_graph_edges,
+    "evidence_bundle": evidence_bundle,
+    "fault_level_attribution": fault_level_attribution,
+    "result_json_parse": result_json_parse,
 }

@@ -165,7 +165,7 @@ def logs_from_events(events: DataFrame) -> DataFrame:
 
 LOGS_SQL = f"""
 SELECT timestamp_ns,
-       strftime(make_timestamp(timestamp_ns // 1000 + 8 * 3600 * 1000000), '%Y-%m-%d %H:%M:%S') AS time_beijing,
+       strftime(make_timestamp(timestamp_ns // 1000 + CAST(8 * 3600 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS time_beijing,
        pod AS k8_pod, node AS k8_node_name,
        concat_ws(' ', event_type, 'user=' || CAST(user_id AS VARCHAR), 'k=' || props,
                  CASE WHEN event_type = 'error' THEN {_sql_list(ERROR_TEXTS)}[(event_id % 7) % 4 + 1]
