@@ -13,6 +13,7 @@ AQE skew handling splits a hot bucket.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +58,12 @@ def interval_join(records: DataFrame, intervals: DataFrame, *, ts: str = "timest
     if keep_bounds:
         return out.withColumnRenamed("_lo", lo).withColumnRenamed("_hi", hi)
     return out.drop("_lo", "_hi")
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several branches of one plan consume.
+
+    Memory-and-disk persistence: computed once on first use, recomputed
+    from lineage if an executor holding blocks is lost.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.text import (TEMPLATE_WILDCARD, apply_masks, error_predicate,
                                       service_from_pod, template_bucket_key, template_tokens)
 from faultlens.functions.time import NS_PER_HOUR
-from faultlens.operators.interval import interval_join
+from faultlens.operators.interval import interval_join, reuse
 
 # Columns the log path keeps, in order.
 LOG_COLUMNS = ("time_beijing", "k8_pod", "message", "k8_node_name")
@@ -111,7 +111,8 @@ def log_error_rollup(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int =
     per = (w.groupBy("uuid", "k8_pod", "k8_node_name", "tokens")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.min(F.struct("timestamp_ns", "message")).alias("first")))
-    per = per.withColumn("bucket_key", template_bucket_key(F.col("tokens")))
+    # consumed by the template branch and the roll-up branch: keep it once
+    per = reuse(per.withColumn("bucket_key", template_bucket_key(F.col("tokens"))))
     tpl = templates_from_tokens(per, scope=["uuid"])
     m = per.join(tpl, ["uuid", "bucket_key"])
     # A1: null pod / node / template rows drop out of the group-by

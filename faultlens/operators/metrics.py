@@ -122,29 +122,48 @@ def whitelist(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A10 / A11
+def node_shift_samples(samples: DataFrame, nodes: Sequence[str] | None = None) -> DataFrame:
+    """A10 on period-tagged samples: per (uuid, node, metric) normal vs fault, gated."""
+    p = samples.where(F.col("node").isNotNull())
+    if nodes is not None:
+        p = whitelist(p, "node", nodes)
+    return compare_periods(p.select("uuid", "period", "node", "metric", "value"), ["node", "metric"])
+
+
+def pod_shift_samples(samples: DataFrame, pods: Sequence[str] | None = None) -> DataFrame:
+    """A11 on period-tagged samples: per (uuid, instance, pod, metric), null keys dropped, gated."""
+    p = samples.where(F.col("node").isNotNull() & F.col("pod").isNotNull())
+    if pods is not None:
+        p = whitelist(p, "pod", pods)
+    p = p.select("uuid", "period", F.col("node").alias("instance"), "pod", "metric", "value")
+    return compare_periods(p, ["instance", "pod", "metric"])
+
+
+def db_stats_samples(samples: DataFrame) -> DataFrame:
+    """A12 on period-tagged samples: per (uuid, service, metric), no gate."""
+    p = samples.where(F.col("service").isNotNull()).select("uuid", "period", "service", "metric", "value")
+    return compare_periods(p, ["service", "metric"], gate=False)
+
+
 def node_shift(points: DataFrame, periods: DataFrame, nodes: Sequence[str] | None = None,
                *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
-    """A10: per (uuid, node, metric) normal vs fault, gated."""
-    p = points.where(F.col("node").isNotNull())
+    """A10 (filters the whitelist before the interval join)."""
     if nodes is not None:
-        p = whitelist(p, "node", nodes)
-    return compare_periods(period_samples(p, periods, bucket_ns=bucket_ns), ["node", "metric"])
+        points = whitelist(points.where(F.col("node").isNotNull()), "node", nodes)
+    return node_shift_samples(period_samples(points, periods, bucket_ns=bucket_ns))
 
 
 def pod_shift(points: DataFrame, periods: DataFrame, pods: Sequence[str] | None = None,
               *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
-    """Per (uuid, instance, pod, metric), null keys dropped, gated."""
-    p = points.where(F.col("node").isNotNull() & F.col("pod").isNotNull())
+    """A11 (filters the whitelist before the interval join)."""
     if pods is not None:
-        p = whitelist(p, "pod", pods)
-    p = p.withColumnRenamed("node", "instance")
-    return compare_periods(period_samples(p, periods, bucket_ns=bucket_ns), ["instance", "pod", "metric"])
+        points = whitelist(points.where(F.col("pod").isNotNull()), "pod", pods)
+    return pod_shift_samples(period_samples(points, periods, bucket_ns=bucket_ns))
 
 
 def db_stats(points: DataFrame, periods: DataFrame, *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
-    """Per (uuid, service, metric) normal and fault stats, no gate."""
-    p = points.where(F.col("service").isNotNull())
-    return compare_periods(period_samples(p, periods, bucket_ns=bucket_ns), ["service", "metric"], gate=False)
+    """A12"""
+    return db_stats_samples(period_samples(points, periods, bucket_ns=bucket_ns))
 
 
 # ----------------------------------------------------------------------- A13
@@ -160,25 +179,32 @@ def pods_of_services(services: DataFrame, pods: DataFrame) -> DataFrame:
     return services.join(pre, ["uuid", "service"])
 
 
-def service_drilldown(service_points: DataFrame, pod_points: DataFrame, periods: DataFrame,
-                      *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
-    """A13 + R1: service stats -> abnormal (uuid, service, metric) by the F8
-    gate -> the same comparison for the pods of those services on those
-    metrics only.
+def service_drilldown_samples(service_samples: DataFrame, pod_samples: DataFrame) -> DataFrame:
+    """A13 + R1 on period-tagged samples: service stats -> abnormal
+    (uuid, service, metric) by the F8 gate -> the same comparison for the
+    pods of those services on those metrics only.
 
-    service_points: (service, metric, timestamp_ns, value)
-    pod_points:     (pod, metric, timestamp_ns, value)
+    service_samples: (uuid, period, service, metric, value)
+    pod_samples:     (uuid, period, pod, metric, value)
     Output: uuid, service, pod, metric, normal_*, fault_*, mean_ratio, status.
     """
-    svc = compare_periods(period_samples(service_points, periods, bucket_ns=bucket_ns), ["service", "metric"])
+    svc = compare_periods(service_samples.select("uuid", "period", "service", "metric", "value"),
+                          ["service", "metric"])
     abnormal = svc.select("uuid", "service", "metric")
-    ps = period_samples(pod_points, periods, bucket_ns=bucket_ns)
+    ps = pod_samples.select("uuid", "period", "pod", "metric", "value")
     pods = ps.select("uuid", "pod").distinct()
     allowed = pods_of_services(abnormal, pods).select("uuid", "service", "pod", "metric")
     ps = ps.join(allowed, ["uuid", "pod", "metric"])
     return compare_periods(ps, ["service", "pod", "metric"], gate=False)
 
 
+def service_drilldown(service_points: DataFrame, pod_points: DataFrame, periods: DataFrame,
+                      *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
+    """A13 from raw points: (service|pod, metric, timestamp_ns, value)."""
+    return service_drilldown_samples(period_samples(service_points, periods, bucket_ns=bucket_ns),
+                                     period_samples(pod_points, periods, bucket_ns=bucket_ns))
+
+
 # ---------------------------------------------------------------- S11 / F4
 def unpivot_metrics(wide: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """S11 + F4: wide frame -> (ids..., metric, value); null / NaN values dropped."""

@@ -183,42 +183,74 @@ def _c(n):
     return out
 
 
-def _fit_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """One isolation tree on 1-D data: list of thresholds and leaves.
+def _forest_leaves(x: np.ndarray, rng: np.random.Generator, n_trees: int, psi: int, max_depth: int):
+    """Grow ``n_trees`` 1-D isolation trees level by level.
 
-    Returned as (thresholds, leaf_intervals) where each leaf is
-    (lo_exclusive, hi_inclusive, path_length).
+    In one dimension every node holds a contiguous run of its tree's sorted
+    subsample, so a whole level of all trees splits with one vectorised
+    ``searchsorted``. Returns (cuts, leaves) with leaves as arrays
+    (tree, lo_exclusive, hi_inclusive, path_length).
     """
-    leaves, cuts = [], []
-    stack = [(x, 0, -np.inf, np.inf)]
-    while stack:
-        pts, depth, lo, hi = stack.pop()
-        m = len(pts)
-        if depth >= max_depth or m <= 1 or pts.min() == pts.max():
-            leaves.append((lo, hi, depth + float(_c([m])[0])))
-            continue
-        t = rng.uniform(pts.min(), pts.max())
+    n = len(x)
+    if psi < n:
+        idx = np.argsort(rng.random((n_trees, n)), axis=1)[:, :psi]
+        v = np.sort(x[idx], axis=1)
+    else:
+        v = np.tile(np.sort(x), (n_trees, 1))
+    base, span = v.min(), float(v.max() - v.min())
+    stride = span + 1.0
+    flat = (v - base + np.arange(n_trees)[:, None] * stride).ravel()
+    tree = np.arange(n_trees)
+    a = np.zeros(n_trees, dtype=np.int64)
+    b = np.full(n_trees, psi, dtype=np.int64)
+    lo = np.full(n_trees, -np.inf)
+    hi = np.full(n_trees, np.inf)
+    cuts, leaves = [], []
+    for depth in range(max_depth + 1):
+        if len(tree) == 0:
+            break
+        m = b - a
+        vmin = v[tree, a]
+        vmax = v[tree, b - 1]
+        leaf = (depth >= max_depth) | (m <= 1) | (vmin == vmax)
+        if leaf.any():
+            leaves.append((tree[leaf], lo[leaf], hi[leaf], depth + _c(m[leaf])))
+        keep = ~leaf
+        tree, a, b, lo, hi, vmin, vmax = (arr[keep] for arr in (tree, a, b, lo, hi, vmin, vmax))
+        t = vmin + rng.random(len(tree)) * (vmax - vmin)
         cuts.append(t)
-        stack.append((pts[pts <= t], depth + 1, lo, t))
-        stack.append((pts[pts > t], depth + 1, t, hi))
-    return cuts, leaves
-
-
-def _path_lengths(leaves, xs: np.ndarray) -> np.ndarray:
-    out = np.empty(len(xs))
-    for lo, hi, h in leaves:
-        sel = (xs > lo) & (xs <= hi)
-        out[sel] = h
-    return out
+        k = np.searchsorted(flat, t - base + tree * stride, side="right") - tree * psi
+        tree = np.concatenate([tree, tree])
+        a, b = np.concatenate([a, k]), np.concatenate([k, b])
+        lo, hi = np.concatenate([lo, t]), np.concatenate([t, hi])
+    cat = lambda i: np.concatenate([l[i] for l in leaves])
+    return (np.concatenate(cuts) if cuts else np.array([])), (cat(0), cat(1), cat(2), cat(3))
+
+
+def _mean_path_length(leaves, n_trees: int, xs: np.ndarray) -> np.ndarray:
+    tree, _, hi, h = leaves
+    order = np.lexsort((hi, tree))
+    tree, hi, h = tree[order], hi[order], h[order]
+    starts = np.searchsorted(tree, np.arange(n_trees), side="left")
+    ends = np.searchsorted(tree, np.arange(n_trees), side="right")
+    total = np.zeros(len(xs))
+    for i in range(n_trees):
+        his = hi[starts[i]:ends[i]]
+        # leaves of a tree tile the line as (lo, hi]: x sits in the first leaf with hi >= x
+        total += h[starts[i]:ends[i]][np.searchsorted(his, xs, side="left")]
+    return total / n_trees
 
 
 def isolation_intervals(values: np.ndarray, seed: int, n_trees: int = N_TREES,
                         contamination: float = CONTAMINATION, max_subsample: int = MAX_SUBSAMPLE):
     """Fit a 1-D isolation forest and return its anomalous value intervals.
 
-    The forest's score is piecewise constant between split thresholds, so the
-    model is fully described by the merged intervals (lo, hi] where the score
-    is below the training-score percentile set by ``contamination``.
+    Same model as the reference detector (subsample min(256, n) without
+    replacement, random uniform splits, depth limit ceil(log2 psi), path
+    length + c(leaf size), threshold at the ``contamination`` percentile of
+    the training scores). The score is piecewise constant between split
+    thresholds, so the model is fully described by the merged intervals
+    (lo, hi] where the score is below that threshold.
     """
     x = np.asarray(values, dtype=float)
     x = x[~np.isnan(x)]
@@ -227,25 +259,19 @@ def isolation_intervals(values: np.ndarray, seed: int, n_trees: int = N_TREES,
     rng = np.random.default_rng(seed)
     psi = min(max_subsample, len(x))
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
-    trees, cuts = [], []
-    for _ in range(n_trees):
-        sub = x[rng.choice(len(x), size=psi, replace=False)] if psi < len(x) else x.copy()
-        c, leaves = _fit_tree(sub, rng, max_depth)
-        cuts.extend(c)
-        trees.append(leaves)
+    cuts, leaves = _forest_leaves(x, rng, n_trees, psi, max_depth)
     norm = float(_c([psi])[0]) or 1.0
 
-    def score(xs):  # sklearn's score_samples: higher is more normal
-        h = np.mean([_path_lengths(t, xs) for t in trees], axis=0)
-        return -(2.0 ** (-h / norm))
+    def score(xs):  # higher is more normal, as score_samples
+        return -(2.0 ** (-_mean_path_length(leaves, n_trees, xs) / norm))
 
     offset = np.percentile(score(x), 100.0 * contamination)
-    edges = np.unique(np.asarray(cuts, dtype=float))
+    edges = np.unique(cuts)
     # representative point of each piece: (-inf, e0], (e0, e1], ..., (ek, inf)
     reps = np.concatenate([edges, [edges[-1] + 1.0]]) if len(edges) else np.array([x[0]])
     bad = score(reps) < offset
-    lows = np.concatenate([[-np.inf], edges]) if len(edges) else np.array([-np.inf])
-    highs = np.concatenate([edges, [np.inf]]) if len(edges) else np.array([np.inf])
+    lows = np.concatenate([[-np.inf], edges])
+    highs = np.concatenate([edges, [np.inf]])
     out, cur = [], None
     for lo, hi, b in zip(lows, highs, bad):
         if b:

@@ -15,6 +15,7 @@ from faultlens.operators import evidence as E
 from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
 from faultlens.operators import traces as T
+from faultlens.operators.interval import reuse
 from faultlens.operators.stats import trimmed_describe
 from faultlens.sources import fixtures as FX
 
@@ -111,15 +112,8 @@ def metric_service_drilldown(spark, sf_dir):
 
 
 def metric_evidence_json(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    pts = FX.metric_points_from_events(ev)
-    per = _periods(ev)
-    svc = M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
-                              pts.select("pod", "metric", "timestamp_ns", "value"), per)
-    db = M.db_stats(pts.select("service", "metric", "timestamp_ns", "value"), per)
-    node = M.node_shift(pts.select("node", "metric", "timestamp_ns", "value"), per, FX.NODE_WHITELIST)
-    pod = M.pod_shift(pts.select("node", "pod", "metric", "timestamp_ns", "value"), per, FX.POD_WHITELIST)
-    return M.evidence_json(svc, db, node, pod)
+    _, samples, node, pod, svc = _metric_parts(spark, sf_dir)
+    return M.evidence_json(svc, M.db_stats_samples(samples), node, pod)
 
 
 # -------------------------------------------------------------------- traces
@@ -136,11 +130,12 @@ def _enriched(spark, sf_dir):
 def _train(spark, sf_dir):
     spans, inc = _spans_ctx(spark, sf_dir)
     sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
-    return T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS)
+    return reuse(T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS))
 
 
-def _detect_windows(spark, sf_dir):
-    return T.anchored_windows(_enriched(spark, sf_dir), window_ns=FX.FIXTURE_WINDOW_NS)
+def _detect_windows(spark, sf_dir, enriched=None):
+    e = enriched if enriched is not None else _enriched(spark, sf_dir)
+    return T.anchored_windows(e, window_ns=FX.FIXTURE_WINDOW_NS)
 
 
 def span_enrich(spark, sf_dir):
@@ -179,9 +174,9 @@ def trace_edge_baseline(spark, sf_dir):
     return _rounded(T.edge_baseline(_train(spark, sf_dir)), {"mean", "std", "median", "min", "max", "p99"})
 
 
-def _flagged_topk(spark, sf_dir):
-    base = T.edge_baseline(_train(spark, sf_dir))
-    events = T.flag_by_baseline(_detect_windows(spark, sf_dir), base)
+def _flagged_topk(spark, sf_dir, enriched=None):
+    base = reuse(T.edge_baseline(_train(spark, sf_dir)))
+    events = T.flag_by_baseline(_detect_windows(spark, sf_dir, enriched), base)
     return T.anomaly_topk(events, base)
 
 
@@ -203,8 +198,10 @@ def trace_iforest_events(spark, sf_dir):
 
 
 def trace_anomaly_topk(spark, sf_dir):
-    base = T.edge_baseline(_train(spark, sf_dir))
-    return T.anomaly_topk(_iforest_events(spark, sf_dir), base)
+    train = _train(spark, sf_dir)
+    model = T.fit_detectors(train)
+    events = T.score_windows(_detect_windows(spark, sf_dir), model)
+    return T.anomaly_topk(events, T.edge_baseline(train))
 
 
 def trace_frame_profile(spark, sf_dir):
@@ -219,23 +216,23 @@ def call_graph_edges(spark, sf_dir):
 def _metric_parts(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev)
-    per = _periods(ev)
-    node = M.node_shift(pts.select("node", "metric", "timestamp_ns", "value"), per, FX.NODE_WHITELIST)
-    pod = M.pod_shift(pts.select("node", "pod", "metric", "timestamp_ns", "value"), per, FX.POD_WHITELIST)
-    svc = M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
-                              pts.select("pod", "metric", "timestamp_ns", "value"), per)
-    return pts, node, pod, svc
+    samples = reuse(M.period_samples(pts, _periods(ev)))
+    node = M.node_shift_samples(samples, FX.NODE_WHITELIST)
+    pod = M.pod_shift_samples(samples, FX.POD_WHITELIST)
+    svc = M.service_drilldown_samples(samples, samples)
+    return pts, samples, node, pod, svc
 
 
 def evidence_bundle(spark, sf_dir):
-    _, node, pod, svc = _metric_parts(spark, sf_dir)
-    return E.evidence_bundle(log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir),
-                             span_status_combos(spark, sf_dir), E.metric_shift_rows(node, pod, svc))
+    _, _, node, pod, svc = _metric_parts(spark, sf_dir)
+    enriched = reuse(_enriched(spark, sf_dir))
+    return E.evidence_bundle(log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir, enriched),
+                             T.status_combinations(enriched), E.metric_shift_rows(node, pod, svc))
 
 
 def _attribution(spark, sf_dir):
-    pts, node, pod, _ = _metric_parts(spark, sf_dir)
-    evidence = E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), pod)
+    pts, _, node, pod, _ = _metric_parts(spark, sf_dir)
+    evidence = reuse(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), pod))
     return E.fault_level(evidence, node, E.components_from(pts)), evidence
 
 

@@ -178,8 +178,8 @@ FROM ({DIMS2_SQL}) d
 def spans_from_events(events: DataFrame) -> DataFrame:
     """Nested spans (schema SPANS) derived from events.
 
-    spanID = event_id; parent = event_id - 1 (none when event_id % 8 = 0, two
-    references - hence no parent - when event_id % 8 = 4); duration = value;
+    spanID = event_id; duration = value as integer microseconds; parent = event_id - 1 (none when event_id % 8 = 0, two
+    references - hence no parent - when event_id % 8 = 4);
     status.code 13 for errors else 0 (a trailing duplicate code '2' when
     event_id % 17 = 0); status.message = props (missing when event_id % 13 = 0).
     """
@@ -207,7 +207,7 @@ def spans_from_events(events: DataFrame) -> DataFrame:
         "timestamp_ns",
         eid.cast("string").alias("spanID"),
         op.alias("operationName"),
-        F.col("value").cast("double").alias("duration"),
+        F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("duration"),
         process.alias("process"),
         references.alias("references"),
         tags.alias("tags"),
@@ -219,7 +219,7 @@ SELECT timestamp_ns, CAST(event_id AS VARCHAR) AS spanID,
        CASE WHEN event_id % 8 = 0 OR event_id % 8 = 4 THEN NULL ELSE CAST(event_id - 1 AS VARCHAR) END AS parent_spanID,
        pod AS child_pod, service AS service_name, node AS node_name,
        CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'write' END AS operationName,
-       CAST(value AS DOUBLE) AS duration,
+       CAST(floor(value * 1000 + 0.5) AS BIGINT) AS duration,
        CASE WHEN event_id % 17 = 0 THEN '2' WHEN event_type = 'error' THEN '{ERROR_STATUS_CODE}' ELSE '0' END AS status_code,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE props END AS status_message,
        event_id % 13 <> 0 AS has_status_message

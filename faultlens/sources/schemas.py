@@ -23,7 +23,7 @@ SPANS = T.StructType([
     T.StructField("timestamp_ns", T.LongType()),
     T.StructField("spanID", T.StringType()),
     T.StructField("operationName", T.StringType()),
-    T.StructField("duration", T.DoubleType()),
+    T.StructField("duration", T.LongType()),
     T.StructField("process", PROCESS),
     T.StructField("references", T.ArrayType(REFERENCE)),
     T.StructField("tags", T.ArrayType(TAG)),
