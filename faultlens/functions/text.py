@@ -49,9 +49,9 @@ def template_bucket_key(tokens: Column, depth: int = TEMPLATE_PREFIX_DEPTH) -> C
     digit-bearing tokens replaced by the wildcard."""
     n = F.size(tokens)
     k = F.greatest(F.lit(0), F.least(F.lit(depth), n - 1))
-    prefix = F.transform(F.slice(tokens, 1, k),
-                         lambda t: F.when(t.rlike("[0-9]"), F.lit(TEMPLATE_WILDCARD)).otherwise(t))
-    return F.concat(n.cast("string"), F.lit(" "), F.array_join(prefix, " "))
+    # tokens never hold spaces, so a run of non-spaces with a digit is exactly one token
+    prefix = F.regexp_replace(F.array_join(F.slice(tokens, 1, k), " "), "[^ ]*[0-9][^ ]*", TEMPLATE_WILDCARD)
+    return F.concat(n.cast("string"), F.lit(" "), prefix)
 
 
 def apply_masks(text: Column, rules) -> Column:

@@ -56,21 +56,25 @@ def error_logs(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER
 def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """``(scope..., bucket_key, tokens)`` rows -> ``(scope..., bucket_key, template)``.
 
-    Works on distinct token arrays; positions are aggregated with min/max
-    (map-side combined), so a hot cluster never sits in one task.
+    Works on distinct token lists. A bucket holding one distinct list is its
+    own template; only buckets with several lists are exploded to positions
+    and merged with min/max per position (map-side combined, so a hot
+    cluster never sits in one task).
     """
     scope = list(scope)
-    d = tokens_df.select(*scope, "bucket_key", "tokens").distinct()
-    p = d.select(*scope, "bucket_key", F.posexplode("tokens").alias("pos", "tok"))
+    d = reuse(tokens_df.select(*scope, "bucket_key", "tokens").distinct())
+    stats = d.groupBy(*scope, "bucket_key").agg(F.count(F.lit(1)).alias("_k"), F.max("tokens").alias("_t"))
+    single = stats.where(F.col("_k") == 1).select(*scope, "bucket_key", F.array_join("_t", " ").alias("template"))
+    multi = d.join(stats.where(F.col("_k") > 1).select(*scope, "bucket_key"), [*scope, "bucket_key"], "left_semi")
+    p = multi.select(*scope, "bucket_key", F.posexplode("tokens").alias("pos", "tok"))
     a = (p.groupBy(*scope, "bucket_key", "pos")
           .agg(F.min("tok").alias("lo"), F.max("tok").alias("hi")))
     a = a.select(*scope, "bucket_key", F.struct(
         "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(TEMPLATE_WILDCARD)).alias("tok")
     ).alias("pt"))
-    tpl = a.groupBy(*scope, "bucket_key").agg(
+    merged = a.groupBy(*scope, "bucket_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("pt")), lambda x: x["tok"]), " ").alias("template"))
-    empty = d.where(F.size("tokens") == 0).select(*scope, "bucket_key", F.lit("").alias("template")).distinct()
-    return tpl.unionByName(empty)
+    return single.unionByName(merged)
 
 
 def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: str = "message") -> DataFrame:
