@@ -23,12 +23,14 @@ from faultlens.functions.time import NS_PER_HOUR
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, n: int | None = None) -> DataFrame:
     """Broadcast hint behind a size check; past the bound ask for a merge join.
 
-    ``df`` must be a small dimension-like frame (the count runs a job on it).
+    ``df`` must be a small dimension-like frame (the count runs a job on it
+    unless the caller already knows ``n``).
     """
-    n = df.count()
+    if n is None:
+        n = df.count()
     if n <= max_rows:
         return F.broadcast(df)
     return df.hint("merge")
@@ -51,8 +53,16 @@ def interval_join(records: DataFrame, intervals: DataFrame, *, ts: str = "timest
     iv = iv.withColumn("_bk", F.explode(F.sequence(_bucket(F.col(lo), bucket_ns),
                                                     _bucket(F.col(hi), bucket_ns))))
     iv = iv.withColumnRenamed(lo, "_lo").withColumnRenamed(hi, "_hi")
-    iv = bounded_broadcast(iv, max_broadcast_rows)
-    rec = records.where(F.col(ts).isNotNull()).withColumn("_bk", _bucket(F.col(ts), bucket_ns))
+    # one small job on the interval side: its size (broadcast bound) and overall range
+    st = iv.agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+    iv = bounded_broadcast(iv, max_broadcast_rows, n=st["n"])
+    rec = records.where(F.col(ts).isNotNull())
+    if st["n"] == 0:
+        rec = rec.where(F.lit(False))
+    else:
+        # literal range: reaches the Parquet scan (row-group pruning) when ``ts`` is a stored column
+        rec = rec.where(F.col(ts).between(F.lit(st["lo"]), F.lit(st["hi"])))
+    rec = rec.withColumn("_bk", _bucket(F.col(ts), bucket_ns))
     out = rec.join(iv, on="_bk", how="inner").where(F.col(ts).between(F.col("_lo"), F.col("_hi")))
     out = out.drop("_bk")
     if keep_bounds:

@@ -132,3 +132,16 @@ def log_error_rollup(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int =
         F.col("occurrence_count").cast("long").alias("occurrence_count"),
     )
     return out.orderBy("uuid", F.desc("occurrence_count"), "pod_name", "node_name", "message")
+
+
+def reduction_report(logs: DataFrame, incidents: DataFrame, rollup: DataFrame, *,
+                     bucket_ns: int = NS_PER_HOUR) -> DataFrame:
+    """Per incident, rows in the window, error rows, rolled-up rows."""
+    w = interval_join(logs, incidents.select("uuid", "start_timestamp", "end_timestamp"), bucket_ns=bucket_ns)
+    counts = w.groupBy("uuid").agg(
+        F.count(F.lit(1)).alias("n_window_rows"),
+        F.sum(F.when(error_predicate(F.col("message")), 1).otherwise(0)).cast("long").alias("n_error_rows"))
+    r = rollup.groupBy("uuid").agg(F.count(F.lit(1)).alias("n_rollup_rows"))
+    out = counts.join(r, "uuid", "left")
+    return out.select("uuid", "n_window_rows", "n_error_rows",
+                      F.coalesce(F.col("n_rollup_rows"), F.lit(0)).cast("long").alias("n_rollup_rows"))

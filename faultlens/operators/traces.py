@@ -342,6 +342,7 @@ def anomaly_topk(events: DataFrame, baseline: DataFrame, top_n: int = TOP_N) ->
         F.avg("mean_duration").alias("anomaly_avg_duration"),
         F.count(F.lit(1)).alias("anomaly_count"),
         F.min_by("first_service", "window_start").alias("service_name"))
+    g = g.where(F.col("anomaly_avg_duration").isNotNull())  # no valid duration -> skipped
     g = g.join(baseline.select(*EDGE, F.col("mean").alias("normal_avg_duration")), list(EDGE), "left")
     g = g.withColumn("normal_avg_duration", F.coalesce(F.col("normal_avg_duration"), F.lit(0.0)))
     g = top_per_incident(g, "anomaly_count", list(EDGE), top_n)

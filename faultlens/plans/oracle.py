@@ -26,6 +26,14 @@ FROM m GROUP BY uuid, k8_pod, k8_node_name, template
 )"""
 LOG_ERROR_ROLLUP = _q(f"SELECT * FROM {_LOG_ROLLUP} t")
 
+LOG_REDUCTION_REPORT = _q(f""",
+c AS (SELECT i.uuid, CAST(count(*) AS BIGINT) AS n_window_rows,
+             CAST(sum(CASE WHEN {S.error_pred('l.message')} THEN 1 ELSE 0 END) AS BIGINT) AS n_error_rows
+      FROM logs l JOIN incidents i ON l.timestamp_ns BETWEEN i.start_timestamp AND i.end_timestamp GROUP BY i.uuid),
+r AS (SELECT uuid, CAST(count(*) AS BIGINT) AS n_rollup_rows FROM {_LOG_ROLLUP} t GROUP BY uuid)
+SELECT c.uuid, n_window_rows, n_error_rows, CAST(coalesce(n_rollup_rows, 0) AS BIGINT) AS n_rollup_rows
+FROM c LEFT JOIN r USING (uuid)""")
+
 
 LOG_TIME_ERROR_FILTER = _q(f"""
 SELECT i.uuid, l.timestamp_ns, l.time_beijing, l.k8_pod, l.message, l.k8_node_name
@@ -255,6 +263,7 @@ FROM {_ATTRIBUTION} a LEFT JOIN steps s USING (uuid)
 ORACLE = {
     "log_error_rollup": LOG_ERROR_ROLLUP,
     "log_time_error_filter": LOG_TIME_ERROR_FILTER,
+    "log_reduction_report": LOG_REDUCTION_REPORT,
     "log_template_mine": LOG_TEMPLATE_MINE,
     "log_template_match": LOG_TEMPLATE_MATCH,
     "log_mask_rules": LOG_MASK_RULES,

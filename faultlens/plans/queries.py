@@ -29,6 +29,12 @@ def log_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.log_error_rollup(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
 
 
+def log_reduction_report(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    logs, inc = FX.logs_from_events(ev), FX.incidents_from_events(ev)
+    return L.reduction_report(logs, inc, L.log_error_rollup(logs, inc))
+
+
 def log_time_error_filter(spark, sf_dir):
     ev = _events(spark, sf_dir)
     return L.error_logs(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
@@ -253,6 +259,7 @@ def result_json_parse(spark, sf_dir):
 QUERIES = {
     "log_error_rollup": log_error_rollup,
     "log_time_error_filter": log_time_error_filter,
+    "log_reduction_report": log_reduction_report,
     "log_template_mine": log_template_mine,
     "log_template_match": log_template_match,
     "log_mask_rules": log_mask_rules,
