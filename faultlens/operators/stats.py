@@ -5,12 +5,21 @@ minimum and one maximum are removed; then count, mean, std (ddof 1), min,
 linear-interpolated p25/p50/p75/p95/p99, max. ``non_zero_ratio`` is the share
 of values > 0 over the *untrimmed* values, rounded to 3 places.
 
-Plan: value frequencies first (``groupBy(keys, value).count`` — map-side
-combined, so repeated values and hot groups shrink before the shuffle), then
-one window pass over the frequency table partitioned by the group keys
-(one shuffle, one sort, spillable) gives totals, the trim and running ranks,
-and a final aggregation on the same partitioning picks the order statistics.
-No per-group collection into memory.
+Plan (exact, no per-group collection, hot groups split):
+
+1. value frequencies ``(keys, v) -> f`` (map-side combined: repeated values
+   shrink before the shuffle);
+2. groups with more than ``HOT_DISTINCT`` distinct values get split points
+   from a mergeable quantile sketch; every other group is one sub-range.
+   The split points only balance work, the result stays exact;
+3. running counts per (group, sub-range) with a window ordered by value —
+   a task holds at most one sub-range;
+4. per (group, sub-range) totals -> small window per group -> offsets and
+   the group's n / min / max / sum;
+5. trimming = rank shift by one (the removed minimum is the first value, the
+   removed maximum the last), order statistics by rank lookup, std by a
+   second pass around the trimmed mean, all in one final (partial)
+   aggregation.
 """
 
 from __future__ import annotations
@@ -21,46 +30,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import round_half_up
+from faultlens.operators.interval import bounded_broadcast, reuse
 
 # Percentiles reported and their column names.
 PERCENTILES = ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "p95", "p99", "max", "non_zero_ratio")
 DECIMALS = 6
+HOT_DISTINCT = 100_000     # distinct values above which a group is split by value range
+HOT_SPLITS = 64            # sub-ranges of a hot group
+MAX_BROADCAST_HOT = 200_000  # hot groups whose split points we broadcast (~0.5 KB each)
 
 
 def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
-                     decimals: int | None = DECIMALS) -> DataFrame:
+                     decimals: int | None = DECIMALS, hot_distinct: int = HOT_DISTINCT,
+                     hot_splits: int = HOT_SPLITS) -> DataFrame:
     keys = list(keys)
     v = F.col(value)
     base = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
-    f = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
+    f = reuse(base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f")))
+
+    # 2. split points for hot groups only (one small job counts them)
+    hot = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > hot_distinct).select(*keys)
+    n_hot = hot.count()
+    if n_hot == 0:
+        f = f.withColumn("_s", F.lit(0))
+    else:
+        fractions = [i / hot_splits for i in range(1, hot_splits)]
+        splits = (f.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT else hot, keys, "left_semi")
+                   .groupBy(*keys).agg(F.percentile_approx("_v", fractions, 10_000).alias("_sp")))
+        splits = bounded_broadcast(splits, MAX_BROADCAST_HOT, n=n_hot)
+        f = f.join(splits, keys, "left").withColumn(
+            "_s", F.coalesce(F.size(F.filter("_sp", lambda x: x < F.col("_v"))), F.lit(0))).drop("_sp")
+
+    # 3. running counts inside each (group, sub-range)
+    sub = [*keys, "_s"]
+    running = Window.partitionBy(*sub).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("_lc", F.sum("_f").over(running))
 
-    whole = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # 4. sub-range totals -> offsets and group totals (a few rows per group)
+    tot = f.groupBy(*sub).agg(F.sum("_f").alias("_sn"), F.min("_v").alias("_smin"), F.max("_v").alias("_smax"),
+                              F.sum(F.col("_f") * F.col("_v")).alias("_ssum"),
+                              F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).alias("_spos"))
+    grp = Window.partitionBy(*keys)
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*sub,
+                     F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_sn").over(grp).alias("_n"), F.min("_smin").over(grp).alias("_lo"),
+                     F.max("_smax").over(grp).alias("_hi"), F.sum("_ssum").over(grp).alias("_sum"),
+                     F.sum("_spos").over(grp).alias("_pos"))
+    f = f.join(tot, sub)
 
-    f = f.select("*",
-                 F.sum("_f").over(whole).alias("_n"),
-                 F.min("_v").over(whole).alias("_lo"),
-                 F.max("_v").over(whole).alias("_hi"),
-                 F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(F.lit(0))).over(whole).alias("_pos"))
+    # 5. trimmed count / mean, ranks shifted past the removed minimum
     trim = F.col("_n") > 2
-    f = f.withColumn("_t", F.col("_f")
-                     - F.when(trim & (F.col("_v") == F.col("_lo")), 1).otherwise(0)
-                     - F.when(trim & (F.col("_v") == F.col("_hi")), 1).otherwise(0))
-    f = f.withColumn("_m", F.col("_n") - F.when(trim, 2).otherwise(0))
-    f = f.select("*",
-                 F.sum("_t").over(running).alias("_cum"),
-                 (F.sum(F.col("_t") * F.col("_v")).over(whole) / F.col("_m")).alias("_mean"))
+    m = F.col("_n") - F.when(trim, 2).otherwise(0)
+    mean = (F.col("_sum") - F.when(trim, F.col("_lo") + F.col("_hi")).otherwise(0.0)) / m
+    f = f.select("*", (F.col("_off") + F.col("_lc")).alias("_cum"), m.alias("_m"), mean.alias("_mean"),
+                 F.when(trim, 1).otherwise(0).alias("_shift"))
 
     def at_rank(r):
-        # value whose 0-based rank range [cum - t, cum - 1] holds r
-        return F.min(F.when((F.col("_cum") - F.col("_t") <= r) & (r < F.col("_cum")), F.col("_v")))
+        # value whose 0-based untrimmed rank range [cum - f, cum - 1] holds r (+ shift)
+        rr = r + F.col("_shift")
+        return F.min(F.when((F.col("_cum") - F.col("_f") <= rr) & (rr < F.col("_cum")), F.col("_v")))
 
+    dev = (F.col("_v") - F.col("_mean")) ** 2
     aggs = [F.max("_m").alias("count"), F.max("_mean").alias("mean"),
-            F.sum(F.col("_t") * (F.col("_v") - F.col("_mean")) ** 2).alias("_ss"),
-            F.min(F.when(F.col("_t") > 0, F.col("_v"))).alias("min"),
-            F.max(F.when(F.col("_t") > 0, F.col("_v"))).alias("max"),
-            F.max("_pos").alias("_pos"), F.max("_n").alias("_n")]
+            F.sum(F.col("_f") * dev).alias("_ss_all"),
+            F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_n").alias("_n"),
+            F.max("_pos").alias("_pos"),
+            at_rank(F.lit(0)).alias("min"), at_rank(F.col("_m") - 1).alias("max")]
     for p, name in PERCENTILES:
         h = F.lit(p) * (F.col("_m") - 1)
         aggs.append(at_rank(F.floor(h)).alias(f"_a_{name}"))
@@ -70,8 +107,10 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
     def rnd(c):
         return round_half_up(c, decimals) if decimals is not None else c
 
+    ss = F.col("_ss_all") - F.when(F.col("_n") > 2, (F.col("_lo") - F.col("mean")) ** 2
+                                   + (F.col("_hi") - F.col("mean")) ** 2).otherwise(0.0)
     cols = [*keys, F.col("count").cast("long").alias("count"), rnd(F.col("mean")).alias("mean"),
-            rnd(F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))).alias("std"),
+            rnd(F.when(F.col("count") > 1, F.sqrt(F.greatest(ss, F.lit(0.0)) / (F.col("count") - 1)))).alias("std"),
             rnd(F.col("min")).alias("min")]
     for p, name in PERCENTILES:
         h = F.lit(p) * (F.col("count") - 1)

@@ -118,8 +118,8 @@ def metric_service_drilldown(spark, sf_dir):
 
 
 def metric_evidence_json(spark, sf_dir):
-    _, samples, node, pod, svc = _metric_parts(spark, sf_dir)
-    return M.evidence_json(svc, M.db_stats_samples(samples), node, pod)
+    mp = _MetricParts(spark, sf_dir)
+    return M.evidence_json(mp.svc(), M.db_stats_samples(mp.samples), mp.node(), mp.pod())
 
 
 # -------------------------------------------------------------------- traces
@@ -219,27 +219,35 @@ def call_graph_edges(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ evidence
-def _metric_parts(spark, sf_dir):
-    ev = _events(spark, sf_dir)
-    pts = FX.metric_points_from_events(ev)
-    samples = reuse(M.period_samples(pts, _periods(ev)))
-    node = M.node_shift_samples(samples, FX.NODE_WHITELIST)
-    pod = M.pod_shift_samples(samples, FX.POD_WHITELIST)
-    svc = M.service_drilldown_samples(samples, samples)
-    return pts, samples, node, pod, svc
+class _MetricParts:
+    """Period-tagged samples once (persisted); each comparison built on demand."""
+
+    def __init__(self, spark, sf_dir):
+        ev = _events(spark, sf_dir)
+        self.points = FX.metric_points_from_events(ev)
+        self.samples = reuse(M.period_samples(self.points, _periods(ev)))
+
+    def node(self):
+        return M.node_shift_samples(self.samples, FX.NODE_WHITELIST)
+
+    def pod(self):
+        return M.pod_shift_samples(self.samples, FX.POD_WHITELIST)
+
+    def svc(self):
+        return M.service_drilldown_samples(self.samples, self.samples)
 
 
 def evidence_bundle(spark, sf_dir):
-    _, _, node, pod, svc = _metric_parts(spark, sf_dir)
+    mp = _MetricParts(spark, sf_dir)
     enriched = reuse(_enriched(spark, sf_dir))
     return E.evidence_bundle(log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir, enriched),
-                             T.status_combinations(enriched), E.metric_shift_rows(node, pod, svc))
+                             T.status_combinations(enriched), E.metric_shift_rows(mp.node(), mp.pod(), mp.svc()))
 
 
 def _attribution(spark, sf_dir):
-    pts, _, node, pod, _ = _metric_parts(spark, sf_dir)
-    evidence = reuse(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), pod))
-    return E.fault_level(evidence, node, E.components_from(pts)), evidence
+    mp = _MetricParts(spark, sf_dir)
+    evidence = reuse(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), mp.pod()))
+    return E.fault_level(evidence, mp.node(), E.components_from(mp.points)), evidence
 
 
 def fault_level_attribution(spark, sf_dir):

@@ -229,19 +229,20 @@ FROM ({DIMS2_SQL}) d
 
 # --------------------------------------------------------------------- metrics
 def metric_points_from_events(events: DataFrame) -> DataFrame:
-    """Tall metric samples: one row per event, metric = event type.
-
-    Every 97th value is null (exercises the null drop before statistics).
+    """Tall metric samples: one row per event, metric = event type, value in
+    integer hundredths (sums are exact in any order, so engines agree to the
+    last bit). Every 97th value is null (exercises the null drop).
     """
     d = _dims(events)
-    v = F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
+    v = F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("double")).otherwise(
+        F.floor(F.col("value") * 100 + 0.5).cast("double"))
     return d.select("service", "pod", "node", F.col("event_type").alias("metric"),
                     "timestamp_ns", v.alias("value"))
 
 
 METRIC_POINTS_SQL = f"""
 SELECT service, pod, node, event_type AS metric, timestamp_ns,
-       CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value
+       CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(floor(value * 100 + 0.5) AS DOUBLE) END AS value
 FROM ({DIMS2_SQL}) d
 """
 
