@@ -77,3 +77,21 @@ def reuse(df: DataFrame) -> DataFrame:
     from lineage if an executor holding blocks is lost.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a shared intermediate as a Parquet table in the shared
+    checkpoint folder and continue from it.
+
+    Later plans start from a shallow file scan (with real size statistics for
+    join planning) instead of re-analysing - and, after an executor loss,
+    re-running - the whole lineage. The folder is read from
+    ``spark.checkpoint.dir`` (set by the cluster; only tests set their own).
+    """
+    import uuid
+
+    from faultlens.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

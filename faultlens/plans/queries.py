@@ -15,7 +15,7 @@ from faultlens.operators import evidence as E
 from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
 from faultlens.operators import traces as T
-from faultlens.operators.interval import reuse
+from faultlens.operators.interval import cut, reuse
 from faultlens.operators.stats import trimmed_describe
 from faultlens.sources import fixtures as FX
 
@@ -136,7 +136,7 @@ def _enriched(spark, sf_dir):
 def _train(spark, sf_dir):
     spans, inc = _spans_ctx(spark, sf_dir)
     sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
-    return reuse(T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS))
+    return cut(T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS))
 
 
 def _detect_windows(spark, sf_dir, enriched=None):
@@ -225,7 +225,7 @@ class _MetricParts:
     def __init__(self, spark, sf_dir):
         ev = _events(spark, sf_dir)
         self.points = FX.metric_points_from_events(ev)
-        self.samples = reuse(M.period_samples(self.points, _periods(ev)))
+        self.samples = cut(M.period_samples(self.points, _periods(ev)))
 
     def node(self):
         return M.node_shift_samples(self.samples, FX.NODE_WHITELIST)
@@ -239,14 +239,14 @@ class _MetricParts:
 
 def evidence_bundle(spark, sf_dir):
     mp = _MetricParts(spark, sf_dir)
-    enriched = reuse(_enriched(spark, sf_dir))
-    return E.evidence_bundle(log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir, enriched),
+    enriched = cut(_enriched(spark, sf_dir))
+    return E.evidence_bundle(cut(log_error_rollup(spark, sf_dir)), _flagged_topk(spark, sf_dir, enriched),
                              T.status_combinations(enriched), E.metric_shift_rows(mp.node(), mp.pod(), mp.svc()))
 
 
 def _attribution(spark, sf_dir):
     mp = _MetricParts(spark, sf_dir)
-    evidence = reuse(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), mp.pod()))
+    evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), mp.pod()))
     return E.fault_level(evidence, mp.node(), E.components_from(mp.points)), evidence
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.time import NS_PER_DAY, NS_PER_HOUR, epoch_ns, local_time
+from faultlens.operators.interval import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -126,8 +127,9 @@ def incidents_from_events(events: DataFrame) -> DataFrame:
         (start + F.lit(INCIDENT_LENGTH_NS)).alias("end_timestamp"),
     )
     lt = local_time(F.col("start_timestamp"), 0)
-    return out.select("*", F.date_format(lt, "yyyy-MM-dd_HH").alias("start_time_hour"),
-                      F.date_format(lt, "yyyy-MM-dd").alias("date"))
+    # tiny and read by several joins (each interval join sizes it): materialise once
+    return cut(out.select("*", F.date_format(lt, "yyyy-MM-dd_HH").alias("start_time_hour"),
+                            F.date_format(lt, "yyyy-MM-dd").alias("date")))
 
 
 INCIDENTS_SQL = f"""
