@@ -39,14 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder is set by the operator to shared storage and we
     only read it. Only when it is unset (local tests) do we pick a scratch
-    folder of our own.
+    folder of our own, through the SparkContext (the config itself cannot be
+    changed at runtime).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="faultlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return d.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    d = tempfile.mkdtemp(prefix="faultlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.sparkContext.setCheckpointDir(d)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
