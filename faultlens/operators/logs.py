@@ -77,11 +77,17 @@ def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = ()) -> Da
     return single.unionByName(merged)
 
 
+def tokenize(messages: DataFrame, message: str = "message") -> DataFrame:
+    """Add ``tokens`` and the cluster route ``bucket_key`` to each message."""
+    return (messages.withColumn("tokens", template_tokens(F.col(message)))
+            .withColumn("bucket_key", template_bucket_key(F.col("tokens"))))
+
+
 def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: str = "message") -> DataFrame:
-    """D1 over a message column; returns ``(scope..., bucket_key, template, cluster_size)``."""
-    t = messages.select(*scope, template_tokens(F.col(message)).alias("tokens"))
-    t = t.groupBy(*scope, "tokens").agg(F.count(F.lit(1)).alias("n"))
-    t = t.withColumn("bucket_key", template_bucket_key(F.col("tokens")))
+    """D1 over a message column (or an already tokenised frame); returns
+    ``(scope..., bucket_key, template, cluster_size)``."""
+    t = messages if "bucket_key" in messages.columns else tokenize(messages, message)
+    t = t.groupBy(*scope, "bucket_key", "tokens").agg(F.count(F.lit(1)).alias("n"))
     sizes = t.groupBy(*scope, "bucket_key").agg(F.sum("n").alias("cluster_size"))
     return templates_from_tokens(t, scope).join(sizes, [*scope, "bucket_key"])
 
@@ -89,8 +95,9 @@ def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: s
 def match_templates(messages: DataFrame, templates: DataFrame, *, scope: Sequence[str] = (),
                     message: str = "message") -> DataFrame:
     """Attach the template of each message's cluster (null when none)."""
-    m = messages.withColumn("bucket_key", template_bucket_key(template_tokens(F.col(message))))
-    return m.join(templates.select(*scope, "bucket_key", "template"), [*scope, "bucket_key"], "left").drop("bucket_key")
+    m = messages if "bucket_key" in messages.columns else tokenize(messages, message)
+    return (m.join(templates.select(*scope, "bucket_key", "template"), [*scope, "bucket_key"], "left")
+             .drop("bucket_key", "tokens"))
 
 
 def mask_messages(df: DataFrame, column: str = "message", rules=DEFAULT_MASK_RULES) -> DataFrame:

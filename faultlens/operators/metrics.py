@@ -215,31 +215,41 @@ def unpivot_metrics(wide: DataFrame, ids: Sequence[str], metrics: Sequence[str])
 
 
 # ------------------------------------------------------------------------ K4
+# Statistic names as they appear in the JSON evidence.
+JSON_STAT_NAMES = {"p25": "25%", "p50": "50%", "p75": "75%", "p95": "95%", "p99": "99%"}
+
+
 def _stats_struct(prefix: str) -> F.Column:
-    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in STAT_COLUMNS])
+    return F.struct(*[F.col(f"{prefix}_{c}").alias(JSON_STAT_NAMES.get(c, c)) for c in STAT_COLUMNS])
 
 
 def evidence_json(service: DataFrame, db: DataFrame, node: DataFrame, pod: DataFrame) -> DataFrame:
     """K4: one JSON document per incident: {service, tidb, node, pod}.
 
-    Each section nests entity -> metric -> {normal_stats, fault_stats}. The
-    per-incident documents are built with map aggregation (one row per
-    incident, bounded by entities x metrics).
+    service: service -> pod -> {normal_stats: {metric: stats}, fault_stats: {metric: stats}}
+    tidb:    service -> metric -> {normal_stats, fault_stats}
+    node:    node -> metric -> {normal_stats, fault_stats}
+    pod:     node -> pod -> metric -> {normal_stats, fault_stats}
+    Built with map aggregation per incident (bounded by entities x metrics).
     """
-    def section(df: DataFrame, outer: str, inner: str | None, name: str) -> DataFrame:
-        leaf = F.struct(_stats_struct("normal").alias("normal_stats"), _stats_struct("fault").alias("fault_stats"))
-        if inner is None:
-            by_metric = df.groupBy("uuid", outer).agg(F.map_from_entries(F.collect_list(F.struct("metric", leaf))).alias("m"))
-            return by_metric.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct(outer, "m"))).alias(name))
-        by_metric = df.groupBy("uuid", outer, inner).agg(
-            F.map_from_entries(F.collect_list(F.struct("metric", leaf))).alias("m"))
-        by_inner = by_metric.groupBy("uuid", outer).agg(F.map_from_entries(F.collect_list(F.struct(inner, "m"))).alias("m2"))
-        return by_inner.groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct(outer, "m2"))).alias(name))
-
-    s = section(service, "service", "pod", "service")
-    t = section(db, "service", None, "tidb")
-    n = section(node, "node", None, "node")
-    p = section(pod, "instance", "pod", "pod")
+    leaf = F.struct(_stats_struct("normal").alias("normal_stats"), _stats_struct("fault").alias("fault_stats"))
+
+    def nest(df: DataFrame, levels: list[str], value: F.Column, name: str) -> DataFrame:
+        cur = df.select("uuid", *levels, value.alias("_v"))
+        for i in range(len(levels) - 1, -1, -1):
+            outer = levels[:i]
+            cur = cur.groupBy("uuid", *outer).agg(
+                F.map_from_entries(F.collect_list(F.struct(levels[i], "_v"))).alias("_v"))
+        return cur.withColumnRenamed("_v", name)
+
+    per_pod = service.groupBy("uuid", "service", "pod").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", _stats_struct("normal")))).alias("normal_stats"),
+        F.map_from_entries(F.collect_list(F.struct("metric", _stats_struct("fault")))).alias("fault_stats"))
+    s = nest(per_pod, ["service", "pod"], F.struct("normal_stats", "fault_stats"), "service")
+    t = nest(db, ["service", "metric"], leaf, "tidb")
+    n = nest(node, ["node", "metric"], leaf, "node")
+    p = nest(pod, ["instance", "pod", "metric"], leaf, "pod")
+
     ids = (service.select("uuid").union(db.select("uuid")).union(node.select("uuid"))
            .union(pod.select("uuid")).distinct())
     doc = ids.join(s, "uuid", "left").join(t, "uuid", "left").join(n, "uuid", "left").join(p, "uuid", "left")
