@@ -53,7 +53,7 @@ def error_logs(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER
     return tolerant_select(w, LOG_COLUMNS, keep=("uuid", "timestamp_ns"))
 
 
-def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = (), *, distinct: bool = False) -> DataFrame:
     """``(scope..., bucket_key, tokens)`` rows -> ``(scope..., bucket_key, template)``.
 
     Works on distinct token lists. A bucket holding one distinct list is its
@@ -62,7 +62,9 @@ def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = ()) -> Da
     cluster never sits in one task).
     """
     scope = list(scope)
-    d = reuse(tokens_df.select(*scope, "bucket_key", "tokens").distinct())
+    d = tokens_df.select(*scope, "bucket_key", "tokens")
+    if not distinct:  # ``distinct``: rows are already one per (scope, bucket_key, tokens), kept once
+        d = reuse(d.distinct())
     stats = d.groupBy(*scope, "bucket_key").agg(F.count(F.lit(1)).alias("_k"), F.max("tokens").alias("_t"))
     single = stats.where(F.col("_k") == 1).select(*scope, "bucket_key", F.array_join("_t", " ").alias("template"))
     multi = d.join(stats.where(F.col("_k") > 1).select(*scope, "bucket_key"), [*scope, "bucket_key"], "left_semi")
@@ -87,9 +89,10 @@ def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: s
     """D1 over a message column (or an already tokenised frame); returns
     ``(scope..., bucket_key, template, cluster_size)``."""
     t = messages if "bucket_key" in messages.columns else tokenize(messages, message)
-    t = t.groupBy(*scope, "bucket_key", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    # one row per distinct token list, read by both the template and the size branch
+    t = reuse(t.groupBy(*scope, "bucket_key", "tokens").agg(F.count(F.lit(1)).alias("n")))
     sizes = t.groupBy(*scope, "bucket_key").agg(F.sum("n").alias("cluster_size"))
-    return templates_from_tokens(t, scope).join(sizes, [*scope, "bucket_key"])
+    return templates_from_tokens(t, scope, distinct=True).join(sizes, [*scope, "bucket_key"])
 
 
 def match_templates(messages: DataFrame, templates: DataFrame, *, scope: Sequence[str] = (),

@@ -51,7 +51,7 @@ def log_template_mine(spark, sf_dir):
 
 
 def log_template_match(spark, sf_dir):
-    lines = reuse(L.tokenize(_doc_lines(spark, sf_dir)))   # tokenised once, mined and matched
+    lines = L.tokenize(_doc_lines(spark, sf_dir))
     tpl = L.mine_templates(lines)
     return L.match_templates(lines, tpl).select("doc_id", "line_no", "template")
 
