@@ -79,7 +79,7 @@ def period_samples(points: DataFrame, periods: DataFrame, *, bucket_ns: int = NS
 
 # ------------------------------------------------------------------------- J8
 def compare_periods(samples: DataFrame, keys: Sequence[str], *, gate: bool = True,
-                    decimals: int = DECIMALS) -> DataFrame:
+                    decimals: int = DECIMALS, keep_raw_ratio: bool = False) -> DataFrame:
     """A2 per (uuid, keys, period) then J8 side by side, ratio, F8 gate.
 
     Output: uuid, keys..., normal_<stat>..., fault_<stat>..., mean_ratio, status
@@ -97,11 +97,7 @@ def compare_periods(samples: DataFrame, keys: Sequence[str], *, gate: bool = Tru
     ratio = F.try_divide(F.col("fault_mean") + F.lit(RATIO_EPSILON), F.col("normal_mean") + F.lit(RATIO_EPSILON))
     w = w.withColumn("mean_ratio", ratio)
     if gate:
-        lo, hi = RATIO_BAND
-        w = w.where(F.col("mean_ratio").isNull() | ~F.col("mean_ratio").between(lo, hi))
-    status = (F.when(F.col("normal_count").isNull(), F.lit("no_baseline"))
-              .when(F.col("fault_count").isNull(), F.lit("no_fault_data"))
-              .otherwise(F.lit("shifted" if gate else "compared")))
+        w = w.where(_passes_gate())
     out = []
     for c in w.columns:
         col = F.col(c)
@@ -111,7 +107,27 @@ def compare_periods(samples: DataFrame, keys: Sequence[str], *, gate: bool = Tru
             out.append(col)
         else:
             out.append(round_half_up(col, decimals).alias(c))
-    return w.select(*out, status.alias("status"))
+    extra = [F.col("mean_ratio").alias("_raw_ratio")] if keep_raw_ratio else []
+    return w.select(*out, _status(gate).alias("status"), *extra)
+
+
+def _passes_gate():
+    lo, hi = RATIO_BAND
+    return F.col("mean_ratio").isNull() | ~F.col("mean_ratio").between(lo, hi)
+
+
+def _status(gated: bool):
+    return (F.when(F.col("normal_count").isNull(), F.lit("no_baseline"))
+            .when(F.col("fault_count").isNull(), F.lit("no_fault_data"))
+            .otherwise(F.lit("shifted" if gated else "compared")))
+
+
+def apply_gate(compared: DataFrame) -> DataFrame:
+    """F8 on an ungated comparison made with ``keep_raw_ratio`` (the gate
+    reads the unrounded ratio, exactly as the inline gate does)."""
+    lo, hi = RATIO_BAND
+    r = F.col("_raw_ratio")
+    return compared.where(r.isNull() | ~r.between(lo, hi)).withColumn("status", _status(True))
 
 
 def whitelist(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
@@ -254,3 +270,64 @@ def evidence_json(service: DataFrame, db: DataFrame, node: DataFrame, pod: DataF
            .union(pod.select("uuid")).distinct())
     doc = ids.join(s, "uuid", "left").join(t, "uuid", "left").join(n, "uuid", "left").join(p, "uuid", "left")
     return doc.select("uuid", F.to_json(F.struct("service", "tidb", "node", "pod")).alias("metric_json"))
+
+
+# ------------------------------------------------------- one pass, all sources
+# Entity key columns of each metric source (second key optional).
+SOURCE_KEYS = {"node": ("node", None), "infra_pod": ("instance", "pod"), "tidb": ("service", None),
+               "service": ("service", None), "pod": ("pod", None)}
+
+
+def compare_all_sources(tagged: DataFrame) -> DataFrame:
+    """One A2 + J8 pass over every source: ``tagged`` has (uuid, period,
+    source, e1, e2, metric, value); result keyed (uuid, source, e1, e2,
+    metric), ungated. The per-source views below gate and rename."""
+    return compare_periods(tagged, ["source", "e1", "e2", "metric"], gate=False, keep_raw_ratio=True)
+
+
+def _view(all_stats: DataFrame, source: str) -> DataFrame:
+    k1, k2 = SOURCE_KEYS[source]
+    keys = [F.col("e1").alias(k1)] + ([F.col("e2").alias(k2)] if k2 else [])
+    rest = [c for c in all_stats.columns if c not in ("uuid", "source", "e1", "e2")]
+    return all_stats.where(F.col("source") == source).select("uuid", *keys, *rest)
+
+
+def node_view(all_stats: DataFrame) -> DataFrame:
+    return apply_gate(_view(all_stats, "node")).drop("_raw_ratio")
+
+
+def pod_view(all_stats: DataFrame) -> DataFrame:
+    return apply_gate(_view(all_stats, "infra_pod")).drop("_raw_ratio")
+
+
+def db_view(all_stats: DataFrame) -> DataFrame:
+    return _view(all_stats, "tidb").drop("_raw_ratio")
+
+
+def service_view(all_stats: DataFrame) -> DataFrame:
+    """A13 from the one-pass statistics: abnormal (uuid, service, metric) ->
+    the pods of those services on those metrics."""
+    abnormal = apply_gate(_view(all_stats, "service")).select("uuid", "service", "metric")
+    pods = _view(all_stats, "pod").drop("_raw_ratio")
+    allowed = pods_of_services(abnormal, pods.select("uuid", "pod").distinct()).select("uuid", "service", "pod", "metric")
+    out = pods.join(allowed, ["uuid", "pod", "metric"])
+    cols = [c for c in out.columns if c not in ("uuid", "service", "pod", "metric")]
+    return out.select("uuid", "service", "pod", "metric", *cols)
+
+
+def tag_by_source(samples: DataFrame, node_whitelist: Sequence[str] | None = None,
+                  pod_whitelist: Sequence[str] | None = None) -> DataFrame:
+    """Raw-layout samples (METRIC_POINTS + uuid, period) -> (uuid, period,
+    source, e1, e2, metric, value) with each source's entity keys (F5
+    whitelists applied to node / infra_pod)."""
+    src = F.col("source")
+    e1 = (F.when(src.isin("node", "infra_pod"), F.col("node")).when(src.isin("tidb", "service"), F.col("service"))
+          .when(src == "pod", F.col("pod")))
+    e2 = F.when(src == "infra_pod", F.col("pod")).otherwise(F.lit(""))
+    t = samples.select("uuid", "period", "source", e1.alias("e1"), e2.alias("e2"), "metric", "value")
+    t = t.where(F.col("e1").isNotNull() & F.col("e2").isNotNull())
+    if node_whitelist is not None:
+        t = t.where((src != "node") | F.col("e1").isin(*node_whitelist))
+    if pod_whitelist is not None:
+        t = t.where((src != "infra_pod") | F.col("e2").isin(*pod_whitelist))
+    return t

@@ -80,12 +80,9 @@ def run_incident_batch(spark: SparkSession, incidents: DataFrame, logs: DataFram
 
     # metrics: one period-tagged sample table feeds every source
     periods = M.incident_periods(incidents, cfg.normal_gap_ns)
-    samples = _stage(spark, M.period_samples(metric_points, periods), f"{work_dir}/metric_samples")
-    node = M.node_shift_samples(samples.where("source = 'node'"), cfg.node_whitelist)
-    pod = M.pod_shift_samples(samples.where("source = 'infra_pod'"), cfg.pod_whitelist)
-    svc = M.service_drilldown_samples(samples.where("source = 'service'"), samples.where("source = 'pod'"))
-    db = M.db_stats_samples(samples.where("source = 'tidb'"))
-    node, pod, svc = (_stage(spark, d, f"{work_dir}/{n}") for d, n in ((node, "node"), (pod, "pod"), (svc, "svc")))
+    samples = M.tag_by_source(M.period_samples(metric_points, periods), cfg.node_whitelist, cfg.pod_whitelist)
+    stats = _stage(spark, M.compare_all_sources(samples), f"{work_dir}/metric_stats")   # one pass, all sources
+    node, pod, svc, db = M.node_view(stats), M.pod_view(stats), M.service_view(stats), M.db_view(stats)
     metric_json = M.evidence_json(svc, db, node, pod)
 
     bundle = E.evidence_bundle(log_rollup, topk, status, E.metric_shift_rows(node, pod, svc))

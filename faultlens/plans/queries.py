@@ -119,7 +119,7 @@ def metric_service_drilldown(spark, sf_dir):
 
 def metric_evidence_json(spark, sf_dir):
     mp = _MetricParts(spark, sf_dir)
-    return M.evidence_json(mp.svc(), M.db_stats_samples(mp.samples), mp.node(), mp.pod())
+    return M.evidence_json(mp.svc(), mp.db(), mp.node(), mp.pod())
 
 
 # -------------------------------------------------------------------- traces
@@ -220,21 +220,26 @@ def call_graph_edges(spark, sf_dir):
 
 # ------------------------------------------------------------------ evidence
 class _MetricParts:
-    """Period-tagged samples once (persisted); each comparison built on demand."""
+    """Period-tagged samples once, one statistics pass over every source,
+    then per-source views."""
 
     def __init__(self, spark, sf_dir):
         ev = _events(spark, sf_dir)
         self.points = FX.metric_points_from_events(ev)
-        self.samples = cut(M.period_samples(self.points, _periods(ev)))
+        self.samples = M.period_samples(self.points, _periods(ev))
+        self.stats = cut(M.compare_all_sources(FX.tag_sources(self.samples)))
 
     def node(self):
-        return M.node_shift_samples(self.samples, FX.NODE_WHITELIST)
+        return M.node_view(self.stats)
 
     def pod(self):
-        return M.pod_shift_samples(self.samples, FX.POD_WHITELIST)
+        return M.pod_view(self.stats)
 
     def svc(self):
-        return M.service_drilldown_samples(self.samples, self.samples)
+        return M.service_view(self.stats)
+
+    def db(self):
+        return M.db_view(self.stats)
 
 
 def evidence_bundle(spark, sf_dir):
