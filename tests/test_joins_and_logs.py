@@ -90,3 +90,20 @@ def test_incident_periods(spark):
     assert got == [("a", "after", 210, 400), ("a", "fault", 100, 200),
                    ("b", "after", 510, 505), ("b", "before", 210, 400), ("b", "fault", 400, 500),
                    ("c", "before", 510, 505), ("c", "fault", 505, 600)]
+
+
+def test_one_pass_views_equal_individual_comparisons(spark):
+    from faultlens.operators import metrics as M
+    from faultlens.sources import fixtures as FX
+    ev = FX.load(spark, "/root/testdata/sf0.001", "events")
+    samples = M.period_samples(FX.metric_points_from_events(ev), M.incident_periods(FX.incidents_from_events(ev),
+                                                                                   FX.FIXTURE_GAP_NS))
+    stats = M.compare_all_sources(FX.tag_sources(samples))
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+
+    assert rows(M.node_view(stats)) == rows(M.node_shift_samples(samples, FX.NODE_WHITELIST))
+    assert rows(M.pod_view(stats)) == rows(M.pod_shift_samples(samples, FX.POD_WHITELIST))
+    assert rows(M.db_view(stats)) == rows(M.db_stats_samples(samples))
+    assert rows(M.service_view(stats)) == rows(M.service_drilldown_samples(samples, samples))
