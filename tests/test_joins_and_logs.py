@@ -101,7 +101,7 @@ def test_one_pass_views_equal_individual_comparisons(spark):
     stats = M.compare_all_sources(FX.tag_sources(samples))
 
     def rows(df):
-        return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+        return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
 
     assert rows(M.node_view(stats)) == rows(M.node_shift_samples(samples, FX.NODE_WHITELIST))
     assert rows(M.pod_view(stats)) == rows(M.pod_shift_samples(samples, FX.POD_WHITELIST))
