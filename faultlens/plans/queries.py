@@ -5,6 +5,9 @@ Each reads the driver tables (or views Spark derives from them) whole.
 
 from __future__ import annotations
 
+import contextvars
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +27,53 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.load(spark, sf_dir, "events")
 
 
+# Per-query memo: while one registered query builds its plan, each fixture view
+# (e.g. the materialised incident table) is derived once. It is dropped when
+# the query returns, so no query profits from another's work.
+_MEMO: contextvars.ContextVar = contextvars.ContextVar("faultlens_query_memo", default=None)
+
+
+def _query(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        if _MEMO.get() is not None:
+            return fn(spark, sf_dir)
+        token = _MEMO.set({})
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            _MEMO.reset(token)
+    return run
+
+
+def _memo(key, build):
+    memo = _MEMO.get()
+    if memo is None:
+        return build()
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]
+
+
+def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(("incidents", sf_dir), lambda: FX.incidents_from_events(_events(spark, sf_dir)))
+
+
 def log_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
-    return L.log_error_rollup(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
+    return _memo(("log_rollup", sf_dir), lambda: L.log_error_rollup(
+        FX.logs_from_events(ev), _incidents(spark, sf_dir), bucket_ns=NS_PER_HOUR))
 
 
 def log_reduction_report(spark, sf_dir):
     ev = _events(spark, sf_dir)
-    logs, inc = FX.logs_from_events(ev), FX.incidents_from_events(ev)
+    logs, inc = FX.logs_from_events(ev), _incidents(spark, sf_dir)
     return L.reduction_report(logs, inc, L.log_error_rollup(logs, inc))
 
 
 def log_time_error_filter(spark, sf_dir):
     ev = _events(spark, sf_dir)
-    return L.error_logs(FX.logs_from_events(ev), FX.incidents_from_events(ev), bucket_ns=NS_PER_HOUR)
+    return L.error_logs(FX.logs_from_events(ev), _incidents(spark, sf_dir), bucket_ns=NS_PER_HOUR)
 
 
 def _doc_lines(spark, sf_dir):
@@ -65,12 +101,12 @@ def log_mask_rules(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- metrics
-def _periods(ev: DataFrame) -> DataFrame:
-    return M.incident_periods(FX.incidents_from_events(ev), FX.FIXTURE_GAP_NS)
+def _periods(spark, sf_dir) -> DataFrame:
+    return M.incident_periods(_incidents(spark, sf_dir), FX.FIXTURE_GAP_NS)
 
 
 def incident_normal_periods(spark, sf_dir):
-    return _periods(_events(spark, sf_dir))
+    return _periods(spark, sf_dir)
 
 
 def _lineitem_tall(spark, sf_dir):
@@ -89,32 +125,32 @@ def metric_trimmed_stats(spark, sf_dir):
 def metric_period_compare(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev).select("pod", "metric", "timestamp_ns", "value")
-    return M.compare_periods(M.period_samples(pts, _periods(ev)), ["pod", "metric"])
+    return M.compare_periods(M.period_samples(pts, _periods(spark, sf_dir)), ["pod", "metric"])
 
 
 def metric_node_shift(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev).select("node", "metric", "timestamp_ns", "value")
-    return M.node_shift(pts, _periods(ev), FX.NODE_WHITELIST)
+    return M.node_shift(pts, _periods(spark, sf_dir), FX.NODE_WHITELIST)
 
 
 def metric_pod_shift(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev).select("node", "pod", "metric", "timestamp_ns", "value")
-    return M.pod_shift(pts, _periods(ev), FX.POD_WHITELIST)
+    return M.pod_shift(pts, _periods(spark, sf_dir), FX.POD_WHITELIST)
 
 
 def metric_db_stats(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev).select("service", "metric", "timestamp_ns", "value")
-    return M.db_stats(pts, _periods(ev))
+    return M.db_stats(pts, _periods(spark, sf_dir))
 
 
 def metric_service_drilldown(spark, sf_dir):
     ev = _events(spark, sf_dir)
     pts = FX.metric_points_from_events(ev)
     return M.service_drilldown(pts.select("service", "metric", "timestamp_ns", "value"),
-                               pts.select("pod", "metric", "timestamp_ns", "value"), _periods(ev))
+                               pts.select("pod", "metric", "timestamp_ns", "value"), _periods(spark, sf_dir))
 
 
 def metric_evidence_json(spark, sf_dir):
@@ -125,7 +161,7 @@ def metric_evidence_json(spark, sf_dir):
 # -------------------------------------------------------------------- traces
 def _spans_ctx(spark, sf_dir):
     ev = _events(spark, sf_dir)
-    return FX.spans_from_events(ev), FX.incidents_from_events(ev)
+    return FX.spans_from_events(ev), _incidents(spark, sf_dir)
 
 
 def _enriched(spark, sf_dir):
@@ -134,9 +170,12 @@ def _enriched(spark, sf_dir):
 
 
 def _train(spark, sf_dir):
-    spans, inc = _spans_ctx(spark, sf_dir)
-    sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
-    return cut(T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS, window_ns=FX.FIXTURE_WINDOW_NS))
+    def build():
+        spans, inc = _spans_ctx(spark, sf_dir)
+        sampled = T.sample_incidents(inc, T.SAMPLE_SIZE, T.SEED)
+        return cut(T.training_windows(spans, sampled, after_ns=FX.FIXTURE_AFTER_NS,
+                                      window_ns=FX.FIXTURE_WINDOW_NS))
+    return _memo(("train", sf_dir), build)
 
 
 def _detect_windows(spark, sf_dir, enriched=None):
@@ -153,7 +192,7 @@ def span_status_combos(spark, sf_dir):
 
 
 def incident_sample(spark, sf_dir):
-    return T.sample_incidents(FX.incidents_from_events(_events(spark, sf_dir)), 5, T.SEED)
+    return T.sample_incidents(_incidents(spark, sf_dir), 5, T.SEED)
 
 
 def span_normal_extract(spark, sf_dir):
@@ -223,11 +262,11 @@ class _MetricParts:
     """Period-tagged samples once, one statistics pass over every source,
     then per-source views."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, sources=("node", "infra_pod", "tidb", "service", "pod")):
         ev = _events(spark, sf_dir)
         self.points = FX.metric_points_from_events(ev)
-        self.samples = M.period_samples(self.points, _periods(ev))
-        self.stats = cut(M.compare_all_sources(FX.tag_sources(self.samples)))
+        self.samples = M.period_samples(self.points, _periods(spark, sf_dir))
+        self.stats = cut(M.compare_all_sources(FX.tag_sources(self.samples, sources)))
 
     def node(self):
         return M.node_view(self.stats)
@@ -243,14 +282,14 @@ class _MetricParts:
 
 
 def evidence_bundle(spark, sf_dir):
-    mp = _MetricParts(spark, sf_dir)
+    mp = _MetricParts(spark, sf_dir, ("node", "infra_pod", "service", "pod"))
     enriched = cut(_enriched(spark, sf_dir))
     return E.evidence_bundle(cut(log_error_rollup(spark, sf_dir)), _flagged_topk(spark, sf_dir, enriched),
                              T.status_combinations(enriched), E.metric_shift_rows(mp.node(), mp.pod(), mp.svc()))
 
 
 def _attribution(spark, sf_dir):
-    mp = _MetricParts(spark, sf_dir)
+    mp = _MetricParts(spark, sf_dir, ("node", "infra_pod"))
     evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), mp.pod()))
     return E.fault_level(evidence, mp.node(), E.components_from(mp.points)), evidence
 
@@ -269,7 +308,7 @@ def result_json_parse(spark, sf_dir):
                                                               x["observation"])), "|").alias("steps_text"))
 
 
-QUERIES = {
+_REGISTRY = {
     "log_error_rollup": log_error_rollup,
     "log_time_error_filter": log_time_error_filter,
     "log_reduction_report": log_reduction_report,
@@ -301,3 +340,5 @@ QUERIES = {
     "fault_level_attribution": fault_level_attribution,
     "result_json_parse": result_json_parse,
 }
+
+QUERIES = {name: _query(fn) for name, fn in _REGISTRY.items()}

@@ -242,16 +242,16 @@ def metric_points_from_events(events: DataFrame) -> DataFrame:
                     "timestamp_ns", v.alias("value"))
 
 
-def tag_sources(samples: DataFrame) -> DataFrame:
+def tag_sources(samples: DataFrame, sources=("node", "infra_pod", "tidb", "service", "pod")) -> DataFrame:
     """Fan each fixture sample out to the five metric sources it stands for:
     node (node), infra_pod (node, pod), tidb (service), service (service),
     pod (pod); the node and infra_pod sources keep only whitelisted entities."""
     e = lambda src, a, b: F.struct(F.lit(src).alias("source"), a.alias("e1"), b.alias("e2"))
     none = F.lit("")
+    keys = {"node": (F.col("node"), none), "infra_pod": (F.col("node"), F.col("pod")),
+            "tidb": (F.col("service"), none), "service": (F.col("service"), none), "pod": (F.col("pod"), none)}
     t = samples.select("uuid", "period", "metric", "value", F.explode(F.array(
-        e("node", F.col("node"), none), e("infra_pod", F.col("node"), F.col("pod")),
-        e("tidb", F.col("service"), none), e("service", F.col("service"), none),
-        e("pod", F.col("pod"), none))).alias("t")).select("uuid", "period", "t.*", "metric", "value")
+        *[e(src, *keys[src]) for src in sources])).alias("t")).select("uuid", "period", "t.*", "metric", "value")
     return t.where(F.col("e1").isNotNull() & F.col("e2").isNotNull()
                    & ((F.col("source") != "node") | F.col("e1").isin(*NODE_WHITELIST))
                    & ((F.col("source") != "infra_pod") | F.col("e2").isin(*POD_WHITELIST)))
