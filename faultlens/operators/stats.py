@@ -9,11 +9,12 @@ Plan (exact, no per-group collection, hot groups split):
 
 1. value frequencies ``(keys, v) -> f`` (map-side combined: repeated values
    shrink before the shuffle);
-2. groups with more than ``HOT_DISTINCT`` distinct values get split points
-   from a mergeable quantile sketch; every other group is one sub-range.
-   The split points only balance work, the result stays exact;
-3. running counts per (group, sub-range) with a window ordered by value —
-   a task holds at most one sub-range;
+2. one small job counts groups with more than ``HOT_DISTINCT`` distinct
+   values. With none, every group is proven small and one window per group
+   gives running ranks and totals (one shuffle). Otherwise:
+3. hot groups get split points from a mergeable quantile sketch (balance
+   only, the result stays exact); running counts per (group, sub-range) with
+   a window ordered by value — a task holds at most one sub-range;
 4. per (group, sub-range) totals -> small window per group -> offsets and
    the group's n / min / max / sum;
 5. trimming = rank shift by one (the removed minimum is the first value, the
@@ -53,39 +54,23 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
     hot = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > hot_distinct).select(*keys)
     n_hot = hot.count()
     if n_hot == 0:
-        f = f.withColumn("_s", F.lit(0))
+        # every group is proven to hold <= hot_distinct distinct values: one
+        # window per group (one task per group, bounded) gives ranks and totals
+        w = Window.partitionBy(*keys).orderBy("_v")
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f = f.select("*", F.sum("_f").over(running).alias("_cum"), F.sum("_f").over(whole).alias("_n"),
+                     F.min("_v").over(whole).alias("_lo"), F.max("_v").over(whole).alias("_hi"),
+                     F.sum(F.col("_f") * F.col("_v")).over(whole).alias("_sum"),
+                     F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).over(whole).alias("_pos"))
     else:
-        fractions = [i / hot_splits for i in range(1, hot_splits)]
-        splits = (f.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT else hot, keys, "left_semi")
-                   .groupBy(*keys).agg(F.percentile_approx("_v", fractions, 10_000).alias("_sp")))
-        splits = bounded_broadcast(splits, MAX_BROADCAST_HOT, n=n_hot)
-        f = f.join(splits, keys, "left").withColumn(
-            "_s", F.coalesce(F.size(F.filter("_sp", lambda x: x < F.col("_v"))), F.lit(0))).drop("_sp")
-
-    # 3. running counts inside each (group, sub-range)
-    sub = [*keys, "_s"]
-    running = Window.partitionBy(*sub).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = f.withColumn("_lc", F.sum("_f").over(running))
-
-    # 4. sub-range totals -> offsets and group totals (a few rows per group)
-    tot = f.groupBy(*sub).agg(F.sum("_f").alias("_sn"), F.min("_v").alias("_smin"), F.max("_v").alias("_smax"),
-                              F.sum(F.col("_f") * F.col("_v")).alias("_ssum"),
-                              F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).alias("_spos"))
-    grp = Window.partitionBy(*keys)
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*sub,
-                     F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_sn").over(grp).alias("_n"), F.min("_smin").over(grp).alias("_lo"),
-                     F.max("_smax").over(grp).alias("_hi"), F.sum("_ssum").over(grp).alias("_sum"),
-                     F.sum("_spos").over(grp).alias("_pos"))
-    f = f.join(tot, sub)
+        f = _split_ranks(f, keys, hot, n_hot, hot_splits)
 
     # 5. trimmed count / mean, ranks shifted past the removed minimum
     trim = F.col("_n") > 2
     m = F.col("_n") - F.when(trim, 2).otherwise(0)
     mean = (F.col("_sum") - F.when(trim, F.col("_lo") + F.col("_hi")).otherwise(0.0)) / m
-    f = f.select("*", (F.col("_off") + F.col("_lc")).alias("_cum"), m.alias("_m"), mean.alias("_mean"),
-                 F.when(trim, 1).otherwise(0).alias("_shift"))
+    f = f.select("*", m.alias("_m"), mean.alias("_mean"), F.when(trim, 1).otherwise(0).alias("_shift"))
 
     def at_rank(r):
         # value whose 0-based untrimmed rank range [cum - f, cum - 1] holds r (+ shift)
@@ -119,3 +104,30 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
     cols += [rnd(F.col("max")).alias("max"),
              round_half_up(F.col("_pos") / F.col("_n"), 3).alias("non_zero_ratio")]
     return g.select(*cols)
+
+
+def _split_ranks(f: DataFrame, keys: list, hot: DataFrame, n_hot: int, hot_splits: int) -> DataFrame:
+    """Running ranks and group totals when some groups are hot: hot groups are
+    cut into value sub-ranges (split points from a mergeable sketch), ranks
+    run per (group, sub-range) and are stitched with per-group offsets."""
+    fractions = [i / hot_splits for i in range(1, hot_splits)]
+    splits = (f.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT else hot, keys, "left_semi")
+               .groupBy(*keys).agg(F.percentile_approx("_v", fractions, 10_000).alias("_sp")))
+    splits = bounded_broadcast(splits, MAX_BROADCAST_HOT, n=n_hot)
+    f = f.join(splits, keys, "left").withColumn(
+        "_s", F.coalesce(F.size(F.filter("_sp", lambda x: x < F.col("_v"))), F.lit(0))).drop("_sp")
+    sub = [*keys, "_s"]
+    running = Window.partitionBy(*sub).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("_lc", F.sum("_f").over(running))
+    tot = f.groupBy(*sub).agg(F.sum("_f").alias("_sn"), F.min("_v").alias("_smin"), F.max("_v").alias("_smax"),
+                              F.sum(F.col("_f") * F.col("_v")).alias("_ssum"),
+                              F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).alias("_spos"))
+    grp = Window.partitionBy(*keys)
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*sub,
+                     F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_sn").over(grp).alias("_n"), F.min("_smin").over(grp).alias("_lo"),
+                     F.max("_smax").over(grp).alias("_hi"), F.sum("_ssum").over(grp).alias("_sum"),
+                     F.sum("_spos").over(grp).alias("_pos"))
+    f = f.join(tot, sub)
+    return f.withColumn("_cum", F.col("_off") + F.col("_lc")).drop("_off", "_lc", "_s")
