@@ -1,6 +1,5 @@
 """SQL (DuckDB dialect) twins of the column helpers, for the oracle queries."""
 
-import re as _re
 
 from faultlens.functions.text import (ERROR_KEYWORDS, TEMPLATE_DELIMITERS, TEMPLATE_PREFIX_DEPTH,
                                       TEMPLATE_WILDCARD, WHITESPACE_CLASS)

@@ -3,7 +3,6 @@ isolation-forest intervals on planted anomalies."""
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from faultlens.operators.traces import anchored_windows, isolation_intervals, status_combinations
 
