@@ -103,3 +103,17 @@ def test_batch_job_and_stream(spark, layout):
     q = run_incident_stream(spark, f"{layout}/input", process, name=f"t{os.getpid()}")
     q.awaitTermination(120)
     assert sum(seen) == 3
+
+
+def test_time_range_reaches_parquet_scan(spark, layout, capsys):
+    """On stored ``timestamp_ns`` the interval join's range is a pushed filter,
+    the scan reads only the needed columns, and the join is an equi-join."""
+    from faultlens.operators.logs import log_error_rollup
+    inc = R.read_incidents(spark, f"{layout}/input")
+    df = log_error_rollup(R.read_logs(spark, f"{layout}/data", inc), inc)
+    capsys.readouterr()
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(timestamp_ns," in plan and "LessThanOrEqual(timestamp_ns," in plan
+    assert "ReadSchema: struct<timestamp_ns:bigint,k8_pod:string,k8_node_name:string,message:string" in plan
+    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
