@@ -81,32 +81,35 @@ def _glob_alt(values: Iterable[str]) -> str:
     return vals[0] if len(vals) == 1 else "{" + ",".join(vals) + "}"
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def _read(spark: SparkSession, schema: T.StructType, path: str, lineage: bool = True) -> DataFrame:
+    out_schema = T.StructType(schema.fields + ([T.StructField("source_file", T.StringType())] if lineage else []))
     try:
         df = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path))
-        return df.withColumn("source_file", F.col("_metadata.file_name"))
+        return df.withColumn("source_file", F.col("_metadata.file_name")) if lineage else df
     except AnalysisException as e:  # no file matched: empty input, not an error
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], schema.add("source_file", T.StringType()))
+            return spark.createDataFrame([], out_schema)
         raise
 
 
 def read_hourly(spark: SparkSession, root: str, kind: str, hours: Sequence[str],
-                schema: T.StructType) -> DataFrame:
+                schema: T.StructType, lineage: bool = False) -> DataFrame:
     """Every hourly file of ``kind`` (``log`` | ``trace``) whose
-    name carries one of ``hours``, as one scan with ``source_file`` lineage."""
+    name carries one of ``hours``, as one scan; ``lineage`` adds the
+    ``source_file`` column (S5, the training merge)."""
     if not hours:
-        return spark.createDataFrame([], schema.add("source_file", T.StringType()))
-    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_glob_alt(hours)}*")
+        return spark.createDataFrame([], T.StructType(
+            schema.fields + ([T.StructField("source_file", T.StringType())] if lineage else [])))
+    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_glob_alt(hours)}*", lineage)
 
 
-def read_logs(spark: SparkSession, root: str, incidents: DataFrame) -> DataFrame:
-    return read_hourly(spark, root, "log", window_hours(incidents), schemas.LOGS)
+def read_logs(spark: SparkSession, root: str, incidents: DataFrame, lineage: bool = False) -> DataFrame:
+    return read_hourly(spark, root, "log", window_hours(incidents), schemas.LOGS, lineage)
 
 
 def read_spans(spark: SparkSession, root: str, incidents: DataFrame, lo: str = "start_timestamp",
-               hi: str = "end_timestamp") -> DataFrame:
-    return read_hourly(spark, root, "trace", window_hours(incidents, lo, hi), schemas.SPANS)
+               hi: str = "end_timestamp", lineage: bool = False) -> DataFrame:
+    return read_hourly(spark, root, "trace", window_hours(incidents, lo, hi), schemas.SPANS, lineage)
 
 
 # --------------------------------------------------------------- S6 - S11

@@ -58,7 +58,7 @@ def test_readers(spark, layout):
     assert [r.seq for r in rows] == [0, 1, 2] and rows[0].uuid == "case-0"
     hours = R.window_hours(inc)
     assert len(hours) == 3 * 25
-    logs = R.read_logs(spark, f"{layout}/data", inc)
+    logs = R.read_logs(spark, f"{layout}/data", inc, lineage=True)
     assert logs.where(F.col("source_file").isNull()).count() == 0
     lo, hi = rows[0].start_timestamp, rows[2].end_timestamp
     ev_logs = FX.logs_from_events(FX.load(spark, SF, "events"))
@@ -89,7 +89,7 @@ def test_batch_job_and_stream(spark, layout):
     out, work = tempfile.mkdtemp(prefix="fl-out-", dir="/tmp"), tempfile.mkdtemp(prefix="fl-work-", dir="/tmp")
     cfg = BatchConfig(window_ns=FX.FIXTURE_WINDOW_NS, normal_after_ns=FX.FIXTURE_AFTER_NS,
                       normal_gap_ns=FX.FIXTURE_GAP_NS)
-    res = run_incident_batch(spark, inc, logs.drop("source_file"), spans.drop("source_file"), pts, out, work, cfg)
+    res = run_incident_batch(spark, inc, logs, spans, pts, out, work, cfg)
     assert res["bundle"].count() == 3
     assert res["results"].count() == 3
     assert spark.read.json(f"{out}/results").count() == 3
@@ -115,5 +115,5 @@ def test_time_range_reaches_parquet_scan(spark, layout, capsys):
     df.explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(timestamp_ns," in plan and "LessThanOrEqual(timestamp_ns," in plan
-    assert "ReadSchema: struct<timestamp_ns:bigint,k8_pod:string,k8_node_name:string,message:string" in plan
+    assert "ReadSchema: struct<timestamp_ns:bigint,k8_pod:string,k8_node_name:string,message:string>" in plan
     assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
