@@ -92,6 +92,15 @@ def _read(spark: SparkSession, schema: T.StructType, path: str, lineage: bool =
         raise
 
 
+MAX_GLOB_HOURS = 256   # beyond this, whole days are listed (the time filter drops the extra rows)
+
+
+def _hour_glob(hours: Sequence[str]) -> str:
+    if len(set(hours)) <= MAX_GLOB_HOURS:
+        return _glob_alt(hours)
+    return _glob_alt({h.split("_")[0] + "_" for h in hours})   # the caller appends "*"
+
+
 def read_hourly(spark: SparkSession, root: str, kind: str, hours: Sequence[str],
                 schema: T.StructType, lineage: bool = False) -> DataFrame:
     """Every hourly file of ``kind`` (``log`` | ``trace``) whose
@@ -100,7 +109,7 @@ def read_hourly(spark: SparkSession, root: str, kind: str, hours: Sequence[str],
     if not hours:
         return spark.createDataFrame([], T.StructType(
             schema.fields + ([T.StructField("source_file", T.StringType())] if lineage else [])))
-    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_glob_alt(hours)}*", lineage)
+    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_hour_glob(hours)}*", lineage)
 
 
 def read_logs(spark: SparkSession, root: str, incidents: DataFrame, lineage: bool = False) -> DataFrame:
