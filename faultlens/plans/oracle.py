@@ -177,6 +177,17 @@ CALL_GRAPH_EDGES = _q(f"""SELECT uuid, parent_service, service_name, CAST(count(
 FROM {_ENR} e WHERE parent_service IS NOT NULL AND service_name IS NOT NULL
 GROUP BY uuid, parent_service, service_name""")
 
+CALL_CHAIN_EDGES = _q(f""",
+cs AS ({FX.CONV_SPANS_SQL}),
+par AS (SELECT spanID, arg_max(child_pod, timestamp_ns) AS parent_pod, arg_max(service_name, timestamp_ns) AS parent_service
+        FROM cs GROUP BY spanID),
+e AS (SELECT cs.*, par.parent_pod, par.parent_service FROM cs LEFT JOIN par ON cs.parent_spanID = par.spanID)
+SELECT 'conversations' AS uuid, parent_service, service_name, CAST(count(*) AS BIGINT) AS n_calls,
+  CAST(sum(CASE WHEN parent_pod = child_pod THEN 1 ELSE 0 END) AS BIGINT) AS n_self_loop,
+  CAST(count(DISTINCT (parent_pod, child_pod)) AS BIGINT) AS n_pod_pairs
+FROM e WHERE parent_service IS NOT NULL AND service_name IS NOT NULL
+GROUP BY parent_service, service_name""")
+
 # ------------------------------------------------------------------ evidence
 from faultlens.operators import evidence as E  # noqa: E402
 
@@ -285,6 +296,7 @@ ORACLE = {
     "trace_dimension_lists": TRACE_DIMENSION_LISTS,
     "trace_frame_profile": TRACE_FRAME_PROFILE,
     "call_graph_edges": CALL_GRAPH_EDGES,
+    "call_chain_edges": CALL_CHAIN_EDGES,
     "evidence_bundle": EVIDENCE_BUNDLE,
     "fault_level_attribution": FAULT_LEVEL_ATTRIBUTION,
     "result_json_parse": RESULT_JSON_PARSE,

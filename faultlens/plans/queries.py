@@ -257,6 +257,13 @@ def call_graph_edges(spark, sf_dir):
     return T.call_graph(_enriched(spark, sf_dir))
 
 
+def call_chain_edges(spark, sf_dir):
+    """R5 + J2 on the conversations table (whole table, one scope)."""
+    conv = FX.load(spark, sf_dir, "conversations")
+    e = T.enrich_spans(FX.spans_from_conversations(conv), FX.conversation_window(conv))
+    return T.call_graph(e)
+
+
 # ------------------------------------------------------------------ evidence
 class _MetricParts:
     """Period-tagged samples once, one statistics pass over every source,
@@ -336,6 +343,7 @@ _REGISTRY = {
     "trace_anomaly_topk": trace_anomaly_topk,
     "trace_frame_profile": trace_frame_profile,
     "call_graph_edges": call_graph_edges,
+    "call_chain_edges": call_chain_edges,
     "evidence_bundle": evidence_bundle,
     "fault_level_attribution": fault_level_attribution,
     "result_json_parse": result_json_parse,

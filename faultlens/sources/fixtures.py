@@ -229,6 +229,39 @@ FROM ({DIMS2_SQL}) d
 """
 
 
+# ----------------------------------------------------------------- call chains
+def spans_from_conversations(conv: DataFrame) -> DataFrame:
+    """Nested spans from conversations: (conv_id, turn) is a span, (conv_id,
+    turn - 1) its parent, the role its service; pod = role-{conv_id % 3},
+    node = node-0{1 + conv_id % 3}; the turn orders spans in time."""
+    sid = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    pod = F.concat(F.col("role"), F.lit("-"), (F.col("conv_id") % 3).cast("string"))
+    node = F.concat(F.lit("node-0"), (F.lit(1) + F.col("conv_id") % 3).cast("string"))
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    refs = F.when(F.col("turn") > 0, F.array(F.struct(sid(F.col("turn") - 1).alias("spanID")))).otherwise(
+        F.array().cast("array<struct<spanID:string>>"))
+    return conv.select(
+        F.col("turn").cast("long").alias("timestamp_ns"), sid(F.col("turn")).alias("spanID"),
+        F.lit("reply").alias("operationName"), F.octet_length("text").cast("long").alias("duration"),
+        F.struct(F.col("role").alias("serviceName"),
+                 F.array(tag("name", pod), tag("node_name", node)).alias("tags")).alias("process"),
+        refs.alias("references"), F.array().cast("array<struct<key:string,value:string>>").alias("tags"))
+
+
+def conversation_window(conv: DataFrame) -> DataFrame:
+    """One window covering every turn (scope ``conversations``)."""
+    return conv.agg(F.lit("conversations").alias("uuid"), F.min("turn").cast("long").alias("start_timestamp"),
+                    F.max("turn").cast("long").alias("end_timestamp"))
+
+
+CONV_SPANS_SQL = """
+SELECT CAST(turn AS BIGINT) AS timestamp_ns, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS spanID,
+       CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) END AS parent_spanID,
+       role || '-' || CAST(conv_id % 3 AS VARCHAR) AS child_pod, role AS service_name
+FROM conversations
+"""
+
+
 # --------------------------------------------------------------------- metrics
 def metric_points_from_events(events: DataFrame) -> DataFrame:
     """Tall metric samples: one row per event, metric = event type, value in
