@@ -15,9 +15,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # long-running driver: release unreferenced shuffles/broadcasts promptly,
-    # keep little per-execution history
-    "spark.cleaner.periodicGC.interval": "1min",
+    # long-running driver: keep little per-execution history
     "spark.sql.ui.retainedExecutions": "50",
 }
 
