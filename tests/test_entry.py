@@ -70,3 +70,6 @@ def test_plan_shape(spark, capsys):
     assert "CartesianProduct" not in scored and "BroadcastNestedLoopJoin" not in scored
     # Python appears only in the model fit (one FlatMapGroupsInPandas), never on the scoring join
     assert scored.count("FlatMapGroupsInPandas") == 1
+    # per-incident top-k: Spark limits each group before the shuffle
+    topk = _plan(queries()["span_status_combos"](spark, SF_SMALL), capsys)
+    assert "WindowGroupLimit" in topk
