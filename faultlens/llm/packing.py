@@ -27,10 +27,12 @@ from faultlens.llm.common import strings
 
 SEQUENCE = 2048
 GROUP = 4096
-CACHE = 400_000          # words a Python worker remembers with their ids
+CACHE = 800_000          # words a Python worker remembers with their ids
+CACHE_RUNS = 700_000     # lower-cased letter runs and punctuation runs it remembers
 LONG_WORD = 64           # longer ones are tokenised, not remembered
 
-_SPACE = re.compile("[ \n]+")
+# letters, then ASCII punctuation: the tokenizer's own split falls between the two
+_RUNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _STATE: dict = {}
 
 
@@ -44,8 +46,8 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _STATE.update(path=path, tok=tok, ids={})
-    return _STATE["tok"], _STATE["ids"]
+        _STATE.update(path=path, tok=tok, ids={}, runs={"": b""})
+    return _STATE["tok"], _STATE["ids"], _STATE["runs"]
 
 
 def _learn(tok, words: list[str], ids: dict) -> None:
@@ -76,26 +78,51 @@ def _learn(tok, words: list[str], ids: dict) -> None:
                 start = stop
 
 
+def _file(tok, words: list[str], known: dict, runs: dict) -> None:
+    """File the ids of new ``words``, by way of their runs where they are letters and then punctuation."""
+    parts, rest, new = [], [], set()
+    for w in words:
+        m = _RUNS.fullmatch(w) if len(w) <= LONG_WORD and "\u03a3" not in w else None   # capital sigma has two lower cases
+        if m is None:
+            rest.append(w)
+            continue
+        a, b = m.group(1).lower(), m.group(2)
+        parts.append((w, a, b))
+        if a not in runs:
+            new.add(a)
+        if b not in runs:
+            new.add(b)
+    if new:
+        _learn(tok, list(new), runs)
+    for w, a, b in parts:
+        known[w] = runs[a] + runs[b]
+    if rest:
+        _learn(tok, rest, known)
+    if len(runs) > CACHE_RUNS:
+        runs.clear()
+        runs[""] = b""
+
+
 def encode(texts: list[str], path: str, end_id: int = 0) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text, ``end_id`` last."""
-    tok, known = _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
+    tok, known, runs = _tokenizer(path)
     tail = np.array([end_id], "<u4").tobytes()
     out = []
     for k in range(0, len(texts), 512):  # a few MB of words at a time
-        split = [_SPACE.split(t) for t in texts[k:k + 512]]
-        new = {w for words in split for w in words if w not in known}
-        new.discard("")
+        if len(known) > CACHE:
+            known.clear()
         known[""] = b""
+        split = [t.replace("\n", " ").split(" ") for t in texts[k:k + 512]]
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        new = {w for w in new if w not in known}
         if new:
-            _learn(tok, list(new), known)
+            _file(tok, list(new), known, runs)
         for words in split:
-            out.append(b"".join([known[w] for w in words]) + tail)
+            out.append(b"".join(map(known.__getitem__, words)) + tail)
         for w in [w for w in new if len(w) > LONG_WORD]:
             del known[w]
-        if len(known) > CACHE:
-            known.clear()
     return out
 
 
