@@ -133,7 +133,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
 
     # the ranges may leave the first stripes empty, so the first one is the lowest number there is
     first = ranged.agg(F.min("stripe")).first()[0]
-    seeds = stored(meet(query.select("*", F.lit(first).alias("stripe"), F.lit(None).cast("double").alias("least"))), "seeds")
+    seeds = stored(meet(query.select("*", F.explode(F.array(F.lit(first))).alias("stripe"), F.lit(None).cast("double").alias("least"))), "seeds")
     reached = seeds.groupBy(F.col("query_id").alias("vec_id"), "qkey").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
     later = (query.join(reached, ["vec_id", "qkey"], "left")
