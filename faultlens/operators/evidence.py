@@ -100,7 +100,9 @@ def service_of_pod(pod: Column) -> Column:
 
 
 def affected_pods(log_rollup: DataFrame, status: DataFrame, pod_shift: DataFrame) -> DataFrame:
-    """Evidence rows (uuid, pod, node, source) from logs, failing calls and shifted pod metrics."""
+    """Evidence rows (uuid, pod, node, source) from logs, failing calls and shifted pod metrics.
+
+    ``status``: all counted combinations (``status_counts``), not the report's top rows."""
     a = log_rollup.select("uuid", F.col("pod_name").alias("pod"), F.col("node_name").alias("node"),
                           F.lit("log").alias("source"))
     b = status.where(F.col("child_pod") != "N/A").select(
@@ -173,7 +175,7 @@ def result_records(attribution: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def parse_results(answers: DataFrame, text: str = "answer_text") -> DataFrame:
     """X12 + X13: extract the JSON object, parse with the result schema,
-    default missing fields, truncate reason and observations to 20 words."""
+    default missing fields, keep the incident's own uuid, truncate reason and observations to 20 words."""
     obj = F.from_json(extract_json_object(F.col(text)), RESULT)
     p = answers.select(F.col("uuid").alias("_uuid"), obj.alias("o"))
     steps = F.coalesce(F.col("o.reasoning_trace"),
@@ -181,6 +183,6 @@ def parse_results(answers: DataFrame, text: str = "answer_text") -> DataFrame:
     steps = F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["action"].alias("action"),
                                                   first_words(s["observation"], REASON_WORDS).alias("observation")))
     return p.select(F.coalesce(F.col("o.component"), F.lit("")).alias("component"),
-                    F.coalesce(F.col("o.uuid"), F.col("_uuid")).alias("uuid"),
+                    F.col("_uuid").alias("uuid"),
                     first_words(F.coalesce(F.col("o.reason"), F.lit("")), REASON_WORDS).alias("reason"),
                     steps.alias("reasoning_trace"))

@@ -6,21 +6,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.operators.traces import EDGE
 
 
-def write_csv_by_incident(df: DataFrame, path: str, order: list, mode: str = "overwrite") -> None:
-    """K1 / K2 / K3: header CSV, one folder per uuid, rows sorted inside it."""
-    (df.repartition("uuid").sortWithinPartitions("uuid", *order)
-       .write.mode(mode).option("header", True).partitionBy("uuid").csv(path))
+def _replacing(df: DataFrame, *keys: str):
+    """A writer that replaces the folders of the keys it writes and leaves all others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
 
 
-def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
-    """K4 / K5: JSON lines (results are appended, one object per incident)."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_csv_by_incident(df: DataFrame, path: str, order: list, drop: tuple = ()) -> None:
+    """K1 / K2 / K3: header CSV, one folder per uuid, rows in ``order`` inside it; ``drop``: columns only used to
+    sort. Earlier incidents stay; an incident that is run again replaces its own folder."""
+    rows = df.repartition("uuid").sortWithinPartitions("uuid", *order).drop(*drop)
+    _replacing(rows, "uuid").option("header", True).csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """K4 / K5: JSON lines, a folder per incident (``incident=<uuid>``); a replay replaces, never doubles."""
+    rows = df.withColumn("incident", F.col("uuid")).repartition("incident")
+    _replacing(rows, "incident").option("ignoreNullFields", False).json(path)
+
+
+def write_table_by_incident(df: DataFrame, path: str) -> None:
+    """Parquet, a folder per incident that a replay replaces."""
+    _replacing(df, "uuid").parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list | None = None, mode: str = "overwrite") -> None:
@@ -44,6 +57,8 @@ def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], DataFrame]) ->
     """
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing table
+    except AnalysisException as e:   # only a missing or never finished table is fitted anew
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         fit().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)

@@ -80,8 +80,8 @@ ENRICHED_COLUMNS = ("uuid", "timestamp_ns", "parent_spanID", "spanID", "parent_p
 
 
 # ------------------------------------------------------------------------ T10
-def status_combinations(enriched: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """Failing status combinations per incident."""
+def status_counts(enriched: DataFrame) -> DataFrame:
+    """Every failing status combination per incident, counted."""
     tags = F.col("tags")
     s = enriched.where(X.has_status_tag(tags))
     s = s.where(X.has_tag(tags, X.STATUS_CODE_KEY) & X.has_tag(tags, X.STATUS_MESSAGE_KEY))
@@ -95,8 +95,12 @@ def status_combinations(enriched: DataFrame, top_n: int = TOP_N) -> DataFrame:
         X.last_tag_value(tags, X.STATUS_CODE_KEY).alias("status_code"),
         X.last_tag_value(tags, X.STATUS_MESSAGE_KEY).alias("status_message"),
     ).where(~F.col("status_code").eqNullSafe(F.lit(X.OK_STATUS_CODE)))
-    g = s.groupBy("uuid", *STATUS_KEYS).agg(F.count(F.lit(1)).alias("occurrence_count"))
-    return top_per_incident(g, "occurrence_count", STATUS_KEYS, top_n).withColumn(
+    return s.groupBy("uuid", *STATUS_KEYS).agg(F.count(F.lit(1)).alias("occurrence_count"))
+
+
+def status_combinations(enriched: DataFrame, top_n: int = TOP_N) -> DataFrame:
+    """The report, the ``top_n`` most frequent combinations of each incident."""
+    return top_per_incident(status_counts(enriched), "occurrence_count", STATUS_KEYS, top_n).withColumn(
         "occurrence_text", F.concat(F.lit(COUNT_TEXT_PREFIX), F.col("occurrence_count").cast("string")))
 
 
@@ -188,7 +192,7 @@ def _forest_leaves(x: np.ndarray, rng: np.random.Generator, n_trees: int, psi: i
 
     In one dimension every node holds a contiguous run of its tree's sorted
     subsample, so a whole level of all trees splits with one vectorised
-    ``searchsorted``. Returns (cuts, leaves) with leaves as arrays
+    binary search inside each run. Returns (cuts, leaves) with leaves as arrays
     (tree, lo_exclusive, hi_inclusive, path_length).
     """
     n = len(x)
@@ -197,9 +201,6 @@ def _forest_leaves(x: np.ndarray, rng: np.random.Generator, n_trees: int, psi: i
         v = np.sort(x[idx], axis=1)
     else:
         v = np.tile(np.sort(x), (n_trees, 1))
-    base, span = v.min(), float(v.max() - v.min())
-    stride = span + 1.0
-    flat = (v - base + np.arange(n_trees)[:, None] * stride).ravel()
     tree = np.arange(n_trees)
     a = np.zeros(n_trees, dtype=np.int64)
     b = np.full(n_trees, psi, dtype=np.int64)
@@ -217,9 +218,14 @@ def _forest_leaves(x: np.ndarray, rng: np.random.Generator, n_trees: int, psi: i
             leaves.append((tree[leaf], lo[leaf], hi[leaf], depth + _c(m[leaf])))
         keep = ~leaf
         tree, a, b, lo, hi, vmin, vmax = (arr[keep] for arr in (tree, a, b, lo, hi, vmin, vmax))
-        t = vmin + rng.random(len(tree)) * (vmax - vmin)
+        # a cut below the largest value leaves both sides non-empty, however close the values are
+        t = np.minimum(vmin + rng.random(len(tree)) * (vmax - vmin), np.nextafter(vmax, -np.inf))
         cuts.append(t)
-        k = np.searchsorted(flat, t - base + tree * stride, side="right") - tree * psi
+        k, top = a.copy(), b.copy()      # first place in the tree's own run with a value above the cut
+        while (k < top).any():
+            mid = (k + top) // 2
+            above = v[tree, np.minimum(mid, psi - 1)] > t
+            top, k = np.where(above & (k < top), mid, top), np.where(~above & (k < top), mid + 1, k)
         tree = np.concatenate([tree, tree])
         a, b = np.concatenate([a, k]), np.concatenate([k, b])
         lo, hi = np.concatenate([lo, t]), np.concatenate([t, hi])

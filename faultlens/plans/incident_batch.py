@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultlens.functions.time import NS_PER_HOUR
 from faultlens.operators import evidence as E
@@ -86,16 +87,19 @@ def run_incident_batch(spark: SparkSession, incidents: DataFrame, logs: DataFram
     metric_json = M.evidence_json(svc, db, node, pod)
 
     bundle = E.evidence_bundle(log_rollup, topk, status, E.metric_shift_rows(node, pod, svc))
-    evidence = _stage(spark, E.affected_pods(log_rollup, status, pod), f"{work_dir}/affected")
+    evidence = _stage(spark, E.affected_pods(log_rollup, T.status_counts(enriched), pod), f"{work_dir}/affected")
     components = E.components_from(metric_points.where("source in ('node', 'infra_pod', 'pod')"))
     attribution = E.fault_level(evidence, node, components)
     results = E.parse_results(E.result_records(attribution, evidence))
 
-    K.write_csv_by_incident(log_rollup, f"{out_dir}/logs", ["occurrence_count"])
-    K.write_csv_by_incident(topk.drop("anomaly_count_text"), f"{out_dir}/traces", ["rank"])
-    K.write_csv_by_incident(status.drop("occurrence_text"), f"{out_dir}/status", ["rank"])
-    K.write_json_lines(metric_json, f"{out_dir}/metrics", mode="overwrite")
-    K.write_parquet(bundle, f"{out_dir}/bundle")
-    K.write_json_lines(results, f"{out_dir}/results", mode="append")
+    K.write_csv_by_incident(log_rollup, f"{out_dir}/logs", [F.desc("occurrence_count"), "pod_name", "node_name", "message"])
+    # the count columns hold the display text
+    K.write_csv_by_incident(topk.withColumn("anomaly_count", F.col("anomaly_count_text")).drop("anomaly_count_text"),
+                            f"{out_dir}/traces", ["rank"], drop=("rank",))
+    K.write_csv_by_incident(status.withColumn("occurrence_count", F.col("occurrence_text")).drop("occurrence_text"),
+                            f"{out_dir}/status", ["rank"], drop=("rank",))
+    K.write_json_lines(metric_json, f"{out_dir}/metrics")
+    K.write_table_by_incident(bundle, f"{out_dir}/bundle")
+    K.write_json_lines(results, f"{out_dir}/results")
     return {"log_rollup": log_rollup, "trace_topk": topk, "status": status, "metric_json": metric_json,
             "bundle": bundle, "attribution": attribution, "results": results}

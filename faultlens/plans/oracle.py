@@ -128,7 +128,7 @@ _SK = ", ".join(S.STATUS_KEYS)
 SPAN_ENRICH = _q(f"""SELECT uuid, timestamp_ns, parent_spanID, spanID, parent_pod, child_pod, parent_service,
   service_name, node_name, operationName, duration FROM {_ENR} e""")
 
-_STATUS = f"""(
+_STATUS_ROWS = f"""(
 WITH s AS (SELECT uuid, coalesce(node_name, 'N/A') AS node_name,
              coalesce(CASE WHEN service_name = 'redis' THEN 'redis-cart' ELSE service_name END, 'N/A') AS service_name,
              coalesce(parent_pod, 'N/A') AS parent_pod, coalesce(child_pod, 'N/A') AS child_pod,
@@ -137,8 +137,9 @@ WITH s AS (SELECT uuid, coalesce(node_name, 'N/A') AS node_name,
 g AS (SELECT uuid, {_SK}, CAST(count(*) AS BIGINT) AS occurrence_count FROM s GROUP BY uuid, {_SK}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY uuid ORDER BY occurrence_count DESC,
       {', '.join(k + ' NULLS FIRST' for k in S.STATUS_KEYS)}) AS INTEGER) AS rank FROM g)
-SELECT *, '{T.COUNT_TEXT_PREFIX}' || CAST(occurrence_count AS VARCHAR) AS occurrence_text FROM r WHERE rank <= {T.TOP_N}
-)"""
+SELECT *, '{T.COUNT_TEXT_PREFIX}' || CAST(occurrence_count AS VARCHAR) AS occurrence_text FROM r"""
+_STATUS_ALL = f"{_STATUS_ROWS}\n)"          # attribution uses every combination, the report its top rows
+_STATUS = f"{_STATUS_ROWS} WHERE rank <= {T.TOP_N}\n)"
 SPAN_STATUS_COMBOS = _q(f"SELECT * FROM {_STATUS} t")
 
 
@@ -234,7 +235,7 @@ FROM c
 
 _EVIDENCE = f"""(
   SELECT uuid, pod_name AS pod, node_name AS node, 'log' AS source FROM {_LOG_ROLLUP} a
-  UNION ALL SELECT uuid, child_pod, CASE WHEN node_name <> 'N/A' THEN node_name END, 'trace' FROM {_STATUS} b
+  UNION ALL SELECT uuid, child_pod, CASE WHEN node_name <> 'N/A' THEN node_name END, 'trace' FROM {_STATUS_ALL} b
     WHERE child_pod <> 'N/A'
   UNION ALL SELECT uuid, pod, instance, 'metric' FROM {_POD_SHIFT} c WHERE status = 'shifted'
 )"""

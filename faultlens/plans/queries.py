@@ -297,7 +297,7 @@ def evidence_bundle(spark, sf_dir):
 
 def _attribution(spark, sf_dir):
     mp = _MetricParts(spark, sf_dir, ("node", "infra_pod"))
-    evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), span_status_combos(spark, sf_dir), mp.pod()))
+    evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), T.status_counts(_enriched(spark, sf_dir)), mp.pod()))
     return E.fault_level(evidence, mp.node(), E.components_from(mp.points)), evidence
 
 

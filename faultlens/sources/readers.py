@@ -12,8 +12,8 @@ Layout (per day)::
     {root}/{date}/metric-parquet/infra/infra_pod/infra_pod_<metric>_{date}.parquet
 
 Every reader is one multi-path Parquet scan (file pruning by the hours /
-dates an incident batch touches, lineage via ``_metadata.file_name``,
-corrupt files skipped) and returns a DataFrame with an explicit schema.
+dates an incident batch touches, lineage via ``_metadata.file_name``; any
+numeric type is cast, a file that cannot be read raises) and returns a DataFrame with an explicit schema.
 Metric sources are normalised to one tall table (schema METRIC_POINTS) so
 one pass of statistics serves every source.
 """
@@ -81,26 +81,41 @@ def _glob_alt(values: Iterable[str]) -> str:
     return vals[0] if len(vals) == 1 else "{" + ",".join(vals) + "}"
 
 
+def _type(name: str) -> T.DataType:
+    return T._parse_datatype_string(name)
+
+
 def _read(spark: SparkSession, schema: T.StructType, path: str, lineage: bool = True) -> DataFrame:
     out_schema = T.StructType(schema.fields + ([T.StructField("source_file", T.StringType())] if lineage else []))
     try:
-        df = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path))
-        return df.withColumn("source_file", F.col("_metadata.file_name")) if lineage else df
+        listed = spark.read.format("binaryFile").load(path).select("path")
+        # files of one column layout are one scan; numeric columns are cast to the schema's type (a bad file raises)
+        layouts: dict[tuple, list[str]] = {}
+        wanted = {f.name: f.dataType for f in schema}
+        for (file,) in listed.collect():     # file names of the incident batch's hours or days
+            own = {f.name: f.dataType for f in spark.read.parquet(file).schema if f.name in wanted}
+            kind = tuple(n for n, t in wanted.items() if isinstance(t, T.NumericType) and n in own and own[n] != t)
+            layouts.setdefault(tuple((n, own[n].simpleString()) for n in kind), []).append(file)
+        parts = []
+        for kind, files in layouts.items():
+            stored = dict(kind)
+            df = spark.read.schema(T.StructType([T.StructField(f.name, _type(stored[f.name]) if f.name in stored else f.dataType)
+                                                 for f in schema])).parquet(*files)
+            df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema],
+                           *([F.col("_metadata.file_name").alias("source_file")] if lineage else []))
+            parts.append(df)
+        if not parts:
+            return spark.createDataFrame([], out_schema)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     except AnalysisException as e:  # no file matched: empty input, not an error
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], out_schema)
         raise
 
 
-MAX_GLOB_HOURS = 256   # beyond this, whole days are listed (the time filter drops the extra rows)
-
-
-def _hour_glob(hours: Sequence[str]) -> str:
-    if len(set(hours)) <= MAX_GLOB_HOURS:
-        return _glob_alt(hours)
-    return _glob_alt({h.split("_")[0] + "_" for h in hours})   # the caller appends "*"
-
-
 def read_hourly(spark: SparkSession, root: str, kind: str, hours: Sequence[str],
                 schema: T.StructType, lineage: bool = False) -> DataFrame:
     """Every hourly file of ``kind`` (``log`` | ``trace``) whose
@@ -109,7 +124,7 @@ def read_hourly(spark: SparkSession, root: str, kind: str, hours: Sequence[str],
     if not hours:
         return spark.createDataFrame([], T.StructType(
             schema.fields + ([T.StructField("source_file", T.StringType())] if lineage else [])))
-    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_hour_glob(hours)}*", lineage)
+    return _read(spark, schema, f"{root}/*/{kind}-parquet/*{_glob_alt(hours)}*", lineage)
 
 
 def read_logs(spark: SparkSession, root: str, incidents: DataFrame, lineage: bool = False) -> DataFrame:
