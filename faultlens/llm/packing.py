@@ -27,8 +27,8 @@ from faultlens.llm.common import strings
 
 SEQUENCE = 2048
 GROUP = 4096
-CACHE = 800_000          # words a Python worker remembers with their ids
-CACHE_RUNS = 700_000     # lower-cased letter runs and punctuation runs it remembers
+CACHE = 300_000          # words a Python worker remembers with their ids
+CACHE_RUNS = 400_000     # lower-cased letter runs and punctuation runs it remembers
 LONG_WORD = 64           # longer ones are tokenised, not remembered
 
 # letters, then ASCII punctuation: the tokenizer's own split falls between the two

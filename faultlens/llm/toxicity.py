@@ -29,7 +29,7 @@ MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 24_000
 BAGS = 4
 FEATURES = 4_096          # kept by each bag
-HASH_BITS = 22
+HASH_BITS = 20
 DEFAULT_PRIOR = 0.1
 THRESHOLD = 0.3
 
