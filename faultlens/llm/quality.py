@@ -45,9 +45,10 @@ def votes(text: str) -> list[int]:
     n = len(words)
     if not n:
         return [0] + [-1] * (len(LABELLERS) - 1)
-    letters = sum(map(str.isalpha, text)) or 1
-    capitals = sum(map(str.isupper, text)) / letters
-    symbols = sum(text.count(s) for s in _SYMBOLS) / n
+    chars = Counter(text)
+    letters = sum(k for c, k in chars.items() if c.isalpha()) or 1
+    capitals = sum(k for c, k in chars.items() if c.isupper()) / letters
+    symbols = sum(chars[s] for s in _SYMBOLS) / n
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     repeats = 1 - len(set(lines)) / len(lines)
     top = Counter(words).most_common(1)[0][1] / n
