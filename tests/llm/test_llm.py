@@ -385,6 +385,54 @@ def test_licenses(spark, both):
     assert licenses.license_scan(empty(spark)).count() == 0
 
 
+def license_names(pattern):
+    """One text for each alternative of a family's names."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    for x in parts:
+        x = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\?", "", x)
+        x = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", x)
+        yield x.replace("[0-9]", "2").replace("[cs]", "c").replace("[a-z]*", "").replace(" ?", "")
+
+
+def test_license_keywords_drop_no_detection(spark):
+    table, forms = licenses.rules(), [
+        "spdx license identifier {n}", "licensed under {n}", "relicensed under the {n}", "released under {n}", "subject to the {n}",
+        "distributed under the terms of the {n}", "published under {n}", "available under the {n}", "provided under {n}",
+        "under the terms of the {n}", "under terms and conditions of {n}", "{n} as published by us", "{n} version 2", "{n} v2",
+        "{n} licence", "{n} license", "copy of the {n}", "see {n}", "read the {n}"]
+    for label, names, _ in licenses.FAMILIES:
+        for n in license_names(names):
+            for f in forms:
+                words = licenses.words_of(f.format(n=n))
+                hits = licenses.scan(b" ".join(words), table, words)
+                assert hits and hits == licenses.scan(b" ".join(words), table), (label, n, f)
+                assert not licenses.gate(table).isdisjoint(words)
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        words = licenses.words_of(row["text"] or "")
+        spaced = b" ".join(words)
+        assert licenses.scan(spaced, table, words) == licenses.scan(spaced, table)
+        if licenses.gate(table).isdisjoint(words):
+            assert not licenses.scan(spaced, table) and not licenses.base_places(spaced)
+
+
+def test_license_containment_brute_force():
+    table = licenses.rules()
+    text = "see mit license version 2 see gnu gpl v2 licensed under the gnu gpl licence copy of gpl v2 under the terms of mit license " * 20
+    spaced = b" ".join(licenses.words_of(text))
+    found = [(m.start(), m.end() - 1, r[1], r[3]) for r in table for m in r[2].finditer(b" " + spaced)]
+    kept = []
+    for x in found:
+        if not any(a <= x[0] and x[1] <= b for a, b, *_ in kept):
+            kept.append(x)
+    assert licenses.scan(spaced, table) == sorted(kept)
+
+
 def test_license_rules_priority_and_containment():
     table = licenses.rules()
     assert len(table) >= 300 and [r[0] for r in table] == list(range(len(table)))
