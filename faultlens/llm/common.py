@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.session import ensure_checkpoint_dir
 
+FOREST_NODES = 200_000   # nodes a task's spanning forest holds at a time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,22 +40,62 @@ def strings(batch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """A spanning forest of each task's edges ``a, b``, as edges from a tree's smallest node to the others.
+
+    Nodes that stand alone stay as self loops. A task lets go of its trees at ``FOREST_NODES`` nodes, so memory is
+    bounded; connectivity over all tasks is kept.
+    """
+    def trees(up: dict) -> pa.RecordBatch:
+        roots = []
+        for x in up:
+            r = x
+            while up[r] != r:
+                r = up[r]
+            up[x] = r
+            roots.append(r)
+        a, b = np.array(roots, np.int64), np.fromiter(up, np.int64, len(up))
+        lone = ~np.isin(b, a[a != b])
+        keep = (a != b) | lone
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    def run(batches):
+        up: dict[int, int] = {}
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x_up, y_up = up.setdefault(x, x), up.setdefault(y, y)
+                while x_up != x:
+                    up[x] = x_up = up[x_up]
+                    x, x_up = x_up, up[x_up]
+                while y_up != y:
+                    up[y] = y_up = up[y_up]
+                    y, y_up = y_up, up[y_up]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= FOREST_NODES:
+                yield trees(up)
+                up.clear()
+        if up:
+            yield trees(up)
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, comp)``, ``comp`` the smallest node.
 
-    Alternating large-star and small-star steps: every step is one grouped minimum (partial
-    aggregation, so a hub is summed map-side) and one equi-join; each round's edges are written to the
-    shared checkpoint folder. Nodes without edges do not appear. Null ends are dropped, self loops kept
-    as nodes. An empty table gives an empty table.
+    Alternating large-star and small-star steps, each over the spanning forests of the tasks that read the edges, so
+    that long chains take few rounds. Every step is one grouped minimum (partial aggregation, so a hub is summed
+    map-side) and one equi-join; each round's edges are written to the shared checkpoint folder. Nodes without edges do
+    not appear. Null ends are dropped, self loops kept as nodes. An empty table gives an empty table.
     """
-    first = stored(edges.where("a IS NOT NULL AND b IS NOT NULL")
-                   .selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), name)
+    first = stored(forest(edges.where("a IS NOT NULL AND b IS NOT NULL")), name)
     cur, before = first.where("a < b"), None
     while True:
-        both = cur.union(cur.selectExpr("b", "a"))
+        cur = forest(cur)
         # large star: hang every larger neighbour of a node on the node's smallest neighbour (or itself)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        up = both.where("b > a").join(low, "a").select("m", "b").distinct()
+        low = cur.union(cur.selectExpr("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        up = fresh(cur).join(fresh(low), "a").select("m", "b")
         # small star: hang a node and its smaller neighbours on the smallest of them
         least = up.groupBy("b").agg(F.min("m").alias("a"))
         cur = stored(least.select("a", "b").union(

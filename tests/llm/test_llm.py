@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat, decontam, html, jaccard, licenses, packing, pii, quality, topk, toxicity
+from faultlens.llm import chat, common, decontam, html, jaccard, licenses, packing, pii, quality, topk, toxicity
 from faultlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -356,6 +356,36 @@ def test_jaccard(spark, both, monkeypatch, block, frequent, min_count):
         assert rows_of(jaccard.components(df), "doc_id", "n_shingles", "component_id") == true_components(rows)
 
 
+@pytest.mark.parametrize("nodes", [1, 20, 200_000])
+def test_connected(spark, monkeypatch, nodes):
+    """Chains, stars, rings, lone and null ends against a walk over the graph, whatever the forests hold at a time."""
+    monkeypatch.setattr(common, "FOREST_NODES", nodes)
+    rng = random.Random(nodes)
+    name = rng.sample(range(-10 ** 12, 10 ** 12), 3000)
+    edges = [(i, i + 1) for i in range(300)] + [(400, i) for i in range(401, 700)] + [(700 + i, 700 + (i + 1) % 50) for i in range(50)]
+    edges += [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(450)] + [(2500, 2500)] + [(5, 4)] * 20
+    rng.shuffle(edges)
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, seen = [], set()
+    for x in near:
+        if x in seen:
+            continue
+        own, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - own
+            own |= new
+            todo += new
+        seen |= own
+        want += [(name[y], min(name[z] for z in own)) for y in own]
+    rows = [(name[a], name[b]) for a, b in edges] + [(None, 3), (3, None), (None, None)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    assert rows_of(common.connected(df, "t"), "node", "comp") == sorted(want, key=repr)
+    assert common.connected(df.limit(0), "t").count() == 0
+
+
 def test_jaccard_stage_and_empty(spark, odd):
     assert jaccard.components(empty(spark)).count() == 0
     kept = jaccard.one_of_each(odd)
