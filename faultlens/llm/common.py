@@ -40,6 +40,13 @@ def strings(batch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(batches, rows: int = 1024):
+    """The Arrow batches in smaller ones, so that a task holds few texts as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """A spanning forest of each task's edges ``a, b``, as edges from a tree's smallest node to the others.
 

@@ -14,6 +14,7 @@ table; columns other than the two named ones are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import strings
+from faultlens.llm.common import slices, strings
 
 SEQUENCE = 2048
 GROUP = 4096
-CACHE = 300_000          # words a Python worker remembers with their ids
-CACHE_RUNS = 400_000     # lower-cased letter runs and punctuation runs it remembers
+CACHE = 100_000          # words in each of a Python worker's two generations of known words
+CACHE_RUNS = 250_000     # letter runs and punctuation runs in each of its two generations
+LOTS = 16                # strings tokenised at a time
+ROWS = 256               # texts split at a time
 LONG_WORD = 64           # longer ones are tokenised, not remembered
 
 # letters, then ASCII punctuation: the tokenizer's own split falls between the two
@@ -41,21 +44,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
+class _Recent(dict):
+    """The latest entries, in two generations: what is met again moves to the young one, the old one is dropped whole."""
+
+    def __init__(self, size: int):
+        super().__init__({"": b""})
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+
+
+def _tokenizer(path: str) -> dict:
     if _STATE.get("path") != path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _STATE.update(path=path, tok=tok, ids={}, runs={"": b""})
-    return _STATE["tok"], _STATE["ids"], _STATE["runs"]
-
+        suffix, ends = getattr(tok.model, "end_of_word_suffix", None), None
+        if suffix:
+            ends = np.zeros(tok.get_vocab_size(), bool)
+            ends[[i for t, i in tok.get_vocab(False).items() if t.endswith(suffix)]] = True
+        _STATE.update(path=path, tok=tok, ends=ends, ids=_Recent(CACHE), runs=_Recent(CACHE_RUNS))
+    return _STATE
 
-def _learn(tok, words: list[str], ids: dict) -> None:
-    """Tokenise ``words`` in long joined strings and file the ids of each under the word.
 
-    This tokenizer drops white space and its splits never span it, so a word has the same ids wherever it
-    stands between spaces.
-    """
+def _lots(words: list[str]):
+    """The words in lists of about 20,000 characters, ``LOTS`` lists at a time."""
     lots, lot, size = [], [], 0
     for w in words:
         lot.append(w)
@@ -63,66 +85,98 @@ def _learn(tok, words: list[str], ids: dict) -> None:
         if size > 20_000:
             lots.append(lot)
             lot, size = [], 0
+            if len(lots) == LOTS:
+                yield lots
+                lots = []
     if lot:
         lots.append(lot)
-    for k in range(0, len(lots), 64):
-        part = lots[k:k + 64]
+    if lots:
+        yield lots
+
+
+def _learn(words: list[str], ids: dict) -> None:
+    """Tokenise ``words`` in long joined strings and file the ids of each under the word.
+
+    This tokenizer drops white space and its splits never span it, so a word has the same ids wherever it
+    stands between spaces.
+    """
+    tok = _STATE["tok"]
+    for part in _lots(words):
         for own, enc in zip(part, tok.encode_batch([" ".join(x) for x in part], add_special_tokens=False)):
             values = np.asarray(enc.ids, dtype="<u4")
             at = np.fromiter((x[0] for x in enc.offsets), np.int64, len(values))
             ends = np.cumsum(np.fromiter((len(w) + 1 for w in own), np.int64, len(own)))
-            cuts = np.searchsorted(at, ends)
-            start = 0
-            for w, stop in zip(own, cuts.tolist()):
-                ids[w] = values[start:stop].tobytes()
-                start = stop
+            _cut(own, values, np.searchsorted(at, ends), ids)
 
 
-def _file(tok, words: list[str], known: dict, runs: dict) -> None:
+def _learn_letters(words: list[str], ids: dict) -> None:
+    """As :func:`_learn`, for words of letters alone: the tokenizer never splits those before its merges, so each has
+    one id with the mark of a word's end, its last, and no offsets are needed."""
+    tok, marked = _STATE["tok"], _STATE["ends"]
+    for part in _lots(words):
+        for own, enc in zip(part, tok.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+            values = np.asarray(enc.ids, dtype="<u4")
+            cuts = np.flatnonzero(marked[values]) + 1
+            if len(cuts) == len(own):
+                _cut(own, values, cuts, ids)
+            else:                       # a letter outside the vocabulary
+                _learn(own, ids)
+
+
+def _cut(words: list[str], values: np.ndarray, cuts: np.ndarray, ids: dict) -> None:
+    raw, start = values.tobytes(), 0
+    for w, stop in zip(words, (4 * cuts).tolist()):
+        ids[w] = raw[start:stop]
+        start = stop
+
+
+def _file(words: list[str]) -> None:
     """File the ids of new ``words``, by way of their runs where they are letters and then punctuation."""
-    parts, rest, new = [], [], set()
+    known, runs = _STATE["ids"], _STATE["runs"]
+    runs.age()
+    parts, rest, letters, other = [], [], set(), set()
     for w in words:
         m = _RUNS.fullmatch(w) if len(w) <= LONG_WORD and "\u03a3" not in w else None   # capital sigma has two lower cases
-        if m is None:
+        a = m.group(1).lower() if m else ""
+        if not a.isalpha():             # other numerals, or a lower case with a combining mark
             rest.append(w)
             continue
-        a, b = m.group(1).lower(), m.group(2)
+        b = m.group(2)
         parts.append((w, a, b))
-        if a not in runs:
-            new.add(a)
-        if b not in runs:
-            new.add(b)
-    if new:
-        _learn(tok, list(new), runs)
+        if a not in runs and a not in runs.old:
+            letters.add(a)
+        if b not in runs and b not in runs.old:
+            other.add(b)
+    if letters:
+        (_learn if _STATE["ends"] is None else _learn_letters)(list(letters), runs)
+    if other:
+        _learn(list(other), runs)
     for w, a, b in parts:
         known[w] = runs[a] + runs[b]
     if rest:
-        _learn(tok, rest, known)
-    if len(runs) > CACHE_RUNS:
-        runs.clear()
-        runs[""] = b""
+        _learn(rest, known)
 
 
 def encode(texts: list[str], path: str, end_id: int = 0) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text, ``end_id`` last."""
-    tok, known, runs = _tokenizer(path)
+    state = _tokenizer(path)
+    known = state["ids"]
     tail = np.array([end_id], "<u4").tobytes()
     out = []
-    for k in range(0, len(texts), 512):  # a few MB of words at a time
-        if len(known) > CACHE:
-            known.clear()
-        known[""] = b""
-        split = [t.replace("\n", " ").split(" ") for t in texts[k:k + 512]]
-        new: set[str] = set()
+    for k in range(0, len(texts), ROWS):  # a few MB of words at a time
+        known.age()
+        split = [t.replace("\n", " ").split(" ") for t in texts[k:k + ROWS]]
+        met: set[str] = set()
         for words in split:
-            new.update(words)
-        new = {w for w in new if w not in known}
+            met.update(words)
+        new = [w for w in met if w not in known and w not in known.old]
         if new:
-            _file(tok, list(new), known, runs)
+            _file(new)
         for words in split:
             out.append(b"".join(map(known.__getitem__, words)) + tail)
-        for w in [w for w in new if len(w) > LONG_WORD]:
-            del known[w]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
     return out
 
 
@@ -133,23 +187,25 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches):
-        for b in batches:
-            doc, no, start, length, crc, ids = [], [], [], [], [], []
-            for d, raw in zip(b.column("doc_id").to_pylist(), encode(strings(b, "text"), path, end_id)):
-                n = len(raw) // 4
-                for p, s in enumerate(range(0, n, sequence)):
-                    own = raw[4 * s:4 * (s + sequence)]
-                    doc.append(d), no.append(p), start.append(s), length.append(len(own) // 4)
-                    crc.append(zlib.crc32(own))
-                    if with_ids:
-                        ids.append(own)
-            cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+        return map(cut_rows, slices(batches, ROWS))
+
+    def cut_rows(b):
+        doc, no, start, length, crc, ids = [], [], [], [], [], []
+        for d, raw in zip(b.column("doc_id").to_pylist(), encode(strings(b, "text"), path, end_id)):
+            n = len(raw) // 4
+            for p, s in enumerate(range(0, n, sequence)):
+                own = raw[4 * s:4 * (s + sequence)]
+                doc.append(d), no.append(p), start.append(s), length.append(len(own) // 4)
+                crc.append(zlib.crc32(own))
+                if with_ids:
+                    ids.append(own)
+        cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            cols.append(pa.array(ids, pa.binary()))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names)
 
     return src.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
                           + (", ids binary" if with_ids else ""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import strings
+from faultlens.llm.common import slices, strings
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 24_000
@@ -50,6 +50,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _cells(features: pd.Series):
+    """Row and feature numbers of some documents at a time."""
+    for at in range(0, len(features), 256):
+        lists = [np.frombuffer(x, "<i4") for x in features.iloc[at:at + 256]]
+        yield at + np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+
+
 def _train(pdf: pd.DataFrame, prior: float) -> pd.DataFrame:
     """One bag: choose features, then descend the non-negative risk (Adam, full batch)."""
     empty = pd.DataFrame({"feature": pd.Series([], dtype="int64"), "weight": pd.Series([], dtype="float64")})
@@ -57,24 +64,24 @@ def _train(pdf: pd.DataFrame, prior: float) -> pd.DataFrame:
     unl = pdf["unlabelled"].to_numpy(bool)
     if not pos.any() or not unl.any():
         return empty
-    lists = [np.frombuffer(x, "<i4") for x in pdf["features"]]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.concatenate(lists).astype(np.int64)
-    size = 1 << HASH_BITS
-    in_p = np.bincount(cols[pos[rows]], minlength=size)
-    in_u = np.bincount(cols[unl[rows]], minlength=size)
-    p, u = in_p / pos.sum(), in_u / unl.sum()
+    size, n = 1 << HASH_BITS, len(pdf)
+    in_p, in_u = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for rows, cols in _cells(pdf["features"]):
+        in_p += np.bincount(cols[pos[rows]], minlength=size)
+        in_u += np.bincount(cols[unl[rows]], minlength=size)
+    seen = np.flatnonzero(in_p >= 2)
+    p, u = in_p[seen] / pos.sum(), in_u[seen] / unl.sum()
     neg = np.maximum(u - prior * p, 0) / (1 - prior)
     lift = np.log((p + 0.5 / pos.sum()) / (neg + 0.5 / unl.sum()))
-    gain = np.where((in_p >= 2) & (lift > math.log(3)), p * lift, 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    kept = kept[gain[kept] > 0]
+    gain = np.where(lift > math.log(3), p * lift, 0)
+    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    kept = seen[best[gain[best] > 0]]
     if not len(kept):
         return empty
-    index = np.full(size, -1, np.int64)
+    index = np.full(size, -1, np.int32)
     index[kept] = np.arange(len(kept))
-    on = index[cols] >= 0
-    r, c, n = rows[on], index[cols[on]], len(lists)
+    held = [(rows[on], index[cols[on]]) for rows, cols in _cells(pdf["features"]) for on in [index[cols] >= 0]]
+    r, c = (np.concatenate(x) for x in zip(*held))
     w, b = np.zeros(len(kept)), math.log(prior / (1 - prior))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     wp, wu = pos / pos.sum(), unl / unl.sum()
@@ -113,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     sample = text.join(F.broadcast(picked), "doc_id")     # at most 30,000 rows of ids and flags
 
     def featurise(batches):
-        for b in batches:
+        for b in slices(batches):
             feats = []
             for t in strings(b, "text"):
                 own = {f for w in set(_WORD.findall(t.lower())) for f in word_features(w)}
@@ -144,7 +151,7 @@ def score(docs: DataFrame, model: dict[int, float], keep: list[str] | None = Non
     def run(batches):
         known: dict[str, tuple] = {}
         bias = model.get(-1, 0.0)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in strings(b, "_text_"):
                 seen: set[int] = set()

@@ -88,6 +88,16 @@ def test_packing(spark, both):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_ids_of_unusual_words():
+    """Letters of many scripts, capitals whose lower case has a mark, other numerals: ids as of the whole text."""
+    rng = random.Random(2)
+    stock = [chr(c) for c in range(0x21, 0x2FFF) if chr(c).isprintable()] + list("\u0130\u03a3\u03c3\u03c2\u00df'!.st\u2162\u00b2\U00020BB7")
+    texts = [" ".join("".join(rng.choices(stock[-14:] if rng.random() < 0.5 else stock, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(300)]
+    texts += ["\u0130' I\u0307! \u0130\u0130", "it's 'st don't", "a\nb\r\nc\td", "x" * 70 + "!"]
+    got = packing.encode(texts, packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokens(t) for t in texts]
+
+
 def test_packing_rule_by_hand():
     rng = random.Random(3)
     items = sorted((rng.randint(1, 40) for _ in range(300)), reverse=True)
