@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -40,11 +41,21 @@ def strings(batch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark keeps a Python worker for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # there with glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, rows: int = 1024):
     """The Arrow batches in smaller ones, so that a task holds few texts as Python strings."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    give_back()
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -84,6 +95,8 @@ def forest(edges: DataFrame) -> DataFrame:
                 up.clear()
         if up:
             yield trees(up)
+        up.clear()
+        give_back()
 
     return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
 

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import slices, strings
+from faultlens.llm.common import give_back, slices, strings
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 24_000
 BAGS = 4
 FEATURES = 4_096          # kept by each bag
 HASH_BITS = 20
+CACHE = 100_000           # words a scoring task remembers with their features
 DEFAULT_PRIOR = 0.1
 THRESHOLD = 0.3
 
@@ -163,10 +164,12 @@ def score(docs: DataFrame, model: dict[int, float], keep: list[str] | None = Non
                         seen.update(f)
                 z = bias + math.fsum(model[x] for x in seen)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                if len(known) > 300_000:
+                if len(known) > CACHE:
                     known.clear()
             cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(out, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], name])
+        known.clear()
+        give_back()
 
     return src.mapInArrow(run, schema)
 
