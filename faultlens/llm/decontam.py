@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import strings
+from faultlens.llm.common import slices as small_batches, strings
 
 MIN_WORDS = 5
 SLICE_CHARS = 8 << 20
@@ -146,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, slice_chars: int = SLICE_CHAR
         get = _shared(docs.sparkSession, items)
 
         def run(batches, get=get, any_item=bool(items)):
-            for b in batches:
+            for b in small_batches(batches):
                 rows = []
                 if any_item:
                     items, machine = get()
@@ -167,7 +167,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, slice_chars: int =
         get = _shared(docs.sparkSession, items)
 
         def run(batches, get=get):
-            for b in batches:
+            for b in small_batches(batches):
                 items, machine = get()
                 clean = [not find(t, items, machine) for t in strings(b, "text")]
                 yield b.filter(pa.array(clean, pa.bool_()))
