@@ -1,11 +1,12 @@
 """Main text of HTML pages by site template removal.
 
-Element subtrees are hashed (tag, class, id, role and text; subtrees outside a page's article also by their shape
-without text), counted per host in Spark, and deleted where they recur on ``MIN_PAGES`` or more different
-pages of that host. Elements that say what they are (nav, header, footer, aside, form, script, style, and classes or
-roles for menus, adverts, notices, comments) go everywhere, for hosts with few pages.
-The text of an <article> (else <main>, else the body) remains. Inside an article or main, paragraphs, headings, lists and
-tables are content and are never taken for template: a passage that many articles quote stays.
+Element subtrees are hashed (tag, class, id, role and text), counted per host in Spark, and deleted where they recur
+on ``MIN_PAGES`` or more different pages of that host, inside and outside a page's article. Inside an <article> or
+<main>, paragraphs, headings, lists and tables are content and are never taken for template: a passage that many
+articles quote stays. Text outside the article stays where it does not recur. A host with fewer than ``MIN_PAGES``
+different pages shows no template: there the text of an <article> (else <main>, else the body) alone remains.
+Elements that say what they are (nav, header, footer, aside, form, script, style, and classes, ids or roles for menus,
+adverts, notices, comments) go everywhere.
 Pages whose texts are the same count as one, so copies of a page do not turn it into a template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
@@ -28,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.llm.common import small_side, stored
+
 MIN_PAGES = 10
 
 # fixed values of HTML
@@ -51,6 +54,7 @@ DROP_NAMES = {"nav", "navbar", "navigation", "menu", "header", "footer", "sideba
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMES = re.compile(r"[A-Za-z0-9]+")
+_SEEN = 0       # stands among a host's templates where the host has enough pages to show any
 
 
 class Node:
@@ -122,9 +126,9 @@ def _find(node: Node, tag: str) -> list[Node]:
     return out
 
 
-def _hashes(root: Node) -> dict[int, tuple[int, int, bool]]:
-    """id(node) -> (hash with text, hash of the shape, does it hold text?), bottom up."""
-    out: dict[int, tuple[int, int, bool]] = {}
+def _hashes(root: Node) -> dict[int, tuple[int, bool]]:
+    """id(node) -> (hash with text, does it hold text?), bottom up."""
+    out: dict[int, tuple[int, bool]] = {}
     todo = [(root, False)]
     while todo:
         x, ready = todo.pop()
@@ -132,74 +136,65 @@ def _hashes(root: Node) -> dict[int, tuple[int, int, bool]]:
             todo.append((x, True))
             todo.extend((k, False) for k in x.kids if isinstance(k, Node))
             continue
-        full, shape, text = [x.tag, x.attrs], [x.tag, x.attrs], False
+        full, text = [x.tag, x.attrs], False
         for k in x.kids:
             if isinstance(k, Node):
-                f, s, t = out[id(k)]
-                full.append(str(f)), shape.append(str(s))
+                f, t = out[id(k)]
+                full.append(str(f))
                 text |= t
             elif k.strip():
                 full.append(" ".join(k.split()))
                 text = True
-        out[id(x)] = (xxhash.xxh3_64_intdigest("\x00".join(full).encode()) - (1 << 63),
-                      xxhash.xxh3_64_intdigest("\x01".join(shape).encode()) - (1 << 63), text)
+        out[id(x)] = (xxhash.xxh3_64_intdigest("\x00".join(full).encode()) - (1 << 63), text)
     return out
 
 
 def analyse(text: str) -> tuple[list[list], list[int], int]:
-    """Blocks ``[text, hashes of the subtrees that would take it away]`` of the page in order, the subtree hashes to
-    count, and an id of the page's text."""
+    """Blocks ``[text, hashes of the subtrees that would take it away, inside the main part?]`` of the page in order, the
+    subtree hashes to count, and an id of the page's text."""
     root = parse(text)
-    tops = _find(root, "article") or _find(root, "main")
-    main = {id(x) for x in tops}
+    main = {id(x) for x in _find(root, "article") or _find(root, "main")}
     hashes = _hashes(root)
     blocks: list[list] = []
     count: list[int] = []
     words: list[str] = []
     own: list[int] = []
 
-    def flush():
+    def flush(inside):
         line = " ".join(_html.unescape("".join(words)).split())
         words.clear()
         if line:
-            blocks.append([line, list(own)])
+            blocks.append([line, list(own), inside])
 
-    # (node, inside the main part, may it be taken for template, entering or leaving)
-    todo: list = [(root, not main, True)]
+    # (node, inside the main part, leaving a counted subtree?)
+    todo: list = [(root, not main, False)]
     while todo:
-        x, inside, free = todo.pop()
+        x, inside, counted = todo.pop()
         if isinstance(x, str):
-            if inside:
-                words.append(x)
+            words.append(x)
             continue
-        if x is None:                   # leaving a block or a counted subtree
-            flush()
-            if inside:
+        if x is None:                   # leaving a block
+            flush(inside)
+            if counted:
                 own.pop()
             continue
-        if id(x) in main:
-            inside = True
-        if x.drop and inside and x.tag != "#root":
-            flush()
-            if free and hashes[id(x)][2]:
-                count.append(hashes[id(x)][0])
-            continue
         block = x.tag not in INLINE
-        if block:
-            flush()
+        if block or x.drop:
+            flush(inside)
+        if x.drop:
+            continue
+        inside = inside or id(x) in main
         protected = bool(main) and inside and x.tag in CONTENT
-        counted = hashes[id(x)][2] and x.tag not in ("#root", "html", "body", "article", "main") and not protected and block
+        counted = block and hashes[id(x)][1] and x.tag not in ("#root", "html", "body", "article", "main") and not protected
         if counted:
             count.append(hashes[id(x)][0])
-            if main and not inside:
-                count.append(hashes[id(x)][1])
-            if inside:
-                own.append(hashes[id(x)][0])
+            own.append(hashes[id(x)][0])
         if block:
-            todo.append((None, bool(counted and inside), False))
-        todo.extend((k, inside, free) for k in reversed(x.kids))
-    flush()
-    page = xxhash.xxh3_64_intdigest("\x00".join(b[0] for b in blocks).encode()) - (1 << 63)
+            todo.append((None, inside, counted))
+        todo.extend((k, inside, False) for k in reversed(x.kids))
+    flush(not main)
+    lines = [b[0] for b in blocks if b[2]] or [b[0] for b in blocks]
+    page = xxhash.xxh3_64_intdigest("\x00".join(lines).encode()) - (1 << 63)
     return blocks, sorted(set(count)), page
 
 
@@ -208,14 +203,15 @@ def _host(url):
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, hash`` of subtrees that stand on ``min_pages`` or more different pages of the host."""
+    """``host, hash`` of subtrees that stand on ``min_pages`` or more different pages of the host, and ``_SEEN`` for a
+    host that has so many."""
     src = pages.select(_host(F.col("url")).alias("host"), F.col("html").alias("html"))
 
     def run(batches):
         for b in batches:
             rows = [analyse(t or "") for t in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("host"), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
+                [b.column("host"), pa.array([[_SEEN, *r[1]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
                 ["host", "hashes", "page"])
 
     seen = src.mapInArrow(run, "host string, hashes array<long>, page long")
@@ -234,15 +230,17 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             for t in b.column("html").to_pylist():
                 found = analyse(t or "")[0]
                 packed.append(zlib.compress(json.dumps(found, ensure_ascii=False).encode(), 1))
-                wanted.append(sorted({h for _, own in found for h in own}))
+                wanted.append(sorted({h for _, own, _ in found for h in own} | {_SEEN for *_, inside in found if not inside}))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), b.column("host"), pa.array(packed, pa.binary()), pa.array(wanted, pa.list_(pa.int64()))],
                 ["page_id", "url", "host", "packed", "wanted"])
 
     parsed = src.mapInArrow(blocks, "page_id long, url string, host string, packed binary, wanted array<long>")
     parsed = parsed.withColumn("key", F.xxhash64("page_id", "url", "packed"))
-    # subtrees of the main part that are template; rows with equal keys are equal pages
-    gone = (parsed.select("key", "host", F.explode("wanted").alias("hash")).join(templates(pages, min_pages), ["host", "hash"])
+    # the page's subtrees that are template; rows with equal keys are equal pages
+    known = stored(templates(pages, min_pages), "templates")
+    gone = (parsed.select("key", "host", F.explode("wanted").alias("hash"))
+            .join(small_side(known, known.count(), 64), ["host", "hash"])
             .groupBy("key").agg(F.collect_set("hash").alias("gone")))
     joined = parsed.drop("wanted", "host").join(gone, "key", "left")
 
@@ -251,7 +249,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             out = []
             for raw, gone in zip(b.column("packed").to_pylist(), b.column("gone").to_pylist()):
                 drop = set(gone or ())
-                out.append(" ".join(line for line, own in json.loads(zlib.decompress(raw)) if not drop.intersection(own)))
+                out.append(" ".join(line for line, own, inside in json.loads(zlib.decompress(raw))
+                                    if (inside or _SEEN in drop) and not drop.intersection(own)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])

@@ -236,6 +236,15 @@ def test_html_templates_and_odd_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_counts_decide_outside_the_article(spark):
+    row = "<div class=x1><p>Follow us everywhere</p></div>"
+    page = f"<body>{row}<article><p>Own {{0}}</p>{row}</article><p>Correction {{0}}</p><footer>f {{0}}</footer></body>"
+    rows = [(i, "http://o.org/a", page.format(i)) for i in range(30)] + [(100 + i, "http://few.org/a", page.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own {i} Correction {i}" for i in range(30))
+    assert all(got[100 + i] == f"Own {i} Follow us everywhere" for i in range(3))
+
+
 # ---- toxicity
 
 def test_toxicity_held_out(spark, odd):
