@@ -6,7 +6,9 @@ on ``MIN_PAGES`` or more different pages of that host, inside and outside a page
 articles quote stays. Text outside the article stays where it does not recur. A host with fewer than ``MIN_PAGES``
 different pages shows no template: there the text of an <article> (else <main>, else the body) alone remains.
 Elements that say what they are (nav, header, footer, aside, form, script, style, and classes, ids or roles for menus,
-adverts, notices, comments) go everywhere.
+adverts, notices, comments) go everywhere. A class or id counts as a whole name, an id of a heading or a paragraph names
+its text; an element that a class or id names is kept where it holds an article or main of its own, one that its
+tag or role names where the page has no other.
 Pages whose texts are the same count as one, so copies of a page do not turn it into a template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
@@ -53,14 +55,18 @@ DROP_NAMES = {"nav", "navbar", "navigation", "menu", "header", "footer", "sideba
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAMES = re.compile(r"[A-Za-z0-9]+")
+_HEADINGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_MAIN = ("article", "main")
 _SEEN = 0       # stands among a host's templates where the host has enough pages to show any
 
 
+_BY_NAME, _BY_TAG = 1, 2        # why an element goes: its class or id; its tag or role
+
+
 class Node:
     __slots__ = ("tag", "attrs", "drop", "kids")
 
-    def __init__(self, tag, attrs="", drop=False):
+    def __init__(self, tag, attrs="", drop=0):
         self.tag, self.attrs, self.drop, self.kids = tag, attrs, drop, []
 
 
@@ -68,6 +74,7 @@ def parse(text: str) -> Node:
     """Element tree; children are nodes and strings. Raw elements are left out, and so is what they hold."""
     root = Node("#root")
     stack, at, size = [root], 0, len(text)
+    wrapped, free = [], False       # named elements around an article or main; is there one outside of them?
     while at < size:
         m = _TAG.search(text, at)
         if not m:
@@ -94,22 +101,33 @@ def parse(text: str) -> Node:
                     break
                 if stack[k].tag not in INLINE and stack[k].tag not in closes:
                     break
-        attrs, drop = "", tag in DROP_TAGS
+        attrs, drop, named = "", tag in DROP_TAGS, False
         if m.group(3) and "=" in m.group(3):
             found = [(a.lower(), x or y or z) for a, x, y, z in _ATTR.findall(m.group(3))]
             attrs = " ".join(f"{a}={v}" for a, v in sorted(found))
             for a, v in found:
-                if (v.lower() in DROP_ROLES) if a == "role" else tag not in ("html", "body", "main") and any(
-                        x.lower() in DROP_NAMES for x in _NAMES.findall(v)):
-                    drop = True
+                if a == "role":
+                    drop |= v.lower() in DROP_ROLES
+                elif tag not in ("html", "body", "main") and not (a == "id" and tag in _HEADINGS):
+                    named |= any(x in DROP_NAMES for x in v.lower().split())
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = end.end() if end else (size if tag in ("script", "style", "textarea", "title") else at)
             continue
-        node = Node(tag, attrs, drop)
+        node = Node(tag, attrs, _BY_TAG if drop else _BY_NAME if named else 0)
+        if tag in _MAIN and not node.drop and not any(x.tag in _MAIN and not x.drop for x in stack):
+            around = [x for x in stack if x.drop == _BY_TAG]
+            wrapped += around
+            free |= not around
+            for x in stack:
+                if x.drop == _BY_NAME:
+                    x.drop = 0
         stack[-1].kids.append(node)
         if tag not in VOID and not m.group(0).endswith("/>"):
             stack.append(node)
+    if not free:
+        for x in wrapped:
+            x.drop = 0
     return root
 
 

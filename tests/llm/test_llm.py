@@ -245,6 +245,19 @@ def test_html_counts_decide_outside_the_article(spark):
     assert all(got[100 + i] == f"Own {i} Follow us everywhere" for i in range(3))
 
 
+def test_html_names_are_whole(spark):
+    bodies = {
+        1: ("<article><h2 id='related'>Related work</h2><h2 id='related-work'>More</h2><section id='social-policy'>Policy</section>"
+            "<p class='notice-period'>Period</p><p id=notice>Notice</p></article>", "Related work More Policy Period Notice"),
+        2: ("<div class='content has-sidebar'><article><p>Text</p></article></div>", "Text"),
+        3: ("<div class='page sidebar'><main><p>Text</p></main></div><div class=sidebar>x</div>", "Text"),
+        4: ("<form><article>Text<div class='comments'><article>me too</article></div></article><nav>n</nav></form>", "Text"),
+        5: ("<article>Text<p class='big Promo'>buy</p></article><aside><article>teaser</article></aside>", "Text"),
+    }
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in bodies.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: t for i, (_, t) in bodies.items()}
+
+
 # ---- toxicity
 
 def test_toxicity_held_out(spark, odd):
