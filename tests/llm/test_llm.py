@@ -426,6 +426,24 @@ def test_jaccard_stage_and_empty(spark, odd):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((d for d, _ in ODD if d is None or comp[d] == d), key=repr)
 
 
+def test_jaccard_stage_decides_per_row(spark):
+    own = ["alpha beta gamma delta epsilon zeta " + " ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = [(1, own[0], 0), (2, own[0], 0), (2, own[1], 0), (3, own[2], 0), (3, own[2].upper(), 0), (3, own[2] + " end", 0), (7, own[3], 0)]
+    rows += [(None, own[3], k) for k in range(20)] + [(None, own[4] + " x" * (k % 2), k) for k in range(40)] + [(None, own[5], 3)]
+    rows += [(None, None, 1), (None, " ", 1), (None, " ", 1), (None, "", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sid int").repartition(5)
+    kept = jaccard.one_of_each(df)
+    assert kept.dtypes == df.dtypes
+    kept = [tuple(r) for r in kept.collect()]
+    assert sorted((d, t) for d, t, _ in kept if d not in (None, 3)) == sorted([(1, own[0]), (2, own[1]), (7, own[3])])
+    assert len([1 for d, *_ in kept if d == 3]) == 1
+    bare = [r for r in kept if r[0] is None]
+    assert sorted((t[:60] for _, t, _ in bare if t and t.strip())) == sorted(x[:60] for x in own[4:])
+    assert len(bare) == 6 and set(kept) <= set(rows)
+    alone = df.where("doc_id IS NOT NULL")
+    assert len(jaccard.one_of_each(alone).collect()) == 4
+
+
 # ---- licenses
 
 def license_truth(text):
