@@ -24,14 +24,30 @@ from pyspark.sql import functions as F
 # kind -> pattern with the same leftmost matches as its plain form: possessive runs, and a start that is the
 # end of the last match or has no run character before it
 _MAIL = "A-Za-z0-9._%+-"
+# length of an IBAN -> countries (ISO 13616)
+_IBAN = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+         22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+         27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
+
+
+def _iban() -> str:
+    """Groups of four and a shorter last one: first as long as the country has it, so that a word behind isn't taken in,
+    else of any length from 15."""
+    exact = [f"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f"\\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+             for n, c in _IBAN.items()]
+    groups = r"(?:\x20?[A-Z0-9]{4})"
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:{groups}{{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?|{groups}{{2}}\x20?[A-Z0-9]{{3}})"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{'|'.join(exact)})(?![A-Za-z0-9])|{other}(?![A-Za-z0-9]))"
+
+
 KINDS = {
     "email": rf"(?:\G|(?<![{_MAIL}]))[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}\x22?[A-Za-z0-9_+/=-]{8,256}",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}\x22?[A-Za-z0-9_+/=-]{8,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": _iban(),
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z][a-z]{1,30}(?![a-z])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -110,12 +126,19 @@ def _case(kind: str, table: dict[str, str], col: str, other: str) -> str:
     return "case " + " ".join(f"when {kind} = '{k}' then {col} rlike r'(?i){v}'" for k, v in table.items()) + f" else {other} end"
 
 
+def _mod97(m: str) -> str:
+    """SQL: does an IBAN's remainder by 97 fit?"""
+    value = "instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substring(t, i, 1)) - 1"
+    return (f"transform(transform(array(replace({m}, ' ', '')), t -> concat(substring(t, 5), substring(t, 1, 4))), t -> "
+            f"aggregate(sequence(1, length(t)), 0, (a, i) -> (a * if(substring(t, i, 1) >= 'A', 100, 10) + {value}) % 97))[0] = 1")
+
+
 def _votes(x: str) -> str:
     """SQL: the four labelers' votes on struct ``x``."""
     strict = (f"case when {x}.kind = 'secret' then {x}.m rlike '[0-9]' when {x}.kind = 'name' then {x}.m rlike r'\\. ' "
               f"when {x}.kind = 'iban' then length(replace({x}.m, ' ', '')) between 15 and 34 else true end")
     shape = (f"case when {x}.kind = 'secret' then {x}.m rlike r'[=:].*[0-9].*[A-Za-z]|[=:].*[A-Za-z].*[0-9]' "
-             f"when {x}.kind = 'ssn' then not {x}.m rlike '-0000$' when {x}.kind = 'iban' then {x}.m rlike '[0-9]{{6}}' else true end")
+             f"when {x}.kind = 'ssn' then not {x}.m rlike '-0000$' when {x}.kind = 'iban' then {_mod97(f'{x}.m')} else true end")
     return (f"array(if({strict}, 1, 0), if({_case(f'{x}.kind', GAZETTEER, f'{x}.m', 'false')}, 1, -1), "
             f"case when {x}.ctx rlike r'{AGAINST}' then 0 when {_case(f'{x}.kind', CONTEXT, f'{x}.ctx', 'false')} then 1 else -1 end, "
             f"if({shape}, 1, 0))")
@@ -124,7 +147,8 @@ def _votes(x: str) -> str:
 def _features(x: str) -> str:
     """SQL: bucketed span features of struct ``x`` (each a small int)."""
     return (f"array(least(length({x}.m) div 4, 15), cast(round(4 * length(regexp_replace({x}.m, '[^0-9]', '')) / length({x}.m)) as int), "
-            f"if({x}.m rlike '[A-Z]', 1, 0) + if({x}.m rlike '[a-z]', 2, 0), if({x}.ctx rlike r'[\\w]$', 1, 0))")
+            f"if({x}.m rlike '[A-Z]', 1, 0) + if({x}.m rlike '[a-z]', 2, 0), if({x}.ctx rlike r'[\\w]$', 1, 0) + "
+            f"case when {x}.kind = 'iban' then if({_mod97(f'{x}.m')}, 2, 0) else 0 end)")
 
 
 def _em_sql() -> str:

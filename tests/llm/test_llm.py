@@ -173,6 +173,22 @@ def test_pii_added_kinds_and_plan(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_iban_and_long_secrets(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19",
+             "FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606", "NL91ABNA0417164300", "IT60X0542811101000000123456",
+             "CH9300762011623852957", "PT50000201231234567890154", "NO9386011117947", "ES91 2100 0418 4502 0005 1332", "BE68539007547034"]
+    rng = random.Random(8)
+    key = "".join(rng.choices("abcdefABCDEF0123456789_", k=606))
+    rows = [(i, f"pay to bank account {x} AND 2024 then") for i, x in enumerate(ibans)] + [(50, f"login token={key}. end")]
+    rows += [(100 + i, f"user token=ab12cd34ef{i:04d} now") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask_pii(df).collect()}
+    assert all(got[i] == "pay to bank account [IBAN] AND 2024 then" for i in range(len(ibans))), got
+    assert got[50] == "login [SECRET]. end"
+    right = spark.createDataFrame([(x,) for x in [*ibans, "DE89370400440532013001", "GB29NWBK60161331926891"]], "m string")
+    assert [r[0] for r in right.select(F.expr(pii._mod97("m"))).collect()] == [True] * len(ibans) + [False] * 2
+
+
 def test_pii_mask(spark, odd):
     df = spark.createDataFrame([(1, "mail a@b.cd now", 15, "k"), (2, None, None, None), (3, "é 4111 1111 1111 1111 +1 (559) 555-3893", 40, "k")],
                                "doc_id long, text string, n_chars long, pii string")
