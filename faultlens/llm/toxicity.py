@@ -31,6 +31,7 @@ BAGS = 4
 FEATURES = 4_096          # kept by each bag
 HASH_BITS = 20
 CACHE = 100_000           # words a scoring task remembers with their features
+LONG = 40                 # longer words are scored whole, but not remembered
 DEFAULT_PRIOR = 0.1
 THRESHOLD = 0.3
 
@@ -39,8 +40,6 @@ _WORD = re.compile(r"\w+")
 
 def word_features(w: str) -> list[int]:
     """Hashed features of one lower-cased word: the word and its padded character 4-grams."""
-    if len(w) > 40:
-        w = w[:20] + w[-20:]
     mask, pad = (1 << HASH_BITS) - 1, f"^{w}$"
     grams = {pad[i:i + 4] for i in range(max(1, len(pad) - 3))}
     return [zlib.crc32(("w" + w).encode()) & mask] + [zlib.crc32(("g" + g).encode()) & mask for g in grams]
@@ -159,7 +158,9 @@ def score(docs: DataFrame, model: dict[int, float], keep: list[str] | None = Non
                 for w in set(_WORD.findall(t.lower())):
                     f = known.get(w)
                     if f is None:
-                        f = known[w] = tuple(x for x in word_features(w) if x in model)
+                        f = tuple(x for x in word_features(w) if x in model)
+                        if len(w) <= LONG:
+                            known[w] = f
                     if f:
                         seen.update(f)
                 z = bias + math.fsum(model[x] for x in seen)

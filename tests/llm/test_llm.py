@@ -298,6 +298,19 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def test_toxicity_inside_long_words(spark):
+    rows = [(i, f"plain text {i % 7} " + ("vilewort" if i % 4 == 0 else "harmless")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    glue = "_".join(f"w{k}" for k in range(30))
+    more = spark.createDataFrame([(1, f"{glue}_vilewort_{glue}"), (2, f"{glue}_harmless_{glue}"), (3, f"{glue}_{glue}")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(more, model).collect()}
+    assert got[1] > got[3] >= got[2]
+    word = "\u4e00\u4e8c\u4e09" * 30 + "\u6bd2\u8bdd\u8bed\u53e5" + "\u4e00\u4e8c\u4e09" * 30
+    assert zlib.crc32("g\u6bd2\u8bdd\u8bed\u53e5".encode()) & (1 << toxicity.HASH_BITS) - 1 in toxicity.word_features(word)
+
+
 # ---- decontamination
 
 def edit(a, b):
