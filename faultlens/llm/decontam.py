@@ -4,10 +4,11 @@ A test item of m normalised words may differ by ``budget(m)`` = m // 6 word edit
 pieces, of which one must stand unchanged in any text within the budget. One automaton finds all exact piece
 hits in a text; around each hit the whole item is verified with Myers' bit-parallel distance over words.
 The benchmark is dealt by hash to slices of bounded size, each with its own pass over the documents, so no
-task ever holds more than a slice and every item is tried at any benchmark size.
+task ever holds more than a slice and every item is tried at any benchmark size; the driver collects a slice at a time.
 
-Defined results: words are runs of letters, digits and underscores, lower-cased; null or empty texts match nothing;
-items with fewer than ``MIN_WORDS`` words identify nothing and take no part; a repeated item is matched under each
+Defined results: words are runs of letters, digits and underscores, lower-cased; in scripts written without spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) each character is a word of its own; null or empty texts match nothing;
+items of up to 5 words must stand unchanged (budget 0), items without a word match nothing; a repeated item is matched under each
 id once; of equally near places the first is reported; an empty table on either side gives an empty result; other
 columns are ignored by :func:`matches` and kept by :func:`drop_contaminated`.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.common import slices as small_batches, strings
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SLICE_CHARS = 8 << 20
 
-_WORD = re.compile(r"\w+")
+# scripts without spaces between words, with their marks
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17dd\u3005-\u3007\u3021-\u3029"
+             "\u3031-\u3035\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+             "\U00020000-\U0003ffff")
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _BUILT: dict = {}
 
 
@@ -112,17 +118,18 @@ def find(text: str, items: list, machine) -> list[tuple[int, int, int, int, int]
     return sorted((items[n][0], d, budget(len(items[n][1])), s, e) for n, (d, s, e) in best.items())
 
 
-def slices(benchmark: DataFrame, slice_chars: int = SLICE_CHARS) -> list[list[tuple[int, list[str]]]]:
-    """The benchmark's items as lists of bounded size."""
+def slices(benchmark: DataFrame, slice_chars: int = SLICE_CHARS) -> Iterator[list[tuple[int, list[str]]]]:
+    """The benchmark's items as lists of bounded size, one at a time."""
     src = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = src.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // slice_chars))
-    out = []
     for k in range(n):
         rows = src.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
         own = sorted({(r["item_id"] if r["item_id"] is not None else -1, tuple(words_of(r["text"]))) for r in rows})
-        out.append([(i, list(w)) for i, w in own if len(w) >= MIN_WORDS])
-    return out
+        del rows
+        own = [(i, list(w)) for i, w in own if len(w) >= MIN_WORDS]
+        yield own
+        own.clear()             # the broadcast has its own copy
 
 
 def _shared(spark, items):

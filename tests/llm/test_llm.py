@@ -356,6 +356,23 @@ def test_myers_and_pigeonhole(spark):
     assert decontam.matches(docs, bench.limit(0)).count() == 0 and decontam.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_short_and_unspaced_items(spark):
+    zh = "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e2a\u57ce\u5e02\u5b83\u6709\u591a\u5c11\u4eba\u53e3\uff0c\u9762\u79ef\u662f\u591a\u5c11\u5e73\u65b9\u516c\u91cc"
+    ja = "\u65e5\u672c\u3067\u4e00\u756a\u9ad8\u3044\u5c71\u306f\u4f55\u3067\u3059\u304b"
+    th = "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e2d\u0e22\u0e39\u0e48\u0e17\u0e35\u0e48\u0e44\u0e2b\u0e19"
+    items = [(1, zh), (2, ja), (3, th), (4, "capital of France"), (5, "?!"), (6, "Zyx")]
+    near = zh[:10] + "\u5927" + zh[11:]
+    texts = [(1, f"\u524d\u8a00{zh}\u540e"), (2, near), (3, f"x {ja}\u3002"), (4, th + th), (5, "the Capital, of france!"), (6, "capital of a France"),
+             (7, "\u4e2d\u56fd\u7684\u5c71"), (8, "xzyx zyxx"), (9, "zyx")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 23, 20):
+        got = rows_of(decontam.matches(docs, bench, size), "doc_id", "item_id", "distance")
+        assert got == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 3, 0), (5, 4, 0), (9, 6, 0)]
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {6, 7, 8}
+    assert decontam.words_of("Don't \u00e9t\u00e9_1 \ud55c\uad6d\uc5b4 x2") == re.findall(r"\w+", "don't \u00e9t\u00e9_1 \ud55c\uad6d\uc5b4 x2")
+
+
 # ---- n-gram Jaccard join
 
 def true_components(rows):
