@@ -90,6 +90,17 @@ def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFram
     return formatted.select("conv_id", "formatted", "loss_spans", turns.alias("turns"))
 
 
+def under_mask() -> Column:
+    """The unescaped texts that stand in ``formatted`` at ``loss_spans``, joined. Cut out of pieces of the string that hold
+    about sqrt(n) spans each, as every cut counts code points from the start of what it cuts."""
+    return F.expr("""if(size(loss_spans) = 0, '', array_join(flatten(transform(
+        sequence(0, (size(loss_spans) - 1) div cast(ceil(sqrt(size(loss_spans))) as int)), k -> transform(
+          transform(array(slice(loss_spans, cast(k * ceil(sqrt(size(loss_spans))) as int) + 1, cast(ceil(sqrt(size(loss_spans))) as int))),
+            p -> named_struct('p', p, 'at', p[0].start, 'piece',
+              substring(formatted, p[0].start + 1, element_at(p, -1).start + element_at(p, -1).length - p[0].start))),
+          c -> transform(c.p, x -> replace(replace(substring(c.piece, x.start - c.at + 1, x.length), '&lt;|', '<|'), '&amp;', '&')))[0])), ''))""")
+
+
 def format_log(events: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Fold, render and read back in one plan."""
     return read_back(render(fold_events(events), trained_role), trained_role)

@@ -612,6 +612,41 @@ def test_chat_query(spark):
         assert r.formatted_chars >= len(flat)
 
 
+def test_chat_query_reads_loss_under_the_mask(spark, monkeypatch):
+    """Other spans give other loss columns, and nothing else changes."""
+    want = {r.conv_id: r for r in QUERIES["op10_chat"](spark, SF).collect()}
+    plain = chat.format_log
+    monkeypatch.setattr(chat, "format_log", lambda e: plain(e).withColumn("loss_spans", F.expr("slice(loss_spans, 1, 1)")))
+    got = {r.conv_id: r for r in QUERIES["op10_chat"](spark, SF).collect()}
+    assert {c for c in want if got[c].loss_chars != want[c].loss_chars} == {
+        c for c, n in conv_turns().items() if n > 1}
+    assert all(got[c].turns_sha256 == want[c].turns_sha256 for c in want)
+
+
+def conv_turns():
+    """Conversations -> assistant turns behind the first that hold text, plus one."""
+    out: dict = {-1: 1}
+    for r in sorted(read("conversations"), key=lambda r: (r["conv_id"], r["turn"])):
+        if r["role"] == "assistant":
+            out[r["conv_id"]] = out[r["conv_id"]] + bool(r["text"]) if r["conv_id"] in out else 1
+    return out
+
+
+def test_chat_under_mask_pieces(spark):
+    rows = []
+    for n in (0, 1, 2, 3, 9, 10, 101):
+        text, spans, want = "", [], ""
+        for k in range(n):
+            body = f"\u00e9{k}&lt;|&amp;lt;" * (k % 4)
+            text += f"<{k}>"
+            spans.append((len(text), len(body)))
+            text += body + "&amp;"
+            want += f"\u00e9{k}<|&lt;" * (k % 4)
+        rows.append((n, text, spans, want))
+    df = spark.createDataFrame(rows, "n int, formatted string, loss_spans array<struct<start:int,length:int>>, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", chat.under_mask()).collect())
+
+
 def test_chat_fold(spark, capsys):
     ev = [(1, 1, "a", "delta", "user", "Hel"), (1, 2, "a", "delta", "user", "lo"), (1, 3, "b", "delta", "assistant", "bad"),
           (1, 4, "b", "regenerate", "assistant", None), (1, 6, "b", "delta", "assistant", "&lt;| <|im_end|> \n"), (1, 5, "b", None, "assistant", "x&amp;"),
