@@ -28,9 +28,9 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 
 # license families: label, names as words (regex), keywords: every name holds one of them as a whole word
 FAMILIES = [
-    ("agpl", r"gnu affero general public license|affero gpl|agpl(?: v?[0-9]+)?", "affero agpl"),
-    ("lgpl", r"gnu (?:lesser|library) general public license|lgpl(?: v?[0-9]+)?", "lesser library lgpl"),
-    ("gpl", r"gnu general public license|gnu gpl|gpl(?: v?[0-9]+)?", "gnu gpl"),
+    ("agpl", r"gnu affero general public license|affero gpl|(?:gnu )?agpl(?: ?v?[0-9]+(?: [0-9]+)?)?", "affero agpl"),
+    ("lgpl", r"gnu (?:lesser|library) general public license|(?:gnu )?lgpl(?: ?v?[0-9]+(?: [0-9]+)?)?", "lesser library lgpl"),
+    ("gpl", r"gnu general public license|(?:gnu )?gpl(?: ?v?[0-9]+(?: [0-9]+)?)?", "gnu gpl"),
     ("gfdl", r"gnu free documentation license|gfdl", "gnu gfdl"),
     ("apache", r"apache(?: software)? license|apache 2 0|asl 2 0", "apache asl"),
     ("mit", r"mit license|expat license|mit", "mit expat"),
@@ -97,6 +97,7 @@ GENERIC = [
 ]
 
 _VERSION = re.compile(rb" v[0-9]")
+_GLUED = re.compile(rb"(?<![^ ])(a?l?gpl)v?[0-9]+(?![^ ])")       # a name and its version as one word count as the name
 _TO_WORDS = bytes(b if (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80) else 0x20 for b in range(256))
 
 
@@ -117,7 +118,8 @@ def words_of(text: str) -> list[bytes]:
 
 
 def gate(table) -> frozenset:
-    """Words without any of which no rule of ``table`` matches (its first keyword sets)."""
+    """Words without any of which (names with a version in one word aside) no rule of ``table`` matches: its first
+    keyword sets."""
     return frozenset().union(*(keys for *_, keys, _ in table))
 
 
@@ -131,6 +133,7 @@ def scan(spaced: bytes, table, words=None) -> list[tuple[int, int, str, float]]:
         have = set(words)
         if _VERSION.search(text):
             have.add(b"v")
+        have.update(_GLUED.findall(text))
         table = [r for r in table if not have.isdisjoint(r[4]) and not have.isdisjoint(r[5])]
     kept: list[tuple[int, int, str, float]] = []      # by start
     longest = 0
@@ -174,8 +177,8 @@ def license_scan(docs: DataFrame, with_spans: bool = False) -> DataFrame:
             for d, t in zip(b.column("doc_id").to_pylist(), strings(b, "text")):
                 words = words_of(t)
                 spaced, base, hits = b"", [], []
-                if not keywords.isdisjoint(words):    # base phrases hold keywords, too
-                    spaced = b" ".join(words)
+                if not keywords.isdisjoint(words) or any(b"gpl" in w and _GLUED.match(w) for w in words):
+                    spaced = b" ".join(words)         # base phrases hold keywords, too
                     base = base_places(spaced)
                     hits = scan(spaced, table, words)
                 places, base_labels = [k for k, _ in base], {label for _, label in base}

@@ -547,6 +547,18 @@ def test_license_keywords_drop_no_detection(spark):
             assert not licenses.scan(spaced, table) and not licenses.base_places(spaced)
 
 
+def test_license_versions_in_one_word(spark):
+    rows = [(1, "licensed under GPLv3"), (2, "Licensed under the GPLv2 or later"), (3, "released under LGPLv2.1"), (4, "see AGPLv3"), (5, "under the terms of GNU GPLv3"),
+            (6, "GPL3 licence"), (7, "licensed under xgplv3"), (8, "licensed under gplv"), (9, "licensed under GPL v2.0"), (10, "licensed under LGPL-2.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(df).collect()}
+    assert got == {1: "gpl", 2: "gpl", 3: "lgpl", 4: "agpl", 5: "gpl", 6: "gpl", 7: "", 8: "", 9: "gpl", 10: "lgpl"}
+    table = licenses.rules()
+    for _, t in rows:
+        words = licenses.words_of(t)
+        assert licenses.scan(b" ".join(words), table, words) == licenses.scan(b" ".join(words), table)
+
+
 def test_license_containment_brute_force():
     table = licenses.rules()
     text = "see mit license version 2 see gnu gpl v2 licensed under the gnu gpl licence copy of gpl v2 under the terms of mit license " * 20
