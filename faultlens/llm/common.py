@@ -127,3 +127,24 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     nodes = first.selectExpr("a AS node").union(first.selectExpr("b AS node")).distinct()
     return nodes.join(cur.selectExpr("b AS node", "a AS comp"), "node", "left").selectExpr(
         "node", "coalesce(comp, node) AS comp")
+
+
+class Remembered(dict):
+    """The latest entries of a Python worker, in two generations: an entry met again moves to the young one, and
+    :meth:`age` drops the old one whole when the young one is full. Look up with ``[]``."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.old
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import chat, decontam, html, jaccard, licenses, packing, pii, quality, topk, toxicity
+from faultlens.llm import bpe, chat, decontam, html, jaccard, licenses, packing, pii, quality, topk, toxicity
 from faultlens.llm.common import table
 
 
@@ -59,11 +59,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text().cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_topk, op4_html, op5_toxicity, op6_decontamination, op7_jaccard,
-                                   op8_licenses, op9_quality, op10_chat, pipeline)}
+                                   op8_licenses, op9_quality, op10_chat, op13_bpe, pipeline)}
 ORACLE: dict[str, str] = {}
