@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, chat, decontam, html, jaccard, licenses, packing, pii, quality, topk, toxicity
+from faultlens.llm import align, bpe, chat, decontam, html, jaccard, licenses, merkle, packing, pii, quality, topk, toxicity
 from faultlens.llm.common import table
 
 
@@ -59,6 +59,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = merkle.manifest(table(spark, sf_dir, "documents"))
+    proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
+    return done.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text().cast("binary"), 256).alias("ids_sha256"),
@@ -71,5 +81,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_topk, op4_html, op5_toxicity, op6_decontamination, op7_jaccard,
-                                   op8_licenses, op9_quality, op10_chat, op13_bpe, pipeline)}
+                                   op8_licenses, op9_quality, op10_chat, op11_alignment, op12_merkle, op13_bpe, pipeline)}
 ORACLE: dict[str, str] = {}
