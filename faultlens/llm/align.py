@@ -13,7 +13,7 @@ remembered while they are frequent. Texts are never cut: a part without such spa
 
 Scale: one pass writes document rows and postings; a chunk ends at ``CHUNK_ROWS`` documents or ``CHUNK_LINKS`` links, so
 no task holds more, and a very common pair has one posting a chunk, not one a document. Scores are grouped sums over
-postings, their return one equi-join on the pair and one grouping by chunk.
+postings; for their return a posting's key goes to its pair's score and back, its bitmaps only to its chunk.
 
 Defined results: a text that is null, empty, or not given back by the bytes of its A or B tokens has no tokens (zeros,
 empty digest) and takes part in no count; repeated rows, whatever their ids, are documents of their own; an empty table
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import Remembered, give_back, slices, stored, strings
+from faultlens.llm.common import Remembered, fresh, give_back, slices, stored, strings
 
 CHUNK_ROWS = 1 << 16     # places of a bitmap
 CHUNK_LINKS = 6_000_000
@@ -69,33 +69,48 @@ class Aligner:
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
+        self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.shown = [x for i in range(max(len(self.a_size), len(self.b_size))) for x in (f"{i},".encode(), f"{i}|".encode(), f"{i},".encode(),
+                                                                                          f"{i};".encode(), str(i).encode())]
         self.parts = Remembered(PARTS)
 
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple:
-        """``ok, n_a, n_b, n_groups, groups, links`` of a part: groups between common ends as text, every overlapping
-        pair of tokens as a little-endian 64-bit code."""
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = part.encode()
-        if b"".join(left) != whole or b"".join(right) != whole:
-            return False, 0, 0, 0, b"", b""
-        groups, links, i, j = [], [], 0, 0
-        a_end, b_end, own_a, own_b = len(left[0]), len(right[0]), [str(a[0])], [str(b[0])]
-        while True:
-            links.append(a[i] << 31 | b[j] << 16)
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(own_a) + "|" + ",".join(own_b))
-                if i == len(a):
-                    break
-                own_a, own_b = [], []
-            if step_a:
-                a_end += len(left[i])
-                own_a.append(str(a[i]))
-            if step_b:
-                b_end += len(right[j])
-                own_b.append(str(b[j]))
-        return True, len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, "<i8").tobytes()
+    def align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple]:
+        """``ok, n_a, n_b, n_groups, groups, links`` of every part: groups between common ends as text, every overlapping
+        pair of tokens as a little-endian 64-bit code. The parts are laid end to end and aligned at once."""
+        raw = [p.encode() for p in parts]
+        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == t and b"".join(map(self.b_bytes.__getitem__, y)) == t for x, y, t in zip(a, b, raw)]
+        if not all(ok):
+            good = iter(self.align(*zip(*[x for x, fine in zip(zip(parts, a, b), ok) if fine]))) if any(ok) else iter(())
+            return [next(good) if fine else (False, 0, 0, 0, b"", b"") for fine in ok]
+        n_a, n_b = [len(x) for x in a], [len(x) for x in b]
+        a, b = np.fromiter((i for x in a for i in x), np.int64, sum(n_a)), np.fromiter((i for x in b for i in x), np.int64, sum(n_b))
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        border = np.cumsum([len(t) for t in raw])
+        ends = np.concatenate([a_end, b_end])
+        ends.sort(kind="stable")                          # two sorted runs
+        ends = ends[np.diff(ends, append=-1) != 0]        # each piece between ends is one link
+        of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        links = (a[of_a] << 31 | b[of_b] << 16).astype("<i8").tobytes()
+        link_at = np.concatenate([[0], 8 * (np.searchsorted(ends, border) + 1)]).tolist()
+        common = ends[(a_end[of_a] == ends) & (b_end[of_b] == ends)]
+        n_groups = np.diff(np.searchsorted(common, border, side="right"), prepend=0).tolist()
+        # the text: a group's A ids, then its B ids, each with what follows it
+        last_a, last_b = np.searchsorted(a_end, common), np.searchsorted(b_end, common)
+        in_a, in_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        kind_a, kind_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
+        kind_a[last_a], kind_b[last_b] = 1, 3
+        kind_b[np.searchsorted(b_end, border)] = 4
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[in_a]] = a * 5 + kind_a
+        order[np.arange(len(b)) + (last_a + 1)[in_b]] = b * 5 + kind_b
+        text, at = list(map(self.shown.__getitem__, order.tolist())), 0
+        out = []
+        for k, (x, y) in enumerate(zip(n_a, n_b)):
+            out.append((True, x, y, n_groups[k], b"".join(text[at:at + x + y]), links[link_at[k]:link_at[k + 1]]))
+            at += x + y
+        return out
 
     def texts(self, texts: list[str]) -> list[list[tuple] | None]:
         """The parts of every text in order; none where there are no tokens."""
@@ -111,9 +126,9 @@ class Aligner:
                     new.append(part)
         for k in range(0, len(new), 4096):
             lot = new[k:k + 4096]
-            left = self.a.encode_batch_fast([" " + p for p in lot], add_special_tokens=False)
-            for part, a, b in zip(lot, left, self.b.encode(lot, num_threads=1)):      # B puts the space in front itself
-                known[part] = self.align(" " + part, a.ids, b)
+            spaced = [" " + p for p in lot]
+            left = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+            known.update(zip(lot, self.align(spaced, left, self.b.encode(lot, num_threads=1))))      # B puts the space in front itself
         out = []
         for parts in split:
             found = [known[p] for p in parts]
@@ -227,8 +242,8 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
                 if len(links):
                     codes.append(links + place)
                     held += len(links)
-                for name, value in (("doc_id", doc), ("n_a", sum(p[1] for p in parts)), ("n_b", sum(p[2] for p in parts)),
-                                    ("n_groups", sum(p[3] for p in parts)), ("n_links", len(links)),
+                for name, value in (("doc_id", doc), ("n_a", sum([p[1] for p in parts])), ("n_b", sum([p[2] for p in parts])),
+                                    ("n_groups", sum([p[3] for p in parts])), ("n_links", len(links)),
                                     ("groups_sha256", hashlib.sha256(text).hexdigest() if parts else ""),
                                     ("groups", text.decode() if groups else None), ("chunk", base + number), ("place", place)):
                     out[name].append(value)
@@ -295,23 +310,31 @@ def pair_scores(posts: DataFrame) -> DataFrame:
 
 
 def returned(posts: DataFrame, scores: DataFrame) -> DataFrame:
-    """``chunk, place, n_best, count_sum``: the scores summed over every document's links, through the postings."""
-    found = posts.select("a", "b", "chunk", "planes").join(scores.select("a", "b", "docs", "best"), ["a", "b"])
+    """``chunk, place, n_best, count_sum``: the scores summed over every document's links, through the postings.
+
+    Only a posting's key goes to its pair's score and back; its bitmaps go once, to its chunk.
+    """
+    keys = posts.select("a", "b", "chunk").join(scores.select("a", "b", "docs", "best"), ["a", "b"])
 
-    def total(group: pa.Table) -> pa.Table:
+    def total(own: pa.Table, scored: pa.Table) -> pa.Table:
         best, sums = np.zeros(CHUNK_ROWS, np.int64), np.zeros(CHUNK_ROWS, np.int64)
         there = np.zeros(CHUNK_ROWS, bool)
-        for batch in group.to_batches():
+        pair = lambda t: np.asarray(t.column("a")).astype(np.int64) << 15 | np.asarray(t.column("b"))
+        known = pair(scored)
+        order = np.argsort(known)
+        docs, is_best = np.asarray(scored.column("docs"))[order], np.asarray(scored.column("best").cast(pa.int8()))[order]
+        known = known[order]
+        for batch in own.to_batches():
             if not batch.num_rows:
                 continue
             row, digit, values = _lists(batch)
-            docs, is_best = np.asarray(batch.column("docs")), np.asarray(batch.column("best").cast(pa.int8()))
+            row = np.searchsorted(known, pair(batch))[row]
             size = np.asarray(pc.binary_length(values)).astype(np.int64)
             sparse = size < DENSE_BYTES
-            flat, own = _flat(values, sparse, row, size)
+            flat, of = _flat(values, sparse, row, size)
             many = np.repeat(1 << digit[sparse], size[sparse] // 2)
-            np.add.at(best, flat, many * is_best[own])
-            np.add.at(sums, flat, many * docs[own])
+            np.add.at(best, flat, many * is_best[of])
+            np.add.at(sums, flat, many * docs[of])
             there[flat] = True
             for k in np.flatnonzero(~sparse).tolist():
                 at = places(values[k].as_py())
@@ -319,10 +342,11 @@ def returned(posts: DataFrame, scores: DataFrame) -> DataFrame:
                 sums[at] += int(docs[row[k]]) << int(digit[k])
                 there[at] = True
         at = np.flatnonzero(there)
-        return pa.table({"chunk": pa.array(np.full(len(at), group.column("chunk")[0].as_py())), "place": pa.array(at.astype(np.int32)),
+        return pa.table({"chunk": pa.array(np.full(len(at), own.column("chunk")[0].as_py())), "place": pa.array(at.astype(np.int32)),
                          "n_best": pa.array(best[at]), "count_sum": pa.array(sums[at])})
 
-    return found.select("chunk", "planes", "docs", "best").groupBy("chunk").applyInArrow(
+    own = fresh(posts.select("chunk", "a", "b", "planes")).groupBy("chunk")
+    return own.cogroup(fresh(keys.select("chunk", "a", "b", "docs", "best")).groupBy("chunk")).applyInArrow(
         total, "chunk long, place int, n_best long, count_sum long")
 
 
