@@ -1,10 +1,11 @@
 """Main text of HTML pages by site template removal.
 
 Element subtrees are hashed (tag, class, id, role and text), counted per host in Spark, and deleted where they recur
-on ``MIN_PAGES`` or more different pages of that host, inside and outside a page's article. Inside an <article> or
+on many different pages of that host, inside and outside a page's article: on ``MIN_PAGES`` pages, or on half of the
+host's pages (two at least) where it has fewer than twice as many. Inside an <article> or
 <main>, paragraphs, headings, lists and tables are content and are never taken for template: a passage that many
-articles quote stays. Text outside the article stays where it does not recur. A host with fewer than ``MIN_PAGES``
-different pages shows no template: there the text of an <article> (else <main>, else the body) alone remains.
+articles quote stays. Text outside the article stays where it does not recur. A host with one page shows nothing to
+compare: there the text of an <article> (else <main>, else the body) alone remains.
 Elements that say what they are (nav, header, footer, aside, form, script, style, and classes, ids or roles for menus,
 adverts, notices, comments) go everywhere. A class or id counts as a whole name, an id of a heading or a paragraph names
 its text; an element that a class or id names is kept where it holds an article or main of its own, one that its
@@ -57,8 +58,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HEADINGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN = ("article", "main")
-_SEEN = 0       # stands among a host's templates where the host has enough pages to show any
-
+_SEEN = 0       # counted on every page: stands among a host's templates where the host has pages to compare
 
 _BY_NAME, _BY_TAG = 1, 2        # why an element goes: its class or id; its tag or role
 
@@ -169,13 +169,14 @@ def _hashes(root: Node) -> dict[int, tuple[int, bool]]:
 
 def analyse(text: str) -> tuple[list[list], list[int], int]:
     """Blocks ``[text, hashes of the subtrees that would take it away, inside the main part?]`` of the page in order, the
-    subtree hashes to count, and an id of the page's text."""
+    subtree hashes to count, and an id of the page's text (of its main part, where it has one)."""
     root = parse(text)
     main = {id(x) for x in _find(root, "article") or _find(root, "main")}
     hashes = _hashes(root)
     blocks: list[list] = []
     count: list[int] = []
     words: list[str] = []
+    held: list[str] = []
     own: list[int] = []
 
     def flush(inside):
@@ -183,6 +184,8 @@ def analyse(text: str) -> tuple[list[list], list[int], int]:
         words.clear()
         if line:
             blocks.append([line, list(own), inside])
+            if inside:
+                held.append(line)
 
     # (node, inside the main part, leaving a counted subtree?)
     todo: list = [(root, not main, False)]
@@ -211,8 +214,7 @@ def analyse(text: str) -> tuple[list[list], list[int], int]:
             todo.append((None, inside, counted))
         todo.extend((k, inside, False) for k in reversed(x.kids))
     flush(not main)
-    lines = [b[0] for b in blocks if b[2]] or [b[0] for b in blocks]
-    page = xxhash.xxh3_64_intdigest("\x00".join(lines).encode()) - (1 << 63)
+    page = xxhash.xxh3_64_intdigest("\x00".join(held or [b[0] for b in blocks]).encode()) - (1 << 63)
     return blocks, sorted(set(count)), page
 
 
@@ -220,47 +222,45 @@ def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, hash`` of subtrees that stand on ``min_pages`` or more different pages of the host, and ``_SEEN`` for a
-    host that has so many."""
-    src = pages.select(_host(F.col("url")).alias("host"), F.col("html").alias("html"))
+def parsed(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, packed, hashes, page, key`` of every page: its blocks, its subtrees, an id of its text."""
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), _host(F.col("url")).alias("host"),
+                       F.col("html").alias("html"))
 
     def run(batches):
         for b in batches:
             rows = [analyse(t or "") for t in b.column("html").to_pylist()]
+            packed = [zlib.compress(json.dumps(r[0], ensure_ascii=False).encode(), 1) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column("host"), pa.array([[_SEEN, *r[1]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
-                ["host", "hashes", "page"])
+                [b.column("page_id"), b.column("url"), b.column("host"), pa.array(packed, pa.binary()),
+                 pa.array([[_SEEN, *r[1]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
+                ["page_id", "url", "host", "packed", "hashes", "page"])
 
-    seen = src.mapInArrow(run, "host string, hashes array<long>, page long")
-    seen = seen.select("host", F.explode("hashes").alias("hash"), "page").groupBy("host", "hash", "page").agg(F.count(F.lit(1)).alias("c"))
-    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages).select("host", "hash")
+    return src.mapInArrow(run, "page_id long, url string, host string, packed binary, hashes array<long>, page long").withColumn(
+        "key", F.monotonically_increasing_id())
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page."""
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), _host(F.col("url")).alias("host"),
-                       F.col("html").alias("html"))
+def templates(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, hash`` of subtrees that recur on ``min_pages`` different pages of their host, or on half of them, two at least.
 
-    def blocks(batches):
-        for b in batches:
-            packed, wanted = [], []
-            for t in b.column("html").to_pylist():
-                found = analyse(t or "")[0]
-                packed.append(zlib.compress(json.dumps(found, ensure_ascii=False).encode(), 1))
-                wanted.append(sorted({h for _, own, _ in found for h in own} | {_SEEN for *_, inside in found if not inside}))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), b.column("host"), pa.array(packed, pa.binary()), pa.array(wanted, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "packed", "wanted"])
-
-    parsed = src.mapInArrow(blocks, "page_id long, url string, host string, packed binary, wanted array<long>")
-    parsed = parsed.withColumn("key", F.xxhash64("page_id", "url", "packed"))
-    # the page's subtrees that are template; rows with equal keys are equal pages
-    known = stored(templates(pages, min_pages), "templates")
-    gone = (parsed.select("key", "host", F.explode("wanted").alias("hash"))
+    ``rows``: ``host, hashes, page``."""
+    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stored(sizes, "hosts")
+    seen = rows.select("host", F.explode("hashes").alias("hash"), "page").groupBy("host", "hash", "page").agg(F.count(F.lit(1)).alias("c"))
+    seen = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2")
+    needed = F.least(F.lit(min_pages), F.greatest(F.lit(2), F.ceil(F.col("size") / 2)))
+    return seen.join(small_side(sizes, sizes.count(), 64), "host").where(F.col("pages") >= needed).select("host", "hash")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page. Pages are parsed once; their blocks are a stored table."""
+    rows = stored(parsed(pages), "pages")
+    known = stored(templates(rows, min_pages), "templates")
+    # the page's subtrees that are template
+    gone = (rows.select("key", "host", F.explode("hashes").alias("hash"))
             .join(small_side(known, known.count(), 64), ["host", "hash"])
             .groupBy("key").agg(F.collect_set("hash").alias("gone")))
-    joined = parsed.drop("wanted", "host").join(gone, "key", "left")
+    joined = rows.select("key", "page_id", "url", "packed").join(gone, "key", "left")
 
     def text(batches):
         for b in batches:
