@@ -1,11 +1,14 @@
 """Best-fit packing of tokenised documents by the sum-of-squares rule.
 
 Documents are tokenised (a public tokenizer whose file is a parameter), an end id is appended, and only
-documents longer than a sequence are cut. Pieces are dealt by hash to groups of about ``GROUP`` pieces;
+documents longer than a sequence are cut. A piece of full length is a sequence by itself; the others, which are
+counted, are dealt by hash to groups of about ``GROUP`` pieces;
 inside a group, pieces are placed longest first, each into the open bin whose change makes the sum of
 squared counts of open bins per residual gap smallest. A new bin is opened only where none fits.
-A group is a few thousand (id, length) rows, so no task ever sees the corpus; each group leaves about one
-part-filled bin in over a thousand.
+A group is a few thousand (id, length) rows however long the documents are, so no task ever sees the corpus; each
+group leaves about one part-filled bin in over a thousand.
+
+Ids are those of the plain tokenizer file: the strings of its special tokens in a text are their ids.
 
 Defined results: a null or empty text is one piece holding the end id alone; equal lengths are placed in
 the order (doc_id, piece, ids_crc32); repeated rows are packed once each; an empty table gives an empty
@@ -23,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultlens.llm.common import slices, strings
+from faultlens.llm.common import slices, stored, strings
 
 SEQUENCE = 2048
 GROUP = 4096
@@ -67,7 +71,6 @@ def _tokenizer(path: str) -> dict:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         suffix, ends = getattr(tok.model, "end_of_word_suffix", None), None
         if suffix:
             ends = np.zeros(tok.get_vocab_size(), bool)
@@ -239,10 +242,13 @@ def place(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pack(parts: DataFrame, n_pieces: int, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``; ``n_pieces``: about how many there are (sizes the groups)."""
-    groups = max(1, -(-n_pieces // group))
-    keyed = parts.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+def pack(parts: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (a stored table); full pieces have negative sequence ids."""
+    full = parts.where(F.col("length") >= sequence).select(
+        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = parts.where(F.col("length") < sequence)
+    groups = max(1, -(-short.count() // group))
+    keyed = short.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
@@ -250,11 +256,11 @@ def pack(parts: DataFrame, n_pieces: int, sequence: int = SEQUENCE, group: int =
         g = int(pdf["_g"].iloc[0])
         return pdf.drop(columns="_g").assign(sequence_id=bins + (g << 32), offset=offsets)
 
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-    return keyed.groupBy("_g").applyInPandas(solve, schema)
+    schema = T.StructType(parts.schema.fields).add("sequence_id", "long").add("offset", "long")
+    return keyed.groupBy("_g").applyInPandas(solve, schema).union(full)
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
     """Tokenise, cut and pack whole documents (options as in :func:`pieces`)."""
     sequence = options.get("sequence", SEQUENCE)
-    return pack(pieces(docs, **options), docs.count(), sequence)
+    return pack(stored(pieces(docs, **options), "pieces"), sequence)
