@@ -7,17 +7,21 @@ there, vectors go by descending length, rotated by the right singular vectors of
 Gram matrix), and the first ``HEAD`` rotated dimensions plus the lengths of the two remainders bound the inner
 product. What passes is scored exactly in integers.
 
-Queries are grouped ``QUERY_LOT`` at a time, so a task holds one stripe and one lot of queries. All rows of the
-candidates are searched; nothing is sampled.
+Stripes descend by length, so those a query visits are the first ones: how many is found by binary search in the list
+of the stripes' longest lengths, and only these are laid out. Queries are grouped ``QUERY_LOT`` at a time, so a task
+holds one stripe and one lot of queries. All rows of the candidates are searched; nothing is sampled.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are
 padded with zeros; rows that repeat id and vector count once; a query never meets rows of its own id; ties go to
 the smaller vec_id; a query without candidates has no rows; an empty table gives an empty table; extra columns
-are ignored. Scores are exact while components stay below 2**40 in size.
+are ignored. Components are held as long, the largest and smallest long where they go beyond; scores are ranked as exact
+integers of any size up to 38 digits, and given as long, cut to its range where they go beyond.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +34,8 @@ STRIPE = 4096
 QUERY_LOT = 512
 HEAD = 16
 CHUNK = 512
+COLUMNS = ["query_id", "qkey", "vec_id", "score"]
+MOST = 10 ** 38 - 1      # of a decimal(38, 0)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -77,8 +83,7 @@ def search(q: pd.DataFrame, c: pd.DataFrame, turn: np.ndarray, k: int) -> pd.Dat
     c_rest = np.sqrt((cr[:, h:] ** 2).sum(1))
     q_rest = np.sqrt((qr[:, h:] ** 2).sum(1))
     exact_floats = np.abs(cv).max(initial=0) * np.abs(qv).max(initial=0) * d < 2.0 ** 52
-    ints_c, ints_q = (None, None) if exact_floats else (
-        np.array([[*v, *[0] * (d - len(v))] for v in c["v"]], dtype=object), np.array([[*v, *[0] * (d - len(v))] for v in q["v"]], dtype=object))
+    ints_c, ints_q = (None, None) if exact_floats else ([np.asarray(v).tolist() for v in c["v"]], [np.asarray(v).tolist() for v in q["v"]])
     least = np.array([-np.inf if x is None or x != x else float(x) for x in q["least"]])
     best: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]   # (-score, vec_id), k at most
     slack = 1e-6 * (1 + q_norm * c_norm.max(initial=0))               # rounding of the rotated floats
@@ -100,15 +105,15 @@ def search(q: pd.DataFrame, c: pd.DataFrame, turn: np.ndarray, k: int) -> pd.Dat
             best[i] = sorted(best[i] + [(-g, int(v)) for g, v in zip(got, ci[js].tolist())])[:k]
             if len(best[i]) == k:
                 least[i] = max(least[i], -best[i][-1][0])
-    rows = [(int(qi[i]), int(q["qkey"].iloc[i]), v, -g) for i, own in enumerate(best) for g, v in own]
-    return pd.DataFrame(rows, columns=["query_id", "qkey", "vec_id", "score"]).astype("int64")
+    rows = [(int(qi[i]), int(q["qkey"].iloc[i]), v, Decimal(max(-MOST, min(MOST, -g)))) for i, own in enumerate(best) for g, v in own]
+    return pd.DataFrame(rows, columns=COLUMNS)
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding",
          stripe: int = STRIPE) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best rows for each row of ``vectors`` with ``is_query``
     (an expression over ``vec_id``)."""
-    schema = "query_id long, qkey long, vec_id long, score long"
+    schema = "query_id long, qkey long, vec_id long, score decimal(38,0)"
     spark = vectors.sparkSession
     rows = stored(quantised(vectors, id_col, vec_col), "vectors")
     n, d = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -118,7 +123,9 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     n_stripes = max(1, -(-n // stripe))
     ranged = rows.repartitionByRange(n_stripes, F.desc("norm"), F.asc("vec_id")).withColumn("stripe", F.spark_partition_id())
     ranged = stored(ranged, "stripes")
-    longest = ranged.groupBy("stripe").agg(F.max("norm").alias("longest"))
+    # one number per stripe, first stripe first; ranges may leave the first ones empty
+    longest = sorted((r["stripe"], r["longest"]) for r in ranged.groupBy("stripe").agg(F.max("norm").alias("longest")).collect())
+    numbers, lengths = np.array([s for s, _ in longest]), np.array([x for _, x in longest])
     n_query = max(1, n // 50)
     query = rows.where(is_query).select("vec_id", "v", "norm", F.xxhash64("v").alias("qkey"))
     query = query.withColumn("lot", F.pmod(F.xxhash64("vec_id", "qkey"), F.lit(max(1, -(-n_query // QUERY_LOT)))))
@@ -128,19 +135,29 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
         wanted = visits.select("lot", "stripe").distinct()
         cands = ranged.join(wanted, "stripe")
         return fresh(visits).groupBy("lot", "stripe").cogroup(fresh(cands).groupBy("lot", "stripe")).applyInPandas(
-            lambda q, c: search(q, c, turn, k) if len(q) and len(c) else pd.DataFrame(
-                {x: pd.Series([], dtype="int64") for x in ("query_id", "qkey", "vec_id", "score")}), schema)
+            lambda q, c: search(q, c, turn, k) if len(q) and len(c) else pd.DataFrame([], columns=COLUMNS), schema)
 
-    # the ranges may leave the first stripes empty, so the first one is the lowest number there is
-    first = ranged.agg(F.min("stripe")).first()[0]
-    seeds = stored(meet(query.select("*", F.explode(F.array(F.lit(first))).alias("stripe"), F.lit(None).cast("double").alias("least"))), "seeds")
+    first = int(numbers[0])
+    seeds = stored(meet(query.select("*", F.lit(first).alias("stripe"), F.lit(None).cast("double").alias("least"))), "seeds")
     reached = seeds.groupBy(F.col("query_id").alias("vec_id"), "qkey").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
-    later = (query.join(reached, ["vec_id", "qkey"], "left")
-             .withColumn("stripe", F.explode(F.sequence(F.lit(first), F.lit(n_stripes)))).where(F.col("stripe") > first)
-             .join(longest, "stripe")
-             .where(F.col("least").isNull() | (F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))).drop("longest"))
+
+    def stripes(batches):
+        """Adds the stripes after the first whose longest vector can reach the query's bound: a prefix of them."""
+        for pdf in batches:
+            least, norm = pdf["least"].to_numpy(float), pdf["norm"].to_numpy(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                needed = (least - 1e-6) / (norm * (1 + 1e-9))
+            needed[np.isnan(least) | (norm == 0) & (least <= 1e-6)] = -np.inf
+            last = np.searchsorted(-lengths, -needed, side="right")
+            pdf["stripe"] = [numbers[1:n].tolist() for n in last.tolist()]
+            yield pdf
+
+    visits = query.join(reached, ["vec_id", "qkey"], "left").select("vec_id", "v", "norm", "qkey", "lot", "least")
+    later = visits.mapInPandas(stripes, "vec_id long, v array<long>, norm double, qkey long, lot long, least double, stripe array<int>")
+    later = later.withColumn("stripe", F.explode("stripe"))
     found = seeds.union(meet(later))
     w = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id",
+                    F.least(F.greatest("score", F.lit(-2 ** 63).cast("decimal(38,0)")), F.lit(2 ** 63 - 1).cast("decimal(38,0)")).cast("long").alias("score")))
