@@ -67,6 +67,8 @@ CONTEXT = {
     "iban": "iban|account|bank|konto", "name": "by|from|dear|contact|signed",
 }
 AGAINST = r"(?i)(?:version|fig|figure|table|page|chapter|isbn|section)\W*$"
+RUN = 64        # spans folded at a time in masking
+BLOCK = 1024    # code points in a block that masking cuts from
 WINDOW = 24
 ITERATIONS = 25
 _SUM = "(x, y) -> x + y"
@@ -230,14 +232,22 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     f = find_pii(docs, keep=[F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row_")
                              , F.col("text").alias("text")])
-    merged = F.expr("""aggregate(pii, cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) ->
-        if(size(a) > 0 and x.s < element_at(a, -1).e,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind))),
-           concat(a, array(named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))))""")
-    f = f.withColumn("_m_", merged)
-    new = F.expr("""if(size(_m_) = 0, text, concat(array_join(transform(_m_, (x, i) -> concat(
-        substring(text, if(i = 0, 0, _m_[i - 1].e) + 1, x.s - if(i = 0, 0, _m_[i - 1].e)), '[', upper(x.kind), ']')), ''),
-        substring(text, element_at(_m_, -1).e + 1)))""")
+    # the end of all spans before each one, by runs of spans: no fold copies a long array
+    ends = F.expr(f"""flatten(transform(
+        transform(sequence(0, greatest(0, (size(pii) - 1) div {RUN})), c -> struct(slice(pii, c * {RUN} + 1, {RUN}) as own,
+            coalesce(array_max(slice(_tops_, 1, c)), 0) as before)),
+        r -> aggregate(r.own, named_struct('m', r.before, 'r', cast(array() as array<int>)),
+            (a, x) -> named_struct('m', greatest(a.m, x.e), 'r', concat(a.r, array(a.m))), a -> a.r)))""")
+    f = f.withColumn("_tops_", F.expr(f"transform(sequence(0, greatest(0, (size(pii) - 1) div {RUN})), c -> "
+                                      f"array_max(transform(slice(pii, c * {RUN} + 1, {RUN}), x -> x.e)))"))
+    f = f.withColumn("_ends_", ends).withColumn("_blocks_", F.expr(f"if(size(pii) = 0, array(), regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0))"))
+
+    def piece(a: str, b: str) -> str:
+        """Code points a to b, read from their blocks alone."""
+        return (f"if({b} <= {a}, '', substring(array_join(slice(_blocks_, {a} div {BLOCK} + 1, ({b} - 1) div {BLOCK} - {a} div {BLOCK} + 1), ''), "
+                f"{a} % {BLOCK} + 1, {b} - {a}))")
+    new = F.expr(f"""if(size(pii) = 0, text, concat(array_join(transform(pii, (x, i) -> if(x.s < _ends_[i], '',
+        concat({piece('_ends_[i]', 'x.s')}, '[', upper(x.kind), ']'))), ''), {piece('array_max(_tops_)', 'length(text)')}))""")
     f = f.withColumn("_new_", new)
     out = [F.col("_new_").alias(c) if c == "text" else F.length("_new_").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
            else F.col(f"_row_.`{c}`").alias(c) for c in cols]
