@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.llm import align, bpe, chat, decontam, html, jaccard, licenses, merkle, packing, pii, quality, topk, toxicity
 from faultlens.llm.common import table
+from faultlens.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_topk, op4_html, op5_toxicity, op6_decontamination, op7_jaccard,
                                    op8_licenses, op9_quality, op10_chat, op11_alignment, op12_merkle, op13_bpe, pipeline)}
-ORACLE: dict[str, str] = {}

@@ -56,7 +56,6 @@ def tokens(text):
     from tokenizers import Tokenizer
     if "t" not in _TOK:
         _TOK["t"] = Tokenizer.from_file(packing.default_tokenizer())
-        _TOK["t"].encode_special_tokens = True
     return _TOK["t"].encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -258,7 +257,41 @@ def test_html_counts_decide_outside_the_article(spark):
     rows = [(i, "http://o.org/a", page.format(i)) for i in range(30)] + [(100 + i, "http://few.org/a", page.format(i)) for i in range(3)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Own {i} Correction {i}" for i in range(30))
-    assert all(got[100 + i] == f"Own {i} Follow us everywhere" for i in range(3))
+    assert all(got[100 + i] == f"Own {i} Correction {i}" for i in range(3))
+
+
+def test_html_text_does_not_depend_on_the_number_of_pages(spark):
+    page = "<body><div class=x1><p>Follow us</p></div><article><p>Own {0}</p></article><p>Correction {0}</p></body>"
+    rows = [(100 * n + i, f"http://h{n}.org/a", page.format(i)) for n in (1, 2, 9, 10, 19, 20, 40) for i in range(n)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in (2, 9, 10, 19, 20, 40):
+        assert all(got[100 * n + i] == f"Own {i} Correction {i}" for i in range(n))
+    assert got[100] == "Own 0"          # one page shows nothing to compare
+
+
+def test_html_templates_brute_force(spark):
+    """Recurring subtrees by plain counting over all pages of a host, copies of a page once."""
+    rng = random.Random(4)
+    boxes = [f"<div class=b{k}><p>box {k}</p></div>" for k in range(8)]
+    rows = []
+    for host in range(6):
+        for i in range(rng.choice([1, 3, 8, 15, 25])):
+            own = rng.choice([i, i, 0])
+            rows.append((host * 100 + i, f"http://h{host}/", "".join(rng.sample(boxes, rng.randint(0, 4))) + f"<article><p>text {own}</p></article>"))
+    pages = {}
+    for _, url, h in rows:
+        pages.setdefault(url, set()).add((h[h.index("<article>"):], h))
+    want = {}
+    for pid, url, h in rows:
+        texts = {a for a, _ in pages[url]}
+        keep = []
+        for k in re.findall(r"box (\d)", h):
+            n = len({a for a, x in pages[url] if f"box {k}<" in x})
+            if n < min(html.MIN_PAGES, max(2, -(-len(texts) // 2))):
+                keep += [f"box {k}"] * (len(texts) > 1)
+        want[pid] = " ".join([*keep, re.search(r"text \d+", h).group()])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
 
 
 def test_html_names_are_whole(spark):
