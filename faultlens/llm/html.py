@@ -58,7 +58,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HEADINGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN = ("article", "main")
-_SEEN = 0       # counted on every page: stands among a host's templates where the host has pages to compare
+_ALONE = 0      # stands on every page, and among the templates of a host that has no other page to compare
 
 _BY_NAME, _BY_TAG = 1, 2        # why an element goes: its class or id; its tag or role
 
@@ -233,7 +233,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             packed = [zlib.compress(json.dumps(r[0], ensure_ascii=False).encode(), 1) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), b.column("host"), pa.array(packed, pa.binary()),
-                 pa.array([[_SEEN, *r[1]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
+                 pa.array([[_ALONE, *r[1]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
                 ["page_id", "url", "host", "packed", "hashes", "page"])
 
     return src.mapInArrow(run, "page_id long, url string, host string, packed binary, hashes array<long>, page long").withColumn(
@@ -241,15 +241,16 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, hash`` of subtrees that recur on ``min_pages`` different pages of their host, or on half of them, two at least.
-
-    ``rows``: ``host, hashes, page``."""
+    """``host, hash`` of subtrees that recur on ``min_pages`` different pages of their host, or on half of them, two at
+    least; and ``_ALONE`` for a host with one page. ``rows``: ``host, hashes, page``."""
     sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     sizes = stored(sizes, "hosts")
-    seen = rows.select("host", F.explode("hashes").alias("hash"), "page").groupBy("host", "hash", "page").agg(F.count(F.lit(1)).alias("c"))
+    seen = rows.select("host", F.explode("hashes").alias("hash"), "page").where(F.col("hash") != _ALONE)
+    seen = seen.groupBy("host", "hash", "page").agg(F.count(F.lit(1)).alias("c"))
     seen = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2")
     needed = F.least(F.lit(min_pages), F.greatest(F.lit(2), F.ceil(F.col("size") / 2)))
-    return seen.join(small_side(sizes, sizes.count(), 64), "host").where(F.col("pages") >= needed).select("host", "hash")
+    return seen.join(small_side(sizes, sizes.count(), 64), "host").where(F.col("pages") >= needed).select("host", "hash").union(
+        sizes.where("size = 1").select("host", F.lit(_ALONE).cast("long").alias("hash")))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -268,7 +269,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             for raw, gone in zip(b.column("packed").to_pylist(), b.column("gone").to_pylist()):
                 drop = set(gone or ())
                 out.append(" ".join(line for line, own, inside in json.loads(zlib.decompress(raw))
-                                    if (inside or _SEEN in drop) and not drop.intersection(own)))
+                                    if (inside or _ALONE not in drop) and not drop.intersection(own)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
