@@ -18,8 +18,8 @@ table; columns other than the two named ones are ignored, whatever their names.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,6 @@ LOTS = 16                # strings tokenised at a time
 ROWS = 256               # texts split at a time
 LONG_WORD = 64           # longer ones are tokenised, not remembered
 
-# letters, then ASCII punctuation: the tokenizer's own split falls between the two
-_RUNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 _STATE: dict = {}
 
 
@@ -134,20 +132,21 @@ def _cut(words: list[str], values: np.ndarray, cuts: np.ndarray, ids: dict) -> N
 
 
 def _file(words: list[str]) -> None:
-    """File the ids of new ``words``, by way of their runs where they are letters and then punctuation."""
+    """File the ids of new ``words``, by way of their runs where they are letters and then ASCII punctuation: the
+    tokenizer's own split falls between the two."""
     known, runs = _STATE["ids"], _STATE["runs"]
     runs.age()
     parts, rest, letters, other = [], [], set(), set()
     for w in words:
-        m = _RUNS.fullmatch(w) if len(w) <= LONG_WORD and "\u03a3" not in w else None   # capital sigma has two lower cases
-        a = m.group(1).lower() if m else ""
-        if not a.isalpha():             # other numerals, or a lower case with a combining mark
+        a = "" if len(w) > LONG_WORD or "\u03a3" in w else w if w.isalpha() else w.rstrip(punctuation)   # capital sigma has two lower cases
+        low = a.lower()
+        if not (a.isalpha() and low.isalpha()):     # other signs inside, or a lower case with a combining mark
             rest.append(w)
             continue
-        b = m.group(2)
-        parts.append((w, a, b))
-        if a not in runs and a not in runs.old:
-            letters.add(a)
+        b = w[len(a):]
+        parts.append((w, low, b))
+        if low not in runs and low not in runs.old:
+            letters.add(low)
         if b not in runs and b not in runs.old:
             other.add(b)
     if letters:
