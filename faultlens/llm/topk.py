@@ -86,6 +86,7 @@ def search(q: pd.DataFrame, c: pd.DataFrame, turn: np.ndarray, k: int) -> pd.Dat
     ints_c, ints_q = (None, None) if exact_floats else ([np.asarray(v).tolist() for v in c["v"]], [np.asarray(v).tolist() for v in q["v"]])
     least = np.array([-np.inf if x is None or x != x else float(x) for x in q["least"]])
     best: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]   # (-score, vec_id), k at most
+    top = np.empty((0, 3), np.int64)                                  # the same as rows (query, -score, vec_id), in order
     slack = 1e-6 * (1 + q_norm * c_norm.max(initial=0))               # rounding of the rotated floats
     for s in range(0, len(c), CHUNK):
         e = min(s + CHUNK, len(c))
@@ -93,18 +94,34 @@ def search(q: pd.DataFrame, c: pd.DataFrame, turn: np.ndarray, k: int) -> pd.Dat
         if not len(alive):
             break
         bound = qr[alive, :h] @ cr[s:e, :h].T + np.outer(q_rest[alive], c_rest[s:e]) + slack[alive, None]
-        pass_q, pass_c = np.nonzero(bound >= least[alive, None])
+        may = bound >= least[alive, None]
+        if exact_floats:
+            own = alive[may.any(1)]
+            cols = np.flatnonzero(may.any(0)) + s
+            score = qv[own] @ cv[cols].T                              # whole numbers
+            hit, col = np.nonzero((score >= least[own, None]) & (ci[cols][None, :] != qi[own, None]))
+            if not len(hit):
+                continue
+            new = np.stack([own[hit], -score[hit, col].astype(np.int64), ci[cols[col]]], 1)
+            top = np.concatenate([top, new])
+            top = top[np.lexsort((top[:, 2], top[:, 1], top[:, 0]))]
+            first = np.searchsorted(top[:, 0], top[:, 0])
+            top = top[np.arange(len(top)) - first < k]
+            who, at, many = np.unique(top[:, 0], return_index=True, return_counts=True)
+            full = many == k
+            least[who[full]] = np.maximum(least[who[full]], -top[at[full] + k - 1, 1])
+            continue
+        pass_q, pass_c = np.nonzero(may)
         for a in np.unique(pass_q).tolist():
             i = int(alive[a])
             js = pass_c[pass_q == a] + s
             js = js[ci[js] != qi[i]]
-            if exact_floats:
-                got = (cv[js] @ qv[i]).astype(np.int64).tolist()
-            else:
-                got = [int(sum(x * y for x, y in zip(ints_c[j], ints_q[i]))) for j in js]
+            got = [sum(x * y for x, y in zip(ints_c[j], ints_q[i])) for j in js]
             best[i] = sorted(best[i] + [(-g, int(v)) for g, v in zip(got, ci[js].tolist())])[:k]
             if len(best[i]) == k:
-                least[i] = max(least[i], -best[i][-1][0])
+                least[i] = max(least[i], float(-best[i][-1][0]))
+    for i, g, v in top.tolist():
+        best[i].append((g, v))
     rows = [(int(qi[i]), int(q["qkey"].iloc[i]), v, Decimal(max(-MOST, min(MOST, -g)))) for i, own in enumerate(best) for g, v in own]
     return pd.DataFrame(rows, columns=COLUMNS)
 
