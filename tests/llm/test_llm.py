@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -216,6 +217,17 @@ def test_topk(spark):
                     scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i)[:5]
                     want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
             assert got == sorted(want, key=repr)
+    # components beyond what floats and longs hold exactly: ranked by whole numbers, scores cut to a long
+    big = [(i, [float(2 ** 39 + i), float(rng.integers(-9, 9)), 0.25]) for i in range(90)] + [(100, [1e30, -1e300, 3.0]), (101, [-1e30, 1.0, 2.0])]
+    got = rows_of(topk.topk(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, stripe=16), "query_id", "rank", "vec_id", "score")
+    hold = lambda x: int(max(-2 ** 63, min(2 ** 63 - 1, math.floor(256 * x))))
+    good = {i: [hold(x) for x in v] for i, v in big}
+    cut = lambda s: max(-2 ** 63, min(2 ** 63 - 1, s))
+    want = []
+    for i in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(good[i], w)), j) for j, w in good.items() if j != i)[:5]
+        want += [(i, k + 1, j, cut(-s)) for k, (s, j) in enumerate(scored)]
+    assert got == sorted(want, key=repr)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.topk(none, F.col("vec_id") % 50 == 0).count() == 0
 
