@@ -68,6 +68,34 @@ def extract_json_object(text: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s)
 
 
+def balanced_objects(text: Column) -> Column:
+    """Every balanced ``{...}`` of a text, the ones that start first in front; braces inside JSON strings are text.
+
+    One fold over the characters keeps the open braces' places, so any depth is met and an unclosed brace hides nothing
+    behind it. Strings are told only inside a brace, so quotes in the prose around do not matter.
+    """
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    ints, spans = F.array().cast("array<int>"), F.array().cast("array<struct<s:int,e:int>>")
+    zero = F.struct(F.lit(0).alias("i"), ints.alias("open"), F.lit(False).alias("q"), F.lit(False).alias("esc"), spans.alias("found"))
+
+    def step(a, c):
+        inside = F.size(a["open"]) > 0
+        code = inside & ~a["q"]
+        closes = code & (c == "}")
+        opens = (c == "{") & ~a["q"]
+        last = F.element_at(a["open"], -1)
+        return F.struct(
+            (a["i"] + 1).alias("i"),
+            F.when(opens, F.concat(a["open"], F.array(a["i"] + 1)))
+            .when(closes, F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)).otherwise(a["open"]).alias("open"),
+            (inside & F.when(a["q"], ~((c == '"') & ~a["esc"])).otherwise(c == '"')).alias("q"),
+            (a["q"] & (c == "\\") & ~a["esc"]).alias("esc"),
+            F.when(closes, F.concat(a["found"], F.array(F.struct(last.alias("s"), (a["i"] + 1).alias("e"))))).otherwise(a["found"]).alias("found"))
+
+    done = F.aggregate(chars, zero, step, lambda a: F.array_sort(a["found"]))
+    return F.transform(done, lambda x: F.substring(text, x["s"], x["e"] - x["s"] + 1))
+
+
 def first_words(text: Column, n: int = 20) -> Column:
     """Keep the first ``n`` space-separated words."""
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultlens.functions.numeric import floor_div
+
 NS_PER_US = 1_000
 NS_PER_SEC = 1_000_000_000
 NS_PER_MIN = 60 * NS_PER_SEC
@@ -34,7 +36,7 @@ def epoch_ns(c: Column, dtype: T.DataType | None = None) -> Column:
 
 def ns_to_ntz(c: Column) -> Column:
     """Epoch nanoseconds -> naive timestamp (UTC wall clock)."""
-    return F.timestamp_add("MICROSECOND", F.floor(c / NS_PER_US).cast("long"), _epoch_ntz())
+    return F.timestamp_add("MICROSECOND", floor_div(c, NS_PER_US), _epoch_ntz())
 
 
 def local_time(c: Column, offset_hours: int = LOCAL_OFFSET_HOURS) -> Column:

@@ -14,10 +14,11 @@ AQE skew handling splits a hot bucket.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.functions.time import NS_PER_HOUR
+from faultlens.functions.numeric import floor_div
+from faultlens.functions.time import NS_PER_DAY, NS_PER_HOUR
 
 # Exploded interval rows we are willing to broadcast (each row ~ 100 bytes).
 MAX_BROADCAST_ROWS = 2_000_000
@@ -37,7 +38,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, n: int
 
 
 def _bucket(c: Column, bucket_ns: int) -> Column:
-    return F.floor(c / F.lit(bucket_ns)).cast("long")
+    return floor_div(c, bucket_ns)
 
 
 def interval_join(records: DataFrame, intervals: DataFrame, *, ts: str = "timestamp_ns",
@@ -70,6 +71,33 @@ def interval_join(records: DataFrame, intervals: DataFrame, *, ts: str = "timest
     return out.drop("_lo", "_hi")
 
 
+def subtract_intervals(windows: DataFrame, holes: DataFrame, *, lo: str = "lo", hi: str = "hi", hole_lo: str = "start_timestamp",
+                       hole_hi: str = "end_timestamp", own: str | None = "uuid", bucket_ns: int = NS_PER_DAY) -> DataFrame:
+    """The parts of every closed window ``[lo, hi]`` that no closed hole covers, as rows of the windows' columns.
+
+    Both sides are exploded to the buckets they touch and joined on the bucket, so only windows and holes that are near
+    meet. A window's holes are then swept in order: a part lies before each hole that starts past the end of all earlier
+    ones. ``own``: a hole of the same owner as the window is none. Repeated windows count once; an empty window has no part.
+    """
+    cols = windows.columns
+    w = windows.where(F.col(lo) <= F.col(hi)).distinct()
+
+    def near(df, a, b):
+        return df.withColumn("_bk", F.explode(F.sequence(_bucket(F.col(a), bucket_ns), _bucket(F.col(b), bucket_ns))))
+    h = holes.where(F.col(hole_lo) <= F.col(hole_hi)).select(
+        F.col(hole_lo).alias("_from"), F.col(hole_hi).alias("_to"), *([F.col(own).alias("_own")] if own else []))
+    met = near(w, lo, hi).join(near(h, "_from", "_to"), "_bk").where((F.col("_from") <= F.col(hi)) & (F.col("_to") >= F.col(lo)))
+    if own:
+        met = met.where(~F.col("_own").eqNullSafe(F.col(own)))
+    met = met.select(*cols, "_from", "_to").distinct()
+    after = F.col(hi) + 1       # a last hole behind the window
+    swept = met.unionByName(w.select(*cols, after.alias("_from"), after.alias("_to")))
+    earlier = Window.partitionBy(*cols).orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.col(lo), F.coalesce(F.max("_to").over(earlier) + 1, F.col(lo)))
+    parts = swept.withColumns({"_start": start, "_stop": F.col("_from") - 1}).where("_start <= _stop")
+    return parts.select(*[F.col({lo: "_start", hi: "_stop"}.get(c, c)).alias(c) for c in cols])
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep an intermediate that several branches of one plan consume.
 

@@ -1,24 +1,19 @@
-"""Log evidence: time + error filter (J1 F1 F2 F3), template mining and
-matching (D1 D2), masking (D3), roll-up per pod (A1 X1 W4).
-
-Template mining is a two-phase native aggregation instead of a sequential
-prefix tree: a message's cluster is routed by (token count, first tokens with
-digit-bearing ones wildcarded); with the configured similarity threshold a
-route holds one cluster, whose template keeps a token where every member
-agrees and ``<*>`` elsewhere. It is order-insensitive, so it partitions.
+"""Log evidence: time + error filter (J1 F1 F2 F3), masking (D3), roll-up per pod (A1 X1 W4) over the templates that
+``operators/templates.py`` mines (D1 D2), and the reduction report (A14) from the same pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from faultlens.functions.text import (TEMPLATE_WILDCARD, apply_masks, error_predicate,
-                                      service_from_pod, template_bucket_key, template_tokens)
+from faultlens.functions.text import apply_masks, error_predicate, service_from_pod
 from faultlens.functions.time import NS_PER_HOUR
-from faultlens.operators.interval import interval_join, reuse
+from faultlens.operators.interval import cut, interval_join
+from faultlens.operators.templates import (DEPTH, SIM_TH, match_templates, merged, mine_templates,  # noqa: F401
+                                           token_lists, tokenize, with_clusters)
 
 # Columns the log path keeps, in order.
 LOG_COLUMNS = ("time_beijing", "k8_pod", "message", "k8_node_name")
@@ -53,105 +48,71 @@ def error_logs(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER
     return tolerant_select(w, LOG_COLUMNS, keep=("uuid", "timestamp_ns"))
 
 
-def templates_from_tokens(tokens_df: DataFrame, scope: Sequence[str] = (), *, distinct: bool = False) -> DataFrame:
-    """``(scope..., bucket_key, tokens)`` rows -> ``(scope..., bucket_key, template)``.
-
-    Works on distinct token lists. A bucket holding one distinct list is its
-    own template; only buckets with several lists are exploded to positions
-    and merged with min/max per position (map-side combined, so a hot
-    cluster never sits in one task).
-    """
-    scope = list(scope)
-    d = tokens_df.select(*scope, "bucket_key", "tokens")
-    if not distinct:  # ``distinct``: rows are already one per (scope, bucket_key, tokens), kept once
-        d = reuse(d.distinct())
-    stats = d.groupBy(*scope, "bucket_key").agg(F.count(F.lit(1)).alias("_k"), F.max("tokens").alias("_t"))
-    single = stats.where(F.col("_k") == 1).select(*scope, "bucket_key", F.array_join("_t", " ").alias("template"))
-    multi = d.join(stats.where(F.col("_k") > 1).select(*scope, "bucket_key"), [*scope, "bucket_key"], "left_semi")
-    p = multi.select(*scope, "bucket_key", F.posexplode("tokens").alias("pos", "tok"))
-    a = (p.groupBy(*scope, "bucket_key", "pos")
-          .agg(F.min("tok").alias("lo"), F.max("tok").alias("hi")))
-    a = a.select(*scope, "bucket_key", F.struct(
-        "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(TEMPLATE_WILDCARD)).alias("tok")
-    ).alias("pt"))
-    merged = a.groupBy(*scope, "bucket_key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("pt")), lambda x: x["tok"]), " ").alias("template"))
-    return single.unionByName(merged)
-
-
-def tokenize(messages: DataFrame, message: str = "message") -> DataFrame:
-    """Add ``tokens`` and the cluster route ``bucket_key`` to each message."""
-    return (messages.withColumn("tokens", template_tokens(F.col(message)))
-            .withColumn("bucket_key", template_bucket_key(F.col("tokens"))))
-
-
-def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: str = "message") -> DataFrame:
-    """D1 over a message column (or an already tokenised frame); returns
-    ``(scope..., bucket_key, template, cluster_size)``."""
-    t = messages if "bucket_key" in messages.columns else tokenize(messages, message)
-    # one row per distinct token list, read by both the template and the size branch
-    t = reuse(t.groupBy(*scope, "bucket_key", "tokens").agg(F.count(F.lit(1)).alias("n")))
-    sizes = t.groupBy(*scope, "bucket_key").agg(F.sum("n").alias("cluster_size"))
-    return templates_from_tokens(t, scope, distinct=True).join(sizes, [*scope, "bucket_key"])
-
-
-def match_templates(messages: DataFrame, templates: DataFrame, *, scope: Sequence[str] = (),
-                    message: str = "message") -> DataFrame:
-    """Attach the template of each message's cluster (null when none)."""
-    m = messages if "bucket_key" in messages.columns else tokenize(messages, message)
-    return (m.join(templates.select(*scope, "bucket_key", "template"), [*scope, "bucket_key"], "left")
-             .drop("bucket_key", "tokens"))
-
-
 def mask_messages(df: DataFrame, column: str = "message", rules=DEFAULT_MASK_RULES) -> DataFrame:
     """D3: ordered regex masking (off in the default pipeline)."""
     return df.withColumn(column, apply_masks(F.col(column), rules))
 
 
-def log_error_rollup(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER_HOUR,
-                     mask_rules=None) -> DataFrame:
-    """Flagship log evidence per incident.
-
-    Output: uuid, node_name, service_name, pod_name, message (first error line
-    of the group by (timestamp, text)), occurrence_count; sorted per incident
-    by count.
-    """
-    w = error_logs(logs, incidents, bucket_ns=bucket_ns)
+def _error_lists(w: DataFrame, mask_rules) -> DataFrame:
+    """One row per (incident, pod, node, token list) with its count and first line; rows that are no error, if any are
+    there, only count, one row per incident. The aggregation combines map-side."""
     text = F.col("message")
     if mask_rules:
         text = apply_masks(text, mask_rules)
-    w = w.withColumn("tokens", template_tokens(text))
-    # one row per distinct (incident, pod, node, token list): map-side combined
-    per = (w.groupBy("uuid", "k8_pod", "k8_node_name", "tokens")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.min(F.struct("timestamp_ns", "message")).alias("first")))
-    # consumed by the template branch and the roll-up branch: keep it once
-    per = reuse(per.withColumn("bucket_key", template_bucket_key(F.col("tokens"))))
-    tpl = templates_from_tokens(per, scope=["uuid"])
-    m = per.join(tpl, ["uuid", "bucket_key"])
-    # A1: null pod / node / template rows drop out of the group-by
-    m = m.where(F.col("k8_pod").isNotNull() & F.col("k8_node_name").isNotNull() & F.col("template").isNotNull())
-    out = (m.groupBy("uuid", "k8_pod", "k8_node_name", "template")
-            .agg(F.sum("n").alias("occurrence_count"), F.min("first").alias("first")))
-    out = out.select(
-        "uuid",
-        F.col("k8_node_name").alias("node_name"),
-        service_from_pod(F.col("k8_pod")).alias("service_name"),
-        F.col("k8_pod").alias("pod_name"),
-        F.col("first")["message"].alias("message"),
-        F.col("occurrence_count").cast("long").alias("occurrence_count"),
-    )
-    return out.orderBy("uuid", F.desc("occurrence_count"), "pod_name", "node_name", "message")
-
-
-def reduction_report(logs: DataFrame, incidents: DataFrame, rollup: DataFrame, *,
-                     bucket_ns: int = NS_PER_HOUR) -> DataFrame:
-    """Per incident, rows in the window, error rows, rolled-up rows."""
+    err = F.col("is_error")
+    t = tokenize(w, text=text)
+    cols = {c: F.when(err, F.col(c)) for c in ("k8_pod", "k8_node_name", "list_id", "bucket_key", "tokens")}
+    t = t.withColumns({**cols, "first": F.when(err, F.struct("timestamp_ns", "message"))})
+    return t.groupBy("uuid", "is_error", "k8_pod", "k8_node_name", "list_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("bucket_key").alias("bucket_key"), F.min("tokens").alias("tokens"))
+
+
+def _rollup(per: DataFrame, sim_th: float, depth: int) -> DataFrame:
+    """D1 D2 A1 X1 from the counted token lists (a stored table)."""
+    lists = with_clusters(token_lists(per, ["uuid"], F.col("n")), ["uuid"], sim_th=sim_th, depth=depth)
+    # a null pod or node drops out of the group-by (A1), after it has taken part in the mining
+    m = per.where(F.col("k8_pod").isNotNull() & F.col("k8_node_name").isNotNull())
+    m = m.join(lists.select("uuid", "list_id", F.col("bucket_key").alias("_b"), F.col("cluster").alias("_l")), ["uuid", "list_id"])
+    tpl = merged(lists, ["uuid"]).select("uuid", F.col("bucket_key").alias("_b"), F.col("cluster").alias("_l"), F.md5("template").alias("_template"))
+    m = m.join(tpl, ["uuid", "_b", "_l"])
+    out = m.groupBy("uuid", "k8_pod", "k8_node_name", "_template").agg(F.sum("n").alias("occurrence_count"), F.min("first").alias("first"))
+    return out.select("uuid", F.col("k8_node_name").alias("node_name"), service_from_pod(F.col("k8_pod")).alias("service_name"),
+                      F.col("k8_pod").alias("pod_name"), F.col("first")["message"].alias("message"),
+                      F.col("occurrence_count").cast("long").alias("occurrence_count"))
+
+
+def log_error_rollup(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER_HOUR, mask_rules=None,
+                     sim_th: float = SIM_TH, depth: int = DEPTH) -> DataFrame:
+    """Flagship log evidence per incident.
+
+    Output: uuid, node_name, service_name, pod_name, message (first error line of the group by (timestamp, text)),
+    occurrence_count. :func:`by_count` puts each incident's rows in the report's order.
+    """
+    w = error_logs(logs, incidents, bucket_ns=bucket_ns).withColumn("is_error", F.lit(True))
+    return _rollup(cut(_error_lists(w, mask_rules)), sim_th, depth)
+
+
+def by_count(rollup: DataFrame) -> DataFrame:
+    """Each incident's rows together, most frequent first (one shuffle by incident, no global sort)."""
+    return rollup.repartition("uuid").sortWithinPartitions("uuid", F.desc("occurrence_count"), "pod_name", "node_name", "message")
+
+
+def rollup_with_report(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int = NS_PER_HOUR, mask_rules=None,
+                       sim_th: float = SIM_TH, depth: int = DEPTH, totals: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """The roll-up, and A14: per incident, rows in the window, error rows, rolled-up rows.
+
+    Both come from one pass over the logs: rows that are no error are counted in the roll-up's own aggregation.
+    ``totals``: an observation that gets the pass's overall counts (``window_rows``, ``error_rows``).
+    """
     w = interval_join(logs, incidents.select("uuid", "start_timestamp", "end_timestamp"), bucket_ns=bucket_ns)
-    counts = w.groupBy("uuid").agg(
-        F.count(F.lit(1)).alias("n_window_rows"),
-        F.sum(F.when(error_predicate(F.col("message")), 1).otherwise(0)).cast("long").alias("n_error_rows"))
-    r = rollup.groupBy("uuid").agg(F.count(F.lit(1)).alias("n_rollup_rows"))
-    out = counts.join(r, "uuid", "left")
-    return out.select("uuid", "n_window_rows", "n_error_rows",
-                      F.coalesce(F.col("n_rollup_rows"), F.lit(0)).cast("long").alias("n_rollup_rows"))
+    w = tolerant_select(w, LOG_COLUMNS, keep=("uuid", "timestamp_ns")).withColumn("is_error", error_predicate(F.col("message")))
+    if totals is not None:
+        w = w.observe(totals, F.count(F.lit(1)).alias("window_rows"), F.count_if("is_error").alias("error_rows"))
+    per = cut(_error_lists(w, mask_rules))
+    rollup = _rollup(per.where("is_error"), sim_th, depth)
+    counts = per.groupBy("uuid").agg(F.sum("n").alias("n_window_rows"),
+                                     F.sum(F.when(F.col("is_error"), F.col("n")).otherwise(0)).cast("long").alias("n_error_rows"))
+    rolled = rollup.groupBy("uuid").agg(F.count(F.lit(1)).alias("n_rollup_rows"))
+    report = counts.join(rolled, "uuid", "left").select(
+        "uuid", "n_window_rows", "n_error_rows", F.coalesce(F.col("n_rollup_rows"), F.lit(0)).cast("long").alias("n_rollup_rows"))
+    return rollup, report

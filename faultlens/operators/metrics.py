@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.numeric import round_half_up
 
 from faultlens.functions.time import NS_PER_DAY, NS_PER_MIN
-from faultlens.operators.interval import interval_join
+from faultlens.operators.interval import interval_join, subtract_intervals
 from faultlens.operators.stats import DECIMALS, STAT_COLUMNS, trimmed_describe
 
 # Fixed values from the reference workload.
@@ -46,12 +46,13 @@ DB_METRICS = {
 
 
 # ------------------------------------------------------------------------- W2
-def incident_periods(incidents: DataFrame, gap_ns: int = NORMAL_GAP_NS) -> DataFrame:
+def incident_periods(incidents: DataFrame, gap_ns: int = NORMAL_GAP_NS, *, exclude_faults: bool = False) -> DataFrame:
     """Per incident the fault period and up to two normal periods.
 
     normal/before = [prev_end + gap, start], normal/after = [end + gap, next_start],
     where prev/next follow incident row order (``seq``). A period whose start
     is after its end stays in the table but selects no samples.
+    ``exclude_faults`` (B12): normal periods without the faults of other incidents, in as many rows as are left.
     Output: uuid, period, part, lo, hi.
     """
     i = incidents.select("uuid", "seq", "start_timestamp", "end_timestamp")
@@ -68,7 +69,10 @@ def incident_periods(incidents: DataFrame, gap_ns: int = NORMAL_GAP_NS) -> DataF
                row("normal", "after", F.col("end_timestamp") + F.lit(gap_ns), F.col("next_start"))),
     )
     out = j.select("uuid", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("p"))
-    return out.select("uuid", "p.period", "p.part", "p.lo", "p.hi")
+    out = out.select("uuid", "p.period", "p.part", "p.lo", "p.hi")
+    if not exclude_faults:
+        return out
+    return out.where("period = 'fault'").unionByName(subtract_intervals(out.where("period = 'normal'"), incidents))
 
 
 def period_samples(points: DataFrame, periods: DataFrame, *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
@@ -239,6 +243,17 @@ def _stats_struct(prefix: str) -> F.Column:
     return F.struct(*[F.col(f"{prefix}_{c}").alias(JSON_STAT_NAMES.get(c, c)) for c in STAT_COLUMNS])
 
 
+def _sorted_map(key: str, value: F.Column) -> F.Column:
+    """Map of a group's rows, by key (the values may hold maps, which have no order)."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))),
+                           lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    return F.map_from_entries(entries)
+
+
+# Sections of the JSON evidence, in order, and the keys each is nested by.
+JSON_SECTIONS = {"service": ("service", "pod"), "tidb": ("service", "metric"), "node": ("node", "metric"), "pod": ("instance", "pod", "metric")}
+
+
 def evidence_json(service: DataFrame, db: DataFrame, node: DataFrame, pod: DataFrame) -> DataFrame:
     """K4: one JSON document per incident: {service, tidb, node, pod}.
 
@@ -246,30 +261,63 @@ def evidence_json(service: DataFrame, db: DataFrame, node: DataFrame, pod: DataF
     tidb:    service -> metric -> {normal_stats, fault_stats}
     node:    node -> metric -> {normal_stats, fault_stats}
     pod:     node -> pod -> metric -> {normal_stats, fault_stats}
+    All four keys are there, a section without rows as ``{}``; a missing statistic is null; keys are in order.
     Built with map aggregation per incident (bounded by entities x metrics).
     """
     leaf = F.struct(_stats_struct("normal").alias("normal_stats"), _stats_struct("fault").alias("fault_stats"))
 
-    def nest(df: DataFrame, levels: list[str], value: F.Column, name: str) -> DataFrame:
+    def nest(df: DataFrame, levels: Sequence[str], value: F.Column, name: str) -> DataFrame:
         cur = df.select("uuid", *levels, value.alias("_v"))
         for i in range(len(levels) - 1, -1, -1):
-            outer = levels[:i]
-            cur = cur.groupBy("uuid", *outer).agg(
-                F.map_from_entries(F.collect_list(F.struct(levels[i], "_v"))).alias("_v"))
+            cur = cur.groupBy("uuid", *levels[:i]).agg(_sorted_map(levels[i], F.col("_v")).alias("_v"))
         return cur.withColumnRenamed("_v", name)
 
     per_pod = service.groupBy("uuid", "service", "pod").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", _stats_struct("normal")))).alias("normal_stats"),
-        F.map_from_entries(F.collect_list(F.struct("metric", _stats_struct("fault")))).alias("fault_stats"))
-    s = nest(per_pod, ["service", "pod"], F.struct("normal_stats", "fault_stats"), "service")
-    t = nest(db, ["service", "metric"], leaf, "tidb")
-    n = nest(node, ["node", "metric"], leaf, "node")
-    p = nest(pod, ["instance", "pod", "metric"], leaf, "pod")
-
-    ids = (service.select("uuid").union(db.select("uuid")).union(node.select("uuid"))
-           .union(pod.select("uuid")).distinct())
-    doc = ids.join(s, "uuid", "left").join(t, "uuid", "left").join(n, "uuid", "left").join(p, "uuid", "left")
-    return doc.select("uuid", F.to_json(F.struct("service", "tidb", "node", "pod")).alias("metric_json"))
+        _sorted_map("metric", _stats_struct("normal")).alias("normal_stats"), _sorted_map("metric", _stats_struct("fault")).alias("fault_stats"))
+    parts = [nest(per_pod, JSON_SECTIONS["service"], F.struct("normal_stats", "fault_stats"), "service"),
+             nest(db, JSON_SECTIONS["tidb"], leaf, "tidb"), nest(node, JSON_SECTIONS["node"], leaf, "node"), nest(pod, JSON_SECTIONS["pod"], leaf, "pod")]
+    doc = (service.select("uuid").union(db.select("uuid")).union(node.select("uuid")).union(pod.select("uuid")).distinct())
+    for part in parts:
+        doc = doc.join(part, "uuid", "left")
+    texts = [F.coalesce(F.to_json(name, {"ignoreNullFields": "false"}), F.lit("{}")) for name in JSON_SECTIONS]
+    pieces = [x for name, text in zip(JSON_SECTIONS, texts) for x in (F.lit(f',"{name}":'), text)]
+    pieces[0] = F.lit('{"service":')
+    return doc.select("uuid", F.concat(*pieces, F.lit("}")).alias("metric_json"))
+
+
+def parse_evidence_json(documents: DataFrame) -> DataFrame:
+    """K4 read back: one row per (uuid, section, e1, e2, metric, period) with the statistics under their own names."""
+    stats = "struct<" + ",".join(f"`{JSON_STAT_NAMES.get(c, c)}`:{'bigint' if c == 'count' else 'double'}" for c in STAT_COLUMNS) + ">"
+    leaf = f"struct<normal_stats:{stats},fault_stats:{stats}>"
+    by_metric = f"map<string,{leaf}>"
+    schema = (f"service map<string,map<string,struct<normal_stats:map<string,{stats}>,fault_stats:map<string,{stats}>>>>, "
+              f"tidb map<string,{by_metric}>, node map<string,{by_metric}>, pod map<string,map<string,{by_metric}>>")
+    d = documents.select("uuid", F.from_json("metric_json", schema).alias("d")).select("uuid", "d.*")
+
+    def periods(df: DataFrame, section: str, e1: str, e2) -> DataFrame:
+        rows = df.select("uuid", F.lit(section).alias("section"), F.col(e1).alias("e1"), e2.alias("e2"), "metric", F.explode(F.array(
+            F.struct(F.lit("normal").alias("period"), F.col("v.normal_stats").alias("s")),
+            F.struct(F.lit("fault").alias("period"), F.col("v.fault_stats").alias("s")))).alias("p"))
+        return rows.select("uuid", "section", "e1", "e2", "metric", "p.period",
+                           *[F.col("p.s")[JSON_STAT_NAMES.get(c, c)].alias(c) for c in STAT_COLUMNS])
+
+    def open_map(df: DataFrame, column, key: str) -> DataFrame:
+        return df.select("*", F.explode(column).alias(key, "_n")).drop("v").withColumnRenamed("_n", "v")
+
+    none = F.lit("")
+    base = d.select("uuid", *JSON_SECTIONS)
+    tidb = open_map(open_map(base, "tidb", "e"), "v", "metric")
+    node = open_map(open_map(base, "node", "e"), "v", "metric")
+    pod = open_map(open_map(open_map(base, "pod", "e"), "v", "f"), "v", "metric")
+    svc = open_map(open_map(base, "service", "e"), "v", "f")
+    svc_rows = None
+    for period in ("normal", "fault"):
+        one = svc.select("uuid", "e", "f", F.explode(f"v.{period}_stats").alias("metric", "s")).select(
+            "uuid", F.lit("service").alias("section"), F.col("e").alias("e1"), F.col("f").alias("e2"), "metric", F.lit(period).alias("period"),
+            *[F.col("s")[JSON_STAT_NAMES.get(c, c)].alias(c) for c in STAT_COLUMNS])
+        svc_rows = one if svc_rows is None else svc_rows.unionByName(one)
+    return (periods(tidb, "tidb", "e", none).unionByName(periods(node, "node", "e", none))
+            .unionByName(periods(pod, "pod", "e", F.col("f"))).unionByName(svc_rows))
 
 
 # ------------------------------------------------------- one pass, all sources

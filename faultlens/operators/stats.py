@@ -1,23 +1,21 @@
-"""A2 + A3: trimmed describe per group.
+"""A2 + A3: trimmed describe per group; A5: plain describe. Exact order statistics in one path for groups of any size.
 
 Per group, null/NaN values are dropped; with more than two values exactly one
 minimum and one maximum are removed; then count, mean, std (ddof 1), min,
 linear-interpolated p25/p50/p75/p95/p99, max. ``non_zero_ratio`` is the share
 of values > 0 over the *untrimmed* values, rounded to 3 places.
 
-Plan (exact, no per-group collection, hot groups split):
+Plan (no per-group collection, no counting job, no second algorithm for large groups):
 
 1. value frequencies ``(keys, v) -> f`` (map-side combined: repeated values
    shrink before the shuffle);
-2. one small job counts groups with more than ``HOT_DISTINCT`` distinct
-   values. With none, every group is proven small and one window per group
-   gives running ranks and totals (one shuffle). Otherwise:
-3. hot groups get split points from a mergeable quantile sketch (balance
-   only, the result stays exact); running counts per (group, sub-range) with
-   a window ordered by value — a task holds at most one sub-range;
-4. per (group, sub-range) totals -> small window per group -> offsets and
-   the group's n / min / max / sum;
-5. trimming = rank shift by one (the removed minimum is the first value, the
+2. the frequencies are ranged by (keys, v): Spark draws the splits from the
+   data, so a large group spreads over as many ranges as it fills and many
+   small ones share one;
+3. running counts inside (group, range), and one row of totals per (group,
+   range), whose running sums give each range its offset and the group its
+   n / min / max / sum;
+4. trimming = rank shift by one (the removed minimum is the first value, the
    removed maximum the last), order statistics by rank lookup, std by a
    second pass around the trimmed mean, all in one final (partial)
    aggregation.
@@ -26,51 +24,54 @@ Plan (exact, no per-group collection, hot groups split):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import round_half_up
-from faultlens.operators.interval import bounded_broadcast, reuse
 
 # Percentiles reported and their column names.
 PERCENTILES = ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"))
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "p95", "p99", "max", "non_zero_ratio")
 DECIMALS = 6
-HOT_DISTINCT = 100_000     # distinct values above which a group is split by value range
-HOT_SPLITS = 64            # sub-ranges of a hot group
-MAX_BROADCAST_HOT = 200_000  # hot groups whose split points we broadcast (~0.5 KB each)
 
 
-def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
-                     decimals: int | None = DECIMALS, hot_distinct: int = HOT_DISTINCT,
-                     hot_splits: int = HOT_SPLITS) -> DataFrame:
+def ranked(values: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``keys, _v, _f`` with ``_cum`` (values up to this one, itself included) and the group's ``_n, _lo, _hi, _sum, _pos``.
+
+    ``values``: (keys, _v) rows. No task holds more of a group than a range's share of all distinct values.
+    """
+    keys = list(keys)
+    f = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
+    by = [*keys, "_v"]
+    f = (f.repartitionByRange(ranges, *by) if ranges else f.repartitionByRange(*by)).withColumn("_r", F.spark_partition_id())
+    running = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = f.groupBy(*keys, "_r").agg(F.sum("_f").alias("_rn"), F.min("_v").alias("_rlo"), F.max("_v").alias("_rhi"),
+                                      F.sum(F.col("_f") * F.col("_v")).alias("_rsum"),
+                                      F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).alias("_rpos"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_r").alias("_kr"),
+                       F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_off"), F.sum("_rn").over(group).alias("_n"),
+                       F.min("_rlo").over(group).alias("_lo"), F.max("_rhi").over(group).alias("_hi"),
+                       F.sum("_rsum").over(group).alias("_sum"), F.sum("_rpos").over(group).alias("_pos"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_r") == F.col("_kr"))
+    joined = f.withColumn("_run", F.sum("_f").over(running)).join(part, same)
+    return joined.select(*keys, "_v", "_f", (F.col("_off") + F.col("_run")).alias("_cum"), "_n", "_lo", "_hi", "_sum", "_pos")
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[tuple[float, str]], *,
+                     trim: bool, ranges: int | None = None) -> DataFrame:
+    """``keys, count, mean, ss`` (squared deviations), ``min, max``, percentiles, ``n`` and ``positive`` (untrimmed)."""
     keys = list(keys)
     v = F.col(value)
     base = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
-    f = reuse(base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f")))
-
-    # 2. split points for hot groups only (one small job counts them)
-    hot = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > hot_distinct).select(*keys)
-    n_hot = hot.count()
-    if n_hot == 0:
-        # every group is proven to hold <= hot_distinct distinct values: one
-        # window per group (one task per group, bounded) gives ranks and totals
-        w = Window.partitionBy(*keys).orderBy("_v")
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        f = f.select("*", F.sum("_f").over(running).alias("_cum"), F.sum("_f").over(whole).alias("_n"),
-                     F.min("_v").over(whole).alias("_lo"), F.max("_v").over(whole).alias("_hi"),
-                     F.sum(F.col("_f") * F.col("_v")).over(whole).alias("_sum"),
-                     F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).over(whole).alias("_pos"))
-    else:
-        f = _split_ranks(f, keys, hot, n_hot, hot_splits)
-
-    # 5. trimmed count / mean, ranks shifted past the removed minimum
-    trim = F.col("_n") > 2
-    m = F.col("_n") - F.when(trim, 2).otherwise(0)
-    mean = (F.col("_sum") - F.when(trim, F.col("_lo") + F.col("_hi")).otherwise(0.0)) / m
-    f = f.select("*", m.alias("_m"), mean.alias("_mean"), F.when(trim, 1).otherwise(0).alias("_shift"))
+    f = ranked(base, keys, ranges)
+    cut = (F.col("_n") > 2) if trim else F.lit(False)
+    m = F.col("_n") - F.when(cut, 2).otherwise(0)
+    mean = (F.col("_sum") - F.when(cut, F.col("_lo") + F.col("_hi")).otherwise(0.0)) / m
+    f = f.select("*", m.alias("_m"), mean.alias("_mean"), F.when(cut, 1).otherwise(0).alias("_shift"))
 
     def at_rank(r):
         # value whose 0-based untrimmed rank range [cum - f, cum - 1] holds r (+ shift)
@@ -78,56 +79,34 @@ def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value",
         return F.min(F.when((F.col("_cum") - F.col("_f") <= rr) & (rr < F.col("_cum")), F.col("_v")))
 
     dev = (F.col("_v") - F.col("_mean")) ** 2
-    aggs = [F.max("_m").alias("count"), F.max("_mean").alias("mean"),
-            F.sum(F.col("_f") * dev).alias("_ss_all"),
-            F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_n").alias("_n"),
-            F.max("_pos").alias("_pos"),
+    aggs = [F.max("_m").alias("count"), F.max("_mean").alias("mean"), F.sum(F.col("_f") * dev).alias("_ss_all"),
+            F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_n").alias("n"), F.max("_pos").alias("positive"),
             at_rank(F.lit(0)).alias("min"), at_rank(F.col("_m") - 1).alias("max")]
-    for p, name in PERCENTILES:
+    for p, name in percentiles:
         h = F.lit(p) * (F.col("_m") - 1)
-        aggs.append(at_rank(F.floor(h)).alias(f"_a_{name}"))
-        aggs.append(at_rank(F.ceil(h)).alias(f"_b_{name}"))
+        aggs += [at_rank(F.floor(h)).alias(f"_a_{name}"), at_rank(F.ceil(h)).alias(f"_b_{name}")]
     g = f.groupBy(*keys).agg(*aggs)
+    removed = (F.col("_lo") - F.col("mean")) ** 2 + (F.col("_hi") - F.col("mean")) ** 2
+    ss = F.col("_ss_all") - (F.when(F.col("n") > 2, removed).otherwise(0.0) if trim else F.lit(0.0))
+    cols = []
+    for p, name in percentiles:
+        h = F.lit(p) * (F.col("count") - 1)
+        a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        cols.append((a + (h - F.floor(h)) * (b - a)).alias(name))
+    return g.select(*keys, F.col("count").cast("long").alias("count"), "mean", F.greatest(ss, F.lit(0.0)).alias("ss"), "min", *cols, "max",
+                    "n", "positive")
+
+
+def trimmed_describe(df: DataFrame, keys: Sequence[str], value: str = "value", decimals: int | None = DECIMALS,
+                     hot_distinct: int | None = None, hot_splits: int | None = None) -> DataFrame:
+    """A2 + A3. ``hot_splits``: number of ranges (the session's shuffle partitions by default). ``hot_distinct`` has no
+    effect any more: groups of every size take the same path."""
+    g = order_statistics(df, keys, value, PERCENTILES, trim=True, ranges=hot_splits)
 
     def rnd(c):
         return round_half_up(c, decimals) if decimals is not None else c
 
-    ss = F.col("_ss_all") - F.when(F.col("_n") > 2, (F.col("_lo") - F.col("mean")) ** 2
-                                   + (F.col("_hi") - F.col("mean")) ** 2).otherwise(0.0)
-    cols = [*keys, F.col("count").cast("long").alias("count"), rnd(F.col("mean")).alias("mean"),
-            rnd(F.when(F.col("count") > 1, F.sqrt(F.greatest(ss, F.lit(0.0)) / (F.col("count") - 1)))).alias("std"),
-            rnd(F.col("min")).alias("min")]
-    for p, name in PERCENTILES:
-        h = F.lit(p) * (F.col("count") - 1)
-        a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
-        cols.append(rnd(a + (h - F.floor(h)) * (b - a)).alias(name))
-    cols += [rnd(F.col("max")).alias("max"),
-             round_half_up(F.col("_pos") / F.col("_n"), 3).alias("non_zero_ratio")]
-    return g.select(*cols)
-
-
-def _split_ranks(f: DataFrame, keys: list, hot: DataFrame, n_hot: int, hot_splits: int) -> DataFrame:
-    """Running ranks and group totals when some groups are hot: hot groups are
-    cut into value sub-ranges (split points from a mergeable sketch), ranks
-    run per (group, sub-range) and are stitched with per-group offsets."""
-    fractions = [i / hot_splits for i in range(1, hot_splits)]
-    splits = (f.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT else hot, keys, "left_semi")
-               .groupBy(*keys).agg(F.percentile_approx("_v", fractions, 10_000).alias("_sp")))
-    splits = bounded_broadcast(splits, MAX_BROADCAST_HOT, n=n_hot)
-    f = f.join(splits, keys, "left").withColumn(
-        "_s", F.coalesce(F.size(F.filter("_sp", lambda x: x < F.col("_v"))), F.lit(0))).drop("_sp")
-    sub = [*keys, "_s"]
-    running = Window.partitionBy(*sub).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = f.withColumn("_lc", F.sum("_f").over(running))
-    tot = f.groupBy(*sub).agg(F.sum("_f").alias("_sn"), F.min("_v").alias("_smin"), F.max("_v").alias("_smax"),
-                              F.sum(F.col("_f") * F.col("_v")).alias("_ssum"),
-                              F.sum(F.when(F.col("_v") > 0, F.col("_f")).otherwise(0)).alias("_spos"))
-    grp = Window.partitionBy(*keys)
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*sub,
-                     F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_sn").over(grp).alias("_n"), F.min("_smin").over(grp).alias("_lo"),
-                     F.max("_smax").over(grp).alias("_hi"), F.sum("_ssum").over(grp).alias("_sum"),
-                     F.sum("_spos").over(grp).alias("_pos"))
-    f = f.join(tot, sub)
-    return f.withColumn("_cum", F.col("_off") + F.col("_lc")).drop("_off", "_lc", "_s")
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1)))
+    return g.select(*keys, "count", rnd(F.col("mean")).alias("mean"), rnd(std).alias("std"), rnd(F.col("min")).alias("min"),
+                    *[rnd(F.col(name)).alias(name) for _, name in PERCENTILES], rnd(F.col("max")).alias("max"),
+                    round_half_up(F.col("positive") / F.col("n"), 3).alias("non_zero_ratio"))

@@ -24,11 +24,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.functions.numeric import round_half_up
+from faultlens.functions.numeric import floor_div, round_half_up
 
 from faultlens.functions import spans as X
 from faultlens.functions.time import NS_PER_MIN, NS_PER_SEC, NS_PER_HOUR, local_time
-from faultlens.operators.interval import interval_join
+from faultlens.operators.interval import cut, interval_join, subtract_intervals
+from faultlens.operators.stats import order_statistics
 
 # Fixed values from the reference workload.
 WINDOW_NS = 30 * NS_PER_SEC          # bucket length
@@ -39,6 +40,7 @@ N_TREES = 100
 CONTAMINATION = 0.01
 MAX_SUBSAMPLE = 256
 TOP_N = 20
+PARENTLESS = 1024                    # keys over which spans without a parent are spread
 ANOMALY_TYPE = "Duration"
 # Fixed value: display text put before a count ("occurrences:").
 COUNT_TEXT_PREFIX = "出现次数:"
@@ -49,30 +51,49 @@ STATUS_KEYS = ("node_name", "service_name", "parent_pod", "child_pod", "operatio
 
 
 # ------------------------------------------------------------------------- T1
-def enrich_spans(spans: DataFrame, windows: DataFrame, *, lo: str = "start_timestamp",
-                 hi: str = "end_timestamp", bucket_ns: int = NS_PER_HOUR) -> DataFrame:
-    """T1 over the spans inside each window (J1), keyed by ``uuid``.
-
-    The parent lookup is scoped to the same incident window (a span whose
-    parent lies outside the window has no parent pod). For a duplicated
-    spanID the latest span wins.
-    """
-    w = interval_join(spans, windows.select("uuid", lo, hi), lo=lo, hi=hi, bucket_ns=bucket_ns)
-    w = w.select(
-        "uuid", "timestamp_ns", "spanID",
+def span_fields(spans: DataFrame, *more: str) -> DataFrame:
+    """The span's own fields from its process tags and references."""
+    return spans.select(
+        *more, "timestamp_ns", "spanID",
         X.parent_span_id(F.col("references")).alias("parent_spanID"),
         X.pod_of(F.col("process")).alias("child_pod"),
         X.service_of(F.col("process")).alias("service_name"),
         X.node_of(F.col("process")).alias("node_name"),
-        "operationName", "duration", "tags",
-    )
-    parents = (w.where(F.col("spanID").isNotNull())
-                .groupBy("uuid", "spanID")
-                .agg(F.max_by(F.struct(F.col("child_pod").alias("parent_pod"),
-                                       F.col("service_name").alias("parent_service")),
-                              F.struct("timestamp_ns", "child_pod", "service_name")).alias("p"))
-                .select("uuid", F.col("spanID").alias("parent_spanID"), "p.parent_pod", "p.parent_service"))
-    return w.join(parents, ["uuid", "parent_spanID"], "left")
+        "operationName", "duration", "tags")
+
+
+def parent_table(fields: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Pod and service by span id inside each scope; of a repeated id the latest span counts."""
+    return (fields.where(F.col("spanID").isNotNull()).groupBy(*scope, "spanID")
+            .agg(F.max_by(F.struct(F.col("child_pod").alias("parent_pod"), F.col("service_name").alias("parent_service")),
+                          F.struct("timestamp_ns", "child_pod", "service_name")).alias("p"))
+            .select(*scope, F.col("spanID").alias("parent_spanID"), "p.parent_pod", "p.parent_service"))
+
+
+def with_parents(fields: DataFrame, parents: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Left join on the parent's span id. Spans without a parent match nothing; they are spread over
+    ``PARENTLESS`` keys, so they do not meet in one task."""
+    none = F.col("parent_spanID").isNull()
+    w = fields.withColumn("_part", F.when(none, F.pmod(F.xxhash64("spanID", "timestamp_ns"), F.lit(PARENTLESS))).otherwise(-1))
+    w = w.withColumn("_parent", F.coalesce("parent_spanID", F.lit("")))
+    p = parents.withColumnRenamed("parent_spanID", "_parent").withColumn("_part", F.lit(-1).cast("long"))
+    return w.join(p, [*scope, "_parent", "_part"], "left").drop("_parent", "_part")
+
+
+def enrich_spans(spans: DataFrame, windows: DataFrame, *, lo: str = "start_timestamp", hi: str = "end_timestamp",
+                 bucket_ns: int = NS_PER_HOUR, parent_scope: str = "window") -> DataFrame:
+    """T1 over the spans inside each window (J1), keyed by ``uuid``.
+
+    ``parent_scope``: ``window`` (detection) looks parents up among the spans of the same window, so a span whose
+    parent lies outside has no parent pod; ``all`` (training, B10) among all of ``spans``. The window's spans are
+    stored once, so the raw spans are scanned once (``all``: twice).
+    """
+    w = cut(span_fields(interval_join(spans, windows.select("uuid", lo, hi), lo=lo, hi=hi, bucket_ns=bucket_ns), "uuid"))
+    if parent_scope == "all":
+        return with_parents(w, parent_table(span_fields(spans)))
+    if parent_scope != "window":
+        raise ValueError(f"parent_scope is window or all, not {parent_scope!r}")
+    return with_parents(w, parent_table(w, ["uuid"]), ["uuid"])
 
 
 ENRICHED_COLUMNS = ("uuid", "timestamp_ns", "parent_spanID", "spanID", "parent_pod", "child_pod",
@@ -134,7 +155,7 @@ def anchored_windows(enriched: DataFrame, keys: Sequence[str] = ("uuid", *EDGE),
     b = b.where(F.col("_lo") < F.col("_hi"))
     j = s.join(b, keys)
     off = F.col("timestamp_ns") - F.col("_lo")
-    ix = F.floor(off / F.lit(window_ns)).cast("long")
+    ix = floor_div(off, window_ns)
     on_edge = (off % F.lit(window_ns) == 0) & (ix > 0)
     j = j.withColumn("_ix", F.explode(F.when(on_edge, F.array(ix - 1, ix)).otherwise(F.array(ix))))
     start = F.col("_lo") + F.col("_ix") * F.lit(window_ns)
@@ -154,26 +175,31 @@ def sample_incidents(incidents: DataFrame, n: int = SAMPLE_SIZE, seed: int = SEE
     return incidents.withColumn("_h", key).orderBy("_h", "uuid").limit(n).drop("_h")
 
 
-def normal_windows(incidents: DataFrame, after_ns: int = NORMAL_AFTER_NS) -> DataFrame:
-    """J7 bounds: [end, end + after] per sampled incident."""
-    return incidents.select("uuid", F.col("end_timestamp").alias("lo"),
-                            (F.col("end_timestamp") + F.lit(after_ns)).alias("hi"))
+def normal_windows(incidents: DataFrame, after_ns: int = NORMAL_AFTER_NS, faults: DataFrame | None = None) -> DataFrame:
+    """J7 bounds: [end, end + after] per sampled incident; with ``faults`` (B12) less the other incidents' faults."""
+    w = incidents.select("uuid", F.col("end_timestamp").alias("lo"), (F.col("end_timestamp") + F.lit(after_ns)).alias("hi"))
+    return w if faults is None else subtract_intervals(w, faults)
+
+
+def training_spans(spans: DataFrame, sampled: DataFrame, *, after_ns: int = NORMAL_AFTER_NS, bucket_ns: int = NS_PER_HOUR,
+                   parent_scope: str = "window", faults: DataFrame | None = None) -> DataFrame:
+    """The enriched spans of the normal windows, edge complete (null keys drop out of the grouping)."""
+    e = enrich_spans(spans, normal_windows(sampled, after_ns, faults), lo="lo", hi="hi", bucket_ns=bucket_ns, parent_scope=parent_scope)
+    return e.dropna(subset=list(EDGE))
 
 
 def training_windows(spans: DataFrame, sampled: DataFrame, *, after_ns: int = NORMAL_AFTER_NS,
-                     window_ns: int = WINDOW_NS, bucket_ns: int = NS_PER_HOUR) -> DataFrame:
+                     window_ns: int = WINDOW_NS, bucket_ns: int = NS_PER_HOUR, parent_scope: str = "window",
+                     faults: DataFrame | None = None) -> DataFrame:
     """T2 + T4: W1 window means of the normal spans, keyed (uuid, edge)."""
-    e = enrich_spans(spans, normal_windows(sampled, after_ns), lo="lo", hi="hi", bucket_ns=bucket_ns)
-    return anchored_windows(e, window_ns=window_ns)
+    return anchored_windows(training_spans(spans, sampled, after_ns=after_ns, bucket_ns=bucket_ns, parent_scope=parent_scope,
+                                           faults=faults), window_ns=window_ns)
 
 
 def edge_baseline(train_windows: DataFrame) -> DataFrame:
-    """A5: per edge mean, std (population), median, min, max, count, p99 of window means."""
-    x = F.col("mean_duration")
-    return train_windows.groupBy(*EDGE).agg(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.median(x).alias("median"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("count"),
-        F.percentile(x, 0.99).alias("p99"))
+    """A5: per edge mean, std (population), median, min, max, count, p99 of window means (an edge of any size)."""
+    g = order_statistics(train_windows, EDGE, "mean_duration", ((0.5, "median"), (0.99, "p99")), trim=False)
+    return g.select(*EDGE, "mean", F.sqrt(F.col("ss") / F.col("count")).alias("std"), "median", "min", "max", "count", "p99")
 
 
 # ------------------------------------------------------------------------- T6
@@ -332,6 +358,15 @@ def score_windows(windows: DataFrame, model: DataFrame) -> DataFrame:
         ["uuid", *EDGE, "window_start"]).withColumn("anomaly_type", F.lit(ANOMALY_TYPE))
 
 
+def deviation_intervals(baseline: DataFrame, below: float = 3.0, above: float = 1.5) -> DataFrame:
+    """A model table without a forest: values up to ``below`` deviations under the edge's mean, or more than ``above``
+    over it, are anomalous."""
+    at = lambda k: round_half_up(F.col("mean") + F.lit(k) * F.col("std"), 6)
+    null = F.lit(None).cast("double")
+    sides = F.array(F.struct(null.alias("lo"), at(-below).alias("hi")), F.struct(at(above).alias("lo"), null.alias("hi")))
+    return baseline.select(*EDGE, F.explode(sides).alias("_i")).select(*EDGE, "_i.lo", "_i.hi")
+
+
 def flag_by_baseline(windows: DataFrame, baseline: DataFrame) -> DataFrame:
     """Deterministic stand-in flag: window mean above the edge's baseline p99."""
     return (windows.join(baseline.select(*EDGE, "p99"), list(EDGE))
@@ -361,6 +396,11 @@ def anomaly_topk(events: DataFrame, baseline: DataFrame, top_n: int = TOP_N) ->
         F.concat(F.lit(COUNT_TEXT_PREFIX), F.col("anomaly_count").cast("string")).alias("anomaly_count_text"))
 
 
+def anomalous_edges(events: DataFrame) -> DataFrame:
+    """Every edge with an anomalous window, per incident (the report keeps the top ones only)."""
+    return events.select("uuid", "child_pod", "node_name").distinct()
+
+
 def anomaly_event_rows(events: DataFrame) -> DataFrame:
     """T8 display rows: window start (ns and local time), edge, type, mean."""
     return events.select("uuid", F.col("window_start").alias("timestamp"),

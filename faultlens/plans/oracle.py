@@ -18,7 +18,7 @@ WITH w AS (SELECT i.uuid, l.timestamp_ns, l.k8_pod, l.k8_node_name, l.message
 tk AS (SELECT *, {S.tokens('message')} AS tokens FROM w),
 bk AS (SELECT *, {S.bucket_key('tokens')} AS bucket_key FROM tk),
 tpl AS {S.templates('bk', ['uuid'])},
-m AS (SELECT bk.*, tpl.template FROM bk JOIN tpl USING (uuid, bucket_key)
+m AS (SELECT bk.*, tpl.template FROM bk JOIN tpl ON bk.uuid = tpl.uuid AND md5(array_to_string(bk.tokens, ' ')) = tpl.list_id
       WHERE k8_pod IS NOT NULL AND k8_node_name IS NOT NULL)
 SELECT uuid, k8_node_name AS node_name, {S.service_from_pod('k8_pod')} AS service_name, k8_pod AS pod_name,
        min({{'t': timestamp_ns, 'm': message}}).m AS message, CAST(count(*) AS BIGINT) AS occurrence_count
@@ -46,11 +46,11 @@ _DOC_TOK = f"(SELECT doc_id, line_no, message, {S.tokens('message')} AS tokens F
 _DOC_BK = f"(SELECT *, {S.bucket_key('tokens')} AS bucket_key FROM {_DOC_TOK} dt)"
 _DOC_TPL = S.templates(_DOC_BK, [])
 
-LOG_TEMPLATE_MINE = _q(f"""SELECT t.bucket_key, t.template, c.cluster_size FROM {_DOC_TPL} t
-JOIN (SELECT bucket_key, CAST(count(*) AS BIGINT) AS cluster_size FROM {_DOC_BK} b GROUP BY bucket_key) c USING (bucket_key)""")
+LOG_TEMPLATE_MINE = _q(f"""SELECT t.bucket_key, t.cluster, t.template, CAST(count(*) AS BIGINT) AS cluster_size
+FROM {_DOC_BK} b JOIN {_DOC_TPL} t ON md5(array_to_string(b.tokens, ' ')) = t.list_id GROUP BY ALL""")
 
 LOG_TEMPLATE_MATCH = _q(f"""SELECT b.doc_id, CAST(b.line_no AS INTEGER) AS line_no, t.template
-FROM {_DOC_BK} b LEFT JOIN {_DOC_TPL} t USING (bucket_key)""")
+FROM {_DOC_BK} b LEFT JOIN {_DOC_TPL} t ON md5(array_to_string(b.tokens, ' ')) = t.list_id""")
 
 
 def _mask_sql(col: str) -> str:
@@ -98,7 +98,8 @@ _POD_SHIFT = S.compare_periods(
     ['instance', 'pod', 'metric'])
 METRIC_POD_SHIFT = _q(f"SELECT * FROM {_POD_SHIFT} t")
 
-METRIC_DB_STATS = _q(f"SELECT * FROM {S.compare_periods(_samples('service, metric'), ['service', 'metric'], gate=False)} t")
+_DB_STATS = S.compare_periods(_samples('service, metric'), ['service', 'metric'], gate=False)
+METRIC_DB_STATS = _q(f"SELECT * FROM {_DB_STATS} t")
 
 _SVC = S.compare_periods(_samples('service, metric'), ['service', 'metric'])
 _POD_SAMPLES = _samples('pod, metric')
@@ -210,6 +211,7 @@ _METRIC_ROWS = f"""(
   SELECT uuid, 'node' AS source, node AS entity, metric, normal_mean, fault_mean, mean_ratio FROM {_NODE_SHIFT} a
   UNION ALL SELECT uuid, 'pod', concat_ws('/', instance, pod), metric, normal_mean, fault_mean, mean_ratio FROM {_POD_SHIFT} b
   UNION ALL SELECT uuid, 'service', concat_ws('/', service, pod), metric, normal_mean, fault_mean, mean_ratio FROM {_SVC_DRILL} c
+  UNION ALL SELECT uuid, 'tidb', service, metric, normal_mean, fault_mean, mean_ratio FROM {_DB_STATS} d
 )"""
 
 _DBL = {"normal_avg_duration", "anomaly_avg_duration", "normal_mean", "fault_mean", "mean_ratio"}
@@ -238,6 +240,7 @@ _EVIDENCE = f"""(
   UNION ALL SELECT uuid, child_pod, CASE WHEN node_name <> 'N/A' THEN node_name END, 'trace' FROM {_STATUS_ALL} b
     WHERE child_pod <> 'N/A'
   UNION ALL SELECT uuid, pod, instance, 'metric' FROM {_POD_SHIFT} c WHERE status = 'shifted'
+  UNION ALL SELECT DISTINCT uuid, child_pod, node_name, 'edge' FROM {_FLAGGED_EVENTS} d
 )"""
 _ATTRIBUTION = f"""(
 WITH ev AS (SELECT *, regexp_replace(pod, '-[0-9]+$', '') AS service FROM {_EVIDENCE} e0 WHERE pod IS NOT NULL),
@@ -250,9 +253,8 @@ per_svc AS (SELECT uuid, service, count(*) AS n_pods, max(pod) AS pod, max(n_evi
 cand AS (SELECT * FROM node_c n WHERE EXISTS (SELECT 1 FROM shifted s WHERE s.uuid = n.uuid AND s.node = n.component)
          UNION ALL SELECT uuid, 'service', service, n_pods FROM per_svc WHERE n_pods >= 2
          UNION ALL SELECT uuid, 'pod', pod, n_evidence FROM per_svc WHERE n_pods = 1),
-comp AS (SELECT DISTINCT 'node' AS level, node AS component FROM metric_points WHERE node IS NOT NULL
-         UNION SELECT DISTINCT 'service', regexp_replace(pod, '-[0-9]+$', '') FROM metric_points WHERE pod IS NOT NULL
-         UNION SELECT DISTINCT 'pod', pod FROM metric_points WHERE pod IS NOT NULL),
+comp AS (SELECT 'node' AS level, unnest({FX._sql_list(FX.NODES)}) AS component
+         UNION SELECT 'service', unnest({FX._sql_list(FX.component_services())}) UNION SELECT 'pod', unnest({FX._sql_list(FX.POD_WHITELIST)})),
 r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY CASE level WHEN 'node' THEN 1 WHEN 'service' THEN 2
              ELSE 3 END, score DESC, component) AS rn
       FROM cand c WHERE EXISTS (SELECT 1 FROM comp WHERE comp.level = c.level AND comp.component = c.component))
@@ -272,7 +274,94 @@ SELECT a.component, a.uuid,
 FROM {_ATTRIBUTION} a LEFT JOIN steps s USING (uuid)
 """)
 
+_LINE = lambda cols: " || ',' || ".join(_csv_field(c, c in _DBL) for c in cols)
+
+
+def _lines(src: str, cols, order: str, name: str) -> str:
+    return f"""SELECT uuid, '{name}' AS section, CAST(row_number() OVER (PARTITION BY uuid ORDER BY {order}) AS INTEGER) AS position,
+  {_LINE(cols)} AS line FROM {src} x
+  UNION ALL SELECT DISTINCT uuid, '{name}', 0, '{','.join(cols)}' FROM {src} y"""
+
+
+EVIDENCE_LINES = _q(" UNION ALL ".join((
+    _lines(_LOG_ROLLUP, E.LOG_SECTION_COLUMNS, "occurrence_count DESC, pod_name, node_name, message", "log"),
+    _lines(_FLAGGED_TOPK, E.TRACE_SECTION_COLUMNS, "rank", "trace"), _lines(_STATUS, E.STATUS_SECTION_COLUMNS, "rank", "status"),
+    _lines(_METRIC_ROWS, E.METRIC_SECTION_COLUMNS, "source, entity, metric", "metric"))))
+
+RESULT_TEXT_PARSE = _q(FX.ANSWERS_SQL)
+
+# K4 read back: all statistics of all sections, as their own comparisons have them
+_STAT_ROWS = lambda section, e1, e2, src: " UNION ALL ".join(
+    f"SELECT uuid, '{section}' AS section, {e1} AS e1, {e2} AS e2, metric, '{p}' AS period, "
+    + ", ".join(f"{p}_{c} AS {c}" for c in S.STATS) + f" FROM {src} {section}_{p}" for p in ("normal", "fault"))
+METRIC_JSON_ROWS = _q(f"""SELECT t.*, 'service,tidb,node,pod' AS keys FROM ({_STAT_ROWS('tidb', 'service', "''", _DB_STATS)}
+  UNION ALL {_STAT_ROWS('node', 'node', "''", _NODE_SHIFT)} UNION ALL {_STAT_ROWS('pod', 'instance', 'pod', _POD_SHIFT)}
+  UNION ALL {_STAT_ROWS('service', 'service', 'pod', _SVC_DRILL)}) t""")
+
+# A part starts at the window's start or behind a fault, where no fault stands, and ends before the next one
+_NOT = "h.uuid <> n.uuid AND"
+
+
+def _subtracted(windows: str, holes: str, cols: str) -> str:
+    return f"""(
+  WITH n AS (SELECT * FROM {windows} n0 WHERE lo <= hi), h AS (SELECT uuid, start_timestamp AS a, end_timestamp AS b FROM {holes} h0),
+  s AS (SELECT DISTINCT n.*, lo AS s FROM n UNION SELECT n.*, h.b + 1 FROM n JOIN h ON {_NOT} h.b + 1 BETWEEN n.lo AND n.hi)
+  SELECT {cols}, s AS lo, least(hi, coalesce((SELECT min(h.a) - 1 FROM h WHERE {_NOT} h.a > n.s), hi)) AS hi
+  FROM s n WHERE NOT EXISTS (SELECT 1 FROM h WHERE {_NOT} n.s BETWEEN h.a AND h.b)
+)"""
+
+
+_OVER = f"({FX.OVERLAPPING_SQL})"
+_GAP = FX.FIXTURE_GAP_NS
+_OVER_NORMAL = f"""(SELECT i.uuid, 'normal' AS period, 'before' AS part, p.end_timestamp + {_GAP} AS lo, i.start_timestamp AS hi
+    FROM {_OVER} i JOIN {_OVER} p ON p.seq = i.seq - 1
+  UNION ALL SELECT i.uuid, 'normal', 'after', i.end_timestamp + {_GAP}, x.start_timestamp FROM {_OVER} i JOIN {_OVER} x ON x.seq = i.seq + 1)"""
+INCIDENT_CLEAN_PERIODS = _q(f"""SELECT uuid, 'fault' AS period, 'fault' AS part, start_timestamp AS lo, end_timestamp AS hi FROM incidents
+  UNION ALL SELECT * FROM {_subtracted(_OVER_NORMAL, _OVER, 'uuid, period, part')} t""")
+
+_LONG = f"(SELECT uuid, end_timestamp AS lo, end_timestamp + {FX.FIXTURE_LONG_AFTER_NS} AS hi FROM incidents)"
+SPAN_CLEAN_EXTRACT = _q(f""",
+w AS (SELECT i.uuid, s.* FROM spans s JOIN {_subtracted(_LONG, 'incidents', 'uuid')} i ON s.timestamp_ns BETWEEN i.lo AND i.hi),
+par AS (SELECT spanID, arg_max(child_pod, timestamp_ns) AS parent_pod FROM spans GROUP BY spanID)
+SELECT uuid, {S.EDGE}, CAST(count(*) AS BIGINT) AS n_spans, min(timestamp_ns) AS min_ts, max(timestamp_ns) AS max_ts,
+  round(avg(duration), 6) AS mean_duration
+FROM (SELECT w.*, par.parent_pod FROM w LEFT JOIN par ON w.parent_spanID = par.spanID) e
+WHERE parent_pod IS NOT NULL AND child_pod IS NOT NULL AND node_name IS NOT NULL AND operationName IS NOT NULL GROUP BY uuid, {S.EDGE}""")
+
+# scoring against a model table: J5 T7 T8 T9
+_MODEL = f"(SELECT {S.EDGE}, round(mean - 3.0 * std, 6) AS below, round(mean + 1.5 * std, 6) AS above FROM {_BASE} b)"
+_SCORED = f"""(SELECT d.* FROM {_DETECT} d JOIN {_MODEL} m USING (parent_pod, child_pod, node_name, operationName)
+  WHERE d.mean_duration <= m.below OR d.mean_duration > m.above)"""
+TRACE_INTERVAL_EVENTS = _q(f"""SELECT uuid, window_start AS timestamp, make_timestamp(window_start // 1000 + CAST(28800 AS BIGINT) * 1000000) AS timestamp_readable,
+  parent_pod, child_pod, operationName AS operation_name, 'Duration' AS anomaly_type, round(mean_duration, 6) AS duration,
+  first_service AS service_name, node_name FROM {_SCORED} s""")
+TRACE_INTERVAL_TOPK = _q(f"SELECT * FROM {S.topk_anomalies(_SCORED, _BASE, T.TOP_N, T.COUNT_TEXT_PREFIX)} t")
+
+# sinks read back: the text of every written column
+SINK_LOG_CSV = _q(f"""SELECT uuid, node_name, service_name, pod_name, message, CAST(occurrence_count AS VARCHAR) AS occurrence_count
+FROM {_LOG_ROLLUP} t""")
+SINK_TRACE_CSV = _q(f"""SELECT uuid, node_name, service_name, parent_pod, child_pod, operation_name, normal_avg_duration, anomaly_avg_duration,
+  anomaly_count_text AS anomaly_count FROM {_FLAGGED_TOPK} t""")
+SINK_STATUS_CSV = _q(f"""SELECT uuid, node_name, service_name, parent_pod, child_pod, operation_name, status_code, status_message,
+  occurrence_text AS occurrence_count FROM {_STATUS} t""")
+
+# ---------------------------------------------------------------- raw layout
+_H = FX.NS_PER_HOUR
+RAW_LOG_SCAN = _q(f"""SELECT l.* FROM logs l WHERE EXISTS (SELECT 1 FROM incidents i
+  WHERE l.timestamp_ns // {_H} BETWEEN i.start_timestamp // {_H} AND i.end_timestamp // {_H})""")
+
+RAW_SPAN_SCAN = _q(f"""SELECT timestamp_ns, spanID, parent_spanID, child_pod, service_name, node_name, operationName, duration,
+  '.parquet' AS source_kind FROM spans s WHERE EXISTS (SELECT 1 FROM incidents i WHERE s.timestamp_ns // {_H}
+    BETWEEN i.end_timestamp // {_H} AND (i.end_timestamp + {FX.FIXTURE_AFTER_NS}) // {_H})""")
+
+_LOCAL_DAY = lambda c: f"(({c} // {_H} + 8) // 24)"
+RAW_METRIC_SCAN = _q(f"""SELECT m.* FROM ({FX.RAW_METRICS_SQL}) m WHERE EXISTS (SELECT 1 FROM {PERIODS} p
+  WHERE p.lo <= p.hi AND {_LOCAL_DAY('m.timestamp_ns')} BETWEEN {_LOCAL_DAY('p.lo')} AND {_LOCAL_DAY('p.hi')})""")
+
 ORACLE = {
+    "raw_log_scan": RAW_LOG_SCAN,
+    "raw_span_scan": RAW_SPAN_SCAN,
+    "raw_metric_scan": RAW_METRIC_SCAN,
     "log_error_rollup": LOG_ERROR_ROLLUP,
     "log_time_error_filter": LOG_TIME_ERROR_FILTER,
     "log_reduction_report": LOG_REDUCTION_REPORT,
@@ -301,4 +390,14 @@ ORACLE = {
     "evidence_bundle": EVIDENCE_BUNDLE,
     "fault_level_attribution": FAULT_LEVEL_ATTRIBUTION,
     "result_json_parse": RESULT_JSON_PARSE,
+    "result_text_parse": RESULT_TEXT_PARSE,
+    "metric_json_rows": METRIC_JSON_ROWS,
+    "incident_clean_periods": INCIDENT_CLEAN_PERIODS,
+    "span_clean_extract": SPAN_CLEAN_EXTRACT,
+    "trace_interval_events": TRACE_INTERVAL_EVENTS,
+    "trace_interval_topk": TRACE_INTERVAL_TOPK,
+    "evidence_lines": EVIDENCE_LINES,
+    "sink_log_csv": SINK_LOG_CSV,
+    "sink_trace_csv": SINK_TRACE_CSV,
+    "sink_status_csv": SINK_STATUS_CSV,
 }

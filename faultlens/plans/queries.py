@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextvars
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,14 @@ from faultlens.functions.time import NS_PER_HOUR
 from faultlens.operators import evidence as E
 from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
+from faultlens.operators import sinks as K
 from faultlens.operators import traces as T
 from faultlens.operators.interval import cut, reuse
 from faultlens.operators.stats import trimmed_describe
+from faultlens.functions import spans as X
+from faultlens.session import ensure_checkpoint_dir
 from faultlens.sources import fixtures as FX
+from faultlens.sources import readers as R
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +72,7 @@ def log_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_reduction_report(spark, sf_dir):
     ev = _events(spark, sf_dir)
-    logs, inc = FX.logs_from_events(ev), _incidents(spark, sf_dir)
-    return L.reduction_report(logs, inc, L.log_error_rollup(logs, inc))
+    return L.rollup_with_report(FX.logs_from_events(ev), _incidents(spark, sf_dir))[1]
 
 
 def log_time_error_filter(spark, sf_dir):
@@ -88,8 +92,8 @@ def log_template_mine(spark, sf_dir):
 
 def log_template_match(spark, sf_dir):
     lines = L.tokenize(_doc_lines(spark, sf_dir))
-    tpl = L.mine_templates(lines)
-    return L.match_templates(lines, tpl).select("doc_id", "line_no", "template")
+    templates, lists = L.mine_templates(lines, with_lists=True)
+    return L.match_templates(lines, templates, lists).select("doc_id", "line_no", "template")
 
 
 def log_mask_rules(spark, sf_dir):
@@ -158,6 +162,19 @@ def metric_evidence_json(spark, sf_dir):
     return M.evidence_json(mp.svc(), mp.db(), mp.node(), mp.pod())
 
 
+def metric_json_rows(spark, sf_dir):
+    """K4 written and read back: every statistic of every document, and the document's top-level keys."""
+    docs = metric_evidence_json(spark, sf_dir)
+    keys = docs.select("uuid", F.array_join(F.json_object_keys("metric_json"), ",").alias("keys"))
+    return M.parse_evidence_json(docs).join(keys, "uuid")
+
+
+def incident_clean_periods(spark, sf_dir):
+    """W2 with B12: normal periods less the faults of other incidents, here of every second fault shifted into them."""
+    inc = _incidents(spark, sf_dir)
+    return M.incident_periods(FX.overlapping_faults(inc), FX.FIXTURE_GAP_NS, exclude_faults=True)
+
+
 # -------------------------------------------------------------------- traces
 def _spans_ctx(spark, sf_dir):
     ev = _events(spark, sf_dir)
@@ -206,6 +223,15 @@ def span_normal_extract(spark, sf_dir):
         F.max("timestamp_ns").alias("max_ts"), round_half_up(F.avg("duration"), 6).alias("mean_duration"))
 
 
+def span_clean_extract(spark, sf_dir):
+    """T2 with B12 and all merged spans as parents (B10): long windows that reach into the next faults, less those."""
+    spans, inc = _spans_ctx(spark, sf_dir)
+    e = T.training_spans(spans, inc, after_ns=FX.FIXTURE_LONG_AFTER_NS, parent_scope="all", faults=inc)
+    return e.groupBy("uuid", *T.EDGE).agg(
+        F.count(F.lit(1)).alias("n_spans"), F.min("timestamp_ns").alias("min_ts"), F.max("timestamp_ns").alias("max_ts"),
+        round_half_up(F.avg("duration"), 6).alias("mean_duration"))
+
+
 def trace_anchored_windows(spark, sf_dir):
     w = _detect_windows(spark, sf_dir)
     return w.withColumn("mean_duration", round_half_up("mean_duration", 6))
@@ -242,6 +268,20 @@ def trace_iforest_events(spark, sf_dir):
     return T.anomaly_event_rows(_iforest_events(spark, sf_dir))
 
 
+def _interval_events(spark, sf_dir):
+    return T.score_windows(_detect_windows(spark, sf_dir), T.deviation_intervals(T.edge_baseline(_train(spark, sf_dir))))
+
+
+def trace_interval_events(spark, sf_dir):
+    """J5 T7 T8 on a model table that SQL can build: the scoring is the forest's own."""
+    return _rounded(T.anomaly_event_rows(_interval_events(spark, sf_dir)), {"duration"})
+
+
+def trace_interval_topk(spark, sf_dir):
+    """T9 (A7 J6 W6 X10) over the scored events of that model."""
+    return T.anomaly_topk(_interval_events(spark, sf_dir), T.edge_baseline(_train(spark, sf_dir)))
+
+
 def trace_anomaly_topk(spark, sf_dir):
     train = _train(spark, sf_dir)
     model = T.fit_detectors(train)
@@ -288,26 +328,36 @@ class _MetricParts:
         return M.db_view(self.stats)
 
 
-def evidence_bundle(spark, sf_dir):
-    mp = _MetricParts(spark, sf_dir, ("node", "infra_pod", "service", "pod"))
+def _bundle_parts(spark, sf_dir):
+    mp = _MetricParts(spark, sf_dir)
     enriched = cut(_enriched(spark, sf_dir))
-    return E.evidence_bundle(cut(log_error_rollup(spark, sf_dir)), _flagged_topk(spark, sf_dir, enriched),
-                             T.status_combinations(enriched), E.metric_shift_rows(mp.node(), mp.pod(), mp.svc()))
+    return (log_error_rollup(spark, sf_dir), _flagged_topk(spark, sf_dir, enriched), T.status_combinations(enriched),
+            E.metric_shift_rows(mp.node(), mp.pod(), mp.svc(), mp.db()))
+
+
+def evidence_bundle(spark, sf_dir):
+    return E.evidence_bundle(*_bundle_parts(spark, sf_dir))
+
+
+def evidence_lines(spark, sf_dir):
+    """R2 as rows, which no incident's size makes large."""
+    return E.evidence_lines(*_bundle_parts(spark, sf_dir))
 
 
 def _attribution(spark, sf_dir):
     mp = _MetricParts(spark, sf_dir, ("node", "infra_pod"))
-    evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), T.status_counts(_enriched(spark, sf_dir)), mp.pod()))
-    return E.fault_level(evidence, mp.node(), E.components_from(mp.points)), evidence
+    enriched = cut(_enriched(spark, sf_dir))
+    edges = T.anomalous_edges(T.flag_by_baseline(_detect_windows(spark, sf_dir, enriched), T.edge_baseline(_train(spark, sf_dir))))
+    evidence = cut(E.affected_pods(log_error_rollup(spark, sf_dir), T.status_counts(enriched), mp.pod(), edges))
+    components = E.component_list(spark, FX.NODES, FX.component_services(), FX.POD_WHITELIST)
+    return E.fault_level(evidence, mp.node(), components), evidence
 
 
 def fault_level_attribution(spark, sf_dir):
     return _attribution(spark, sf_dir)[0]
 
 
-def result_json_parse(spark, sf_dir):
-    attr, evidence = _attribution(spark, sf_dir)
-    parsed = E.parse_results(E.result_records(attr, evidence))
+def _flat_results(parsed):
     steps = F.col("reasoning_trace")
     return parsed.select(
         "component", "uuid", "reason", F.size(steps).alias("n_steps"),
@@ -315,7 +365,78 @@ def result_json_parse(spark, sf_dir):
                                                               x["observation"])), "|").alias("steps_text"))
 
 
+def result_json_parse(spark, sf_dir):
+    attr, evidence = _attribution(spark, sf_dir)
+    return _flat_results(E.parse_results(E.result_records(attr, evidence)))
+
+
+def result_text_parse(spark, sf_dir):
+    """X12 X13 R6 on answers of every kind made of the documents' texts: whole, nested, cut off, several, none."""
+    return _flat_results(E.parse_results(FX.answers_from_documents(FX.load(spark, sf_dir, "documents"))))
+
+
+# --------------------------------------------------------------------- sinks
+def _read_csv(spark, path):
+    """The written rows as text, in the order of their files, with the header's names."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+
+
+def sink_log_csv(spark, sf_dir):
+    """K1: written and read back."""
+    path = _raw_root(spark)
+    K.write_csv_by_incident(log_error_rollup(spark, sf_dir), path, K.LOG_ORDER)
+    return _read_csv(spark, path)
+
+
+def sink_trace_csv(spark, sf_dir):
+    """K2: the report's eight columns, read back."""
+    path = _raw_root(spark)
+    K.write_trace_csv(_flagged_topk(spark, sf_dir), path)
+    return _read_csv(spark, path).withColumns({c: F.col(c).cast("double") for c in ("normal_avg_duration", "anomaly_avg_duration")})
+
+
+def sink_status_csv(spark, sf_dir):
+    """K3: the report's eight columns, read back."""
+    path = _raw_root(spark)
+    K.write_status_csv(T.status_combinations(_enriched(spark, sf_dir)), path)
+    return _read_csv(spark, path)
+
+
+# ----------------------------------------------------------------- raw layout
+def _raw_root(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/raw/{uuid.uuid4().hex}"
+
+
+def raw_log_scan(spark, sf_dir):
+    """S2 + J1's file choice: hourly files named in local time, written from events, read for the incidents' hours."""
+    root = _raw_root(spark)
+    FX.write_raw_logs(_events(spark, sf_dir), root)
+    return R.read_logs(spark, root, FX.local_names(_incidents(spark, sf_dir)))
+
+
+def raw_span_scan(spark, sf_dir):
+    """As raw_log_scan for the post-fault windows of all incidents; durations are stored in two types."""
+    root, inc = _raw_root(spark), FX.local_names(_incidents(spark, sf_dir))
+    FX.write_raw_logs(_events(spark, sf_dir), root, "trace")
+    merged, _ = R.read_training_spans(spark, root, T.normal_windows(inc, FX.FIXTURE_AFTER_NS), incidents=inc)
+    return merged.select("timestamp_ns", "spanID", X.parent_span_id(F.col("references")).alias("parent_spanID"),
+                         X.pod_of(F.col("process")).alias("child_pod"), X.service_of(F.col("process")).alias("service_name"),
+                         X.node_of(F.col("process")).alias("node_name"), "operationName", "duration",
+                         F.regexp_extract("source_file", r"(\.parquet)$", 1).alias("source_kind"))
+
+
+def raw_metric_scan(spark, sf_dir):
+    """Every metric source for the local dates that the incidents' periods touch."""
+    root, inc = _raw_root(spark), FX.local_names(_incidents(spark, sf_dir))
+    FX.write_raw_metrics(_events(spark, sf_dir), root)
+    return R.read_metric_points(spark, root, R.window_dates(_periods(spark, sf_dir), lo="lo", hi="hi", names_of=inc))
+
+
 _REGISTRY = {
+    "raw_log_scan": raw_log_scan,
+    "raw_span_scan": raw_span_scan,
+    "raw_metric_scan": raw_metric_scan,
     "log_error_rollup": log_error_rollup,
     "log_time_error_filter": log_time_error_filter,
     "log_reduction_report": log_reduction_report,
@@ -347,6 +468,16 @@ _REGISTRY = {
     "evidence_bundle": evidence_bundle,
     "fault_level_attribution": fault_level_attribution,
     "result_json_parse": result_json_parse,
+    "result_text_parse": result_text_parse,
+    "metric_json_rows": metric_json_rows,
+    "incident_clean_periods": incident_clean_periods,
+    "span_clean_extract": span_clean_extract,
+    "trace_interval_events": trace_interval_events,
+    "trace_interval_topk": trace_interval_topk,
+    "evidence_lines": evidence_lines,
+    "sink_log_csv": sink_log_csv,
+    "sink_trace_csv": sink_trace_csv,
+    "sink_status_csv": sink_status_csv,
 }
 
 QUERIES = {name: _query(fn) for name, fn in _REGISTRY.items()}

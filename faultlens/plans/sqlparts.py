@@ -3,6 +3,7 @@
 
 from faultlens.functions.text import (ERROR_KEYWORDS, TEMPLATE_DELIMITERS, TEMPLATE_PREFIX_DEPTH,
                                       TEMPLATE_WILDCARD, WHITESPACE_CLASS)
+from faultlens.operators.templates import SIM_TH
 
 
 def error_pred(col: str) -> str:
@@ -27,18 +28,48 @@ def service_from_pod(col: str) -> str:
     return f"(CASE WHEN {col} IS NULL THEN NULL WHEN {e} = '' THEN {col} ELSE {e} END)"
 
 
+def clustered(src: str, scope: list[str], sim_th: float = SIM_TH) -> str:
+    """Distinct token lists of ``src`` (scope, bucket_key, tokens) with list_id and cluster: leaders one after another."""
+    sc = "".join(f"{c}, " for c in scope)
+    same = "".join(f"st.{c} = lo.{c} AND " for c in scope)
+    own = "".join(f"lo.{c}, " for c in scope)
+    shared = lambda a, b: f"len(list_filter(range(1, len({b}) + 1), lambda i: {a}[i] = {b}[i]))"
+    return f"""(
+  WITH RECURSIVE dl AS (SELECT *, len(tokens) AS n, md5(array_to_string(tokens, ' ')) AS list_id,
+      len(list_filter(tokens[1:greatest(0, least({TEMPLATE_PREFIX_DEPTH}, len(tokens) - 1))],
+                      lambda t: NOT regexp_matches(t, '[0-9]'))) AS p
+    FROM (SELECT DISTINCT {sc}bucket_key, tokens FROM {src}) d0),
+  lo AS (SELECT *, greatest(1, CAST(ceil({sim_th} * n) AS INTEGER)) AS m,
+      row_number() OVER (PARTITION BY {sc}bucket_key ORDER BY list_id) AS rk FROM dl WHERE n > 1 AND p < {sim_th} * n),
+  st AS (SELECT {sc}bucket_key, rk, [tokens] AS leaders FROM lo WHERE rk = 1
+    UNION ALL
+    SELECT {own}lo.bucket_key, lo.rk, CASE WHEN len(list_filter(st.leaders, lambda l: {shared('l', 'lo.tokens')} >= lo.m)) = 0
+        THEN list_append(st.leaders, lo.tokens) ELSE st.leaders END
+    FROM st JOIN lo ON {same}st.bucket_key = lo.bucket_key AND lo.rk = st.rk + 1),
+  led AS (SELECT {sc}bucket_key, unnest(arg_max(leaders, rk)) AS leader FROM st GROUP BY {sc}bucket_key),
+  met AS (SELECT lo.*, md5(array_to_string(st.leader, ' ')) AS led_by, {shared('st.leader', 'lo.tokens')} AS sh
+    FROM lo JOIN led st ON {same}st.bucket_key = lo.bucket_key),
+  best AS (SELECT {sc}list_id, led_by FROM met WHERE sh >= m OR led_by = list_id
+    QUALIFY row_number() OVER (PARTITION BY {sc}bucket_key, list_id ORDER BY sh DESC, led_by) = 1)
+  SELECT dl.{sc.replace(', ', ', dl.') if sc else ''}bucket_key, dl.tokens, dl.list_id, CASE WHEN dl.p >= {sim_th} * dl.n THEN ''
+      WHEN dl.n = 1 THEN dl.list_id ELSE best.led_by END AS cluster
+  FROM dl LEFT JOIN best ON {''.join(f"dl.{c} = best.{c} AND " for c in scope)}dl.list_id = best.list_id
+)"""
+
+
 def templates(src: str, scope: list[str]) -> str:
-    """D1 over ``src`` (has scope cols, bucket_key, tokens) -> (scope, bucket_key, template)."""
+    """D1 over ``src`` (has scope cols, bucket_key, tokens) -> (scope, list_id, bucket_key, cluster, template), a row a list."""
     sc = "".join(f"{c}, " for c in scope)
+    using = "".join(f"{c}, " for c in scope) + "bucket_key, cluster"
     return f"""(
-  SELECT {sc}bucket_key, string_agg(tok, ' ' ORDER BY pos) AS template FROM (
-    SELECT {sc}bucket_key, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '{TEMPLATE_WILDCARD}' END AS tok
-    FROM (SELECT {sc}bucket_key, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos
-          FROM (SELECT DISTINCT {sc}bucket_key, tokens FROM {src}) d0) p
-    GROUP BY {sc}bucket_key, pos) a
-  GROUP BY {sc}bucket_key
-  UNION ALL
-  SELECT DISTINCT {sc}bucket_key, '' AS template FROM {src} WHERE len(tokens) = 0
+  WITH cl AS {clustered(src, scope)},
+  t AS (SELECT {sc}bucket_key, cluster, string_agg(tok, ' ' ORDER BY pos) AS template FROM (
+      SELECT {sc}bucket_key, cluster, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '{TEMPLATE_WILDCARD}' END AS tok
+      FROM (SELECT {sc}bucket_key, cluster, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM cl) p
+      GROUP BY {sc}bucket_key, cluster, pos) a
+    GROUP BY {sc}bucket_key, cluster)
+  SELECT {''.join(f"cl.{c}, " for c in scope)}cl.list_id, cl.bucket_key, cl.cluster, coalesce(t.template, '') AS template
+  FROM cl LEFT JOIN t USING ({using})
 )"""
 
 

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens.functions.numeric import floor_div
 from faultlens.functions.time import NS_PER_DAY, NS_PER_HOUR, epoch_ns, local_time
 from faultlens.operators.interval import cut
+from faultlens.operators.metrics import DB_METRICS, NODE_METRICS, POD_METRICS, SERVICE_METRICS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -44,6 +46,7 @@ INCIDENT_LENGTH_NS = 24 * NS_PER_HOUR
 FIXTURE_WINDOW_NS = NS_PER_HOUR
 FIXTURE_GAP_NS = 2 * NS_PER_HOUR
 FIXTURE_AFTER_NS = 24 * NS_PER_HOUR
+FIXTURE_LONG_AFTER_NS = 5 * NS_PER_DAY      # reaches over the next fault
 # Whitelists used by the fixture node / pod queries.
 NODE_WHITELIST = ("node-01", "node-02")
 POD_WHITELIST = tuple(
@@ -51,6 +54,11 @@ POD_WHITELIST = tuple(
     if (s, k) != ("checkoutservice", 2))
 
 
+def component_services() -> tuple[str, ...]:
+    """Services of the component list, as pods are named after them."""
+    return tuple(POD_PREFIX.get(s, s) for s in SERVICES)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,7 +121,7 @@ def incidents_from_events(events: DataFrame) -> DataFrame:
     ns = epoch_ns(F.col("ts"), events.schema["ts"].dataType)
     b = events.agg(F.min(ns).alias("t_min"), F.max(ns).alias("t_max"))
     day = F.lit(NS_PER_DAY)
-    t0 = F.floor(F.col("t_min") / day).cast("long") * day
+    t0 = floor_div(F.col("t_min"), NS_PER_DAY) * day
     first = t0 + F.lit(INCIDENT_FIRST_DAY * NS_PER_DAY)
     every = F.lit(INCIDENT_EVERY_DAYS * NS_PER_DAY)
     n = F.floor((F.col("t_max") - first - F.lit(INCIDENT_LENGTH_NS)) / every).cast("long") + 1
@@ -132,6 +140,14 @@ def incidents_from_events(events: DataFrame) -> DataFrame:
                             F.date_format(lt, "yyyy-MM-dd").alias("date")))
 
 
+def overlapping_faults(incidents: DataFrame) -> DataFrame:
+    """The incidents with neighbours swapped in row order, so that normal periods span other faults."""
+    return incidents.withColumn("seq", F.col("seq") + 1 - 2 * (F.col("seq") % 2))
+
+
+OVERLAPPING_SQL = "SELECT uuid, seq + 1 - 2 * (seq % 2) AS seq, start_timestamp, end_timestamp FROM incidents"
+
+
 INCIDENTS_SQL = f"""
 SELECT 'case-' || CAST(seq AS VARCHAR) AS uuid, seq,
        first + seq * {INCIDENT_EVERY_DAYS * NS_PER_DAY} AS start_timestamp,
@@ -296,6 +312,115 @@ SELECT service, pod, node, event_type AS metric, timestamp_ns,
 FROM ({DIMS2_SQL}) d
 """
 
+# --------------------------------------------------------------------- answers
+def answers_from_documents(docs: DataFrame) -> DataFrame:
+    """``uuid, answer_text``: a diagnosis text per document, of a kind by doc_id: whole, cut off, nested, none, several
+    objects, a missing field, wrong types, steps that are no objects. The document's whole text is the reason."""
+    text = F.col("text")
+    comp = F.concat(F.lit("pod-"), F.col("doc_id").cast("string")).alias("component")
+    step = lambda n, obs: F.struct(F.lit(n).alias("step"), F.lit("Check").alias("action"), obs.alias("observation"))
+    full = F.to_json(F.struct(comp, F.lit("other").alias("uuid"), text.alias("reason"), F.array(step(1, F.col("lang")), step(2, text)).alias("reasoning_trace")))
+    nested = F.to_json(F.struct(F.struct(F.struct(F.lit("}{").alias("b")).alias("a")).alias("detail"), comp, text.alias("reason"),
+                                F.array(step(1, F.lit("a { b \" c"))).alias("reasoning_trace")))
+    mixed = F.concat(F.lit('{"reasoning_trace": [7, '), F.to_json(step(1, text)), F.lit(', "x", {"step": 2}, null], "component": "c"}'))
+    kinds = [F.concat(F.lit("Done.\n```json\n"), full, F.lit("\n```\nAPPROVE")), F.concat(F.lit("cut: "), F.substring(full, F.lit(1), F.length(full) - 1)),
+             F.concat(nested, F.lit(" \"quoted")), F.concat(F.lit("no result "), F.translate(text, "{}", "()")),
+             F.concat(F.lit("say \" first {not json} then "), full, F.lit(" or {\"x\": 1} {")), F.to_json(F.struct(text.alias("reason"))),
+             F.lit('{"component": 5, "reason": {"a": 1}, "reasoning_trace": "none"}'), mixed]
+    k = F.col("doc_id") % len(kinds)
+    answer = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        answer = F.when(k == i, kind).otherwise(answer)
+    return docs.select(F.col("doc_id").cast("string").alias("uuid"), answer.alias("answer_text"))
+
+
+_W20 = "array_to_string(string_split({}, ' ')[1:20], ' ')"
+ANSWERS_SQL = f"""
+SELECT CAST(doc_id AS VARCHAR) AS uuid, CASE k WHEN 0 THEN 'pod-' || doc_id WHEN 2 THEN 'pod-' || doc_id WHEN 4 THEN 'pod-' || doc_id
+         WHEN 7 THEN 'c' ELSE '' END AS component,
+       CASE WHEN k IN (0, 2, 4, 5) THEN coalesce({_W20.format('text')}, '') ELSE '' END AS reason,
+       CAST(CASE k WHEN 0 THEN 2 WHEN 4 THEN 2 WHEN 2 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS INTEGER) AS n_steps,
+       CASE WHEN k IN (0, 4) THEN concat_ws(':', '1', 'Check', lang) || '|' || concat_ws(':', '2', 'Check', {_W20.format('text')})
+         WHEN k = 2 THEN '1:Check:a {{ b " c' WHEN k = 7 THEN concat_ws(':', '1', 'Check', {_W20.format('text')}) || '|2' ELSE '' END AS steps_text
+FROM (SELECT *, doc_id % 8 AS k FROM documents) d
+"""
+
+
+# -------------------------------------------------------------------- raw layout
+# Metric catalogues in the order that event_id % n counts through.
+DB_METRIC_LIST = tuple((s, m) for s, ms in DB_METRICS.items() for m in ms)
+DB_PREFIXES = {"tidb-tidb": "infra_tidb", "tidb-pd": "infra_pd", "tidb-tikv": "infra_tikv"}
+
+
+def _pick(values, n):
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+
+def write_raw_logs(events: DataFrame, root: str, kind: str = "log") -> None:
+    """Hourly files of log records or spans (``kind`` ``trace``), named by local hour. Spans of even hours hold their
+    duration as bigint, of odd hours as double."""
+    rows = logs_from_events(events) if kind == "log" else spans_from_events(events)
+    hour = F.date_format(local_time(F.col("timestamp_ns")), "yyyy-MM-dd_HH")
+    rows = rows.withColumn("hour", hour).repartition("hour")
+    if kind == "log":
+        rows.write.partitionBy("hour").parquet(f"{root}/all/log-parquet")
+        return
+    even = floor_div(F.col("timestamp_ns"), NS_PER_HOUR) % 2 == 0
+    rows.where(even).write.partitionBy("hour").parquet(f"{root}/all/trace-parquet")
+    rows.where(~even).withColumn("duration", F.col("duration").cast("double")).write.mode("append").partitionBy("hour").parquet(
+        f"{root}/all/trace-parquet")
+
+
+def write_raw_metrics(events: DataFrame, root: str) -> None:
+    """Every metric source, one folder per (metric or entity, local date); values as double, decimal, bigint or int."""
+    d = _dims(events)
+    eid = F.col("event_id")
+    v = F.when(eid % 97 != 0, F.floor(F.col("value") * 100 + 0.5).cast("double"))
+    day = F.date_format(local_time(F.col("timestamp_ns")), "yyyy-MM-dd")
+    d = d.select("event_id", "service", "pod", "node", "timestamp_ns", v.alias("v"), day.alias("date"))
+
+    def write(rows: DataFrame, sub: str, name, value_columns, keys, cast: str) -> None:
+        file = F.concat(name, F.lit("_"), F.col("date"), F.lit(".parquet"))
+        rows.select(file.alias("file"), "timestamp_ns", *keys, *[c.cast(cast).alias(n) for n, c in value_columns.items()]
+                    ).repartition("file").write.mode("append").partitionBy("file").parquet(f"{root}/all/metric-parquet/{sub}")
+
+    wide = {m: F.when(eid % len(SERVICE_METRICS) == k, F.col("v")) for k, m in enumerate(SERVICE_METRICS)}
+    write(d, "apm/service", F.concat(F.lit("svc_"), F.col("service")), wide, [], "double")
+    write(d, "apm/pod", F.concat(F.lit("pod_"), F.col("pod")), wide, [], "decimal(18,2)")
+    for sub, prefix, keys, metrics, cast in (
+            ("infra/infra_node", "infra_node", [F.col("node").alias("kubernetes_node")], NODE_METRICS, "double"),
+            ("infra/infra_pod", "infra_pod", [F.col("node").alias("instance"), "pod"], POD_METRICS, "bigint")):
+        cols = {m: F.when(eid % len(metrics) == k, F.col("v")) for k, m in enumerate(metrics)}
+        write(d, sub, F.concat(F.lit(f"{prefix}_"), _pick(metrics, eid)), cols, keys, cast)
+    names = sorted({m for _, m in DB_METRIC_LIST})
+    for sub, services, cast in (("infra/infra_tidb", ("tidb-tidb",), "int"), ("other", ("tidb-pd", "tidb-tikv"), "bigint")):
+        own = _pick([s for s, _ in DB_METRIC_LIST], eid)
+        metric = _pick([m for _, m in DB_METRIC_LIST], eid)
+        prefix = F.element_at(F.create_map(*[F.lit(x) for kv in DB_PREFIXES.items() for x in kv]), own)
+        cols = {m: F.when(metric == m, F.col("v")) for m in names}
+        write(d.where(own.isin(*services)), sub, F.concat(prefix, F.lit("_"), metric), cols, [], cast)
+
+
+_RAW_V = "CASE WHEN event_id % 97 <> 0 THEN CAST(floor(value * 100 + 0.5) AS DOUBLE) END"
+RAW_METRICS_SQL = f"""
+SELECT * FROM (
+  SELECT 'service' AS source, service, CAST(NULL AS VARCHAR) AS pod, CAST(NULL AS VARCHAR) AS node,
+         {_sql_list(SERVICE_METRICS)}[event_id % {len(SERVICE_METRICS)} + 1] AS metric, timestamp_ns, {_RAW_V} AS value FROM ({DIMS2_SQL}) a
+  UNION ALL SELECT 'pod', NULL, pod, NULL, {_sql_list(SERVICE_METRICS)}[event_id % {len(SERVICE_METRICS)} + 1], timestamp_ns, {_RAW_V} FROM ({DIMS2_SQL}) a
+  UNION ALL SELECT 'node', NULL, NULL, node, {_sql_list(NODE_METRICS)}[event_id % {len(NODE_METRICS)} + 1], timestamp_ns, {_RAW_V} FROM ({DIMS2_SQL}) a
+  UNION ALL SELECT 'infra_pod', NULL, pod, node, {_sql_list(POD_METRICS)}[event_id % {len(POD_METRICS)} + 1], timestamp_ns, {_RAW_V} FROM ({DIMS2_SQL}) a
+  UNION ALL SELECT 'tidb', {_sql_list([s for s, _ in DB_METRIC_LIST])}[event_id % {len(DB_METRIC_LIST)} + 1], NULL, NULL,
+    {_sql_list([m for _, m in DB_METRIC_LIST])}[event_id % {len(DB_METRIC_LIST)} + 1], timestamp_ns, {_RAW_V} FROM ({DIMS2_SQL}) a
+) m WHERE value IS NOT NULL
+"""
+
+
+def local_names(incidents: DataFrame) -> DataFrame:
+    """The incidents with hour and date as the raw layout's local names have them."""
+    lt = local_time(F.col("start_timestamp"))
+    return incidents.withColumns({"start_time_hour": F.date_format(lt, "yyyy-MM-dd_HH"), "date": F.date_format(lt, "yyyy-MM-dd")})
+
+
 # Wide metric frame from lineitem: entity = supplier, sample time = ship date.
 WIDE_METRIC_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 

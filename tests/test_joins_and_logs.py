@@ -107,3 +107,17 @@ def test_one_pass_views_equal_individual_comparisons(spark):
     assert rows(M.pod_view(stats)) == rows(M.pod_shift_samples(samples, FX.POD_WHITELIST))
     assert rows(M.db_view(stats)) == rows(M.db_stats_samples(samples))
     assert rows(M.service_view(stats)) == rows(M.service_drilldown_samples(samples, samples))
+
+
+def test_nanoseconds_near_a_bucket_border_are_exact(spark):
+    """Neighbours of an hour's border, which a double cannot tell apart."""
+    from faultlens.functions.numeric import floor_div
+    from faultlens.functions.time import NS_PER_HOUR, ns_to_ntz
+    border = 473_000 * NS_PER_HOUR
+    times = [border + d for d in (-200, -1, 0, 1, 999, 1000, NS_PER_HOUR - 1)] + [-1, -NS_PER_HOUR, -NS_PER_HOUR - 1]
+    rec = spark.createDataFrame([(t,) for t in times], "timestamp_ns long")
+    assert [r[0] for r in rec.select(floor_div(F.col("timestamp_ns"), NS_PER_HOUR)).collect()] == [t // NS_PER_HOUR for t in times]
+    iv = spark.createDataFrame([("u", border - 5, border - 1), ("v", border, border)], "uuid string, start_timestamp long, end_timestamp long")
+    assert sorted((r.uuid, r.timestamp_ns) for r in interval_join(rec, iv).collect()) == [("u", border - 1), ("v", border)]
+    micros = rec.select(F.unix_micros(ns_to_ntz(F.col("timestamp_ns")).cast("timestamp"))).collect()
+    assert [r[0] for r in micros] == [t // 1000 for t in times]
