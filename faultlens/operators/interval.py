@@ -6,35 +6,32 @@ buckets they touch and joined on the bucket (an equi-join), with the exact
 range as a residual predicate. Each record carries exactly one bucket, so the
 large side is never multiplied.
 
-Broadcast only when the exploded interval side is proven small (counted);
-beyond that bound the join is a shuffled sort-merge join on the bucket, where
-AQE skew handling splits a hot bucket.
+Broadcast only when the exploded interval side is proven small (its rows and
+bytes are counted); beyond that bound the join is a shuffled sort-merge join on
+the bucket, where AQE skew handling splits a hot bucket.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import floor_div
 from faultlens.functions.time import NS_PER_DAY, NS_PER_HOUR
 
-# Exploded interval rows we are willing to broadcast (each row ~ 100 bytes).
+# What we are willing to broadcast of the exploded intervals.
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 128 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, n: int | None = None) -> DataFrame:
-    """Broadcast hint behind a size check; past the bound ask for a merge join.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in a broadcast: texts by their length, 8 for other values."""
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(0)).cast("long")
 
-    ``df`` must be a small dimension-like frame (the count runs a job on it
-    unless the caller already knows ``n``).
-    """
-    if n is None:
-        n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    return df.hint("merge")
+
+def bounded_broadcast(df: DataFrame, n: int, size: int, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a frame counted to be small in rows and bytes; past either bound ask for a merge join."""
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df.hint("merge")
 
 
 def _bucket(c: Column, bucket_ns: int) -> Column:
@@ -55,8 +52,8 @@ def interval_join(records: DataFrame, intervals: DataFrame, *, ts: str = "timest
                                                     _bucket(F.col(hi), bucket_ns))))
     iv = iv.withColumnRenamed(lo, "_lo").withColumnRenamed(hi, "_hi")
     # one small job on the interval side: its size (broadcast bound) and overall range
-    st = iv.agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
-    iv = bounded_broadcast(iv, max_broadcast_rows, n=st["n"])
+    st = iv.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(iv)).alias("size"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+    iv = bounded_broadcast(iv, st["n"], st["size"] or 0, max_broadcast_rows)
     rec = records.where(F.col(ts).isNotNull())
     if st["n"] == 0:
         rec = rec.where(F.lit(False))
@@ -98,15 +95,6 @@ def subtract_intervals(windows: DataFrame, holes: DataFrame, *, lo: str = "lo",
     return parts.select(*[F.col({lo: "_start", hi: "_stop"}.get(c, c)).alias(c) for c in cols])
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep an intermediate that several branches of one plan consume.
-
-    Memory-and-disk persistence: computed once on first use, recomputed
-    from lineage if an executor holding blocks is lost.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a shared intermediate as a Parquet table in the shared
     checkpoint folder and continue from it.

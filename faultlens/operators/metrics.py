@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.numeric import round_half_up
 
 from faultlens.functions.time import NS_PER_DAY, NS_PER_MIN
-from faultlens.operators.interval import interval_join, subtract_intervals
+from faultlens.operators.interval import bounded_broadcast, interval_join, subtract_intervals
 from faultlens.operators.stats import DECIMALS, STAT_COLUMNS, trimmed_describe
 
 # Fixed values from the reference workload.
@@ -46,6 +46,14 @@ DB_METRICS = {
 
 
 # ------------------------------------------------------------------------- W2
+def with_neighbours(incidents: DataFrame) -> DataFrame:
+    """Adds ``prev_end`` and ``next_start``, of the neighbours in row order. Parts of the result keep their periods, so
+    incidents can be processed in any portions."""
+    prev = incidents.select((F.col("seq") + 1).alias("seq"), F.col("end_timestamp").alias("prev_end"))
+    nxt = incidents.select((F.col("seq") - 1).alias("seq"), F.col("start_timestamp").alias("next_start"))
+    return incidents.join(prev, "seq", "left").join(nxt, "seq", "left")
+
+
 def incident_periods(incidents: DataFrame, gap_ns: int = NORMAL_GAP_NS, *, exclude_faults: bool = False) -> DataFrame:
     """Per incident the fault period and up to two normal periods.
 
@@ -55,10 +63,7 @@ def incident_periods(incidents: DataFrame, gap_ns: int = NORMAL_GAP_NS, *, exclu
     ``exclude_faults`` (B12): normal periods without the faults of other incidents, in as many rows as are left.
     Output: uuid, period, part, lo, hi.
     """
-    i = incidents.select("uuid", "seq", "start_timestamp", "end_timestamp")
-    prev = i.select((F.col("seq") + 1).alias("seq"), F.col("end_timestamp").alias("prev_end"))
-    nxt = i.select((F.col("seq") - 1).alias("seq"), F.col("start_timestamp").alias("next_start"))
-    j = i.join(prev, "seq", "left").join(nxt, "seq", "left")
+    j = incidents if {"prev_end", "next_start"} <= set(incidents.columns) else with_neighbours(incidents)
     row = lambda period, part, lo, hi: F.struct(F.lit(period).alias("period"), F.lit(part).alias("part"),
                                                 lo.alias("lo"), hi.alias("hi"))
     rows = F.array(
@@ -135,10 +140,10 @@ def apply_gate(compared: DataFrame) -> DataFrame:
 
 
 def whitelist(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
-    """keep rows whose ``column`` is in a fixed list (broadcast semi join)."""
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(a,) for a in allowed], f"{column} string")
-    return df.join(F.broadcast(dim), column, "left_semi")
+    """keep rows whose ``column`` is in a given list (semi join, broadcast while the list is small)."""
+    dim = df.sparkSession.createDataFrame([(a,) for a in allowed], f"{column} string")
+    small = bounded_broadcast(dim, len(allowed), sum(16 + 4 * len(a) for a in allowed))
+    return df.join(small, column, "left_semi")
 
 
 # ---------------------------------------------------------------- A10 / A11
@@ -220,9 +225,12 @@ def service_drilldown_samples(service_samples: DataFrame, pod_samples: DataFrame
 
 def service_drilldown(service_points: DataFrame, pod_points: DataFrame, periods: DataFrame,
                       *, bucket_ns: int = NS_PER_DAY) -> DataFrame:
-    """A13 from raw points: (service|pod, metric, timestamp_ns, value)."""
-    return service_drilldown_samples(period_samples(service_points, periods, bucket_ns=bucket_ns),
-                                     period_samples(pod_points, periods, bucket_ns=bucket_ns))
+    """A13 from raw points (service|pod, metric, timestamp_ns, value): one join with the periods and one statistics pass
+    over services and pods together, then the drill-down on the statistics."""
+    def tagged(points: DataFrame, source: str) -> DataFrame:
+        return points.select(F.lit(source).alias("source"), F.col(source).alias("e1"), F.lit("").alias("e2"), "metric", "timestamp_ns", "value")
+    both = tagged(service_points, "service").unionByName(tagged(pod_points, "pod"))
+    return service_view(compare_all_sources(period_samples(both, periods, bucket_ns=bucket_ns)))
 
 
 # ---------------------------------------------------------------- S11 / F4

@@ -402,12 +402,13 @@ def anomalous_edges(events: DataFrame) -> DataFrame:
 
 
 def anomaly_event_rows(events: DataFrame) -> DataFrame:
-    """T8 display rows: window start (ns and local time), edge, type, mean."""
+    """T8 display rows: window start (ns and local time), edge (also as one text, X8), type, mean."""
     return events.select("uuid", F.col("window_start").alias("timestamp"),
                          local_time(F.col("window_start")).alias("timestamp_readable"),
                          "parent_pod", "child_pod", F.col("operationName").alias("operation_name"),
                          "anomaly_type", F.col("mean_duration").alias("duration"),
-                         F.col("first_service").alias("service_name"), "node_name")
+                         F.col("first_service").alias("service_name"), "node_name",
+                         X.edge_name(*[F.col(k) for k in EDGE]).alias("edge"))
 
 
 # ------------------------------------------------------------------------- A8

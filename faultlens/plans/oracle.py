@@ -334,7 +334,7 @@ _SCORED = f"""(SELECT d.* FROM {_DETECT} d JOIN {_MODEL} m USING (parent_pod, ch
   WHERE d.mean_duration <= m.below OR d.mean_duration > m.above)"""
 TRACE_INTERVAL_EVENTS = _q(f"""SELECT uuid, window_start AS timestamp, make_timestamp(window_start // 1000 + CAST(28800 AS BIGINT) * 1000000) AS timestamp_readable,
   parent_pod, child_pod, operationName AS operation_name, 'Duration' AS anomaly_type, round(mean_duration, 6) AS duration,
-  first_service AS service_name, node_name FROM {_SCORED} s""")
+  first_service AS service_name, node_name, concat_ws('_', parent_pod, child_pod, node_name, operationName) AS edge FROM {_SCORED} s""")
 TRACE_INTERVAL_TOPK = _q(f"SELECT * FROM {S.topk_anomalies(_SCORED, _BASE, T.TOP_N, T.COUNT_TEXT_PREFIX)} t")
 
 # sinks read back: the text of every written column

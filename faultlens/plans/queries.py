@@ -20,7 +20,7 @@ from faultlens.operators import logs as L
 from faultlens.operators import metrics as M
 from faultlens.operators import sinks as K
 from faultlens.operators import traces as T
-from faultlens.operators.interval import cut, reuse
+from faultlens.operators.interval import cut
 from faultlens.operators.stats import trimmed_describe
 from faultlens.functions import spans as X
 from faultlens.session import ensure_checkpoint_dir
@@ -246,7 +246,7 @@ def trace_edge_baseline(spark, sf_dir):
 
 
 def _flagged_topk(spark, sf_dir, enriched=None):
-    base = reuse(T.edge_baseline(_train(spark, sf_dir)))
+    base = cut(T.edge_baseline(_train(spark, sf_dir)))
     events = T.flag_by_baseline(_detect_windows(spark, sf_dir, enriched), base)
     return T.anomaly_topk(events, base)
 

@@ -2,14 +2,6 @@
 
 from pyspark.sql import types as T
 
-INCIDENTS = T.StructType([
-    T.StructField("uuid", T.StringType(), False),
-    T.StructField("start_timestamp", T.LongType(), False),
-    T.StructField("end_timestamp", T.LongType(), False),
-    T.StructField("start_time_hour", T.StringType(), True),
-    T.StructField("date", T.StringType(), True),
-])
-
 TAG = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
 PROCESS = T.StructType([
@@ -47,14 +39,3 @@ METRIC_POINTS = T.StructType([
     T.StructField("timestamp_ns", T.LongType()),
     T.StructField("value", T.DoubleType()),
 ])
-
-RESULT = T.StructType([
-    T.StructField("component", T.StringType()),
-    T.StructField("uuid", T.StringType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("reasoning_trace", T.ArrayType(T.StructType([
-        T.StructField("step", T.IntegerType()),
-        T.StructField("action", T.StringType()),
-        T.StructField("observation", T.StringType()),
-    ]))),
-])

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from faultlens.operators.metrics import with_neighbours
 from faultlens.session import ensure_checkpoint_dir
+from faultlens.sources.readers import read_incidents
 
 INCIDENT_CSV_SCHEMA = T.StructType([
     T.StructField("uuid", T.StringType()),
@@ -33,20 +34,19 @@ def incident_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
 
 
 def run_incident_stream(spark: SparkSession, folder: str, process: Callable[[DataFrame, int], None],
-                        name: str = "incident_evidence", available_now: bool = True):
+                        name: str = "incident_evidence", available_now: bool = True, max_files_per_trigger: int = 16):
     """Start the stream; ``process(incidents_batch, batch_id)`` runs the batch plan.
 
-    Incidents in one micro-batch get a ``seq`` by start time within the
-    batch (their normal periods refer to neighbours in that order). A
-    micro-batch is bounded by ``maxFilesPerTrigger`` incident files.
+    The stream tells which incidents are new. Their ``seq`` and the neighbours that bound their normal periods come from
+    all files of the folder, in file order, so the size of a micro-batch changes no result.
     """
     ckpt = f"{ensure_checkpoint_dir(spark)}/streams/{name}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        b = batch.dropDuplicates(["uuid"])
-        b = b.withColumn("seq", F.row_number().over(Window.orderBy("start_timestamp", "uuid")) - 1)
-        process(b, batch_id)
+        session = batch.sparkSession
+        listed = with_neighbours(read_incidents(session, folder))
+        process(listed.join(batch.select("uuid").distinct(), "uuid", "left_semi").dropDuplicates(["uuid"]), batch_id)
 
-    w = incident_stream(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+    w = incident_stream(spark, folder, max_files_per_trigger).writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

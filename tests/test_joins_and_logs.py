@@ -121,3 +121,37 @@ def test_nanoseconds_near_a_bucket_border_are_exact(spark):
     assert sorted((r.uuid, r.timestamp_ns) for r in interval_join(rec, iv).collect()) == [("u", border - 1), ("v", border)]
     micros = rec.select(F.unix_micros(ns_to_ntz(F.col("timestamp_ns")).cast("timestamp"))).collect()
     assert [r[0] for r in micros] == [t // 1000 for t in times]
+
+
+def test_merge_join_fallback_gives_the_same_rows(spark):
+    import random
+    rng = random.Random(3)
+    times = [rng.randint(0, 500) for _ in range(300)]
+    spans = [(f"u{k}", a, a + rng.randint(-2, 60)) for k, a in enumerate(rng.randint(0, 480) for _ in range(20))]
+    rec = spark.createDataFrame([(t,) for t in times], "timestamp_ns long")
+    iv = spark.createDataFrame(spans, "uuid string, start_timestamp long, end_timestamp long")
+    want = sorted((u, t) for u, a, b in spans for t in times if a <= t <= b)
+    for most in (0, 10 ** 6):
+        out = interval_join(rec, iv, bucket_ns=1000 if most else 13, max_broadcast_rows=most)
+        assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        assert sorted((r.uuid, r.timestamp_ns) for r in out.collect()) == want
+
+
+def test_gate_edges_and_zero_baseline(spark):
+    """F8: exactly 0.95 and 1.05 are no change; a zero baseline is compared through the epsilon, no baseline is kept."""
+    from faultlens.operators import metrics as M
+    rows = [("a", 1.0, 0.95), ("b", 1.0, 1.05), ("c", 1.0, 0.9499), ("d", 1.0, 1.0501), ("e", 0.0, 0.0), ("f", 0.0, 1.0), ("g", None, 1.0), ("h", 1.0, None)]
+    samples = [(m, "normal", n) for m, n, _ in rows] + [(m, "fault", f) for m, _, f in rows]
+    df = spark.createDataFrame([("u", p, m, v) for m, p, v in samples], "uuid string, period string, metric string, value double")
+    got = {r.metric: r.status for r in M.compare_periods(df, ["metric"]).collect()}
+    def ratio(n, f):
+        return (f + 1e-9) / (n + 1e-9)
+    want = {m: "no_baseline" if n is None else "no_fault_data" if f is None else "shifted" for m, n, f in rows
+            if n is None or f is None or not 0.95 <= ratio(n, f) <= 1.05}
+    assert got == want and {"c", "d", "f", "g", "h"} <= set(got) and "e" not in got
+
+
+def test_no_incidents_give_empty_evidence(spark):
+    logs = spark.createDataFrame([(1, "t", "cart-0", "n1", "error")], schemas.LOGS)
+    none = spark.createDataFrame([], "uuid string, seq long, start_timestamp long, end_timestamp long")
+    assert log_error_rollup(logs, none).collect() == [] and incident_periods(none).collect() == []
