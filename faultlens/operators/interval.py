@@ -13,6 +13,7 @@ the bucket, where AQE skew handling splits a hot bucket.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,22 @@ def subtract_intervals(windows: DataFrame, holes: DataFrame, *, lo: str = "lo",
     return parts.select(*[F.col({lo: "_start", hi: "_stop"}.get(c, c)).alias(c) for c in cols])
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep an intermediate of a lazy plan in memory and on disk until :func:`release`; recomputed where an executor
+    that held blocks is lost. Unlike :func:`cut`, the plan goes on to the scan."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
+def release() -> None:
+    """Give back all intermediates held so far; call it when the results that read them are written."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a shared intermediate as a Parquet table in the shared
     checkpoint folder and continue from it.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.text import apply_masks, error_predicate, service_from_pod
 from faultlens.functions.time import NS_PER_HOUR
-from faultlens.operators.interval import cut, interval_join
+from faultlens.operators.interval import cut, hold, interval_join
 from faultlens.operators.templates import (DEPTH, SIM_TH, match_templates, merged, mine_templates,  # noqa: F401
                                            token_lists, tokenize, with_clusters)
 
@@ -86,10 +86,11 @@ def log_error_rollup(logs: DataFrame, incidents: DataFrame, *, bucket_ns: int =
     """Flagship log evidence per incident.
 
     Output: uuid, node_name, service_name, pod_name, message (first error line of the group by (timestamp, text)),
-    occurrence_count. :func:`by_count` puts each incident's rows in the report's order.
+    occurrence_count. :func:`by_count` puts each incident's rows in the report's order. The counted token lists are held
+    until ``interval.release()``.
     """
     w = error_logs(logs, incidents, bucket_ns=bucket_ns).withColumn("is_error", F.lit(True))
-    return _rollup(cut(_error_lists(w, mask_rules)), sim_th, depth)
+    return _rollup(hold(_error_lists(w, mask_rules)), sim_th, depth)
 
 
 def by_count(rollup: DataFrame) -> DataFrame:

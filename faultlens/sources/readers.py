@@ -183,7 +183,7 @@ def _offset_windows(windows: DataFrame, lo: str, hi: str, incidents: DataFrame |
     """``lo, hi`` in hours of the names' zone."""
     if incidents is None and {"start_time_hour", "start_timestamp"} <= set(windows.columns):
         incidents = windows
-    w = windows.select("uuid", floor_div(F.col(lo), NS_PER_HOUR).alias("_lo"), floor_div(F.col(hi), NS_PER_HOUR).alias("_hi"))
+    w = windows.select(*(["uuid"] if incidents is not None else []), floor_div(F.col(lo), NS_PER_HOUR).alias("_lo"), floor_div(F.col(hi), NS_PER_HOUR).alias("_hi"))
     off = F.lit(0).cast("long")
     if incidents is not None:
         w, off = w.join(name_offsets(incidents), "uuid", "left"), F.coalesce(F.col("name_offset"), F.lit(0))
