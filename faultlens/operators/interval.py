@@ -112,7 +112,7 @@ def release() -> None:
         _HELD.pop().unpersist()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Materialise a shared intermediate as a Parquet table in the shared
     checkpoint folder and continue from it.
 
@@ -126,5 +126,5 @@ def cut(df: DataFrame) -> DataFrame:
     from faultlens.session import ensure_checkpoint_dir
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.parquet(path)

@@ -61,10 +61,10 @@ def _error_lists(w: DataFrame, mask_rules) -> DataFrame:
         text = apply_masks(text, mask_rules)
     err = F.col("is_error")
     t = tokenize(w, text=text)
-    cols = {c: F.when(err, F.col(c)) for c in ("k8_pod", "k8_node_name", "list_id", "bucket_key", "tokens")}
+    cols = {c: F.when(err, F.col(c)) for c in ("k8_pod", "k8_node_name", "list_id", "bucket_key", "token_text")}
     t = t.withColumns({**cols, "first": F.when(err, F.struct("timestamp_ns", "message"))})
     return t.groupBy("uuid", "is_error", "k8_pod", "k8_node_name", "list_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("bucket_key").alias("bucket_key"), F.min("tokens").alias("tokens"))
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("bucket_key").alias("bucket_key"), F.min("token_text").alias("token_text"))
 
 
 def _rollup(per: DataFrame, sim_th: float, depth: int) -> DataFrame:

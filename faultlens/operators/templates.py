@@ -12,6 +12,8 @@ positions (``m``: positions to share), so of ``n - m + 1`` blocks of positions o
 the undecided ones under all its block keys can have no earlier similar one and leads. Lists similar to a new leader are
 decided too, and the next round goes on with the rest. Each round is two grouped aggregations and an equi-join on block
 keys; no route sits in one task and no pairs of members are formed.
+
+Token lists travel as their joined text (tokens hold no space), which is about a third of the array's bytes.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from faultlens.operators.interval import cut
 SIM_TH = 0.01
 DEPTH = 10               # levels of the route: its top two and the token count leave seven leading tokens
 
+PART_BYTES = 16 << 20    # texts of a cluster that are merged in one row; larger clusters are merged in parts
+
 
 def prefix_length(depth: int = DEPTH) -> int:
     """Leading tokens that take part in the route."""
@@ -35,27 +39,41 @@ def prefix_length(depth: int = DEPTH) -> int:
 
 
 def tokenize(messages: DataFrame, message: str = "message", *, depth: int = DEPTH, text: Column | None = None) -> DataFrame:
-    """Adds ``tokens``, the route ``bucket_key`` and ``list_id``, which stands for the token list in every key."""
-    t = messages.withColumn("tokens", template_tokens(F.col(message) if text is None else text))
-    # tokens hold no space: the joined text is the list
-    return t.withColumns({"bucket_key": template_bucket_key(F.col("tokens"), prefix_length(depth)),
-                          "list_id": F.md5(F.array_join("tokens", " "))})
+    """Adds ``token_text`` (the tokens joined by spaces), the route ``bucket_key`` and ``list_id``, which stands for the
+    token list in every key."""
+    t = messages.withColumn("_tokens", template_tokens(F.col(message) if text is None else text))
+    t = t.withColumns({"token_text": F.array_join("_tokens", " "), "bucket_key": template_bucket_key(F.col("_tokens"), prefix_length(depth))})
+    return t.withColumn("list_id", F.md5("token_text")).drop("_tokens")
+
+
+def _tokens(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def _size(bucket_key: Column) -> Column:
+    """The token count, which a route begins with."""
+    return F.substring_index(bucket_key, " ", 1).cast("int")
 
 
 def token_lists(tokenized: DataFrame, scope: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """``(scope..., bucket_key, list_id, tokens, n)``: the distinct token lists with their numbers of messages."""
+    """``(scope..., bucket_key, token_text, n, list_id)``: the distinct token lists with their numbers of messages.
+
+    The text is a key, not a value, of the aggregation: it hashes its rows without sorting them.
+    """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return tokenized.groupBy(*scope, "list_id").agg(F.min("bucket_key").alias("bucket_key"), F.min("tokens").alias("tokens"), n.alias("n"))
+    return tokenized.groupBy(*scope, "bucket_key", "token_text").agg(n.alias("n")).withColumn("list_id", F.md5("token_text"))
 
 
-def _shared_by_route(tokens: Column, depth: int) -> Column:
+def _shared_by_route(text: Column, n: Column, depth: int) -> Column:
     """Literal leading tokens: positions that all messages of the route share."""
-    lead = F.slice(tokens, 1, F.greatest(F.lit(0), F.least(F.lit(prefix_length(depth)), F.size(tokens) - 1)))
+    lead = F.slice(F.split(F.substring_index(text, " ", prefix_length(depth)), " "), F.lit(1),
+                   F.greatest(F.lit(0), F.least(F.lit(prefix_length(depth)), n - 1)))
     return F.size(F.filter(lead, lambda t: ~t.rlike("[0-9]")))
 
 
-def is_loose(tokens: Column, sim_th: float = SIM_TH, depth: int = DEPTH) -> Column:
-    return _shared_by_route(tokens, depth) < F.lit(sim_th) * F.size(tokens)
+def is_loose(text: Column, n: Column, sim_th: float = SIM_TH, depth: int = DEPTH) -> Column:
+    """Of the joined tokens and their number."""
+    return _shared_by_route(text, n, depth) < F.lit(sim_th) * n
 
 
 def _needed(tokens: Column, sim_th: float) -> Column:
@@ -115,32 +133,51 @@ def leader_clusters(lists: DataFrame, scope: Sequence[str] = (), sim_th: float =
 def with_clusters(lists: DataFrame, scope: Sequence[str] = (), *, sim_th: float = SIM_TH, depth: int = DEPTH) -> DataFrame:
     """Adds ``cluster`` to token lists (a stored table): '' in a tight route, a one-token list by itself, else its leader."""
     scope = list(scope)
-    tokens = F.col("tokens")
-    several = is_loose(tokens, sim_th, depth) & (F.size(tokens) > 1)
-    simple = F.when(is_loose(tokens, sim_th, depth), F.col("list_id")).otherwise(F.lit(""))
+    n = _size(F.col("bucket_key"))
+    is_own = is_loose(F.col("token_text"), n, sim_th, depth)
+    several = is_own & (n > 1)
+    simple = F.when(is_own, F.col("list_id")).otherwise(F.lit(""))
     loose = lists.where(several)
     if loose.isEmpty():
         return lists.withColumn("cluster", simple)
-    named = leader_clusters(loose, scope, sim_th)
+    named = leader_clusters(loose.withColumn("tokens", _tokens(F.col("token_text"))), scope, sim_th)
     return lists.where(~several).withColumn("cluster", simple).unionByName(loose.join(named, [*scope, "list_id"]))
 
 
+def _merged_text(texts: Column) -> Column:
+    """The template of a cluster's texts; merging merged texts again gives the same."""
+    keep = lambda x, y: F.when(x == y, x).otherwise(F.lit(TEMPLATE_WILDCARD))
+    fold = F.aggregate(F.slice(texts, F.lit(2), F.size(texts)), F.split(texts[0], " "),
+                       lambda a, t: F.zip_with(a, F.split(t, " "), keep))
+    return F.when(F.size(texts) == 1, texts[0]).otherwise(F.array_join(fold, " "))
+
+
 def merged(lists: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """``(scope..., bucket_key, cluster, template, cluster_size)`` of clustered lists.
 
-    A cluster of one list is its own template; others keep a token where the least and the greatest of a position agree,
-    per position (partial aggregation, so a hot cluster never sits in one task).
+    A template keeps a token where all lists of its cluster agree. The lists' texts are shuffled once, to their
+    cluster. Clusters of more than ``PART_BYTES`` of text are merged in parts, and the parts' templates per position, so
+    a hot cluster never sits in one task. Such clusters are counted first, under a hash of their key.
     """
     key = [*scope, "bucket_key", "cluster"]
-    stats = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"), F.max("tokens").alias("_t"), F.sum("n").cast("long").alias("cluster_size"))
-    alone = stats.where("_k = 1").select(*key, F.array_join("_t", " ").alias("template"), "cluster_size")
-    many = stats.where("_k > 1").select(*key, "cluster_size")
-    p = lists.join(many.select(*key), key, "left_semi").select(*key, F.posexplode("tokens").alias("pos", "tok"))
+    keyed = lists.select(*key, "token_text", "n", F.xxhash64(*key).alias("_c"))
+    parts = F.ceil(F.sum(F.octet_length("token_text")) / F.lit(PART_BYTES)).alias("_parts")
+    hot = cut(keyed.groupBy("_c").agg(parts).where("_parts > 1"))       # at most a row per PART_BYTES of all texts
+    whole = lambda df, *more: df.groupBy(*key, *more).agg(
+        _merged_text(F.collect_list("token_text")).alias("template"), F.sum("n").cast("long").alias("cluster_size"))
+    if hot.isEmpty():
+        return whole(keyed)
+    small = whole(keyed.join(F.broadcast(hot), "_c", "left_anti"))
+    part = F.pmod(F.xxhash64("token_text"), F.col("_parts")).alias("_part")
+    some = whole(keyed.join(F.broadcast(hot), "_c").select(*key, "token_text", "n", part), "_part")
+    p = some.select(*key, F.posexplode(_tokens(F.col("template"))).alias("pos", "tok"))
     a = p.groupBy(*key, "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"))
     tok = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(TEMPLATE_WILDCARD))
     text = a.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", tok.alias("tok")))),
                                                         lambda x: x["tok"]), " ").alias("template"))
-    return alone.unionByName(many.join(text, key).select(*key, "template", "cluster_size"))
+    sums = some.groupBy(*key).agg(F.sum("cluster_size").alias("cluster_size"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
+    return small.unionByName(text.alias("t").join(sums.alias("s"), same).select(*[f"t.{c}" for c in key], "template", "cluster_size"))
 
 
 def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: str = "message", sim_th: float = SIM_TH,
@@ -150,7 +187,7 @@ def mine_templates(messages: DataFrame, *, scope: Sequence[str] = (), message: s
     ``with_lists``: also the clustered lists ``(scope..., list_id, bucket_key, cluster)``, which D2 matches by.
     """
     t = messages if "list_id" in messages.columns else tokenize(messages, message, depth=depth)
-    lists = with_clusters(cut(token_lists(t, scope)), scope, sim_th=sim_th, depth=depth)
+    lists = with_clusters(cut(token_lists(t, scope), "zstd"), scope, sim_th=sim_th, depth=depth)
     out = merged(lists, scope)
     return (out, lists.select(*scope, "list_id", "bucket_key", "cluster")) if with_lists else out
 
@@ -161,4 +198,4 @@ def match_templates(messages: DataFrame, templates: DataFrame, lists: DataFrame,
     m = messages if "list_id" in messages.columns else tokenize(messages, message)
     named = lists.join(templates.select(*scope, "bucket_key", "cluster", "template"), [*scope, "bucket_key", "cluster"])
     out = m.join(named.select(*scope, "list_id", "template"), [*scope, "list_id"], "left")
-    return out.drop("bucket_key", "tokens", "list_id")
+    return out.drop("bucket_key", "token_text", "list_id")
