@@ -28,11 +28,10 @@ from unicodedata import is_normalized
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import Remembered, slices, strings
+from faultlens.llm.common import Remembered, by_size, slices, strings
 
 END = "\n"               # stands for the end-of-word mark; no letter of the byte alphabet
 WORDS = 150_000          # words in each of a worker's two generations
@@ -271,19 +270,6 @@ def _texts(own: Codec, lists: pa.ListArray, skip_special: bool) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(upto), pa.py_buffer(at), pa.py_buffer(data)).cast(pa.string())
 
 
-def _by_size(batches, rows: int = ROWS, chars: int = 8 << 20):
-    """Slices of at most ``rows`` rows, fewer where texts are very long."""
-    for batch in slices(batches, rows):
-        start, held = 0, 0
-        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
-            if held and held + n > chars:
-                yield batch.slice(start, k - start)
-                start, held = k, 0
-            held += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
            decoded: bool = False, skip_special_tokens: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row; with ``decoded`` also ``text``, the ids decoded again in the same pass."""
@@ -292,7 +278,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def run(batches):
         own = codec(path)
-        for b in _by_size(batches):
+        for b in by_size(batches, ROWS):
             lists = _lists(own.encode(strings(b, "text")))
             columns = {"doc_id": b.column("doc_id"), "ids": lists}
             if decoded:

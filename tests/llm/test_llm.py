@@ -98,6 +98,35 @@ def test_packing_ids_of_unusual_words():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokens(t) for t in texts]
 
 
+def test_packing_runs_of_a_lot(monkeypatch):
+    """Runs are found for a whole lot, and each distinct one is tokenised once, however its word is written."""
+    path = packing.default_tokenizer()
+    monkeypatch.setattr(packing, "_STATE", {})
+    packing._tokenizer(path)
+    runs, starts = packing._runs("The END, x42 \u00c9t\u00c9\n'quoted' it's a<b \u0416\u00c9! 7\u00d78\n".encode())
+    assert runs.to_pylist() == ["the", "end", ",", "x", "4", "2", "\u00e9t\u00e9", "'", "quoted", "'", "it's", "a<b",
+                                "\u0416\u00c9!", "7\u00d78"]
+    assert starts.tolist() == [0, 4, 7, 9, 10, 11, 13, 19, 20, 26, 28, 33, 37, 43]
+    seen: list = []
+    cut = packing._cut
+    monkeypatch.setattr(packing, "_cut", lambda words, *rest: (seen.extend(words), cut(words, *rest)))
+    texts = ["Wording wording, (WORDING)", "wording-WORDING; Wording9"] * 3
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == [tokens(t) for t in texts]
+    assert sorted(seen) == sorted(["wording", ",", "(", ")", "-", ";", "9"])
+
+
+def test_packing_lots_and_parts_of_texts(monkeypatch):
+    """Lots of many texts, texts in parts and generations of a few known runs give the ids of whole texts."""
+    monkeypatch.setattr(packing, "_STATE", {})
+    monkeypatch.setattr(packing, "CHARS", 40)
+    monkeypatch.setattr(packing, "CACHE", 5)
+    rng = random.Random(4)
+    stock = list("abSTl'.,<|>09-\u00e9\u00c9\u00d7\u00f7\u00df\u0301\u0416\t\r\x00\u00a0") + [" ", "\n"] * 4 + ["<|endoftext|>", "it's", "'LL"]
+    texts = ["".join(rng.choices(stock, k=rng.choice([0, 1, 5, 30, 300]))) for _ in range(400)] + ["z" * 100, "y" * 90 + " \n" + "x'" * 50, " " * 200]
+    got = packing.encode(texts, packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokens(t) for t in texts]
+
+
 def test_packing_rule_by_hand():
     rng = random.Random(3)
     items = sorted((rng.randint(1, 40) for _ in range(300)), reverse=True)
