@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from string import punctuation
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ GROUP = 4096
 CACHE = 300_000          # runs and words in each of a Python worker's two generations of known ones
 LOTS = 16                # strings tokenised at a time
 ROWS = 1024              # texts split at a time, of at most about
-CHARS = 4 << 20          # as many bytes
+CHARS = 1 << 20          # as many bytes
 LONG_WORD = 64           # longer ones are tokenised, not remembered
 
 SPACE, LETTER, DIGIT, SIGN, HARD = range(5)
@@ -121,8 +122,8 @@ def _tokenizer(path: str) -> dict:
                     and all("<" in t["content"] and not set(t["content"]) & {" ", "\n"} for t in spec["added_tokens"]))
         merges = None
         if own_runs:                        # the merges alone, for runs that are lower case and split already
-            merges = Tokenizer.from_file(path)
-            merges.normalizer, merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+            merges = Tokenizer(tok.model)
+            merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         _STATE.update(path=path, tok=tok, ends=ends, merges=merges, ids=_Recent(CACHE), classes=_classes(own_runs))
     return _STATE
 
@@ -189,10 +190,11 @@ def _file(words: list[str]) -> None:
     """File the ids of new ``words``: plain runs, and hard words by way of their runs where they are letters and then
     ASCII punctuation: the tokenizer's own split falls between the two."""
     known = _STATE["ids"]
-    plain, parts, rest, letters, other = [], [], [], {}, {}
+    merges = _STATE["merges"] is not None
+    plain, parts, rest, letters, other = {}, [], [], {}, {}
     for w in words:
-        if _STATE["merges"] is not None and _PLAIN(w):
-            plain.append(w)
+        if merges and _PLAIN(w):
+            plain[w] = None
             continue
         a = "" if len(w) > LONG_WORD or "\u03a3" in w else w if w.isalpha() else w.rstrip(punctuation)   # capital sigma has two lower cases
         low = a.lower()
@@ -202,11 +204,11 @@ def _file(words: list[str]) -> None:
         b = w[len(a):]
         parts.append((w, low, b))
         if low not in known:
-            letters[low] = None
+            (plain if merges and is_normalized("NFC", low) else letters)[low] = None
         if b not in known:
             other[b] = None
     if plain:
-        _learn_letters(plain, known.young, plain=True)
+        _learn_letters(list(plain), known.young, plain=True)
     if letters:
         (_learn if _STATE["ends"] is None else _learn_letters)(list(letters), known.young)
     if other:
@@ -303,7 +305,7 @@ def _parts(texts: list[str]):
 def encode(texts: list[str], path: str, end_id: int = 0) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text, ``end_id`` last.
 
-    The runs of a few MB of texts are found and numbered by vectorised passes; only distinct ones are looked up, and
+    The runs of about a MB of texts are found and numbered by vectorised passes; only distinct ones are looked up, and
     only new ones tokenised.
     """
     _tokenizer(path)
