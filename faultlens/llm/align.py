@@ -8,8 +8,8 @@ is its documents, whose popcounts add up over the chunks; the planes' popcounts,
 then carry each pair's score back: a chunk's postings, joined with the pair scores, are summed per document.
 
 Both tokenizers end a token at a single space between two other non-space characters (A splits there before merging,
-no piece of B goes on past a space), so such parts of a text are tokenised, aligned and linked by themselves and
-remembered while they are frequent. Texts are never cut: a part without such spaces is aligned whole.
+no piece of B goes on past a space), so such parts of a text are tokenised, aligned and linked by themselves, new ones
+many at a time, and remembered while they are frequent. Texts are never cut: a part without such spaces is aligned whole.
 
 Scale: one pass writes document rows and postings; a chunk ends at ``CHUNK_ROWS`` documents or ``CHUNK_LINKS`` links, so
 no task holds more, and a very common pair has one posting a chunk, not one a document. Scores are grouped sums over
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import Remembered, fresh, give_back, slices, stored, strings
+from faultlens.llm.common import fresh, give_back, slices, stored, strings
 
 CHUNK_ROWS = 1 << 16     # places of a bitmap
 CHUNK_LINKS = 6_000_000
 DENSE = 4096             # places from which a bit set is smaller
 DENSE_BYTES = CHUNK_ROWS // 8
-PARTS = 150_000          # text parts in each of a worker's two generations
+PARTS = 150_000          # text parts that a worker goes on remembering; it clears them when it knows twice as many
 LONG_PART = 64           # longer ones are not remembered
+JOINED = 64              # new parts that A reads at a time
 ROWS = 256               # texts at a time
 BATCH = 50_000           # postings to a batch
 
@@ -53,6 +55,25 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Numbered(dict):
+    """Numbers of text parts, given as they are looked up with ``[]``; ``new`` notes those not seen before. A part with
+    white space at an end has a number only with a space in front (such a key comes of no plain part); without, it
+    raises ``odd``."""
+
+    def __init__(self, parts=()):
+        super().__init__(zip(parts, range(len(parts))))
+        self.next, self.new, self.odd = len(parts), [], False
+
+    def __missing__(self, part: str) -> int:
+        if not part or part[0] != " " and part != part.strip():
+            self.odd = True
+            return -1
+        self[part] = number = self.next
+        self.next = number + 1
+        self.new.append(part)
+        return number
+
+
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and the parts seen lately."""
 
@@ -72,71 +93,130 @@ class Aligner:
         self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
         self.a_size[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
         self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
-        self.shown = [x for i in range(max(len(self.a_size), len(self.b_size))) for x in (f"{i},".encode(), f"{i}|".encode(), f"{i},".encode(),
-                                                                                          f"{i};".encode(), str(i).encode())]
-        self.parts = Remembered(PARTS)
-
-    def align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple]:
-        """``ok, n_a, n_b, n_groups, groups, links`` of every part: groups between common ends as text, every overlapping
-        pair of tokens as a little-endian 64-bit code. The parts are laid end to end and aligned at once."""
-        raw = [p.encode() for p in parts]
-        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == t and b"".join(map(self.b_bytes.__getitem__, y)) == t for x, y, t in zip(a, b, raw)]
-        if not all(ok):
-            good = iter(self.align(*zip(*[x for x, fine in zip(zip(parts, a, b), ok) if fine]))) if any(ok) else iter(())
-            return [next(good) if fine else (False, 0, 0, 0, b"", b"") for fine in ok]
-        n_a, n_b = [len(x) for x in a], [len(x) for x in b]
-        a, b = np.fromiter((i for x in a for i in x), np.int64, sum(n_a)), np.fromiter((i for x in b for i in x), np.int64, sum(n_b))
+        shown = np.array([x for i in range(max(len(self.a_size), len(self.b_size))) for x in (f"{i},", f"{i}|", f"{i},", f"{i};", f"{i}")], "S8")
+        self.shown, self.shown_size = shown.view("<i8"), np.char.str_len(shown)
+        self.number = Numbered()
+        self.groups: list[bytes] = []             # of every number: its groups as text,
+        self.links: list[bytes] = []              # every overlapping pair of tokens as a little-endian 64-bit code,
+        self.counts = np.zeros((3, 0), np.int64)  # its tokens of A and B and its groups,
+        self.fine = np.zeros(0, bool)             # whether both tokenizers give its bytes back,
+        self.seen = np.zeros(0, np.int64)         # and its occurrences of late
+
+    def _given_back(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both give the bytes of a part back."""
+        return np.array([b"".join(map(self.a_bytes.__getitem__, x)) == t and b"".join(map(self.b_bytes.__getitem__, y)) == t
+                         for x, y, t in zip(a, b, raw)], bool)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, lot: list[str], plain: bool) -> None:
+        """Tokenise and align new parts, laid end to end. A reads plain ones ``JOINED`` at a time, with the spaces that
+        part them in a text; should its tokens not end at those, or bytes not come back, each part is taken by itself."""
+        spaced = [" " + p for p in lot] if plain else lot
+        raw = list(map(str.encode, spaced))
+        right = self.b.encode(lot if plain else [p[1:] for p in lot], num_threads=1)      # B puts the space in front itself
+        left = self._encoded(["".join(spaced[k:k + JOINED]) for k in range(0, len(lot), JOINED)] if plain else spaced)
+        number = np.fromiter(map(self.number.__getitem__, lot), np.int64, len(lot))
+        border = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a, b = list(chain.from_iterable(left)), list(chain.from_iterable(right))
+        if (b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(raw) == b"".join(map(self.b_bytes.__getitem__, b))
+                and self._align(number, border, np.array(a, np.int64), np.array(b, np.int64))):
+            return
+        left = self._encoded(spaced) if plain else left
+        good = np.flatnonzero(self._given_back(raw, left, right))
+        if len(good):
+            border = np.cumsum(np.fromiter((len(raw[k]) for k in good), np.int64, len(good)))
+            self._align(number[good], border, *[np.array([i for k in good for i in ids[k]], np.int64) for ids in (left, right)])
+
+    def _align(self, number: np.ndarray, border: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+        """Note groups, links and counts of parts that end at ``border``; false if a token goes on past one."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        border = np.cumsum([len(t) for t in raw])
-        ends = np.concatenate([a_end, b_end])
-        ends.sort(kind="stable")                          # two sorted runs
-        ends = ends[np.diff(ends, append=-1) != 0]        # each piece between ends is one link
-        of_a, of_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        links = (a[of_a] << 31 | b[of_b] << 16).astype("<i8").tobytes()
-        link_at = np.concatenate([[0], 8 * (np.searchsorted(ends, border) + 1)]).tolist()
-        common = ends[(a_end[of_a] == ends) & (b_end[of_b] == ends)]
-        n_groups = np.diff(np.searchsorted(common, border, side="right"), prepend=0).tolist()
+        ends_a, ends_b = np.zeros((2, int(border[-1]) + 1), bool)         # per byte
+        ends_a[a_end], ends_b[b_end] = True, True
+        both = ends_a & ends_b
+        if not both[border].all():
+            return False
+        upto_a, upto_b, upto = (np.cumsum(x, dtype=np.int32) for x in (ends_a, ends_b, both))
+        ends = np.flatnonzero(ends_a | ends_b)            # each piece between ends is one link
+        links = (a[upto_a[ends] - ends_a[ends]] << 31 | b[upto_b[ends] - ends_b[ends]] << 16).astype("<i8").tobytes()
         # the text: a group's A ids, then its B ids, each with what follows it
-        last_a, last_b = np.searchsorted(a_end, common), np.searchsorted(b_end, common)
-        in_a, in_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-        kind_a, kind_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
-        kind_a[last_a], kind_b[last_b] = 1, 3
-        kind_b[np.searchsorted(b_end, border)] = 4
+        common = np.flatnonzero(both)
+        last_a, last_b = both[a_end], both[b_end]
+        kind_b = 2 + last_b
+        kind_b[upto_b[border] - 1] = 4
         order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[in_a]] = a * 5 + kind_a
-        order[np.arange(len(b)) + (last_a + 1)[in_b]] = b * 5 + kind_b
-        text, at = list(map(self.shown.__getitem__, order.tolist())), 0
-        out = []
-        for k, (x, y) in enumerate(zip(n_a, n_b)):
-            out.append((True, x, y, n_groups[k], b"".join(text[at:at + x + y]), links[link_at[k]:link_at[k + 1]]))
-            at += x + y
-        return out
-
-    def texts(self, texts: list[str]) -> list[list[tuple] | None]:
-        """The parts of every text in order; none where there are no tokens."""
-        known = self.parts
-        known.age()
-        old, split = known.old, [_BORDER.split(t) if t else [] for t in texts]
-        new = []
-        for part in set().union(*split):
-            if part not in known:
-                if part in old:
-                    known[part] = old[part]
-                else:
-                    new.append(part)
-        for k in range(0, len(new), 4096):
-            lot = new[k:k + 4096]
-            spaced = [" " + p for p in lot]
-            left = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-            known.update(zip(lot, self.align(spaced, left, self.b.encode(lot, num_threads=1))))      # B puts the space in front itself
-        out = []
-        for parts in split:
-            found = [known[p] for p in parts]
-            out.append(found if found and all(p[0] for p in found) else None)
+        order[np.arange(len(a)) + np.concatenate([[0], upto_b[common]])[upto[a_end] - last_a]] = a * 5 + last_a
+        order[np.arange(len(b)) + upto_a[common][upto[b_end] - last_b]] = b * 5 + kind_b
+        text = self.shown[order].tobytes().translate(None, b"\0")
+        text_end = np.cumsum(self.shown_size[order])[upto_a[border] + upto_b[border] - 1].tolist()
+        # ends up to a border: those of A and those of B, the common ones once
+        link_end = (8 * (upto_a[border].astype(np.int64) + upto_b[border] - upto[border])).tolist()
+        for row, x in zip(self.counts, (upto_a, upto_b, upto)):
+            row[number] = np.diff(x[border], prepend=0)
+        self.fine[number] = True
+        t, k = 0, 0
+        for n, t_end, k_end in zip(number.tolist(), text_end, link_end):
+            self.groups[n], self.links[n] = text[t:t_end], links[k:k_end]
+            t, k = t_end, k_end
+        return True
+
+    def _age(self) -> None:
+        """When full, forget the parts met once; of the others the most frequent ``PARTS`` stay."""
+        if self.number.next <= 2 * PARTS:
+            return
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > PARTS:
+            keep = np.sort(keep[np.argpartition(-self.seen[keep], PARTS)[:PARTS]])
+        part = [None] * self.number.next
+        for p, n in self.number.items():
+            part[n] = p
+        keep = np.array([n for n in keep.tolist() if part[n] is not None], np.int64)      # long ones have left
+        self.number = Numbered([part[n] for n in keep.tolist()])
+        self.groups, self.links = [self.groups[n] for n in keep.tolist()], [self.links[n] for n in keep.tolist()]
+        self.counts, self.fine, self.seen = self.counts[:, keep], self.fine[keep], self.seen[keep] // 2
+
+    def texts(self, texts: list[str]):
+        """``n_a, n_b, n_groups, groups, links`` of every text in order; ``groups`` is None where there are no tokens.
+
+        To be read to its end, where the long parts are forgotten.
+        """
+        self._age()
+        number, split = self.number, []
+        look = number.__getitem__
+        for t in texts:
+            found = []
+            if t and "  " not in t and " \n" not in t and "\n " not in t:
+                found = list(map(look, t.split(" ")))
+            if number.odd or t and not found:             # some space is no border
+                number.odd = False
+                found = [look(p if p == p.strip() else " " + p) for p in _BORDER.split(t)]
+            split.append(found)
+        new, number.new = number.new, []
+        self.groups += [b""] * len(new)
+        self.links += [b""] * len(new)
+        self.counts = np.concatenate([self.counts, np.zeros((3, len(new)), np.int64)], axis=1)
+        self.fine, self.seen = (np.concatenate([x, np.zeros(len(new), x.dtype)]) for x in (self.fine, self.seen))
+        for plain in (True, False):
+            some = [p for p in new if (p[0] != " ") == plain]
+            for k in range(0, len(some), 4096):
+                self.learn(some[k:k + 4096], plain)
+        sizes = np.array([len(x) for x in split], np.int64)
+        flat = np.fromiter(chain.from_iterable(split), np.int64, int(sizes.sum()))
+        self.seen += np.bincount(flat, minlength=len(self.seen))
+        there = sizes > 0
+        start = (np.cumsum(sizes) - sizes)[there]
+        n = np.zeros((3, len(texts)), np.int64)
+        if len(start):
+            fine = np.logical_and.reduceat(self.fine[flat], start)
+            n[:, there] = [np.add.reduceat(x[flat], start) * fine for x in self.counts]
+            there[there] = fine
+        for own, has, n_a, n_b, n_groups in zip(split, there.tolist(), *n.tolist()):
+            yield (n_a, n_b, n_groups, b";".join([self.groups[k] for k in own]), b"".join([self.links[k] for k in own])) if has else (0, 0, 0, None, b"")
         for part in new:
             if len(part) > LONG_PART:
-                del known[part]
-        return out
+                k = number.pop(part)
+                self.groups[k], self.links[k] = b"", b""
 
 
 def aligner(paths: tuple[str, str]) -> Aligner:
@@ -232,20 +312,18 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
         place, held, codes = 0, 0, []
         for batch in slices(batches, ROWS):
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "chunk", "place")}
-            for doc, parts in zip(batch.column("doc_id").to_pylist(), own.texts(strings(batch, "text"))):
-                parts = parts or []
-                text = b";".join([p[4] for p in parts])
-                links = np.frombuffer(b"".join([p[5] for p in parts]), "<i8")
+            found = own.texts(strings(batch, "text"))
+            for doc, (n_a, n_b, n_groups, text, links) in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                links = np.frombuffer(links, "<i8")
                 if held and (held + len(links) > CHUNK_LINKS or place == CHUNK_ROWS):
                     yield from postings(np.concatenate(codes), base + number)
                     place, held, codes, number = 0, 0, [], number + 1
                 if len(links):
                     codes.append(links + place)
                     held += len(links)
-                for name, value in (("doc_id", doc), ("n_a", sum([p[1] for p in parts])), ("n_b", sum([p[2] for p in parts])),
-                                    ("n_groups", sum([p[3] for p in parts])), ("n_links", len(links)),
-                                    ("groups_sha256", hashlib.sha256(text).hexdigest() if parts else ""),
-                                    ("groups", text.decode() if groups else None), ("chunk", base + number), ("place", place)):
+                for name, value in (("doc_id", doc), ("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", len(links)),
+                                    ("groups_sha256", "" if text is None else hashlib.sha256(text).hexdigest()),
+                                    ("groups", (text or b"").decode() if groups else None), ("chunk", base + number), ("place", place)):
                     out[name].append(value)
                 place += 1
                 if place == CHUNK_ROWS and not held:

@@ -118,3 +118,48 @@ def test_measured_counts(spark):
     posts = spark.createDataFrame(pa.Table.from_batches(align.postings(codes, 0)).select(["chunk", "a", "b", "planes"]))
     got = {(r.a, r.b): (r.docs, r.links) for r in align.measured(posts).collect()}
     assert got == {k: (len(v), sum(v.values())) for k, v in links.items()}
+
+
+class Counted:
+    """Tokenizer A, counting the strings it is given."""
+
+    def __init__(self, a):
+        self.a, self.strings = a, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings += len(texts)
+        return self.a.encode_batch_fast(texts, **options)
+
+
+def same_as_whole(x, texts):
+    for t, (n_a, n_b, n_groups, groups, links) in zip(texts, x.texts(texts), strict=True):
+        want = whole(t)
+        if want is None:
+            assert (n_a, n_b, n_groups, groups, links) == (0, 0, 0, None, b"")
+        else:
+            pairs = [(c >> 31, c >> 16 & 0x7FFF) for c in np.frombuffer(links, "<i8").tolist()]
+            assert (groups.decode(), n_a, n_b, n_groups, sorted(pairs)) == (want[0], *want[1:4], sorted(want[4]))
+
+
+def test_new_parts_are_tokenised_together():
+    """New words go to A many at a time, and give what the whole texts give."""
+    x = align.Aligner(*align.default_tokenizers())
+    x.a = Counted(x.a)
+    texts = [" ".join(f"{w}{k}x{n}" for n in range(300)) for k, w in enumerate(("na\u00efve", "Word", "don't,", "\u4e2d\u6587"))]
+    same_as_whole(x, texts)
+    assert x.a.strings <= 4 * 300 // 16
+    again = x.a.strings
+    same_as_whole(x, texts[::-1])
+    assert x.a.strings == again
+
+
+@pytest.mark.parametrize("parts", [4, 40])
+def test_parts_forgotten_and_met_again(monkeypatch, parts):
+    """A small memory, odd ends, words that a tokenizer does not give back beside others, words too long to keep."""
+    monkeypatch.setattr(align, "PARTS", parts)
+    x = align.Aligner(*align.default_tokenizers())
+    texts = [*ODD_TEXTS, *SPACES, "a word \u2581 b", "the long " + "ab" * 200 + " word", "x\t y", "y \u3000z", "", None, "the word a b " * 3]
+    rng = np.random.default_rng(7)
+    for _ in range(12):
+        same_as_whole(x, [texts[k] for k in rng.integers(0, len(texts), 9)])
+    assert not any(len(p) > align.LONG_PART for p in x.number)
