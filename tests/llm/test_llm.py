@@ -508,6 +508,22 @@ def test_jaccard(spark, both, monkeypatch, block, frequent, min_count):
         assert rows_of(jaccard.components(df), "doc_id", "n_shingles", "component_id") == true_components(rows)
 
 
+def test_jaccard_sends_sets_only_to_blocks_they_can_link_in(spark, monkeypatch):
+    """Texts that share a passage form one group of many blocks; only the copies among them are sent to other blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 600)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard, "MEET_TOKENS", 1300, raising=False)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    sent, fresh = [], jaccard.fresh
+    monkeypatch.setattr(jaccard, "fresh", lambda df: sent.append(df.count()) or fresh(df))
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(i, passage + " " + " ".join(f"w{i}_{k}" for k in range(40))) for i in range(150)]
+    rows += [(200 + i, t + f" end{i}") for i, t in rows[:10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.components(df), "doc_id", "n_shingles", "component_id") == true_components(rows)
+    assert 0 < sum(sent) < 4 * len(rows)
+
+
 @pytest.mark.parametrize("nodes", [1, 20, 200_000])
 def test_connected(spark, monkeypatch, nodes):
     """Chains, stars, rings, lone and null ends against a walk over the graph, whatever the forests hold at a time."""
