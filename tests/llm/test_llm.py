@@ -524,6 +524,25 @@ def test_jaccard_sends_sets_only_to_blocks_they_can_link_in(spark, monkeypatch):
     assert 0 < sum(sent) < 4 * len(rows)
 
 
+def test_jaccard_sends_blocks_together(spark, monkeypatch):
+    """Loose copies of one text qualify for every block; a task meets many sets with many blocks, so each is sent few times."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 600)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    sent, fresh = [], jaccard.fresh
+    monkeypatch.setattr(jaccard, "fresh", lambda df: sent.append(df.count()) or fresh(df))
+    rng, base, rows = random.Random(5), [f"b{k}" for k in range(80)], []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(80), 2):
+            words[at] = f"own{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, t + " end") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.components(df), "doc_id", "n_shingles", "component_id") == true_components(rows)
+    assert 0 < sum(sent) < 4 * len(rows)
+
+
 @pytest.mark.parametrize("nodes", [1, 20, 200_000])
 def test_connected(spark, monkeypatch, nodes):
     """Chains, stars, rings, lone and null ends against a walk over the graph, whatever the forests hold at a time."""
